@@ -1,0 +1,22 @@
+"""Compact ids for request tables.
+
+Rows that fan out over data (wedges, value sets) carry a 64-bit hash of their
+request key instead of the key's strings. The hash is used only after checking
+that it is unique over the (small, schema-level) request table; otherwise the
+full key columns are kept, so results never depend on a collision.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def with_request_id(req: DataFrame, keys: list[str], id_name: str = "rid") -> tuple[DataFrame, list[str]]:
+    """Return ``(req + id column, id columns to join on)``."""
+    out = req.withColumn(id_name, F.xxhash64(*keys)).persist(StorageLevel.MEMORY_AND_DISK)
+    agg = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_name).alias("d")).first()
+    if agg["n"] == agg["d"]:
+        return out, [id_name]
+    return out, list(keys)

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The rule miner is a batch computation over a whole fact table: confidence and
+head coverage are ratios over complete relations, so there is no incremental
+operator to offer here. Facts arriving as a stream are appended to the Parquet
+store (``hornbeam.sources.store``) and mined in batch.
+"""
