@@ -28,6 +28,7 @@ share it. ``one_object_per_subject=True`` first keeps one object per subject
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,32 +146,35 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     den_members = F.when(has_v & three, F.array_sort(F.array(_member(b1, k1), _member(b2, k2))))
     oo = pb.isin("M2", "M3a", "M3c", "M4")
     oa = F.when(pb == "M3c", b2).otherwise(b1)
-    r = cl.select("*", members.alias("members"), den_members.alias("den_members"),
-                  F.when(oo, F.least(h, oa)).alias("oa"), F.when(oo, F.greatest(h, oa)).alias("ob"),
-                  F.when(oo, k_all).alias("oK"))
-
-    size_req = (r.where(pb.isin("M1", "M3b")).select("members")
-                .unionByName(r.where(F.col("den_members").isNotNull())
+    base = cl.select(*CANDIDATE_COLUMNS, pb.alias("pattern"), members.alias("members"),
+                     den_members.alias("den_members"),
+                     F.when(oo, F.least(h, oa)).alias("oa"), F.when(oo, F.greatest(h, oa)).alias("ob"),
+                     F.when(oo, k_all).alias("oK")).persist(StorageLevel.MEMORY_AND_DISK)
+    b = base
+    pat = F.col("pattern")
+    is_set = pat.isin("M1", "M3b")
+    size_req = (b.where(is_set).select("members")
+                .unionByName(b.where(F.col("den_members").isNotNull())
                              .select(F.col("den_members").alias("members"))))
     sizes = ctx.set_sizes(size_req)
-    r = _attach(r, sizes, [(F.when(pb.isin("M1", "M3b"), F.col("members")), "members")], "v_set")
+    oo_vals = ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
+        "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K")))
+    r = _attach(b, sizes, [(F.when(is_set, F.col("members")), "members")], "v_set")
     r = _attach(r, sizes, [(F.col("den_members"), "members")], "v_den")
-    oo_req = r.where(oo).select("members", F.col("oa").alias("a"), F.col("ob").alias("b"),
-                                F.col("oK").alias("K"))
-    r = _attach(r, ctx.other_overlap(oo_req),
-                [(F.when(oo, F.col("members")), "members"), (F.col("oa"), "a"),
-                 (F.col("ob"), "b"), (F.col("oK"), "K")], "v_oo")
+    r = _attach(r, oo_vals, [(F.when(F.col("oa").isNotNull(), F.col("members")), "members"),
+                             (F.col("oa"), "a"), (F.col("ob"), "b"), (F.col("oK"), "K")], "v_oo")
 
     bag = ctx.bag_sizes
     r = (r.join(bag.select(F.col("property").alias("head"), F.col("n").alias("head_size")),
                 "head", "left")
          .join(bag.select(F.col("property").alias("body1"), F.col("n").alias("b1_size")),
                "body1", "left"))
-    support = (F.when(pb.isin("M1", "M3b"), F.col("v_set"))
-               .when(oo, F.col("v_oo")).otherwise(F.lit(0)))
+    three = F.col("body2").isNotNull()
+    support = (F.when(is_set, F.col("v_set"))
+               .when(F.col("oa").isNotNull(), F.col("v_oo")).otherwise(F.lit(0)))
     den = F.when(~three, F.col("b1_size")).otherwise(F.col("v_den"))
     den = F.when(three & (F.coalesce(den, F.lit(0)) == 0), F.lit(1)).otherwise(den)
-    out = r.select(*CANDIDATE_COLUMNS, pb.alias("pattern"),
+    out = r.select(*CANDIDATE_COLUMNS, "pattern",
                    F.coalesce(support, F.lit(0)).cast("bigint").alias("support"),
                    F.coalesce(den, F.lit(0)).cast("bigint").alias("body_size"),
                    F.coalesce(F.col("head_size"), F.lit(0)).cast("bigint").alias("head_size"))

@@ -128,3 +128,33 @@ def schema_from_tables(spark: SparkSession) -> DataFrame:
 def knowledge_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """``(facts, schema)`` of the table-derived graph."""
     return facts_from_tables(spark, sf_dir), schema_from_tables(spark)
+
+
+# Declarations with no facts that typing must reject, as
+# (property local name, axiom kind, class text): equal domain and range, a
+# union range, and three classes.
+EXTRA_DECLARATIONS = [
+    ("knowsUser", "ObjectPropertyDomain", "<http://ex.org/kg#User>"),
+    ("knowsUser", "ObjectPropertyRange", "<http://ex.org/kg#User>"),
+    ("ownsAsset", "ObjectPropertyDomain", "<http://ex.org/kg#Customer>"),
+    ("ownsAsset", "ObjectPropertyRange",
+     "ObjectUnionOf(<http://ex.org/kg#Order> <http://ex.org/kg#Supplier>)"),
+    ("visits", "ObjectPropertyDomain", "<http://ex.org/kg#User>"),
+    ("visits", "ObjectPropertyDomain", "<http://ex.org/kg#Customer>"),
+    ("visits", "ObjectPropertyRange", "<http://ex.org/kg#Hour>"),
+]
+
+
+def declaration_rows() -> list[tuple[str, str, str]]:
+    """``(axiom_type, property IRI, class text)`` of every domain / range declaration."""
+    rows = []
+    for n, d, r in PROPERTIES:
+        rows.append(("ObjectPropertyDomain", iri(n), iri(d)))
+        rows.append(("ObjectPropertyRange", iri(n), iri(r)))
+    rows += [(k, iri(n), c) for n, k, c in EXTRA_DECLARATIONS]
+    return rows
+
+
+def declarations_from_tables(spark: SparkSession) -> DataFrame:
+    """Domain / range declarations ``(axiom_type, property, cls)`` of the graph."""
+    return spark.createDataFrame(declaration_rows(), "axiom_type string, property string, cls string")
