@@ -54,6 +54,28 @@ def connected_triples(schema: DataFrame) -> DataFrame:
         "head", "body1", "body2")
 
 
+def open_paths(schema: DataFrame) -> DataFrame:
+    """Ordered triples where exactly two of the three atom pairs share a class.
+
+    Their rules are not fully connected: bodies apart (S6) or the head apart
+    from one body (S7). Built with equi-joins on shared classes and one
+    anti-join.
+    """
+    atoms = schema.select("property", F.explode(F.array("dom", "ran")).alias("cls"))
+    edges = (atoms.toDF("p", "cls").join(atoms.toDF("q", "cls"), "cls")
+             .where(F.col("p") != F.col("q")).select("p", "q").distinct())
+    # a path a - b - c with a and c apart; any atom may be the head
+    path = (edges.toDF("a", "b").join(edges.toDF("b", "c"), "b")
+            .where(F.col("a") != F.col("c"))
+            .join(edges.toDF("a", "c"), ["a", "c"], "leftanti"))
+    return (path.select(F.col("b").alias("head"), F.col("a").alias("body1"), F.col("c").alias("body2"))
+            .unionByName(path.select(F.col("a").alias("head"), F.col("b").alias("body1"),
+                                     F.col("c").alias("body2")))
+            .unionByName(path.select(F.col("a").alias("head"), F.col("c").alias("body1"),
+                                     F.col("b").alias("body2")))
+            .distinct())
+
+
 def atom_pairs(candidates: DataFrame) -> DataFrame:
     """Distinct ordered 2-combinations ``(p, q)`` of the atoms of each candidate."""
     c = candidates

@@ -165,6 +165,11 @@ def join_scores(rules: str, name: str = "js") -> str:
       JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.c12f AND s1.key = s0.key
       JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.c13f AND s2.key = s0.other AND s2.other = s1.other
       WHERE r.pj = 'S4_triangle'
+    UNION ALL SELECT r.head, r.body1, r.body2 FROM {rules} r
+      JOIN side s0 ON s0.property = r.head AND s0.cls = r.c12f
+      JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.c12f AND s1.key = s0.key
+      JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.c13f AND s2.key = s0.other
+      WHERE r.pj = 'S6' AND r.n12 = 1 AND r.n13 = 1
   ) GROUP BY head, body1, body2),
 {name}_den AS (
   SELECT r.head, r.body1, r.body2, count(*) AS v FROM {rules} r
@@ -357,6 +362,14 @@ FROM ov"""
     q["join_s5b"] = join_pattern("pj = 'S5b'")
     q["join_two_atoms"] = (_with(*BASE, CLUSTERS, CAND2) + ",\n" + classify("cand2") + ",\n"
                            + join_scores("cl") + f"\n{score_cols} FROM js")
+    q["disconnected_rules"] = (_with(*BASE, CONN3) + """,
+path AS (SELECT e1.p AS a, e1.q AS b, e2.q AS c FROM edges e1 JOIN edges e2 ON e2.p = e1.q AND e2.q <> e1.p
+         WHERE NOT EXISTS (SELECT 1 FROM edges e3 WHERE e3.p = e1.p AND e3.q = e2.q)),
+opn AS (SELECT b AS head, a AS body1, c AS body2 FROM path UNION SELECT a, b, c FROM path
+        UNION SELECT a, c, b FROM path),
+""" + classify("opn") + ",\n" + join_scores("cl") + (
+        "\nSELECT head, body1, body2, pattern, support, body_size, "
+        f"{_ratio('support', 'body_size')} AS conf, {_ratio('support', 'head_size')} AS head_coverage FROM js"))
     q["body_size"] = (_with(*BASE, CLUSTERS, CAND3) + ",\n" + classify("cand3") + ",\n"
                       + join_scores("cl") + "\nSELECT head, body1, body2, body_size FROM js")
 

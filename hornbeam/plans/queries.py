@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import local_name
 from ..operators import facts as fx
-from ..operators.candidates import atom_pairs, classify, connected_triples, ordered_subsets
+from ..operators.candidates import atom_pairs, classify, connected_triples, open_paths
 from ..operators.clusters import all_clusters, cluster_properties, similar_pairs
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
-from ..operators.rules import apply_thresholds, dedupe, render, to_rules, with_atom_text
+from ..operators.rules import apply_thresholds, dedupe, render, with_atom_text
 from ..operators.schema import class_overlap, schema_report
 from ..sources import axioms as ax
 from ..sources import store
@@ -178,10 +178,9 @@ def q_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_disconnected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules from 20-feature MinHash clusters whose atoms do not all connect."""
+    """Rules over open paths: bodies unconnected (S6, confidence 0) or head apart."""
     facts, schema = knowledge_graph(spark, sf_dir)
-    cands = candidate_rules(facts, schema, 3, method="minhash")
-    cl = classify(cands, schema).where(F.col("pattern_join").isin("S6", "S7", "S8"))
+    cl = classify(open_paths(_typed_with_facts(facts, schema)), schema)
     s = score_join(facts, schema, cl)
     return s.select("head", "body1", "body2", "pattern", "support", "body_size", "conf",
                     "head_coverage")
@@ -229,7 +228,7 @@ def q_dedupe_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_render_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema, s = _scored_join3(spark, sf_dir)
     kept = apply_thresholds(s).withColumnRenamed("head_coverage", "fitness")
-    r = render(with_atom_text(kept, schema).where(F.lit(True)))
+    r = render(dedupe(with_atom_text(kept, schema)))
     return r.select("head", "body1", "body2", "rule")
 
 
