@@ -11,15 +11,44 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Rows of a schema-level table (properties, candidate rules, requests) that we
 # accept to ship to every executor.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                       persist: bool = True) -> DataFrame:
-    """Persist ``df``, count it (stopping early past ``max_rows``) and hint broadcast if small."""
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      persist: bool = True) -> tuple[DataFrame, int]:
+    """Materialise ``df`` (lineage cut), count it and hint broadcast if small.
+
+    Returns the frame and the counted rows (``max_rows + 1`` means "more").
+    """
     if persist:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = materialize_small(df)
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return (F.broadcast(df) if n <= max_rows else df), n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       persist: bool = True) -> DataFrame:
+    """``checked_broadcast`` without the count."""
+    return checked_broadcast(df, max_rows, persist)[0]
+
+
+def empty_like(df: DataFrame, schema: str) -> DataFrame:
+    """An empty frame with a DDL ``schema`` (prunes a plan branch with no requests)."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Compute a small table (schema-level, or one row per request) and cut its lineage.
+
+    Uses a reliable ``checkpoint`` into the session's ``spark.checkpoint.dir``
+    (shared storage on a cluster), so the rows survive executor loss and every
+    later plan reads a short scan instead of re-planning the branch that made
+    them. Plans that chain cached tables otherwise nest whole sub-plans inside
+    each other, which makes planning grow exponentially.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

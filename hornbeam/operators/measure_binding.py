@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import (broadcast_if_small, checked_broadcast, empty_like,
+                               materialize_small)
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
 from .requests import with_request_id
@@ -51,7 +52,7 @@ class BindingContext:
     """Side table and value sets of the binding measure."""
 
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
-                 one_object_per_subject: bool = False):
+                 one_object_per_subject: bool = False, sizes: DataFrame | None = None):
         sch = schema if props is None else schema.join(props, "property", "leftsemi")
         typed = fx.typed_facts(facts, sch)
         if one_object_per_subject:
@@ -62,8 +63,9 @@ class BindingContext:
                      F.col("subject").alias("key"), F.col("object").alias("other")),
             F.struct(F.col("property"), F.col("ran").alias("cls"),
                      F.col("object").alias("key"), F.col("subject").alias("other")))))
-        self.col = self.side.select("property", "cls", "key").distinct()        # E7
-        self.bag_sizes = fx.property_sizes(facts)
+        self.col = (self.side.select("property", "cls", "key").distinct()        # E7
+                    .persist(StorageLevel.MEMORY_AND_DISK))
+        self.bag_sizes = sizes if sizes is not None else fx.property_sizes(facts)
 
     def value_sets(self, req: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
         """``req(members)`` -> (V rows ``(id.., key)``, id columns, request table with ids).
@@ -72,7 +74,9 @@ class BindingContext:
         ``col_c(p)`` of every member (E4).
         """
         plan, ids = with_request_id(req.select("members").distinct(), ["members"])
-        plan = broadcast_if_small(plan)
+        plan, n = checked_broadcast(plan, persist=False)
+        if n == 0:
+            return empty_like(req, "rid bigint, key string"), ["rid"], plan
         ex = plan.select(*ids, F.size("members").alias("n"), F.inline("members"))
         hit = self.col.join(ex, (F.col("property") == F.col("p")) & (F.col("cls") == F.col("c")))
         v = (hit.groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("k_n"), F.max("n").alias("n"))
@@ -88,7 +92,10 @@ class BindingContext:
 
     def other_overlap(self, req: DataFrame) -> DataFrame:
         """``req(members, a, b, K)`` -> value = |other_K(a, V) ∩ other_K(b, V)|."""
-        req = req.select("members", "a", "b", "K").distinct()
+        req, n = checked_broadcast(req.select("members", "a", "b", "K").distinct())
+        if n == 0:
+            return empty_like(req, "members array<struct<p:string,c:string>>, a string, b string, "
+                                   "K string, value bigint")
         v, ids, vplan = self.value_sets(req.select("members"))
         oplan, oids = with_request_id(req, ["members", "a", "b", "K"], id_name="oid")
         oplan = oplan.join(vplan.select("members", *ids), "members") if ids != ["members"] \
@@ -118,16 +125,13 @@ def _attach(rules: DataFrame, values: DataFrame, on: list[tuple[Column, str]], n
 
 
 def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
-                  one_object_per_subject: bool = False) -> DataFrame:
+                  one_object_per_subject: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """Score classified candidates with the binding measure.
 
     Returns ``(head, body1, body2, pattern, support, body_size, head_size, conf,
     head_coverage)``.
     """
     cl = classified
-    props = (cl.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
-             .where(F.col("property").isNotNull()).distinct())
-    ctx = BindingContext(facts, schema, props, one_object_per_subject)
     pb = F.col("pattern_binding")
     h, b1, b2 = F.col("head"), F.col("body1"), F.col("body2")
 
@@ -149,8 +153,12 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     base = cl.select(*CANDIDATE_COLUMNS, pb.alias("pattern"), members.alias("members"),
                      den_members.alias("den_members"),
                      F.when(oo, F.least(h, oa)).alias("oa"), F.when(oo, F.greatest(h, oa)).alias("ob"),
-                     F.when(oo, k_all).alias("oK")).persist(StorageLevel.MEMORY_AND_DISK)
+                     F.when(oo, k_all).alias("oK"))
+    base = materialize_small(base)  # every request table below is a projection of it
     b = base
+    props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
+             .where(F.col("property").isNotNull()).distinct())
+    ctx = BindingContext(facts, schema, props, one_object_per_subject, sizes)
     pat = F.col("pattern")
     is_set = pat.isin("M1", "M3b")
     size_req = (b.where(is_set).select("members")
@@ -159,6 +167,7 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     sizes = ctx.set_sizes(size_req)
     oo_vals = ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
         "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K")))
+    sizes, oo_vals = materialize_small(sizes), materialize_small(oo_vals)
     r = _attach(b, sizes, [(F.when(is_set, F.col("members")), "members")], "v_set")
     r = _attach(r, sizes, [(F.col("den_members"), "members")], "v_den")
     r = _attach(r, oo_vals, [(F.when(F.col("oa").isNotNull(), F.col("members")), "members"),

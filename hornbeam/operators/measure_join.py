@@ -35,9 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import (broadcast_if_small, checked_broadcast, empty_like,
+                               materialize_small)
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
+from .requests import with_request_id
 
 DEC = "decimal(38,0)"
 PAIR_PATTERNS = ("S1", "S2", "S3", "S5b")
@@ -57,46 +59,63 @@ def _lookup(m: str, k: Column) -> Column:
 # --------------------------------------------------------------------------
 
 class JoinContext:
-    """Shared inputs of one scoring plan: fact sets, sides, degree maps, sizes."""
+    """Shared inputs of one scoring plan: fact sets, sides, degree maps, sizes.
 
-    def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None):
+    Fact sets and degree maps feed several branches (and the triangle pivot
+    choice, which runs first), so they are persisted with disk spill; a lost
+    block is recomputed from lineage. Every request table is counted before
+    use: an empty one prunes its branch from the plan, a small one is broadcast.
+    """
+
+    def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
+                 sizes: DataFrame | None = None):
         sch = schema if props is None else schema.join(props, "property", "leftsemi")
         self.typed = fx.typed_facts(facts, sch)
-        self.fsets = fx.fact_sets(self.typed)
+        self.fsets = fx.fact_sets(self.typed).persist(StorageLevel.MEMORY_AND_DISK)
         self.side = fx.sides(self.fsets)
         self.deg = fx.degrees(self.side)
-        self.dmap = fx.degree_maps(self.deg)
-        self.bag_sizes = fx.property_sizes(facts)
+        self.dmap = fx.degree_maps(self.deg).persist(StorageLevel.MEMORY_AND_DISK)
+        self.bag_sizes = sizes if sizes is not None else fx.property_sizes(facts)
+
+    def release(self) -> None:
+        self.fsets.unpersist()
+        self.dmap.unpersist()
 
     # -- distinct fact count per property
     def distinct_sizes(self) -> DataFrame:
         return fx.distinct_sizes(self.side)
 
-    def pair_key_counts(self, req: DataFrame) -> DataFrame:
-        """``req(x, y, C)`` -> ``(x, y, C, k, cnt)``: pair(x, y) rows per value k at class C.
-
-        ``C`` may be null for a plain count (then ``k`` is null).
-        """
-        r = broadcast_if_small(req.select("x", "y", "C").distinct())
-        rows = (self.fsets.select(F.explode("props").alias("x"), "props",
+    def _pair_rows(self, r: DataFrame) -> DataFrame:
+        """Fact-set rows holding both ``x`` and ``y`` of each request in ``r``."""
+        return (self.fsets.select(F.explode("props").alias("x"), "props",
                                   "cls_lo", "cls_hi", "v_lo", "v_hi")
                 .join(r, "x")
                 .where(F.array_contains(F.col("props"), F.col("y"))))
-        k = (F.when(F.col("C") == F.col("cls_lo"), F.col("v_lo"))
-             .when(F.col("C") == F.col("cls_hi"), F.col("v_hi")))
-        return rows.groupBy("x", "y", "C", k.alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
 
     def pair_count(self, req: DataFrame) -> DataFrame:
         """``req(x, y)`` -> ``(x, y, value)``: number of facts x and y share (aligned)."""
-        pk = self.pair_key_counts(req.select("x", "y", F.lit(None).cast("string").alias("C")))
-        return pk.groupBy("x", "y").agg(F.sum("cnt").cast(DEC).alias("value"))
+        r, n = checked_broadcast(req.select("x", "y").distinct())
+        if n == 0:
+            return empty_like(req, f"x string, y string, value {DEC}")
+        return (self._pair_rows(r).groupBy("x", "y")
+                .agg(F.count(F.lit(1)).cast(DEC).alias("value")))
 
     def pair_deg(self, req: DataFrame) -> DataFrame:
-        """``req(x, y, C, z)`` -> value = sum over pair(x, y) rows of deg(z, C, value at C)."""
-        req = req.select("x", "y", "C", "z").distinct()
-        pk = self.pair_key_counts(req.select("x", "y", "C"))
-        with_z = pk.join(broadcast_if_small(req), ["x", "y", "C"])
-        j = with_z.join(self.dmap, (F.col("C") == F.col("cls")) & (F.col("k") == F.col("key")))
+        """``req(x, y, C, z)`` -> value = sum over pair(x, y) rows of deg(z, C, value at C).
+
+        Pair rows are first counted per value at C (partial aggregation absorbs a
+        hot value), then meet the degree map of that value once.
+        """
+        req, n = checked_broadcast(req.select("x", "y", "C", "z").distinct())
+        if n == 0:
+            return empty_like(req, f"x string, y string, C string, z string, value {DEC}")
+        r = broadcast_if_small(req.select("x", "y", "C").distinct())
+        k = (F.when(F.col("C") == F.col("cls_lo"), F.col("v_lo"))
+             .when(F.col("C") == F.col("cls_hi"), F.col("v_hi")))
+        pk = (self._pair_rows(r).groupBy("x", "y", "C", k.alias("k"))
+              .agg(F.count(F.lit(1)).alias("cnt")))
+        j = (pk.join(self.dmap, (F.col("C") == F.col("cls")) & (F.col("k") == F.col("key")))
+             .join(req, ["x", "y", "C"]))
         term = F.col("cnt").cast(DEC) * _lookup("m", F.col("z")).cast(DEC)
         return j.groupBy("x", "y", "C", "z").agg(F.sum(term).alias("value"))
 
@@ -107,7 +126,9 @@ class JoinContext:
         maps serves every request: a key row meets only the requests whose
         first property holds it.
         """
-        r = broadcast_if_small(req.select("a", "b", "c", "K").distinct())
+        r, n = checked_broadcast(req.select("a", "b", "c", "K").distinct())
+        if n == 0:
+            return empty_like(req, f"a string, b string, c string, K string, value {DEC}")
         d = self.dmap.select("cls", "key", "m", F.explode("m").alias("pa", "na"))
         j = d.join(r, (F.col("cls") == F.col("K")) & (F.col("pa") == F.col("a")))
         nb = _lookup("m", F.col("b")).cast(DEC)
@@ -121,7 +142,9 @@ class JoinContext:
 
         The head's facts are read from their K1 side, whose ``other`` is the value at K2.
         """
-        r = broadcast_if_small(req.select("h", "K1", "K2", "p", "q").distinct())
+        r, n = checked_broadcast(req.select("h", "K1", "K2", "p", "q").distinct())
+        if n == 0:
+            return empty_like(req, f"h string, K1 string, K2 string, p string, q string, value {DEC}")
         side = self.side
         s = side.join(r, (side["property"] == r["h"]) & (side["cls"] == r["K1"])).select(
             r["h"], r["K1"], r["K2"], r["p"], r["q"], side["key"].alias("v1"),
@@ -145,13 +168,16 @@ class JoinContext:
         used only after checking it is unique over the requests.
         """
         keys = ["e0", "e1", "e2", "X", "Y", "Z"]
-        req = req.select(*keys).distinct()
+        req, n = checked_broadcast(req.select(*keys).distinct())
+        if n == 0:
+            return empty_like(req, ", ".join(f"{k} string" for k in keys) + f", value {DEC}")
+        req, idc = with_request_id(req, keys, id_name="tid")
         opts = [("X", "e0", "e1", "Y", "Z", "e2"),
                 ("Y", "e0", "e2", "X", "Z", "e1"),
                 ("Z", "e1", "e2", "X", "Y", "e0")]
         cands = None
         for piv, a, b, ua, ub, c in opts:
-            o = req.select(*keys, F.col(piv).alias("P"), F.col(a).alias("pa"),
+            o = req.select(*keys, "tid", F.col(piv).alias("P"), F.col(a).alias("pa"),
                            F.col(b).alias("pb"), F.col(ua).alias("U"), F.col(ub).alias("W"),
                            F.col(c).alias("pc"))
             cands = o if cands is None else cands.unionByName(o)
@@ -163,12 +189,10 @@ class JoinContext:
                                         F.col("K").alias("P"), F.col("value").alias("wedges")),
                             ["_a", "_b", "P"], "left")
         plan = (costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC)))
-                .groupBy(*keys)
+                .groupBy(*keys, "tid")
                 .agg(F.min_by(F.struct("P", "pa", "pb", "U", "W", "pc"), "wedges").alias("best"))
-                .select(*keys, "best.*", F.xxhash64(*keys).alias("tid")))
+                .select(*keys, "tid", "best.*"))
         plan = broadcast_if_small(plan)
-        unique = plan.select("tid").distinct().count() == plan.count()
-        idc = ["tid"] if unique else keys
         side = self.side
         a_rows = (side.join(plan, (side["property"] == plan["pa"]) & (side["cls"] == plan["P"]))
                   .select(*idc, F.col("key").alias("pk"), F.col("other").alias("u")))
@@ -178,7 +202,7 @@ class JoinContext:
                   .select(*idc, F.col("key").alias("u"), F.col("other").alias("w")))
         closed = a_rows.join(b_rows, idc + ["pk"]).join(c_rows, idc + ["u", "w"])
         counted = closed.groupBy(*idc).agg(F.count(F.lit(1)).cast(DEC).alias("value"))
-        out = plan.select(*keys, "tid").join(counted, idc, "left")
+        out = req.join(counted, idc, "left")
         return out.select(*keys, F.coalesce("value", F.lit(0).cast(DEC)).alias("value"))
 
 
@@ -196,7 +220,8 @@ def _attach(rules: DataFrame, values: DataFrame, on: list[tuple[Column, str]], n
     return rules.join(v, cond, "left").drop(*[f"_{k}" for _, k in on])
 
 
-def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame) -> DataFrame:
+def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
+               sizes: DataFrame | None = None) -> DataFrame:
     """Score classified candidates with the join measure.
 
     Returns ``(head, body1, body2, pattern, support, body_size, head_size, conf,
@@ -207,9 +232,6 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame) -> Da
     grows linearly with the number of building blocks.
     """
     cl = classified
-    props = (cl.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
-             .where(F.col("property").isNotNull()).distinct())
-    ctx = JoinContext(facts, schema, props)
     pj = F.col("pattern_join")
     three = F.col("body2").isNotNull()
     none = F.lit(None).cast("string")
@@ -258,8 +280,12 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame) -> Da
         .alias("s6_third"),
         F.when(s6_path, F.lit("path")).when(s6_left2 | s6_right2, F.lit("pairx"))
         .when(s6_l1 | s6_r1, F.lit("dotx")).alias("s6_kind"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    base = materialize_small(base)  # every request table below is a projection of it
     b = base
+    props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
+             .where(F.col("property").isNotNull()).distinct())
+    ctx = JoinContext(facts, schema, props, sizes)
 
     pair_vals = ctx.pair_deg(b.where(F.col("px").isNotNull()).select(
         F.col("px").alias("x"), F.col("py").alias("y"), F.col("pC").alias("C"),
@@ -280,6 +306,8 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame) -> Da
         F.col("head").alias("e0"), F.col("body1").alias("e1"), F.col("body2").alias("e2"),
         F.col("K12").alias("X"), F.col("K13").alias("Y"), F.col("K23").alias("Z")))
 
+    pair_vals, cnt_vals, dp, path_vals, tri_vals = (
+        materialize_small(v) for v in (pair_vals, cnt_vals, dp, path_vals, tri_vals))
     r = _attach(b, pair_vals, [(F.col("px"), "x"), (F.col("py"), "y"), (F.col("pC"), "C"),
                                (F.col("pz"), "z")], "v_pairdeg")
     r = _attach(r, cnt_vals, [(F.col("cx"), "x"), (F.col("cy"), "y")], "v_paircnt")
@@ -297,13 +325,16 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame) -> Da
                               (F.col("K13"), "Y"), (F.col("K23"), "Z")], "v_tri")
 
     bag = ctx.bag_sizes
-    dsz = ctx.distinct_sizes()
     r = (r.join(bag.select(F.col("property").alias("head"), F.col("n").alias("head_size")),
                 "head", "left")
          .join(bag.select(F.col("property").alias("body1"), F.col("n").alias("b1_size")),
-               "body1", "left")
-         .join(dsz.select(F.col("property").alias("s6_third"), F.col("n").alias("third_distinct")),
-               "s6_third", "left"))
+               "body1", "left"))
+    if b.where(F.col("s6_third").isNotNull()).limit(1).count() > 0:
+        dsz = ctx.distinct_sizes()
+        r = r.join(dsz.select(F.col("property").alias("s6_third"),
+                              F.col("n").alias("third_distinct")), "s6_third", "left")
+    else:
+        r = r.withColumn("third_distinct", F.lit(None).cast("bigint"))
 
     pat = F.col("pattern")
     kind = F.col("s6_kind")

@@ -8,14 +8,15 @@ full key columns are kept, so results never depend on a collision.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import materialize_small
+
 
 def with_request_id(req: DataFrame, keys: list[str], id_name: str = "rid") -> tuple[DataFrame, list[str]]:
     """Return ``(req + id column, id columns to join on)``."""
-    out = req.withColumn(id_name, F.xxhash64(*keys)).persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize_small(req.withColumn(id_name, F.xxhash64(*keys)))
     agg = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(id_name).alias("d")).first()
     if agg["n"] == agg["d"]:
         return out, [id_name]

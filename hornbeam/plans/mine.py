@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import MIN_CONF, MIN_HEAD_COVERAGE
+from ..functions.sizing import materialize_small
 from ..operators.candidates import classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
 from ..operators.facts import property_sizes
@@ -25,7 +26,8 @@ MEASURES = ("join", "binding")
 
 def candidate_rules(facts: DataFrame, schema: DataFrame, atoms: int = 3,
                     clusters: DataFrame | None = None, method: str = "exact",
-                    min_cluster_size: int = MIN_CLUSTER_SIZE, **hash_params) -> DataFrame:
+                    min_cluster_size: int = MIN_CLUSTER_SIZE, sizes: DataFrame | None = None,
+                    **hash_params) -> DataFrame:
     """Distinct candidates ``(head, body1, body2)`` from clusters.
 
     Three-atom rules come from clusters of every kind, two-atom rules from
@@ -33,20 +35,25 @@ def candidate_rules(facts: DataFrame, schema: DataFrame, atoms: int = 3,
     """
     if clusters is None:
         kinds = KINDS if atoms == 3 else ("domain_range",)
-        with_facts = property_sizes(facts).select("property")
+        sizes = sizes if sizes is not None else property_sizes(facts)
+        with_facts = sizes.select("property")
         clusters = all_clusters(schema, with_facts, method, kinds, min_cluster_size, **hash_params)
     return ordered_subsets(clusters, atoms)
 
 
 def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: str = "join",
-          one_object_per_subject: bool = False) -> DataFrame:
-    """Scores of every candidate, before thresholds."""
+          one_object_per_subject: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """Scores of every candidate, before thresholds.
+
+    ``sizes`` (bag size per property) may be passed in when the caller already
+    has it, so the fact table is aggregated once.
+    """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
-    classified = classify(candidates, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    classified = materialize_small(classify(candidates, schema))
     if measure == "join":
-        return score_join(facts, schema, classified)
-    return score_binding(facts, schema, classified, one_object_per_subject)
+        return score_join(facts, schema, classified, sizes)
+    return score_binding(facts, schema, classified, one_object_per_subject, sizes)
 
 
 def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "join",
@@ -62,10 +69,11 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
     """
     if atoms not in (2, 3):
         raise ValueError("rules have 2 or 3 atoms")
+    sizes = materialize_small(property_sizes(facts))
     if candidates is None:
         candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size,
-                                     **hash_params)
+                                     sizes, **hash_params)
     else:
         candidates = candidates.select("head", "body1", F.col("body2").cast("string"))
-    scored = score(facts, schema, candidates, measure, one_object_per_subject)
+    scored = score(facts, schema, candidates, measure, one_object_per_subject, sizes)
     return to_rules(scored, schema, min_conf, min_hc, drop_duplicates)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sizing import materialize_small
 from ..functions.text import local_name
 from ..operators import facts as fx
 from ..operators.candidates import atom_pairs, classify, connected_triples, open_paths
@@ -151,18 +152,20 @@ def q_candidates_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _connected_classified(spark: SparkSession, sf_dir: str):
     facts, schema = knowledge_graph(spark, sf_dir)
-    cl = classify(connected_triples(_typed_with_facts(facts, schema)), schema)
-    return facts, schema, cl
+    sizes = materialize_small(fx.property_sizes(facts))
+    typed = schema.join(sizes.select("property"), "property", "leftsemi")
+    cl = classify(connected_triples(typed), schema)
+    return facts, schema, cl, sizes
 
 
 def q_join_pattern(patterns: tuple[str, ...], star_side: str | None = None) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts, schema, cl = _connected_classified(spark, sf_dir)
+        facts, schema, cl, sizes = _connected_classified(spark, sf_dir)
         sel = cl.where(F.col("pattern_join").isin(*patterns))
         if star_side is not None:
             idx = 0 if star_side == "domain" else 1
             sel = sel.where(F.get("c12", 0) == F.get("d0", idx))
-        return _scored(score_join(facts, schema, sel))
+        return _scored(score_join(facts, schema, sel, sizes))
     return q
 
 
@@ -190,9 +193,9 @@ def q_disconnected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_binding_pattern(patterns: tuple[str, ...], one_object: bool = False) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts, schema, cl = _connected_classified(spark, sf_dir)
+        facts, schema, cl, sizes = _connected_classified(spark, sf_dir)
         sel = cl.where(F.col("pattern_binding").isin(*patterns))
-        return _scored(score_binding(facts, schema, sel, one_object))
+        return _scored(score_binding(facts, schema, sel, one_object, sizes))
     return q
 
 
