@@ -82,6 +82,29 @@ def fact_sets(typed: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_set("property")).alias("props")))
 
 
+def typed_counts(facts: DataFrame, schema: DataFrame) -> DataFrame:
+    """Distinct typed facts by identity with their bag multiplicity.
+
+    ``(property, cls_lo, cls_hi, v_lo, v_hi, n)``: one pass over the facts gives
+    both the bag sizes (``sizes_from_counts``) and the fact sets
+    (``fact_sets_from_counts``). A plain hash aggregate with map-side combine.
+    """
+    return (canonical(typed_facts(facts, schema))
+            .groupBy("property", "cls_lo", "cls_hi", "v_lo", "v_hi")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def sizes_from_counts(counts: DataFrame) -> DataFrame:
+    """D2 bag sizes ``(property, n)`` of typed properties, from ``typed_counts``."""
+    return counts.groupBy("property").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def fact_sets_from_counts(counts: DataFrame) -> DataFrame:
+    """``fact_sets`` from ``typed_counts`` (rows are already distinct per property)."""
+    return (counts.groupBy("cls_lo", "cls_hi", "v_lo", "v_hi")
+            .agg(F.array_sort(F.collect_list("property")).alias("props")))
+
+
 def sides(fsets: DataFrame) -> DataFrame:
     """Two rows per distinct fact: ``(property, cls, key, other)`` (narrow)."""
     return (fsets.select(F.explode("props").alias("property"), "cls_lo", "cls_hi", "v_lo", "v_hi")

@@ -68,10 +68,15 @@ class JoinContext:
     """
 
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
-                 sizes: DataFrame | None = None):
-        sch = schema if props is None else schema.join(props, "property", "leftsemi")
-        self.typed = fx.typed_facts(facts, sch)
-        self.fsets = fx.fact_sets(self.typed).persist(StorageLevel.MEMORY_AND_DISK)
+                 sizes: DataFrame | None = None, counts: DataFrame | None = None):
+        if counts is not None:
+            used = counts if props is None else counts.join(
+                broadcast_if_small(props), "property", "leftsemi")
+            fsets = fx.fact_sets_from_counts(used)
+        else:
+            sch = schema if props is None else schema.join(props, "property", "leftsemi")
+            fsets = fx.fact_sets(fx.typed_facts(facts, sch))
+        self.fsets = fsets.persist(StorageLevel.MEMORY_AND_DISK)
         self.side = fx.sides(self.fsets)
         self.deg = fx.degrees(self.side)
         self.dmap = fx.degree_maps(self.deg).persist(StorageLevel.MEMORY_AND_DISK)
@@ -221,7 +226,7 @@ def _attach(rules: DataFrame, values: DataFrame, on: list[tuple[Column, str]], n
 
 
 def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
-               sizes: DataFrame | None = None) -> DataFrame:
+               sizes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Score classified candidates with the join measure.
 
     Returns ``(head, body1, body2, pattern, support, body_size, head_size, conf,
@@ -285,7 +290,7 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     b = base
     props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
              .where(F.col("property").isNotNull()).distinct())
-    ctx = JoinContext(facts, schema, props, sizes)
+    ctx = JoinContext(facts, schema, props, sizes, counts)
 
     pair_vals = ctx.pair_deg(b.where(F.col("px").isNotNull()).select(
         F.col("px").alias("x"), F.col("py").alias("y"), F.col("pC").alias("C"),

@@ -16,7 +16,7 @@ from ..functions.scores import MIN_CONF, MIN_HEAD_COVERAGE
 from ..functions.sizing import materialize_small
 from ..operators.candidates import classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
-from ..operators.facts import property_sizes
+from ..operators.facts import property_sizes, sizes_from_counts, typed_counts
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
 from ..operators.rules import to_rules
@@ -42,7 +42,8 @@ def candidate_rules(facts: DataFrame, schema: DataFrame, atoms: int = 3,
 
 
 def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: str = "join",
-          one_object_per_subject: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+          one_object_per_subject: bool = False, sizes: DataFrame | None = None,
+          counts: DataFrame | None = None) -> DataFrame:
     """Scores of every candidate, before thresholds.
 
     ``sizes`` (bag size per property) may be passed in when the caller already
@@ -52,7 +53,7 @@ def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: s
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
     classified = materialize_small(classify(candidates, schema))
     if measure == "join":
-        return score_join(facts, schema, classified, sizes)
+        return score_join(facts, schema, classified, sizes, counts)
     return score_binding(facts, schema, classified, one_object_per_subject, sizes)
 
 
@@ -69,11 +70,17 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
     """
     if atoms not in (2, 3):
         raise ValueError("rules have 2 or 3 atoms")
-    sizes = materialize_small(property_sizes(facts))
+    counts = None
+    if measure == "join":
+        # one pass over the facts serves bag sizes, clusters and fact sets
+        counts = typed_counts(facts, schema).persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = materialize_small(sizes_from_counts(counts))
+    else:
+        sizes = materialize_small(property_sizes(facts))
     if candidates is None:
         candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size,
                                      sizes, **hash_params)
     else:
         candidates = candidates.select("head", "body1", F.col("body2").cast("string"))
-    scored = score(facts, schema, candidates, measure, one_object_per_subject, sizes)
+    scored = score(facts, schema, candidates, measure, one_object_per_subject, sizes, counts)
     return to_rules(scored, schema, min_conf, min_hc, drop_duplicates)
