@@ -6,19 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .common import shared_path
 from .mixing import mix
+from .tokens import count_tokens
+from .urls import judge
+from .warc import read_archives, records_of, write_archives
+
+# fixed values: the rules of the url query (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+MAX_TOKENS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC archives in the shared folder, read them back, one row per page."""
+    path = shared_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path, id_col="page_id", url_col="url", payload_col="html")
+    r = records_of(read_archives(spark, path, with_payload=False))
+    return r.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                    F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge the url of every page by the rules, else by link-graph propagation."""
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: weights 3, 1, 2 in turn, 150 % of all words, at most two epochs."""
     return mix(table(spark, sf_dir, "documents"), [3, 1, 2], 1.5, 2.0).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under the byte-level vocabulary."""
+    import public_tokenizers
+    counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
+                         (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents, with the SHA-256 of every text."""
     return exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True).select(
@@ -26,7 +58,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -53,6 +88,15 @@ SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, more - upto)))::BIGINT AS taken FROM x
 """
 
+OP2_SQL = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+x AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+             min(page_id) OVER (PARTITION BY payload) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM x
+"""
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -60,6 +104,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 LLM_ORACLES = {
+    "op2_warc": OP2_SQL,
     "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
