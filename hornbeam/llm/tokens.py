@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 # fixed value: the pre-token pattern of the tokenizer file's ByteLevel step
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
+MEMO = 600_000  # entries of each table that a task keeps
+SHORT = 200  # bytes up to which a pre-token is merged in a plain list
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,28 +38,46 @@ class Merger:
     def __init__(self, vocab: dict[str, int], merges: list[list[str]]):
         letters = byte_letters()
         self.first = [vocab[letters[b]] for b in range(256)]
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.made = [vocab[a + b] for a, b in merges]
         self.bytes_of = {letter: b for b, letter in letters.items()}
 
     def ids(self, raw: bytes) -> list[int]:
         ids = [self.first[b] for b in raw]
-        n, ranks = len(ids), self.ranks
+        return self._long(ids) if len(ids) > SHORT else self._short(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        rank, made, none = self.ranks.get, self.made, len(self.made)
+        pairs = [rank(p, none) for p in zip(ids, ids[1:])]  # noqa: B905
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            ids[i:i + 2] = [made[best]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        """The same with a queue, for pre-tokens of any length."""
+        n, ranks, made = len(ids), self.ranks, self.made
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := ranks.get((ids[i], ids[i + 1])))]
+        queue = [(r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, new = heapq.heappop(queue)
+            r, i = heapq.heappop(queue)
             j = right[i] if ids[i] is not None else n
-            if j >= n or ranks.get((ids[i], ids[j]), (0, None))[1] != new:
+            if j >= n or ranks.get((ids[i], ids[j])) != r:
                 continue  # one of the two has merged elsewhere meanwhile
-            ids[i], ids[j] = new, None
+            ids[i], ids[j] = made[r], None
             right[i] = right[j]
             if right[i] < n:
                 left[right[i]] = i
-                if found := ranks.get((new, ids[right[i]])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if (k := left[i]) >= 0 and (found := ranks.get((ids[k], new))):
-                heapq.heappush(queue, (found[0], k, found[1]))
+                if (r := ranks.get((ids[i], ids[right[i]]))) is not None:
+                    heapq.heappush(queue, (r, i))
+            if (k := left[i]) >= 0 and (r := ranks.get((ids[k], ids[i]))) is not None:
+                heapq.heappush(queue, (r, k))
         return [x for x in ids if x is not None]
 
 
@@ -101,21 +120,33 @@ def unsettled() -> frozenset[str]:
     return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", text) if unicodedata.category(c) == "Cn")
 
 
-class Counter:
-    """Counts the tokens of texts in one task."""
+class Bounded(dict):
+    """``make(key)`` kept for each key, up to ``MEMO`` keys beyond those it starts with."""
+
+    def __init__(self, make, start=()):
+        super().__init__(start)
+        self.make, self.start, self.most = make, start, len(start) + MEMO
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.start)
+        self[key] = value = self.make(key)
+        return value
 
-    def __init__(self, spec: TokenizerFile):
-        merger, proven = spec.merger, spec.proven
 
-        class Counts(dict):
-            def __missing__(self, token: str) -> int:
-                if len(self) > MEMO + len(proven):
-                    self.clear()
-                    self.update(dict.fromkeys(proven, 1))
-                self[token] = n = len(merger.ids(token.encode()))
-                return n
+class Counter:
+    """Counts the tokens of texts in one worker.
+
+    A text may be cut before any blank that a non-space follows: no pre-token reaches across. So the
+    words between blanks are looked up first; a word not seen yet is cut into pre-tokens, and
+    a pre-token that is neither proven nor seen is merged.
+    """
 
-        self.counts = Counts.fromkeys(proven, 1)
+    def __init__(self, spec: TokenizerFile):
+        merger = spec.merger
+        self.tokens = Bounded(lambda x: len(merger.ids(x.encode())), dict.fromkeys(spec.proven, 1))
+        self.words = Bounded(self.word)
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("|".join(map(regex.escape, spec.specials))).split if spec.specials else lambda x: [x]
         self.odd = unsettled()
@@ -128,11 +159,31 @@ class Counter:
         step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         return [text[a:b] for _, (a, b) in step.pre_tokenize_str(text)]
 
-    def count(self, text: str) -> int:
+    def whole(self, text: str) -> int:
         parts = self.split(text)
-        get = self.counts.__getitem__
+        get = self.tokens.__getitem__
         return len(parts) - 1 + sum(sum(map(get, self.pre_tokens(x))) for x in parts)
 
+    def word(self, word: str) -> int | None:
+        """Tokens of a blank and this word; None if a space follows the blank, where no cut is allowed."""
+        return None if not word or word[0].isspace() else self.whole(" " + word)
+
+    def count(self, text: str) -> int:
+        first, *words = text.split(" ")
+        counts = list(map(self.words.__getitem__, words))
+        return self.whole(text) if None in counts else self.whole(first) + sum(counts)
+
+
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter(name: str, spec) -> Counter:
+    """One counter in each Python worker: what a task has merged serves the worker's next tasks too."""
+    if name not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[name] = Counter(spec.value)
+    return _COUNTERS[name]
+
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, n_bytes, n_tokens``, as the tokenizer file's library counts.
@@ -144,12 +195,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(TokenizerFile(tokenizer))
-    held: list[Counter] = []
+    name = f"{spark.sparkContext.applicationId}:{tokenizer}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Counter(spec.value))
-        count = held[0].count
+        count = counter(name, spec).count
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
