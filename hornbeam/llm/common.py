@@ -7,7 +7,10 @@ all executors here has a size fixed by a parameter, never by the number of rows.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: Spark serves them a zip of its sources."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hornbeam_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="hornbeam-"), "hornbeam_src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._hornbeam_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder (visible to every executor)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .bpe import encode
 from .common import shared_path
 from .mixing import mix
 from .tokens import count_tokens
@@ -57,12 +58,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all documents under the word vocabulary."""
+    import public_tokenizers
+    e = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return e.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+                    F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 LLM_QUERIES = {
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 OP4_SQL = r"""

@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 # fixed value: the pre-token pattern of the tokenizer file's ByteLevel step
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 600_000  # entries of each table that a task keeps
@@ -194,6 +196,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     its tables, whose size the vocabulary bounds, as a broadcast.
     """
     spark = docs.sparkSession
+    ship(spark)
     spec = spark.sparkContext.broadcast(TokenizerFile(tokenizer))
     name = f"{spark.sparkContext.applicationId}:{tokenizer}"
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 
 EOL = "\r\n"
 CHUNK_BYTES = 1 << 18
@@ -97,6 +97,7 @@ def write_archives(records: DataFrame, path: str, *, id_col: str = "id", url_col
     that repeat an id become records with that id. Other columns are ignored; an empty
     table writes an empty archive. A string payload counts as its UTF-8 bytes.
     """
+    ship(records.sparkSession)
     url: Column = F.col(url_col) if url_col else F.lit(None)
     r = records.select(F.col(id_col).alias("id"), url.cast("string").alias("url"),
                        F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
@@ -191,6 +192,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     of a record ``payload_digest`` and ``payload_bytes`` are as its headers say and ``intact`` tells whether the
     bytes read agree (null for revisits, which carry none). A torn record is an error, not a lost row.
     """
+    ship(spark)
     lines = spark.read.option("lineSep", EOL).text(path).select(F.col("value").cast("binary"))
     return lines.mapInArrow(_read(with_payload), CHUNKS)
 
