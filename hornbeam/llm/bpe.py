@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import numpy_bitmap, numpy_maybe_in, ship
 from .textvec import _powers, mix64, utf8, VALUES
 
 WINDOW = 24        # bytes under the rolling hash
@@ -71,8 +71,9 @@ def chunks_of(raw: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     return parts, [xxhash.xxh3_128_digest(x) for x in parts]
 
 
-def slots(keys: list[bytes], bits: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(keys), "<u8")[::2] % np.uint64(bits)).astype(np.int64)
+def short(keys: list[bytes]) -> np.ndarray:
+    """64 bits of each key. They serve for counting only: a chance collision sends a chunk the longer way."""
+    return np.frombuffer(b"".join(keys), "<i8")[::2]
 
 
 def check_runs(spec: dict) -> None:
@@ -187,17 +188,9 @@ def shared_chunks(t: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             all_keys = [k for x in _texts(batch, 1) for k in chunks_of(x)[1]]
             if all_keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(all_keys), "<i8")[::2])], schema=schema)
-
-    # the low half of the key serves for counting; a chance collision only sends a chunk the longer way
-    at = F.expr(f"pmod(key, {bits}) + IF(key < 0, pmod(pmod(18446744073709551616, {bits}), {bits}), 0)").cast("bigint")
-    twice = t.mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")
-    words = (twice.select(F.pmod(at, F.lit(bits)).alias("at"))
-             .select(F.floor(F.col("at") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
-    out = np.zeros(bits // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out
+                yield pa.RecordBatch.from_arrays([pa.array(short(all_keys))], schema=schema)
+
+    return numpy_bitmap(t.mapInArrow(keys, "key long").groupBy("key").count().where("count > 1"), "key", bits)
 
 
 def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -223,8 +216,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     bitmap = sc.broadcast(shared_chunks(t, bits))
 
     def shared(keys: list[bytes]) -> np.ndarray:
-        at = slots(keys, bits)
-        return (bitmap.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
+        return numpy_maybe_in(bitmap.value, short(keys))
 
     def lone(batches):
         """Texts of which no chunk is shared, encoded in place."""

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,45 @@ def maybe_in(bitmap_words: Column, key: Column, bits: int) -> Column:
     """True for every key of the bitmap (and for a few others)."""
     at = F.pmod(key, F.lit(bits))
     return F.getbit(F.get(bitmap_words, F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+
+
+def numpy_bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """The same set for Python tasks: ``bits / 32`` words, collected word by word."""
+    words = (keys.select(F.pmod(F.col(key), F.lit(bits)).alias("at"))
+             .select(F.floor(F.col("at") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(bits // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def numpy_maybe_in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """True for every key (int64) of the bitmap, and for a few others."""
+    at = keys % np.int64(len(words) * 32)
+    return (words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """``(node, component)`` for every node of ``edges (a, b)``; component is the smallest node reachable.
+
+    Alternating large-star and small-star steps: each is a minimum per node (partial sums first) and a
+    join back, and edges shrink towards one star per component in a logarithmic number of rounds.
+    """
+    e = cut(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
+    seen = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("m", "u").alias("m"))
+        large = both.join(low, F.col("u") == F.col("at")).where("v > u").select(F.col("m").alias("v"), F.col("v").alias("u"))
+        e = cut(large.where("u <> v").distinct())
+        low = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), "m")
+        small = e.join(low, F.col("u") == F.col("at")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = cut(small.where("u <> v").distinct())
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
