@@ -9,7 +9,10 @@ from .exact_dedup import exact_duplicates
 from .bpe import encode
 from .common import shared_path
 from .mixing import mix
+from .ngram_join import jaccard_components
+from .quality import resample
 from .tokens import count_tokens
+from .toxicity import score, train
 from .urls import judge
 from .warc import read_archives, records_of, write_archives
 
@@ -23,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resample all documents towards those labelled good."""
+    return resample(table(spark, sf_dir, "documents"), good_ids(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "log_weight", "n_words", "key", "kept")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC archives in the shared folder, read them back, one row per page."""
     path = shared_path(spark, "warc")
@@ -52,6 +65,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 3-word shingles and Jaccard 0.9."""
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents; rows with crc32(doc_id) mod 5 = 0 are held out of the training."""
+    docs, fifth = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = table(spark, sf_dir, "labels").where(fifth != 0).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    net, thresholds = train(docs.where(fifth != 0), labels)
+    return score(docs, net, thresholds).select(
+        F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates among all documents, with the SHA-256 of every text."""
     return exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True).select(
@@ -67,10 +96,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
 }
