@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embed_dedup import near_duplicates
 from .exact_dedup import exact_duplicates
 from .bpe import encode
 from .common import shared_path
@@ -71,6 +72,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 among all embeddings."""
+    return near_duplicates(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; rows with crc32(doc_id) mod 5 = 0 are held out of the training."""
     docs, fifth = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -102,6 +109,7 @@ LLM_QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_nn_descent": op7_nn_descent,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,

@@ -61,8 +61,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: the words of text ``i`` are ``hashes[first[i]:first[i + 1]]``."""
+def word_hashes(column: pa.Array, lower: bool = True, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, first)``: the words of text ``i`` are ``hashes[first[i]:first[i + 1]]``.
+
+    With ``prefixes`` a row has the word's hash and those of its first bytes, for each of these numbers of bytes.
+    """
     raw, offsets = utf8(column)
     values = LOWER_VALUES if lower else VALUES
     hashes, starts_at = [], []
@@ -91,10 +94,15 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
         up, down = _powers(size)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(values[piece] * up[:len(piece)], dtype=np.uint64, out=sums[1:])
-        hashes.append(mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        own = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        if prefixes:
+            parts = [mix64((sums[np.minimum(e, s + k)] - sums[s]) * down[s] + np.uint64(k << 32)) for k in prefixes]
+            own = np.stack([own, *parts], 1)
+        hashes.append(own)
         starts_at.append(s + at)
         at = stop
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    empty = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
+    h = np.concatenate(hashes) if hashes else empty
     s = np.concatenate(starts_at) if starts_at else np.zeros(0, np.int64)
     return h, np.searchsorted(s, offsets)
 
