@@ -1,9 +1,9 @@
 """Candidate rules and their shape.
 
 A candidate is an ordered k-subset of a cluster: ``head <= body1 [^ body2]``.
-Each head fans out to its bodies with array functions on the cluster row, so a
-large cluster spreads over as many tasks as it has members; the same rule coming
-from several clusters is kept once.
+A cluster fans out atom by atom, with an exchange after the head and after the first
+body, so the n(n-1)(n-2) rules of one large cluster are made by as many tasks as there are
+partitions; the same rule coming from several clusters is kept once.
 
 ``classify`` attaches the class arrays ``d0, d1, d2`` (``[dom, ran]``), the
 overlaps ``c12 = d0 ∩ d1``, ``c13 = d0 ∩ d2``, ``c23 = d1 ∩ d2`` (each in the order
@@ -24,17 +24,15 @@ def ordered_subsets(clusters: DataFrame, k: int) -> DataFrame:
     """distinct ``(head, body1, body2)``; ``body2`` is null when ``k`` = 2."""
     if k not in (2, 3):
         raise ValueError("rules have 2 or 3 atoms")
-    heads = clusters.select("properties", F.explode("properties").alias("head"))
+    def others(*atoms: str) -> Column:
+        return F.explode(F.filter("properties", lambda x: ~x.isin(*[F.col(a) for a in atoms])))
+
+    heads = clusters.select("properties", F.explode("properties").alias("head")).repartition("head")
+    pairs = heads.select("properties", "head", others("head").alias("body1"))
     if k == 2:
-        out = heads.select("head", F.explode(F.filter("properties", lambda x: x != F.col("head")))
-                           .alias("body1"), F.lit(None).cast("string").alias("body2"))
+        out = pairs.select("head", "body1", F.lit(None).cast("string").alias("body2"))
     else:
-        bodies = F.flatten(F.transform(
-            F.filter("properties", lambda x: x != F.col("head")),
-            lambda b1: F.transform(
-                F.filter("properties", lambda y: (y != F.col("head")) & (y != b1)),
-                lambda b2: F.struct(b1.alias("body1"), b2.alias("body2")))))
-        out = heads.select("head", F.inline(bodies))
+        out = pairs.repartition("head", "body1").select("head", "body1", others("head", "body1").alias("body2"))
     return out.dropDuplicates(CANDIDATE_COLUMNS)
 
 
@@ -114,7 +112,8 @@ def classify(candidates: DataFrame, schema: DataFrame) -> DataFrame:
     c = (candidates.select(*CANDIDATE_COLUMNS)
          .join(s.toDF("head", "d0"), "head")
          .join(s.toDF("body1", "d1"), "body1")
-         .join(s.toDF("body2", "d2"), "body2", "left"))
+         .join(s.toDF("body2", "d2"), "body2", "left")
+         .where(F.col("body2").isNull() | F.col("d2").isNotNull()))  # untyped atoms drop the rule in any position
     three = F.col("body2").isNotNull()
     c = c.select(
         *CANDIDATE_COLUMNS, "d0", "d1", "d2",

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import fits, spread_join
 
 
 def vertical_partition(facts: DataFrame) -> DataFrame:
@@ -29,16 +29,6 @@ def vertical_partition(facts: DataFrame) -> DataFrame:
     return facts.groupBy("property", "subject", "object").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vertical_partition_nested(facts: DataFrame) -> DataFrame:
-    """D1, nested form ``(property, pairs array<struct<subject,object>>)``.
-
-    One row per property holds the whole partition; only for small graphs or
-    inspection. Scalable code uses the long ``facts`` table.
-    """
-    return facts.groupBy("property").agg(
-        F.array_sort(F.collect_list(F.struct("subject", "object"))).alias("pairs"))
-
-
 def property_sizes(facts: DataFrame) -> DataFrame:
     """Bag size per property ``(property, n)``."""
     return facts.groupBy("property").agg(F.count(F.lit(1)).alias("n"))
@@ -52,10 +42,12 @@ def triple_sets(facts: DataFrame) -> DataFrame:
 def typed_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
     """Facts of typed properties with their classes ``(property, dom, ran, subject, object)``.
 
-    The schema is property-level; it is broadcast only after its size is checked.
+    The schema is property-level; it is broadcast only after its size is checked, else the facts of
+    a property are spread over several parts.
     """
-    sch = broadcast_if_small(schema.select("property", "dom", "ran"))
-    return facts.join(sch, "property").select("property", "dom", "ran", "subject", "object")
+    sch = schema.select(F.col("property").alias("_p"), "dom", "ran")
+    return spread_join(facts.select("property", "subject", "object"), sch, [("property", "_p")],
+                       ["subject", "object"], fits(sch)).select("property", "dom", "ran", "subject", "object")
 
 
 def canonical(typed: DataFrame) -> DataFrame:
@@ -94,6 +86,13 @@ def typed_counts(facts: DataFrame, schema: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def counted_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
+    """Distinct typed facts in their own direction with their bag multiplicity:
+    ``(property, dom, ran, subject, object, n)``, one pass with map-side combine."""
+    return (typed_facts(facts, schema).groupBy("property", "dom", "ran", "subject", "object")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def sizes_from_counts(counts: DataFrame) -> DataFrame:
     """D2 bag sizes ``(property, n)`` of typed properties, from ``typed_counts``."""
     return counts.groupBy("property").agg(F.sum("n").cast("bigint").alias("n"))

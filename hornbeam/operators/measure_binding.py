@@ -20,10 +20,18 @@ M4         |other_K(r0,V) ∩ other_K(r1,V)|, K = c12[0]   |r1|
 K is the first class common to all three atoms, in the head's order. A 0
 denominator counts as 1 for three atoms. Head coverage = support / |r0|.
 
-All value sets are computed as grouped joins over the long side table; every
-set request is canonical (sorted members) and computed once for all rules that
-share it. ``one_object_per_subject=True`` first keeps one object per subject
-(the largest), the single-valued view of multi-valued properties.
+No exchange is keyed by a request. Facts are regrouped twice, whatever the number of rules:
+
+* by key: one row per value with the set of (property, class) pairs that hold it. ``V`` of a
+  request is then a containment test on that row;
+* by ``other``: every fact side, tagged with its key's set, gives its other value a set of
+  (property, class, key's set) entries. Whether a value lies in both ``other`` sets of a
+  request is again a test on one row.
+
+Requests are canonical (sorted members), computed once for all rules that share them, and
+counted with partial aggregation: one row per request and task. ``one_object_per_subject=True``
+first keeps one object per subject (the largest), the single-valued view of
+multi-valued properties.
 """
 
 from __future__ import annotations
@@ -33,11 +41,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import (broadcast_if_small, checked_broadcast, empty_like,
-                               materialize_small)
+from ..functions.sizing import (MAX_BROADCAST_BYTES, empty_like, materialize_small, row_bytes,
+                               spread_join)
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
-from .requests import with_request_id
+from .measure_join import _attach
 
 
 def _first(c: str) -> Column:
@@ -48,84 +56,71 @@ def _member(p: Column, c: Column) -> Column:
     return F.struct(p.alias("p"), c.alias("c"))
 
 
+MEMBERS = "array<struct<p:string,c:string>>"
+TAG_PARTS = 8  # parts in which the facts of one hot key meet the key's set
+
+
 class BindingContext:
-    """Side table and value sets of the binding measure."""
+    """Key rows and other rows of the binding measure, from the distinct facts."""
 
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
-                 one_object_per_subject: bool = False, sizes: DataFrame | None = None):
-        sch = schema if props is None else schema.join(props, "property", "leftsemi")
-        typed = fx.typed_facts(facts, sch)
+                 one_object_per_subject: bool = False, sizes: DataFrame | None = None,
+                 counts: DataFrame | None = None, small: bool = True):
+        own = counts if counts is not None else fx.counted_facts(facts, schema)
+        if props is not None:
+            own = spread_join(own, props.withColumnRenamed("property", "_p"), [("property", "_p")],
+                              ["subject", "object"], small).drop("_p")
         if one_object_per_subject:
-            typed = (typed.groupBy("property", "dom", "ran", "subject")
-                     .agg(F.max("object").alias("object")))
-        self.side = typed.select(F.inline(F.array(
-            F.struct(F.col("property"), F.col("dom").alias("cls"),
+            own = (own.groupBy("property", "dom", "ran", "subject")
+                   .agg(F.max("object").alias("object")))
+        self.small = small
+        side = own.select(F.inline(F.array(
+            F.struct(F.col("property").alias("p"), F.col("dom").alias("c"),
                      F.col("subject").alias("key"), F.col("object").alias("other")),
-            F.struct(F.col("property"), F.col("ran").alias("cls"),
+            F.struct(F.col("property").alias("p"), F.col("ran").alias("c"),
                      F.col("object").alias("key"), F.col("subject").alias("other")))))
-        self.col = (self.side.select("property", "cls", "key").distinct()        # E7
-                    .persist(StorageLevel.MEMORY_AND_DISK))
+        self.side = side
+        # collect_set aggregates before the exchange; a key's set is bounded by the properties
+        self.keys = (side.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("p", "c"))).alias("held"))
+                     .persist(StorageLevel.MEMORY_AND_DISK))
         self.bag_sizes = sizes if sizes is not None else fx.property_sizes(facts)
 
-    def value_sets(self, req: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
-        """``req(members)`` -> (V rows ``(id.., key)``, id columns, request table with ids).
-
-        ``members`` is a sorted ``array<struct<p, c>>``; V holds the keys present in
-        ``col_c(p)`` of every member (E4).
-        """
-        plan, ids = with_request_id(req.select("members").distinct(), ["members"])
-        plan, n = checked_broadcast(plan, persist=False)
-        if n == 0:
-            return empty_like(req, "rid bigint, key string"), ["rid"], plan
-        ex = plan.select(*ids, F.size("members").alias("n"), F.inline("members"))
-        hit = self.col.join(ex, (F.col("property") == F.col("p")) & (F.col("cls") == F.col("c")))
-        v = (hit.groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("k_n"), F.max("n").alias("n"))
-             .where(F.col("k_n") == F.col("n")).select(*ids, "key"))
-        return v, ids, plan
+    def release(self) -> None:
+        self.keys.unpersist()
 
     def set_sizes(self, req: DataFrame) -> DataFrame:
-        """``req(members)`` -> ``(members, value)`` with value = |V|."""
-        v, ids, plan = self.value_sets(req)
-        cnt = v.groupBy(*ids).agg(F.count(F.lit(1)).alias("value"))
-        return (plan.join(cnt, ids, "left")
-                .select("members", F.coalesce("value", F.lit(0)).cast("bigint").alias("value")))
+        """``req(members)`` -> ``(members, value)``: number of keys held by every member."""
+        r = req.select("members").distinct().withColumn("first", F.get("members", 0))
+        k = self.keys.select("key", "held", F.explode("held").alias("one"))
+        hit = (spread_join(k, r, [("one", "first")], ["key"], self.small)
+               .where(F.size(F.array_except("members", "held")) == 0))
+        return hit.groupBy("members").agg(F.count(F.lit(1)).alias("value"))
 
     def other_overlap(self, req: DataFrame) -> DataFrame:
         """``req(members, a, b, K)`` -> value = |other_K(a, V) ∩ other_K(b, V)|."""
-        req, n = checked_broadcast(req.select("members", "a", "b", "K").distinct())
-        if n == 0:
-            return empty_like(req, "members array<struct<p:string,c:string>>, a string, b string, "
-                                   "K string, value bigint")
-        v, ids, vplan = self.value_sets(req.select("members"))
-        oplan, oids = with_request_id(req, ["members", "a", "b", "K"], id_name="oid")
-        oplan = oplan.join(vplan.select("members", *ids), "members") if ids != ["members"] \
-            else oplan
-        oplan = broadcast_if_small(oplan)
-        sel = list(dict.fromkeys([*oids, *ids, "a", "b", "K"]))
-        ov = v.join(oplan.select(*sel), ids)
-        ov = ov.select(*oids, "K", "key", F.explode(F.array("a", "b")).alias("prop"))
-        hit = self.side.join(ov, (F.col("property") == F.col("prop")) & (F.col("cls") == F.col("K"))
-                             & (self.side["key"] == ov["key"]))
-        others = hit.select(*oids, "prop", "other").distinct()
-        both = (others.groupBy(*oids, "other").agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") == 2))
-        cnt = both.groupBy(*oids).agg(F.count(F.lit(1)).alias("value"))
-        return (oplan.join(cnt, oids, "left")
-                .select("members", "a", "b", "K",
-                        F.coalesce("value", F.lit(0)).cast("bigint").alias("value")))
-
-
-def _attach(rules: DataFrame, values: DataFrame, on: list[tuple[Column, str]], name: str) -> DataFrame:
-    v = values.select(*[F.col(k).alias(f"_{k}") for _, k in on], F.col("value").alias(name))
-    cond = None
-    for expr, k in on:
-        c = expr.eqNullSafe(F.col(f"_{k}"))
-        cond = c if cond is None else cond & c
-    return rules.join(v, cond, "left").drop(*[f"_{k}" for _, k in on])
+        req = req.select("members", "a", "b", "K").distinct()
+        held = self.keys.select(F.col("key").alias("_k"), "held", F.explode(
+            F.sequence(F.lit(0), F.lit(TAG_PARTS - 1))).alias("_copy"))
+        side = self.side.withColumn("_part", F.pmod(F.xxhash64("p", "c", "other"), F.lit(TAG_PARTS)).cast("int"))
+        tagged = (side.join(held, (F.col("key") == F.col("_k")) & (F.col("_part") == F.col("_copy")))
+                  .select("other", F.struct("p", "c", "held").alias("entry")))
+        rows = tagged.groupBy("other").agg(F.collect_set("entry").alias("entries"))
+        rows = rows.select("other", "entries", F.explode(F.array_distinct(F.transform(
+            "entries", lambda e: F.struct(e["p"].alias("p"), e["c"].alias("c"))))).alias("one"))
+        rows = rows.select("other", "entries", F.col("one.p").alias("_a"), F.col("one.c").alias("_K"))
+        j = spread_join(rows, req, [("_a", "a"), ("_K", "K")], ["other"], self.small)
+
+        def reached(atom: str) -> Column:
+            return F.exists("entries", lambda e: (e["p"] == F.col(atom)) & (e["c"] == F.col("K"))
+                            & (F.size(F.array_except(F.col("members"), e["held"])) == 0))
+
+        return (j.where(reached("a") & reached("b")).groupBy("members", "a", "b", "K")
+                .agg(F.count(F.lit(1)).alias("value")))
 
 
 def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
-                  one_object_per_subject: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+                  one_object_per_subject: bool = False, sizes: DataFrame | None = None,
+                  counts: DataFrame | None = None) -> DataFrame:
     """Score classified candidates with the binding measure.
 
     Returns ``(head, body1, body2, pattern, support, body_size, head_size, conf,
@@ -156,18 +151,22 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
                      F.when(oo, k_all).alias("oK"))
     base = materialize_small(base)  # every request table below is a projection of it
     b = base
+    has = b.agg(F.count("members").alias("members"), F.count("oa").alias("oa"), row_bytes(b).alias("bytes")).first()
     props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
              .where(F.col("property").isNotNull()).distinct())
-    ctx = BindingContext(facts, schema, props, one_object_per_subject, sizes)
+    ctx = BindingContext(facts, schema, props, one_object_per_subject, sizes, counts,
+                         has["bytes"] <= MAX_BROADCAST_BYTES)
     pat = F.col("pattern")
     is_set = pat.isin("M1", "M3b")
     size_req = (b.where(is_set).select("members")
                 .unionByName(b.where(F.col("den_members").isNotNull())
                              .select(F.col("den_members").alias("members"))))
-    sizes = ctx.set_sizes(size_req)
-    oo_vals = ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
-        "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K")))
-    sizes, oo_vals = materialize_small(sizes), materialize_small(oo_vals)
+    sizes = (materialize_small(ctx.set_sizes(size_req)) if has["members"]
+             else empty_like(b, f"members {MEMBERS}, value long"))
+    oo_vals = (materialize_small(ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
+        "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K")))) if has["oa"]
+        else empty_like(b, f"members {MEMBERS}, a string, b string, K string, value long"))
+    ctx.release()
     r = _attach(b, sizes, [(F.when(is_set, F.col("members")), "members")], "v_set")
     r = _attach(r, sizes, [(F.col("den_members"), "members")], "v_den")
     r = _attach(r, oo_vals, [(F.when(F.col("oa").isNotNull(), F.col("members")), "members"),

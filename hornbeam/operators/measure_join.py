@@ -25,7 +25,9 @@ Two atoms: the bag size of r1. Head coverage: support / bag size of r0.
 
 Every request is reduced to a canonical key (unordered where the count is
 symmetric) and computed once for all rules sharing it; all rules of all
-patterns are scored by one plan. Sums run in ``decimal(38,0)``.
+patterns are scored by one plan. Supports grow with products of degrees (2.2 M
+facts on one hub value give 1e19 for a star), so ``support`` and ``body_size`` stay
+``decimal(38,0)`` up to the scores.
 """
 
 from __future__ import annotations
@@ -35,15 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import (broadcast_if_small, checked_broadcast, empty_like,
-                               materialize_small)
+from ..functions.sizing import (MAX_BROADCAST_BYTES, empty_like, materialize_small, row_bytes,
+                               spread_join)
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
-from .requests import with_request_id
 
 DEC = "decimal(38,0)"
 PAIR_PATTERNS = ("S1", "S2", "S3", "S5b")
 STAR_PATTERNS = ("S4_star", "S5a")
+WEDGE_PART = 1024  # facts of an edge at one pivot value that meet the other edge in one part
 
 
 def _first(c: str) -> Column:
@@ -63,20 +65,21 @@ class JoinContext:
 
     Fact sets and degree maps feed several branches (and the triangle pivot
     choice, which runs first), so they are persisted with disk spill; a lost
-    block is recomputed from lineage. Every request table is counted before
-    use: an empty one prunes its branch from the plan, a small one is broadcast.
+    block is recomputed from lineage; ``release`` frees them once the values are
+    computed. ``small`` says that the rule table, and so every request table (at most
+    a few rows for each rule), was measured to be small enough for a broadcast.
     """
 
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
-                 sizes: DataFrame | None = None, counts: DataFrame | None = None):
-        if counts is not None:
-            used = counts if props is None else counts.join(
-                broadcast_if_small(props), "property", "leftsemi")
-            fsets = fx.fact_sets_from_counts(used)
-        else:
-            sch = schema if props is None else schema.join(props, "property", "leftsemi")
-            fsets = fx.fact_sets(fx.typed_facts(facts, sch))
-        self.fsets = fsets.persist(StorageLevel.MEMORY_AND_DISK)
+                 sizes: DataFrame | None = None, counts: DataFrame | None = None,
+                 small: bool = True):
+        if counts is None:
+            counts = fx.typed_counts(facts, schema)
+        if props is not None:
+            counts = spread_join(counts, props.withColumnRenamed("property", "_p"),
+                                 [("property", "_p")], ["v_lo", "v_hi"], small).drop("_p")
+        self.small = small
+        self.fsets = fx.fact_sets_from_counts(counts).persist(StorageLevel.MEMORY_AND_DISK)
         self.side = fx.sides(self.fsets)
         self.deg = fx.degrees(self.side)
         self.dmap = fx.degree_maps(self.deg).persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,17 +95,13 @@ class JoinContext:
 
     def _pair_rows(self, r: DataFrame) -> DataFrame:
         """Fact-set rows holding both ``x`` and ``y`` of each request in ``r``."""
-        return (self.fsets.select(F.explode("props").alias("x"), "props",
-                                  "cls_lo", "cls_hi", "v_lo", "v_hi")
-                .join(r, "x")
+        f = self.fsets.select(F.explode("props").alias("_x"), "props", "cls_lo", "cls_hi", "v_lo", "v_hi")
+        return (spread_join(f, r, [("_x", "x")], ["v_lo", "v_hi"], self.small)
                 .where(F.array_contains(F.col("props"), F.col("y"))))
 
     def pair_count(self, req: DataFrame) -> DataFrame:
         """``req(x, y)`` -> ``(x, y, value)``: number of facts x and y share (aligned)."""
-        r, n = checked_broadcast(req.select("x", "y").distinct())
-        if n == 0:
-            return empty_like(req, f"x string, y string, value {DEC}")
-        return (self._pair_rows(r).groupBy("x", "y")
+        return (self._pair_rows(req.select("x", "y").distinct()).groupBy("x", "y")
                 .agg(F.count(F.lit(1)).cast(DEC).alias("value")))
 
     def pair_deg(self, req: DataFrame) -> DataFrame:
@@ -111,16 +110,15 @@ class JoinContext:
         Pair rows are first counted per value at C (partial aggregation absorbs a
         hot value), then meet the degree map of that value once.
         """
-        req, n = checked_broadcast(req.select("x", "y", "C", "z").distinct())
-        if n == 0:
-            return empty_like(req, f"x string, y string, C string, z string, value {DEC}")
-        r = broadcast_if_small(req.select("x", "y", "C").distinct())
+        req = req.select("x", "y", "C", "z").distinct()
+        r = req.select("x", "y", "C").distinct()
         k = (F.when(F.col("C") == F.col("cls_lo"), F.col("v_lo"))
              .when(F.col("C") == F.col("cls_hi"), F.col("v_hi")))
         pk = (self._pair_rows(r).groupBy("x", "y", "C", k.alias("k"))
               .agg(F.count(F.lit(1)).alias("cnt")))
-        j = (pk.join(self.dmap, (F.col("C") == F.col("cls")) & (F.col("k") == F.col("key")))
-             .join(req, ["x", "y", "C"]))
+        j = pk.join(self.dmap, (F.col("C") == F.col("cls")) & (F.col("k") == F.col("key")))
+        q = req.toDF("_x", "_y", "_C", "z")
+        j = spread_join(j, q, [("x", "_x"), ("y", "_y"), ("C", "_C")], ["k"], self.small)
         term = F.col("cnt").cast(DEC) * _lookup("m", F.col("z")).cast(DEC)
         return j.groupBy("x", "y", "C", "z").agg(F.sum(term).alias("value"))
 
@@ -131,11 +129,9 @@ class JoinContext:
         maps serves every request: a key row meets only the requests whose
         first property holds it.
         """
-        r, n = checked_broadcast(req.select("a", "b", "c", "K").distinct())
-        if n == 0:
-            return empty_like(req, f"a string, b string, c string, K string, value {DEC}")
+        r = req.select("a", "b", "c", "K").distinct()
         d = self.dmap.select("cls", "key", "m", F.explode("m").alias("pa", "na"))
-        j = d.join(r, (F.col("cls") == F.col("K")) & (F.col("pa") == F.col("a")))
+        j = spread_join(d, r, [("cls", "K"), ("pa", "a")], ["key"], self.small)
         nb = _lookup("m", F.col("b")).cast(DEC)
         nc = F.when(F.col("c").isNull(), F.lit(1).cast(DEC)).otherwise(
             _lookup("m", F.col("c")).cast(DEC))
@@ -147,13 +143,9 @@ class JoinContext:
 
         The head's facts are read from their K1 side, whose ``other`` is the value at K2.
         """
-        r, n = checked_broadcast(req.select("h", "K1", "K2", "p", "q").distinct())
-        if n == 0:
-            return empty_like(req, f"h string, K1 string, K2 string, p string, q string, value {DEC}")
-        side = self.side
-        s = side.join(r, (side["property"] == r["h"]) & (side["cls"] == r["K1"])).select(
-            r["h"], r["K1"], r["K2"], r["p"], r["q"], side["key"].alias("v1"),
-            side["other"].alias("v2"))
+        r = req.select("h", "K1", "K2", "p", "q").distinct()
+        s = spread_join(self.side, r, [("property", "h"), ("cls", "K1")], ["key", "other"], self.small)
+        s = s.select("h", "K1", "K2", "p", "q", F.col("key").alias("v1"), F.col("other").alias("v2"))
         m1 = self.dmap.select(F.col("cls").alias("c1"), F.col("key").alias("key1"),
                               F.col("m").alias("m1"))
         m2 = self.dmap.select(F.col("cls").alias("c2"), F.col("key").alias("key2"),
@@ -166,49 +158,58 @@ class JoinContext:
     def triangles(self, req: DataFrame) -> DataFrame:
         """``req(e0, e1, e2, X, Y, Z)`` -> value = rows of the three-way join.
 
-        ``e0`` holds classes {X, Y}, ``e1`` {X, Z}, ``e2`` {Y, Z}. The wedge
+        ``e0`` holds classes {X, Y}, ``e1`` {X, Z}, ``e2`` {Y, Z}; a request is canonical
+        (``e0 < e1 < e2``), so each triangle is joined once for all rules over it. The wedge
         count of each pivot class is a degree dot product; the join runs from
-        the pivot with the fewest wedges and is closed by an exact match on the
-        third property's (key, other). Wedge rows carry a 64-bit request id,
-        used only after checking it is unique over the requests.
+        the pivot with the fewest wedges. Both edges are first reduced to facts whose pivot
+        value the other edge holds and whose far value the closing edge holds. Then the edges meet on (pivot
+        value, part): the second edge's facts at a value are dealt into parts of about
+        ``WEDGE_PART``, and each of the first edge's meets every part, so a value that is heavy in both
+        spreads over tasks. Wedges are closed by an exact match on the third
+        property's (key, other).
         """
         keys = ["e0", "e1", "e2", "X", "Y", "Z"]
-        req, n = checked_broadcast(req.select(*keys).distinct())
-        if n == 0:
-            return empty_like(req, ", ".join(f"{k} string" for k in keys) + f", value {DEC}")
-        req, idc = with_request_id(req, keys, id_name="tid")
+        req = materialize_small(req.select(*keys).distinct().withColumn("tid", F.monotonically_increasing_id()))
         opts = [("X", "e0", "e1", "Y", "Z", "e2"),
                 ("Y", "e0", "e2", "X", "Z", "e1"),
                 ("Z", "e1", "e2", "X", "Y", "e0")]
-        cands = None
-        for piv, a, b, ua, ub, c in opts:
-            o = req.select(*keys, "tid", F.col(piv).alias("P"), F.col(a).alias("pa"),
-                           F.col(b).alias("pb"), F.col(ua).alias("U"), F.col(ub).alias("W"),
-                           F.col(c).alias("pc"))
-            cands = o if cands is None else cands.unionByName(o)
-        cands = cands.select("*", F.least("pa", "pb").alias("_a"), F.greatest("pa", "pb").alias("_b"))
-        dots = self.deg_products(cands.select(F.col("_a").alias("a"), F.col("_b").alias("b"),
-                                              F.lit(None).cast("string").alias("c"),
-                                              F.col("P").alias("K")))
-        costed = cands.join(dots.select(F.col("a").alias("_a"), F.col("b").alias("_b"),
+        cands = req.select("tid", F.inline(F.array(*[F.struct(
+            F.col(piv).alias("P"), F.col(a).alias("pa"), F.col(b).alias("pb"), F.col(ua).alias("U"),
+            F.col(ub).alias("W"), F.col(c).alias("pc")) for piv, a, b, ua, ub, c in opts])))
+        dots = self.deg_products(cands.select(F.col("pa").alias("a"), F.col("pb").alias("b"),
+                                              F.lit(None).cast("string").alias("c"), F.col("P").alias("K")))
+        costed = cands.join(dots.select(F.col("a").alias("pa"), F.col("b").alias("pb"),
                                         F.col("K").alias("P"), F.col("value").alias("wedges")),
-                            ["_a", "_b", "P"], "left")
-        plan = (costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC)))
-                .groupBy(*keys, "tid")
-                .agg(F.min_by(F.struct("P", "pa", "pb", "U", "W", "pc"), "wedges").alias("best"))
-                .select(*keys, "tid", "best.*"))
-        plan = broadcast_if_small(plan)
-        side = self.side
-        a_rows = (side.join(plan, (side["property"] == plan["pa"]) & (side["cls"] == plan["P"]))
-                  .select(*idc, F.col("key").alias("pk"), F.col("other").alias("u")))
-        b_rows = (side.join(plan, (side["property"] == plan["pb"]) & (side["cls"] == plan["P"]))
-                  .select(*idc, F.col("key").alias("pk"), F.col("other").alias("w")))
-        c_rows = (side.join(plan, (side["property"] == plan["pc"]) & (side["cls"] == plan["U"]))
-                  .select(*idc, F.col("key").alias("u"), F.col("other").alias("w")))
-        closed = a_rows.join(b_rows, idc + ["pk"]).join(c_rows, idc + ["u", "w"])
-        counted = closed.groupBy(*idc).agg(F.count(F.lit(1)).cast(DEC).alias("value"))
-        out = req.join(counted, idc, "left")
-        return out.select(*keys, F.coalesce("value", F.lit(0).cast(DEC)).alias("value"))
+                            ["pa", "pb", "P"], "left")
+        plan = materialize_small(
+            costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC))).groupBy("tid")
+            .agg(F.min_by(F.struct("P", "pa", "pb", "U", "W", "pc"), "wedges").alias("best")).select("tid", "best.*"))
+
+        def edge(p: str, c: str, far: str, partner: str, far_class: str) -> DataFrame:
+            """Facts of ``plan[p]`` seen from class ``plan[c]`` that a partner and the closing edge can meet."""
+            rows = spread_join(self.side, plan, [("property", p), ("cls", c)], ["key", "other"], self.small).select(
+                "tid", F.col("key").alias("pk"), F.col("other").alias(far), c, F.col(partner).alias("_q"),
+                F.col(far_class).alias("_far"), "pc")
+            at = self.dmap.select(F.col("cls").alias("_c"), F.col("key").alias("_k"), F.col("m").alias("_m"))
+            rows = (rows.join(at, (F.col(c) == F.col("_c")) & (F.col("pk") == F.col("_k")))
+                    .withColumn("n", _lookup("_m", F.col("_q"))).where("n IS NOT NULL")
+                    .select("tid", "pk", far, "_far", "pc", "n"))
+            return (rows.join(at, (F.col("_far") == F.col("_c")) & (F.col(far) == F.col("_k")))
+                    .where(_lookup("_m", F.col("pc")).isNotNull()).select("tid", "pk", far, "n"))
+
+        a_rows = edge("pa", "P", "u", "pb", "U")
+        b_rows = edge("pb", "P", "w", "pa", "W")
+        c_rows = spread_join(self.side, plan, [("property", "pc"), ("cls", "U")], ["key", "other"], self.small).select(
+            "tid", F.col("key").alias("u"), F.col("other").alias("w"))
+        # n of an a-row is the number of b-facts at its pivot value; a b-row learns it with its pivot value
+        parts = F.ceil(F.col("n") / WEDGE_PART).cast("int")
+        held = a_rows.groupBy("tid", "pk").agg(F.max(parts).alias("parts"))
+        b_rows = (b_rows.drop("n").join(held, ["tid", "pk"])
+                  .select("tid", "pk", "w", F.pmod(F.xxhash64("w"), F.col("parts")).cast("int").alias("part")))
+        a_rows = a_rows.select("tid", "pk", "u", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        closed = a_rows.join(b_rows, ["tid", "pk", "part"]).join(c_rows, ["tid", "u", "w"])
+        counted = closed.groupBy("tid").agg(F.count(F.lit(1)).cast(DEC).alias("value"))
+        return req.join(counted, "tid", "left").select(*keys, F.coalesce("value", F.lit(0).cast(DEC)).alias("value"))
 
 
 # --------------------------------------------------------------------------
@@ -216,13 +217,19 @@ class JoinContext:
 # --------------------------------------------------------------------------
 
 def _attach(rules: DataFrame, values: DataFrame, on: list[tuple[Column, str]], name: str) -> DataFrame:
-    """Left-join ``values.value`` onto ``rules`` where each rule expression equals a key column."""
+    """Left-join ``values.value`` onto ``rules`` where each rule expression equals a key column.
+
+    Only a null ``c`` (the two-factor product) is a key; rules that ask for no value have a null first
+    key and a part of their own, so they do not meet in one task.
+    """
     v = values.select(*[F.col(k).alias(f"_{k}") for _, k in on], F.col("value").alias(name))
-    cond = None
+    first = on[0][0]
+    spread = F.when(first.isNull(), F.xxhash64(*CANDIDATE_COLUMNS)).otherwise(F.lit(0).cast("bigint"))
+    cond = spread == F.col("_none")
     for expr, k in on:
-        c = expr.eqNullSafe(F.col(f"_{k}"))
-        cond = c if cond is None else cond & c
-    return rules.join(v, cond, "left").drop(*[f"_{k}" for _, k in on])
+        cond = cond & (expr.eqNullSafe(F.col(f"_{k}")) if k == "c" else expr == F.col(f"_{k}"))
+    v = v.withColumn("_none", F.lit(0).cast("bigint"))
+    return rules.join(v, cond, "left").drop("_none", *[f"_{k}" for _, k in on])
 
 
 def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
@@ -265,6 +272,12 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     s6_path = (pj == "S6") & (F.col("n12") == 1) & (F.col("n13") == 1)
     tri = pj == "S4_triangle"
 
+    # canonical triangle: the three atoms in order with the class each two share
+    atoms = F.array_sort(F.array(*[F.struct(F.col(p).alias("p"), F.col(d).alias("d"))
+                                   for p, d in (("head", "d0"), ("body1", "d1"), ("body2", "d2"))]))
+    edge = lambda i: F.get(atoms, i)
+    meet = lambda i, j: F.get(F.array_intersect(edge(i)["d"], edge(j)["d"]), 0)
+
     base = cl.select(
         *CANDIDATE_COLUMNS, pj.alias("pattern"),
         F.when(is_pair, F.least(x_e, y_e)).alias("px"), F.when(is_pair, F.greatest(x_e, y_e)).alias("py"),
@@ -278,9 +291,10 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
         F.when(s6_l1 | s6_r1, F.least("head", o_other)).alias("oa"),
         F.when(s6_l1 | s6_r1, F.greatest("head", o_other)).alias("ob"),
         F.when(s6_l1, _first("c12")).when(s6_r1, _first("c13")).alias("oK"),
-        F.when(s6_path | tri, _first("c12")).alias("K12"),
-        F.when(s6_path | tri, _first("c13")).alias("K13"),
-        F.when(tri, _first("c23")).alias("K23"),
+        F.when(s6_path, _first("c12")).alias("K12"), F.when(s6_path, _first("c13")).alias("K13"),
+        *[F.when(tri, edge(i)["p"]).alias(f"e{i}") for i in range(3)],
+        F.when(tri, meet(0, 1)).alias("X"), F.when(tri, meet(0, 2)).alias("Y"),
+        F.when(tri, meet(1, 2)).alias("Z"),
         F.when(s6_left2 | s6_l1, F.col("body2")).when(s6_right2 | s6_r1, F.col("body1"))
         .alias("s6_third"),
         F.when(s6_path, F.lit("path")).when(s6_left2 | s6_right2, F.lit("pairx"))
@@ -288,31 +302,35 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     )
     base = materialize_small(base)  # every request table below is a projection of it
     b = base
+    # one job tells which branches have requests and whether the rule table may be broadcast
+    has = b.agg(*[F.count(c).alias(c) for c in ("px", "cx", "sa", "dK", "oK", "s6_third", "X")],
+                F.count(F.when(F.col("s6_kind") == "path", 1)).alias("path"), row_bytes(b).alias("bytes")).first()
     props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
              .where(F.col("property").isNotNull()).distinct())
-    ctx = JoinContext(facts, schema, props, sizes, counts)
-
-    pair_vals = ctx.pair_deg(b.where(F.col("px").isNotNull()).select(
-        F.col("px").alias("x"), F.col("py").alias("y"), F.col("pC").alias("C"),
-        F.col("pz").alias("z")))
-    cnt_vals = ctx.pair_count(b.where(F.col("cx").isNotNull()).select(
-        F.col("cx").alias("x"), F.col("cy").alias("y")))
-    dp_req = (b.where(F.col("sa").isNotNull()).select(
-        F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("sc").alias("c"), F.col("sK").alias("K"))
-        .unionByName(b.where(F.col("dK").isNotNull()).select(
-            F.col("da").alias("a"), F.col("db").alias("b"), none.alias("c"), F.col("dK").alias("K")))
-        .unionByName(b.where(F.col("oK").isNotNull()).select(
-            F.col("oa").alias("a"), F.col("ob").alias("b"), none.alias("c"), F.col("oK").alias("K"))))
-    dp = ctx.deg_products(dp_req)
-    path_vals = ctx.head_path(b.where(F.col("s6_kind") == "path").select(
-        F.col("head").alias("h"), F.col("K12").alias("K1"), F.col("K13").alias("K2"),
-        F.col("body1").alias("p"), F.col("body2").alias("q")))
-    tri_vals = ctx.triangles(b.where(F.col("pattern") == "S4_triangle").select(
-        F.col("head").alias("e0"), F.col("body1").alias("e1"), F.col("body2").alias("e2"),
-        F.col("K12").alias("X"), F.col("K13").alias("Y"), F.col("K23").alias("Z")))
-
-    pair_vals, cnt_vals, dp, path_vals, tri_vals = (
-        materialize_small(v) for v in (pair_vals, cnt_vals, dp, path_vals, tri_vals))
+    ctx = JoinContext(facts, schema, props, sizes, counts, has["bytes"] <= MAX_BROADCAST_BYTES)
+
+    def values(needed: int, keys: str, make) -> DataFrame:
+        if not needed:
+            return empty_like(b, ", ".join(f"{k} string" for k in keys.split()) + f", value {DEC}")
+        return materialize_small(make())
+
+    def some(column: str, **names: str) -> DataFrame:
+        return b.where(F.col(column).isNotNull()).select(*[F.col(v).alias(k) if v else none.alias(k) for k, v in names.items()])
+
+    pair_vals = values(has["px"], "x y C z", lambda: ctx.pair_deg(some("px", x="px", y="py", C="pC", z="pz")))
+    cnt_vals = values(has["cx"], "x y", lambda: ctx.pair_count(some("cx", x="cx", y="cy")))
+    dp = values(has["sa"] + has["dK"] + has["oK"], "a b c K", lambda: ctx.deg_products(
+        some("sa", a="sa", b="sb", c="sc", K="sK").unionByName(some("dK", a="da", b="db", c="", K="dK"))
+        .unionByName(some("oK", a="oa", b="ob", c="", K="oK"))))
+    path_vals = values(has["path"], "h K1 K2 p q", lambda: ctx.head_path(
+        b.where(F.col("s6_kind") == "path").select(
+            F.col("head").alias("h"), F.col("K12").alias("K1"), F.col("K13").alias("K2"),
+            F.col("body1").alias("p"), F.col("body2").alias("q"))))
+    tri_vals = values(has["X"], "e0 e1 e2 X Y Z", lambda: ctx.triangles(
+        some("X", e0="e0", e1="e1", e2="e2", X="X", Y="Y", Z="Z")))
+    third = (materialize_small(ctx.distinct_sizes()) if has["s6_third"]
+             else empty_like(b, "property string, n long"))
+    ctx.release()
     r = _attach(b, pair_vals, [(F.col("px"), "x"), (F.col("py"), "y"), (F.col("pC"), "C"),
                                (F.col("pz"), "z")], "v_pairdeg")
     r = _attach(r, cnt_vals, [(F.col("cx"), "x"), (F.col("cy"), "y")], "v_paircnt")
@@ -325,21 +343,15 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     r = _attach(r, path_vals, [(F.when(F.col("s6_kind") == "path", F.col("head")), "h"),
                                (F.col("K12"), "K1"), (F.col("K13"), "K2"),
                                (F.col("body1"), "p"), (F.col("body2"), "q")], "v_path")
-    r = _attach(r, tri_vals, [(F.when(F.col("pattern") == "S4_triangle", F.col("head")), "e0"),
-                              (F.col("body1"), "e1"), (F.col("body2"), "e2"), (F.col("K12"), "X"),
-                              (F.col("K13"), "Y"), (F.col("K23"), "Z")], "v_tri")
+    r = _attach(r, tri_vals, [(F.col(k), k) for k in ("e0", "e1", "e2", "X", "Y", "Z")], "v_tri")
 
     bag = ctx.bag_sizes
     r = (r.join(bag.select(F.col("property").alias("head"), F.col("n").alias("head_size")),
                 "head", "left")
          .join(bag.select(F.col("property").alias("body1"), F.col("n").alias("b1_size")),
                "body1", "left"))
-    if b.where(F.col("s6_third").isNotNull()).limit(1).count() > 0:
-        dsz = ctx.distinct_sizes()
-        r = r.join(dsz.select(F.col("property").alias("s6_third"),
-                              F.col("n").alias("third_distinct")), "s6_third", "left")
-    else:
-        r = r.withColumn("third_distinct", F.lit(None).cast("bigint"))
+    r = r.join(third.select(F.col("property").alias("s6_third"), F.col("n").alias("third_distinct")),
+               "s6_third", "left")
 
     pat = F.col("pattern")
     kind = F.col("s6_kind")
@@ -355,8 +367,8 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
                .otherwise(zero))
     body = F.when(F.col("body2").isNull(), F.col("b1_size").cast(DEC)).otherwise(F.col("v_den"))
     out = r.select(*CANDIDATE_COLUMNS, "pattern",
-                   F.coalesce(support, zero).cast("bigint").alias("support"),
-                   F.coalesce(body, zero).cast("bigint").alias("body_size"),
+                   F.coalesce(support, zero).cast(DEC).alias("support"),
+                   F.coalesce(body, zero).cast(DEC).alias("body_size"),
                    F.coalesce(F.col("head_size"), F.lit(0)).cast("bigint").alias("head_size"))
     return out.select("*", ratio4(F.col("support"), F.col("body_size")).alias("conf"),
                       ratio4(F.col("support"), F.col("head_size")).alias("head_coverage"))

@@ -49,11 +49,6 @@ def property_schema(dom_decls: DataFrame, ran_decls: DataFrame) -> DataFrame:
             .select("property", "name", "dom", "ran"))
 
 
-def class_array(prefix: str = "") -> F.Column:
-    """``[dom, ran]`` of a schema row (columns optionally prefixed)."""
-    return F.array(F.col(f"{prefix}dom"), F.col(f"{prefix}ran"))
-
-
 def class_overlap(pairs: DataFrame, schema: DataFrame) -> DataFrame:
     """``(p, q, classes)``: shared classes of two properties, in ``p``'s order."""
     s = schema.select("property", F.array("dom", "ran").alias("d"))

@@ -2,8 +2,8 @@
 
 ``facts`` + ``schema`` -> clusters -> candidates -> scores -> thresholds ->
 de-duplication -> rules. Candidates and their classification are schema-level
-tables; they are persisted once and reused by every scoring branch. Data-level
-work (fact sets, degrees, pairs, value sets) happens once per scoring plan.
+tables. Data-level work (fact sets, degrees, pairs, value sets) happens once per scoring
+plan; what it persists is released as soon as the values of the rules are computed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..functions.scores import MIN_CONF, MIN_HEAD_COVERAGE
 from ..functions.sizing import materialize_small
 from ..operators.candidates import classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
-from ..operators.facts import property_sizes, sizes_from_counts, typed_counts
+from ..operators.facts import counted_facts, property_sizes, sizes_from_counts, typed_counts
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
 from ..operators.rules import to_rules
@@ -51,10 +51,12 @@ def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: s
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
-    classified = materialize_small(classify(candidates, schema))
+    if measure == "join" and one_object_per_subject:
+        raise ValueError("one_object_per_subject is a view of the binding measure only")
+    classified = classify(candidates, schema)
     if measure == "join":
         return score_join(facts, schema, classified, sizes, counts)
-    return score_binding(facts, schema, classified, one_object_per_subject, sizes)
+    return score_binding(facts, schema, classified, one_object_per_subject, sizes, counts)
 
 
 def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "join",
@@ -70,17 +72,17 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
     """
     if atoms not in (2, 3):
         raise ValueError("rules have 2 or 3 atoms")
-    counts = None
-    if measure == "join":
-        # one pass over the facts serves bag sizes, clusters and fact sets
-        counts = typed_counts(facts, schema).persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = materialize_small(sizes_from_counts(counts))
-    else:
-        sizes = materialize_small(property_sizes(facts))
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
+    # one pass over the facts serves bag sizes, clusters and every measure
+    make = typed_counts if measure == "join" else counted_facts
+    counts = make(facts, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = materialize_small(sizes_from_counts(counts))
     if candidates is None:
         candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size,
                                      sizes, **hash_params)
     else:
         candidates = candidates.select("head", "body1", F.col("body2").cast("string"))
     scored = score(facts, schema, candidates, measure, one_object_per_subject, sizes, counts)
+    counts.unpersist()
     return to_rules(scored, schema, min_conf, min_hc, drop_duplicates)

@@ -10,6 +10,7 @@ of HALF_UP rounding. Nothing here is executed by the library itself.
 from __future__ import annotations
 
 from ..sources.kg_tables import EVENT_TYPES, PROPERTIES, declaration_rows
+from .queries import APART, PRUNED
 
 NS = "http://ex.org/kg#"
 
@@ -170,6 +171,26 @@ def join_scores(rules: str, name: str = "js") -> str:
       JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.c12f AND s1.key = s0.key
       JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.c13f AND s2.key = s0.other
       WHERE r.pj = 'S6' AND r.n12 = 1 AND r.n13 = 1
+    UNION ALL SELECT r.head, r.body1, r.body2 FROM {rules} r
+      JOIN side s0 ON s0.property = r.head AND s0.cls = r.d0d
+      JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.d0d AND s1.key = s0.key AND s1.other = s0.other
+      JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.d2d
+      WHERE r.pj = 'S6' AND r.n12 = 2 AND r.n13 = 0
+    UNION ALL SELECT r.head, r.body1, r.body2 FROM {rules} r
+      JOIN side s0 ON s0.property = r.head AND s0.cls = r.d0d
+      JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.d0d AND s2.key = s0.key AND s2.other = s0.other
+      JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.d1d
+      WHERE r.pj = 'S6' AND r.n13 = 2 AND r.n12 = 0
+    UNION ALL SELECT r.head, r.body1, r.body2 FROM {rules} r
+      JOIN side s0 ON s0.property = r.head AND s0.cls = r.c12f
+      JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.c12f AND s1.key = s0.key
+      JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.d2d
+      WHERE r.pj = 'S6' AND r.n12 = 1 AND r.n13 = 0
+    UNION ALL SELECT r.head, r.body1, r.body2 FROM {rules} r
+      JOIN side s0 ON s0.property = r.head AND s0.cls = r.c13f
+      JOIN side s2 ON s2.property = r.body2 AND s2.cls = r.c13f AND s2.key = s0.key
+      JOIN side s1 ON s1.property = r.body1 AND s1.cls = r.d1d
+      WHERE r.pj = 'S6' AND r.n13 = 1 AND r.n12 = 0
   ) GROUP BY head, body1, body2),
 {name}_den AS (
   SELECT r.head, r.body1, r.body2, count(*) AS v FROM {rules} r
@@ -259,7 +280,7 @@ BASE = (FACTS, SCHEMA, SIZES, TYPED, SIDE, TYPED_WF)
 
 
 def _score_select(src: str) -> str:
-    return (f"SELECT head, body1, body2, support, body_size, head_size, "
+    return (f"SELECT head, body1, body2, CAST(support AS VARCHAR) AS support, CAST(body_size AS VARCHAR) AS body_size, head_size, "
             f"{_ratio('support', 'body_size')} AS conf, {_ratio('support', 'head_size')} AS head_coverage "
             f"FROM {src}")
 
@@ -291,21 +312,22 @@ rules AS (
   FROM canon)"""
 
 
-def _render_axioms_parse() -> str:
-    return ""
-
-
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     base = _with(*BASE)
-    iri_s = f"'<{NS}' || subject || '>'"
-    iri_o = f"'<{NS}' || object || '>'"
+    def named(c: str) -> str:
+        return (f"CASE WHEN length({c}) % 3 = 2 AND regexp_full_match({c}, '[A-Za-z0-9_.-]+') THEN '_:' || {c} "
+                f"ELSE '<{NS}' || {c} || '>' END")
+
+    iri_s, iri_o = named("subject"), named("object")
+    facts_of = "CAST(COALESCE(z.n, 0) AS BIGINT) AS n_facts"
     q["axioms_roundtrip"] = _with(FACTS) + (
         f"SELECT property, {iri_s} AS subject, {iri_o} AS object FROM facts")
-    q["domain_range_axioms"] = _with(DECLS) + "SELECT axiom_type, property, cls FROM decls"
+    q["domain_range_axioms"] = _with(FACTS, SIZES, DECLS) + (
+        f"SELECT d.axiom_type, d.property, d.cls, {facts_of} FROM decls d LEFT JOIN sizes z ON z.property = d.property")
     q["property_schema"] = _with(FACTS, SCHEMA, SIZES) + (
         "SELECT s.property, s.name, s.dom, s.ran, z.n FROM schema s JOIN sizes z ON z.property = s.property")
-    q["schema_drops_union_and_same_class"] = _with(DECLS) + """,
+    q["schema_drops_union_and_same_class"] = _with(FACTS, SIZES, DECLS) + """,
 cs AS (SELECT property, axiom_type, cls FROM decls),
 agg AS (SELECT property,
           count(DISTINCT cls) AS n_classes,
@@ -313,10 +335,11 @@ agg AS (SELECT property,
           bool_or(axiom_type = 'ObjectPropertyDomain') AS has_dom,
           bool_or(axiom_type = 'ObjectPropertyRange') AS has_ran
         FROM cs GROUP BY property)
-SELECT property, regexp_extract(property, '#([^#>]*)', 1) AS name, CAST(n_classes AS BIGINT) AS n_classes,
+SELECT a.property, regexp_extract(a.property, '#([^#>]*)', 1) AS name, CAST(n_classes AS BIGINT) AS n_classes,
   (n_classes = 2 AND NOT has_union) AS kept,
-  CASE WHEN n_classes <> 2 THEN 'class_count' WHEN has_union THEN 'union' END AS reason
-FROM agg WHERE has_dom AND has_ran"""
+  CASE WHEN n_classes <> 2 THEN 'class_count' WHEN has_union THEN 'union' END AS reason,
+  CAST(COALESCE(z.n, 0) AS BIGINT) AS n_facts
+FROM agg a LEFT JOIN sizes z ON z.property = a.property WHERE has_dom AND has_ran"""
     q["vertical_partition"] = _with(FACTS) + (
         "SELECT property, subject, object, count(*) AS n FROM facts GROUP BY property, subject, object")
     q["property_sizes"] = _with(FACTS) + "SELECT property, count(*) AS n FROM facts GROUP BY property"
@@ -345,7 +368,7 @@ FROM ov"""
     q["candidates_classified"] = _with(*BASE, CLUSTERS, CAND3, CONN3) + ",\nallc AS (SELECT * FROM conn3 UNION SELECT * FROM cand3),\n" + classify("allc") + (
         "\nSELECT head, body1, body2, pj AS pattern_join, pb AS pattern_binding FROM cl")
 
-    score_cols = ("SELECT head, body1, body2, support, body_size, head_size, "
+    score_cols = ("SELECT head, body1, body2, CAST(support AS VARCHAR) AS support, CAST(body_size AS VARCHAR) AS body_size, head_size, "
                   f"{_ratio('support', 'body_size')} AS conf, {_ratio('support', 'head_size')} AS head_coverage")
 
     def join_pattern(where: str) -> str:
@@ -368,10 +391,10 @@ path AS (SELECT e1.p AS a, e1.q AS b, e2.q AS c FROM edges e1 JOIN edges e2 ON e
 opn AS (SELECT b AS head, a AS body1, c AS body2 FROM path UNION SELECT a, b, c FROM path
         UNION SELECT a, c, b FROM path),
 """ + classify("opn") + ",\n" + join_scores("cl") + (
-        "\nSELECT head, body1, body2, pattern, support, body_size, "
+        "\nSELECT head, body1, body2, pattern, CAST(support AS VARCHAR) AS support, CAST(body_size AS VARCHAR) AS body_size, "
         f"{_ratio('support', 'body_size')} AS conf, {_ratio('support', 'head_size')} AS head_coverage FROM js"))
     q["body_size"] = (_with(*BASE, CLUSTERS, CAND3) + ",\n" + classify("cand3") + ",\n"
-                      + join_scores("cl") + "\nSELECT head, body1, body2, body_size FROM js")
+                      + join_scores("cl") + "\nSELECT head, body1, body2, CAST(body_size AS VARCHAR) AS body_size FROM js")
 
     def binding_pattern(where: str, src: str = "conn3", extra=(CONN3,), one_object=False) -> str:
         return (_with(*BASE, *extra) + ",\n" + classify(src) + f",\nsel AS (SELECT * FROM cl WHERE {where}),\n"
@@ -403,5 +426,20 @@ opn AS (SELECT b AS head, a AS body1, c AS body2 FROM path UNION SELECT a, b, c
     q["mine_join_3"] = mine_sql(3, "join")
     q["mine_binding_2"] = mine_sql(2, "binding")
     q["mine_binding_3"] = mine_sql(3, "binding")
+    q["mine_from_axioms"] = q["mine_from_store"] = q["mine_join_3"]
+    names = ", ".join(_q(_iri(n)) for n in PRUNED)
+    q["store_pruned_read"] = _with(FACTS) + f"SELECT property, subject, object FROM facts WHERE property IN ({names})"
+    q["views_join"] = _with(FACTS) + f"""SELECT c.nation, c.n AS customers, s.n AS suppliers
+FROM (SELECT object AS nation, count(DISTINCT subject) AS n FROM facts WHERE property = '{_iri("customerIn")}' GROUP BY object) c
+JOIN (SELECT object AS nation, count(DISTINCT subject) AS n FROM facts WHERE property = '{_iri("supplierIn")}' GROUP BY object) s
+  ON c.nation = s.nation"""
+    q["partitioned_sizes"] = _with(FACTS, SIZES) + (
+        "SELECT property, n, dealt FROM sizes, (VALUES ('hash'), ('round'), ('range')) AS t(dealt)")
+    apart = "apart(head, body1, body2) AS (VALUES " + ", ".join(
+        "(" + ", ".join(_q(_iri(n)) for n in r) + ")" for r in APART) + ")"
+    for measure, scores, out in (("join", join_scores, "js"), ("binding", binding_scores, "bs")):
+        q[f"{measure}_apart"] = (_with(*BASE, apart) + ",\n" + classify("apart") + ",\n" + scores("cl") + (
+            "\nSELECT head, body1, body2, pattern, CAST(support AS VARCHAR) AS support, CAST(body_size AS VARCHAR) AS body_size, head_size, "
+            f"{_ratio('support', 'body_size')} AS conf, {_ratio('support', 'head_size')} AS head_coverage FROM {out}"))
     q["store_roundtrip"] = _with(FACTS) + "SELECT property, subject, object FROM facts"
     return q

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import materialize_small
-from ..functions.text import local_name
+from ..functions.text import iri, local_name
 from ..operators import facts as fx
 from ..operators.candidates import atom_pairs, classify, connected_triples, open_paths
 from ..operators.clusters import all_clusters, cluster_properties, similar_pairs
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
 from ..operators.rules import apply_thresholds, dedupe, render, with_atom_text
-from ..operators.schema import class_overlap, schema_report
+from ..operators.schema import class_overlap, property_schema, schema_report
 from ..sources import axioms as ax
 from ..sources import store
 from ..sources.kg_tables import declarations_from_tables, knowledge_graph
@@ -40,8 +40,16 @@ def _typed_with_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def _axiom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts and declarations as text, individuals in all three forms of names."""
     facts, _ = knowledge_graph(spark, sf_dir)
-    return ax.render_axioms(facts, declarations_from_tables(spark))
+    return ax.render_axioms(facts, declarations_from_tables(spark), mixed=True)
+
+
+def _axiom_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text written below the shared folder and read as a file."""
+    path = store.store_path(spark, "axioms", unique=True)
+    _axiom_text(spark, sf_dir).write.text(path)
+    return ax.read_axioms(spark, path, "functional")
 
 
 def _flat_clusters(c: DataFrame) -> DataFrame:
@@ -49,8 +57,9 @@ def _flat_clusters(c: DataFrame) -> DataFrame:
                     F.size("properties").cast("bigint").alias("n_members"))
 
 
-def _scored(df: DataFrame) -> DataFrame:
-    return df.select(*SCORE_COLUMNS)
+def _scored(df: DataFrame, columns: list[str] = SCORE_COLUMNS) -> DataFrame:
+    """Counts as text: supports of joins outgrow 64 bits, and text compares alike everywhere."""
+    return df.select(*[F.col(c).cast("string").alias(c) if c in ("support", "body_size") else c for c in columns])
 
 
 # ---------------------------------------------------------------- sources, schema
@@ -61,24 +70,29 @@ def q_axioms_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_domain_range_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domain / range axioms found in the whole axiom text."""
-    return ax.declarations(ax.parse_axioms(_axiom_text(spark, sf_dir)))
+    """Domain / range axioms found in the whole axiom text, with the facts of each property."""
+    axioms = ax.parse_axioms(_axiom_text(spark, sf_dir))
+    return _with_fact_count(ax.declarations(axioms), axioms)
+
+
+def _with_fact_count(declared: DataFrame, axioms: DataFrame) -> DataFrame:
+    n = fx.property_sizes(ax.assertions(axioms)).withColumnRenamed("n", "n_facts")
+    return declared.join(n, "property", "left").withColumn("n_facts", F.coalesce("n_facts", F.lit(0).cast("bigint")))
 
 
 def q_property_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed schema parsed from the text, with the fact count of each property."""
     axioms = ax.parse_axioms(_axiom_text(spark, sf_dir))
-    from ..operators.schema import property_schema
     sch = property_schema(ax.domains(axioms), ax.ranges(axioms))
     return sch.join(fx.property_sizes(ax.assertions(axioms)), "property")
 
 
 def q_schema_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every declared property with kept / dropped and the reason."""
+    """Every declared property with its facts, kept / dropped and the reason."""
     axioms = ax.parse_axioms(_axiom_text(spark, sf_dir))
     rep = schema_report(ax.domains(axioms), ax.ranges(axioms))
-    return rep.select("property", "name", F.col("n_classes").cast("bigint").alias("n_classes"),
-                      "kept", "reason")
+    rep = rep.select("property", "name", F.col("n_classes").cast("bigint").alias("n_classes"), "kept", "reason")
+    return _with_fact_count(rep, axioms)
 
 
 # ---------------------------------------------------------------- facts
@@ -177,7 +191,7 @@ def q_join_two_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, schema = knowledge_graph(spark, sf_dir)
     s = score(facts, schema, candidate_rules(facts, schema, 3), "join")
-    return s.select("head", "body1", "body2", "body_size")
+    return _scored(s, ["head", "body1", "body2", "body_size"])
 
 
 def q_disconnected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +199,26 @@ def q_disconnected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, schema = knowledge_graph(spark, sf_dir)
     cl = classify(open_paths(_typed_with_facts(facts, schema)), schema)
     s = score_join(facts, schema, cl)
-    return s.select("head", "body1", "body2", "pattern", "support", "body_size", "conf",
-                    "head_coverage")
+    return _scored(s, ["head", "body1", "body2", "pattern", "support", "body_size", "conf", "head_coverage"])
+
+
+# Rules whose atoms are apart, as local names (head, body1, body2): bodies apart with one
+# connected pair (both classes, one class, on either side), and no two atoms connected.
+APART = [("did_view", "did_click", "customerIn"), ("did_view", "customerIn", "did_click"),
+         ("customerIn", "supplierIn", "did_view"), ("customerIn", "did_view", "supplierIn"),
+         ("did_view", "supplierIn", "inSegment"), ("inSegment", "did_error", "supplierIn")]
+
+
+def _apart(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([tuple(iri(n) for n in r) for r in APART], "head string, body1 string, body2 string")
+
+
+def q_apart(measure: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Rules with one connected pair (S6) or none (S8); under the binding measure no common class (M3d)."""
+        facts, schema = knowledge_graph(spark, sf_dir)
+        return _scored(score(facts, schema, _apart(spark), measure), ["pattern", *SCORE_COLUMNS])
+    return q
 
 
 # ---------------------------------------------------------------- binding measure by pattern
@@ -249,7 +281,63 @@ def q_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.materialize(facts, path, mode="overwrite")
 
 
+def q_mine_from_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axiom text to rules, the way a user starts: read a file, derive the schema, mine."""
+    axioms = _axiom_file(spark, sf_dir)
+    return mine(ax.assertions(axioms), property_schema(ax.domains(axioms), ax.ranges(axioms)), 3, "join")
+
+
+PRUNED = ["customerIn", "inSegment", "did_error"]  # properties of the pruned read
+
+
+def q_store_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all facts, read for a few properties only: the others' directories are pruned (A4)."""
+    facts, _ = knowledge_graph(spark, sf_dir)
+    path = store.store_path(spark, "facts", unique=True)
+    store.materialize(facts, path)
+    return store.read_facts(spark, path, [iri(n) for n in PRUNED])
+
+
+def q_mine_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mine from the stored facts (A5, A6, A8, N3): written once, reused, read for the typed properties only."""
+    facts, schema = knowledge_graph(spark, sf_dir)
+    path = store.store_path(spark, ax.dataset_name(sf_dir), unique=True)
+    store.materialize(facts, path)
+    kept = store.cache_facts(store.materialize(facts.limit(0), path))  # complete, so reused as it is
+    names = [r["property"] for r in schema.select("property").collect()]  # schema-level
+    out = mine(kept.where(F.col("property").isin(names)), schema, 3, "join")
+    kept.unpersist()
+    return out
+
+
+def q_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named views joined in SQL by their class columns (A7): customers and suppliers of each nation."""
+    facts, schema = knowledge_graph(spark, sf_dir)
+    store.register_views(spark, facts, schema, "kg_")
+    return spark.sql("""SELECT c.Nation AS nation, c.n AS customers, s.n AS suppliers
+        FROM (SELECT Nation, count(DISTINCT Customer) AS n FROM kg_customerIn GROUP BY Nation) c
+        JOIN (SELECT Nation, count(DISTINCT Supplier) AS n FROM kg_supplierIn GROUP BY Nation) s ON c.Nation = s.Nation""")
+
+
+def q_partitioned_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts dealt by hash and by range of the property keep their sizes (H1, H2, H3)."""
+    facts, _ = knowledge_graph(spark, sf_dir)
+    out = None
+    for name, df in (("hash", store.hash_partition(facts, 8, "property", "subject")), ("round", store.hash_partition(facts, 8)),
+                     ("range", store.range_partition(facts, 8, "property", "subject"))):
+        n = fx.property_sizes(df).withColumn("dealt", F.lit(name))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 QUERIES: dict[str, Query] = {
+    "mine_from_axioms": q_mine_from_axioms,
+    "mine_from_store": q_mine_from_store,
+    "store_pruned_read": q_store_pruned_read,
+    "views_join": q_views,
+    "partitioned_sizes": q_partitioned_sizes,
+    "join_apart": q_apart("join"),
+    "binding_apart": q_apart("binding"),
     "axioms_roundtrip": q_axioms_roundtrip,
     "domain_range_axioms": q_domain_range_axioms,
     "property_schema": q_property_schema,

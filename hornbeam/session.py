@@ -7,7 +7,6 @@ The library never creates its own session inside operators; callers pass one in.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +22,9 @@ ADAPTIVE_CONF = {
 }
 
 
+LOCAL_SCRATCH = "/tmp/hornbeam-local"  # of local sessions without spark.checkpoint.dir
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "hornbeam") -> SparkSession:
     """Local session for tests / bench. On a cluster, build the session yourself."""
@@ -42,15 +44,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when unset.
+    """Return the shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is respected
-    as-is. Only when nothing is configured (tests, a laptop) do we pick a fresh
-    scratch folder.
+    ``spark.checkpoint.dir`` names shared storage on a cluster and is respected as it is. Only a local
+    session (tests, a laptop) may go without: its driver and executors are one process, and a folder below
+    its warehouse serves them. Without a setting on a cluster this is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="hornbeam-ckpt-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"{LOCAL_SCRATCH}/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

@@ -1,23 +1,27 @@
 """Axiom text source, functional syntax.
 
-Reads one axiom per line with ``spark.read.text`` and tokenises the three kinds
-the miner uses with one regular expression per row (JVM-side, no UDF):
-
-* ``ObjectPropertyAssertion(<p> <s> <o>)``  -> a fact,
-* ``ObjectPropertyDomain(<p> C)`` / ``ObjectPropertyRange(<p> C)`` -> a declaration,
-  where ``C`` is a class IRI or an ``ObjectUnionOf(...)`` expression.
-
-Any other line keeps its leading keyword as ``axiom_type`` with null arguments,
-so it can be counted but is never parsed further. Manchester syntax and OWL/XML
-are not supported (``ValueError``).
+Reads one axiom per line with ``spark.read.text``. A line is normalised once (prefixed
+names become full IRIs) and, if it starts with one of the three keywords the miner uses, cut
+into its parts by a single regular expression (JVM-side, no UDF):
+
+* ``ObjectPropertyAssertion(p s o)``  -> a fact,
+* ``ObjectPropertyDomain(p C)`` / ``ObjectPropertyRange(p C)`` -> a declaration,
+  where ``C`` is a class or an ``ObjectUnionOf(...)`` expression.
+
+Names are full IRIs (``<...>``), prefixed names (``:a``, ``ex:a``) declared by ``Prefix(...)`` lines of
+the same read, or, as individuals, blank nodes (``_:a``, kept as they are). Any line of
+these kinds that does not have this form (annotations, other class expressions, an undeclared
+prefix) gets the axiom type ``Malformed<kind>`` with null arguments: it can be counted, and never becomes
+a fact or a declaration. Other lines keep their keyword as ``axiom_type``. Manchester syntax
+and OWL/XML are not supported (``ValueError``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import iri_col
+from ..functions.text import NAMESPACE, iri_col
 
 # Axiom kinds and the syntax names accepted.
 ASSERTION = "ObjectPropertyAssertion"
@@ -25,9 +29,17 @@ DOMAIN = "ObjectPropertyDomain"
 RANGE = "ObjectPropertyRange"
 SYNTAXES = ("functional", "fun")
 
+MALFORMED = "Malformed"
+
 _IRI = r"<[^<>\s]*>"
-_CLASS = r"<[^<>\s]*>|ObjectUnionOf\([^()]*\)"
-AXIOM_RE = (rf"^\s*({ASSERTION}|{DOMAIN}|{RANGE})\(\s*({_IRI})\s+({_CLASS})\s*({_IRI})?\s*\)\s*$")
+_NAME = r"<[^<>\s]*>|[A-Za-z][\w.-]*:[\w.-]*|:[\w.-]+"
+_BLANK = r"_:[\w.-]+"
+_KINDS = f"{ASSERTION}|{DOMAIN}|{RANGE}"
+# kind, property, first argument, second argument; one pass, parts separated by a character no line holds
+AXIOM_RE = (rf"^\s*({_KINDS})\(\s*({_NAME})\s+({_NAME}|{_BLANK}|ObjectUnionOf\([^()]*\))"
+            rf"(?:\s+({_NAME}|{_BLANK}))?\s*\)\s*$")
+SEP = "\n"
+PREFIX_RE = rf"^\s*Prefix\(\s*([A-Za-z]?[\w.-]*:)\s*=\s*({_IRI})\s*\)\s*$"
 KEYWORD_RE = r"^\s*([A-Za-z]+)\s*\("
 
 
@@ -37,29 +49,54 @@ def dataset_name(path: str) -> str:
     return base.split(".owl")[0]
 
 
+def prefixes(lines: DataFrame) -> DataFrame:
+    """``(prefix, iri)`` of the ``Prefix(...)`` lines: ontology headers, a handful of rows each."""
+    p = lines.where(F.ltrim("value").startswith("Prefix")).select(
+        F.regexp_extract("value", PREFIX_RE, 1).alias("prefix"), F.regexp_extract("value", PREFIX_RE, 2).alias("iri"))
+    return p.where("iri <> ''").groupBy("prefix").agg(F.min("iri").alias("iri"))
+
+
+def _full(c: Column, known: list[tuple[str, str]]) -> Column:
+    """A name as a full IRI; null when its prefix is not declared. Blank nodes stay."""
+    whole = F.lit(None).cast("string")
+    for prefix, name in known:
+        local = F.substring(c, F.lit(len(prefix) + 1), F.length(c))
+        whole = F.when(c.startswith(prefix), F.concat(F.lit(name[:-1]), local, F.lit(">"))).otherwise(whole)
+    return F.when(c.startswith("<") | c.startswith("_:") | c.startswith("ObjectUnionOf("), c).otherwise(whole)
+
+
 def parse_axioms(lines: DataFrame) -> DataFrame:
     """``lines(value)`` -> ``axioms(axiom_type, property, arg1, arg2)``."""
+    # the declared prefixes are needed by every line, so they are read first: ontology headers, a few rows
+    known = sorted(tuple(r) for r in prefixes(lines).collect())
     v = F.col("value")
-    kind = F.regexp_extract(v, AXIOM_RE, 1)
-    ok = kind != ""
-    grp = lambda i: F.when(ok, F.regexp_extract(v, AXIOM_RE, i))
-    arg2 = F.regexp_extract(v, AXIOM_RE, 4)
     keyword = F.regexp_extract(v, KEYWORD_RE, 1)
-    well_formed = ok & ((kind == ASSERTION) == (arg2 != ""))
-    return lines.select(
-        F.when(well_formed, kind).when(keyword != "", keyword).otherwise(F.lit("Other"))
-        .alias("axiom_type"),
-        F.when(well_formed, grp(2)).alias("property"),
-        F.when(well_formed, grp(3)).alias("arg1"),
-        F.when(well_formed & (arg2 != ""), arg2).alias("arg2"))
+
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        """Columns computed once for each row: a generator of one row, which the optimiser does not repeat."""
+        return df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+    p = once(lines.select("value"), kind=keyword, value=v)
+    ours = F.col("kind").isin(ASSERTION, DOMAIN, RANGE)
+    p = once(p, kind=F.col("kind"), ours=ours,
+             cut=F.when(ours, F.split(F.regexp_replace(v, AXIOM_RE, f"$1{SEP}$2{SEP}$3{SEP}$4"), SEP)))
+    part = lambda i: F.get("cut", i)
+    p = once(p, kind=F.col("kind"), ours=F.col("ours"), fits=F.size("cut") == 4, property=_full(part(1), known),
+             arg1=_full(part(2), known), arg2=F.when(part(3) != "", _full(part(3), known)))
+    is_fact = F.col("kind") == ASSERTION
+    good = F.col("ours") & F.coalesce(
+        F.col("fits") & F.col("property").isNotNull() & F.col("arg1").isNotNull() & (is_fact == F.col("arg2").isNotNull())
+        & ~F.when(is_fact, F.col("arg1").startswith("ObjectUnionOf(")).otherwise(F.col("arg1").startswith("_:")), F.lit(False))
+    p = once(p, kind=F.col("kind"), ours=F.col("ours"), good=good, property=F.col("property"), arg1=F.col("arg1"), arg2=F.col("arg2"))
+    name = (F.when(F.col("ours") & ~F.col("good"), F.concat(F.lit(MALFORMED), "kind"))
+            .when(F.col("kind") == "", F.lit("Other")).otherwise(F.col("kind")))
+    return p.select(name.alias("axiom_type"), *[F.when(F.col("good"), F.col(c)).alias(c) for c in ("property", "arg1", "arg2")])
 
 
 def read_axioms(spark: SparkSession, path: str, syntax: str = "functional") -> DataFrame:
     """A1/A2: axioms of a functional-syntax file (or directory of files)."""
     if syntax not in SYNTAXES:
-        if syntax in ("manch", "manchester", "owl_xml"):
-            raise ValueError(f"'{syntax}' - Not supported, yet.")
-        raise ValueError(f"Invalid syntax type: '{syntax}'")
+        raise ValueError(f"axioms are read in functional syntax only, not {syntax!r}; accepted names: {', '.join(SYNTAXES)}")
     return parse_axioms(spark.read.text(path))
 
 
@@ -85,20 +122,31 @@ def ranges(axioms: DataFrame) -> DataFrame:
     return declarations(axioms).where(F.col("axiom_type") == RANGE).select("property", "cls")
 
 
-def _as_iri(c: str) -> F.Column:
+PLAIN = r"^[A-Za-z0-9_.-]+$"  # local names that may stand behind a prefix
+
+
+def _as_iri(c: str, mixed: bool) -> Column:
+    """An individual as text; ``mixed`` by the length of its name: in full, prefixed, or as a blank node."""
     col = F.col(c)
-    return F.when(col.startswith("<"), col).otherwise(iri_col(col))
+    whole = F.when(col.startswith("<"), col).otherwise(iri_col(col))
+    if not mixed:
+        return whole
+    plain, form = col.rlike(PLAIN), F.length(col) % 3
+    return (F.when(plain & (form == 1), F.concat(F.lit(":"), col)).when(plain & (form == 2), F.concat(F.lit("_:"), col))
+            .otherwise(whole))
 
 
-def render_axioms(facts: DataFrame, decls: DataFrame) -> DataFrame:
+def render_axioms(facts: DataFrame, decls: DataFrame, mixed: bool = False) -> DataFrame:
     """Functional-syntax text ``(value)`` of facts and ``decls(axiom_type, property, cls)``.
 
-    Individuals that are not IRIs yet are put in the graph namespace.
+    Individuals that are not IRIs yet are put in the graph namespace. ``mixed`` writes them in all three forms of
+    names and adds the ``Prefix`` line that they need.
     """
     fact_lines = facts.select(F.concat(
-        F.lit(ASSERTION + "("), F.col("property"), F.lit(" "), _as_iri("subject"), F.lit(" "),
-        _as_iri("object"), F.lit(")")).alias("value"))
+        F.lit(ASSERTION + "("), F.col("property"), F.lit(" "), _as_iri("subject", mixed), F.lit(" "),
+        _as_iri("object", mixed), F.lit(")")).alias("value"))
     decl_lines = decls.select(F.concat(
         F.col("axiom_type"), F.lit("("), F.col("property"), F.lit(" "), F.col("cls"),
         F.lit(")")).alias("value"))
-    return fact_lines.unionByName(decl_lines)
+    out = fact_lines.unionByName(decl_lines)
+    return out.unionByName(out.sparkSession.createDataFrame([(f"Prefix(:=<{NAMESPACE}>)",)], "value string")) if mixed else out
