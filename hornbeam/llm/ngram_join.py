@@ -8,8 +8,9 @@ summed per pair; 64-bit n-gram hashes stand for the n-grams.
 Candidates (exact: no linked pair is missed):
 
 * equal sets are one node; only nodes are compared;
-* two sets that link share an n-gram among the first of the order of both (prefix filter);
-* of each such n-gram's holders, all are first compared with one (a star), which links most near copies;
+* two sets that link share an n-gram among the first of the order of both (prefix filter), and their sizes lie in the same or
+  adjacent bands; so holders of an n-gram meet in windows of two bands;
+* in each window all holders are first compared with one (a star), which links most near copies;
 * then holders in different components are compared with each other, each pair at the first
   n-gram it shares, in blocks, so that a group of thousands is never expanded into all pairs. Both steps first
   drop pairs whose overlap cannot suffice by their counts in ``SKETCH`` hash classes.
@@ -18,6 +19,7 @@ Candidates (exact: no linked pair is missed):
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,18 +176,17 @@ def _rule_out(percent: int):
 
 
 def _cross(percent: int):
-    """Rows ``gram, block, node, component, side, n, sketch, firsts`` sorted by gram and block; a block holds
+    """Rows ``gram, win, block, node, component, side, n, band, sketch, firsts`` sorted by the first three; a block holds
     two slices (``side`` 0 and 1, or 2 for a slice with itself). Gives pairs of different components that may
-    link and share no earlier n-gram."""
+    link, share no earlier n-gram, and whose smaller band is the window's first."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 
     def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        gram = rows[0][0]
-        node, comp, side, n = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 4, 5))
-        same = [np.frombuffer(r[6], np.uint8) if r[6] else np.full(SKETCH, 255, np.uint8) for r in rows]
-        blind = np.array([not r[6] for r in rows])
-        s = np.stack(same)
-        before = [r[7][:r[7].index(gram)] for r in rows]
+        gram, win = rows[0][:2]
+        node, comp, side, n, band = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6, 7))
+        s = np.stack([np.frombuffer(r[8], np.uint8) if r[8] else np.full(SKETCH, 255, np.uint8) for r in rows])
+        blind = np.array([not r[8] for r in rows])
+        before = [r[9][:r[9].index(gram)] for r in rows]
         names, at = np.unique([x for y in before for x in y], return_inverse=True) if any(before) else (np.zeros(0), np.zeros(0, np.int64))
         held = np.zeros((len(rows), len(names)), np.float32)
         held[np.repeat(np.arange(len(rows)), [len(y) for y in before]), at] = 1
@@ -193,7 +194,7 @@ def _cross(percent: int):
         out = []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, len(rows))
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2))]
+            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2)) & (np.minimum(band[j], band[i]) + 1 == win)]
             small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
             j = j[100 * small >= percent * large]
             if len(j) and held.shape[1]:
@@ -209,7 +210,7 @@ def _cross(percent: int):
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:2] != held[0][:2]:
+                if held and row[:3] != held[0][:3]:
                     if (found := pairs(held)) is not None:
                         yield found
                     held = []
@@ -244,16 +245,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
 
     profiles = d.mapInArrow(_profiles(shingle, percent, order), f"id {kind}, digest binary, sketch binary, firsts array<long>")
     profiles = stored(profiles.join(nodes, (profiles["digest"] == nodes["digest"]) & profiles["id"].eqNullSafe(nodes["id"]))
-                      .select("node", "n", "sketch", "firsts").dropDuplicates(["node"]), "ngram-profiles")
+                      .select("node", "n", "sketch", "firsts"), "ngram-profiles")  # a row said again is there again
     # keep of the firsts what another node holds as well (and, by chance, a little more)
     twice = profiles.select(F.explode("firsts").alias("gram")).groupBy("gram").count().where("count > 1")
     often = spark.sparkContext.broadcast(numpy_bitmap(twice, "gram", BITS))
     profiles = stored(profiles.mapInArrow(_held_twice(often), profiles.schema), "ngram-profiles")
-    holders = profiles.select(F.explode("firsts").alias("gram"), "node", "n")
+    # a little wider than the ratio of sizes of linked sets, so that rounding cannot part them by two bands
+    width = 1.0001 * math.log(100 / percent) if percent < 100 else 1.0
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    holders = profiles.select(F.explode("firsts").alias("gram"), "node", "n", band.alias("band"))
+    holders = holders.withColumn("win", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    holders = holders.withColumn("key", F.xxhash64("gram", "win"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among the pairs ``a, b, na, nb``: overlaps counted per fragment, summed per pair."""
-        pairs = cut(pairs)
+        pairs = cut(pairs.distinct())
         own = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         own = cut(nodes.join(own, "node", "left_semi").withColumn("at", F.xxhash64("id")))
         near = d.where(maybe_in(bitmap(own, "at", BITS), F.xxhash64("id"), BITS))
@@ -268,11 +274,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
         both = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("inter"))
         return both.where(enough(F.col("inter"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
-    first = holders.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    first = first.select(F.col("gram").alias("g"), F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), "k")
-    first = stored(first, "ngram-hubs")
-    star = (holders.join(first, F.col("gram") == F.col("g")).where("node <> a")
-            .where(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    first = (holders.groupBy("gram", "win").agg(F.min(F.struct("band", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("k"))
+             .where("k > 1 AND hub.band < win"))
+    first = stored(first.select(F.col("gram").alias("g"), F.col("win").alias("w"), F.xxhash64("gram", "win").alias("key"),
+                                F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), "k"), "ngram-hubs")
+    live = holders.where(maybe_in(bitmap(first, "key", BITS), F.col("key"), BITS))
+    live = stored(live.join(first.drop("key"), (F.col("gram") == F.col("g")) & (F.col("win") == F.col("w"))).where("node <> a")
+                  .select("gram", "win", "node", "n", "band", "a", "na", "k"), "ngram-holders")
+    star = (live.where(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
             .select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct())
     look = profiles.select(F.col("node").alias("x"), "sketch")
     star = (star.join(look.withColumnRenamed("sketch", "sa"), F.col("a") == F.col("x")).drop("x")
@@ -281,21 +290,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
     links = cut(verify(star))
     found = components(links)
 
-    # the rest: holders of an n-gram in different components, without its hub, which all have met
-    member = (holders.join(first.where("k > 2"), F.col("gram") == F.col("g")).where("node <> a").select("gram", "node", "k")
-              .join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    member = cut(member)
-    mixed = (member.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-             .select(F.col("gram").alias("g")))
+    # the rest: holders in different components, without their hub, which all have met
+    member = cut(live.where("k > 2").select("gram", "win", "node", "band", "k").join(found, "node", "left")
+                 .withColumn("component", F.coalesce("component", "node")))
+    mixed = (member.groupBy("gram", "win").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("band").alias("band"))
+             .where("lo < hi AND band < win").select(F.col("gram").alias("g"), F.col("win").alias("w")))
     parts = F.ceil(F.col("k") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    spread = (member.join(mixed, F.col("gram") == F.col("g")).drop("g").withColumn("parts", parts).withColumn("own", mine)
+    spread = (member.join(mixed, (F.col("gram") == F.col("g")) & (F.col("win") == F.col("w"))).withColumn("parts", parts).withColumn("own", mine)
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .withColumn("block", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
               .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
-              .select("gram", "block", "node", "component", "side"))
-    cross = (spread.join(profiles, "node").select("gram", "block", "node", "component", "side", "n", "sketch", "firsts")
-             .repartition("gram", "block").sortWithinPartitions("gram", "block")
+              .select("gram", "win", "block", "node", "component", "side", "band"))
+    cross = (spread.join(profiles, "node")
+             .select("gram", "win", "block", "node", "component", "side", "n", "band", "sketch", "firsts")
+             .repartition("gram", "win", "block").sortWithinPartitions("gram", "win", "block")
              .mapInArrow(_cross(percent), "a long, b long, na long, nb long").distinct())
     links = links.unionByName(verify(cross))
     found = components(links)
