@@ -71,3 +71,39 @@ def test_store_roundtrip_and_pruning(spark, kg):
     # ignore mode keeps the existing store
     again = store.materialize(facts.limit(1), path, mode="ignore")
     assert again.count() == facts.count()
+
+
+LINES = ["Prefix(:=<http://e#>)", "Prefix(ex:=<http://x/>)", "ObjectPropertyAssertion(<a#p> <a#s> <a#o>)", "ObjectPropertyAssertion(<a#p> _:g1 <a#o>)",
+         "ObjectPropertyAssertion(:p :a ex:b)", 'ObjectPropertyAssertion(Annotation(rdfs:comment "x") :p :a :b)', "ObjectPropertyAssertion(zz:p :a :b)",
+         "ObjectPropertyDomain(:p ObjectIntersectionOf(:A :B))", "ObjectPropertyDomain(:p :A)", "ObjectPropertyRange(:p ObjectUnionOf(:A :B))",
+         "Declaration(Class(:A))", "junk", "", "ObjectPropertyAssertion(:p :a)", "ObjectPropertyDomain(:p _:x)"]
+
+
+def test_no_line_becomes_an_empty_fact(spark):
+    axioms = ax.parse_axioms(spark.createDataFrame([(x,) for x in LINES], "value string"))
+    assert axioms.count() == len(LINES)
+    assert {tuple(r) for r in ax.assertions(axioms).collect()} == {
+        ("<a#p>", "<a#s>", "<a#o>"), ("<a#p>", "_:g1", "<a#o>"), ("<http://e#p>", "<http://e#a>", "<http://x/b>")}
+    assert {tuple(r) for r in ax.declarations(axioms).collect()} == {
+        (ax.DOMAIN, "<http://e#p>", "<http://e#A>"), (ax.RANGE, "<http://e#p>", "ObjectUnionOf(:A :B)")}
+    n = {r.axiom_type: r["count"] for r in axioms.groupBy("axiom_type").count().collect()}
+    assert (n["MalformedObjectPropertyAssertion"], n["MalformedObjectPropertyDomain"], n["Other"], n["Declaration"]) == (3, 2, 2, 1)
+
+
+def test_an_unfinished_store_is_written_again(spark, kg, tmp_path):
+    import os
+    facts, _ = kg
+    path = str(tmp_path / "store")
+    n = store.materialize(facts, path).count()
+    assert store.is_complete(spark, path) and store.materialize(facts.limit(0), path).count() == n
+    os.remove(f"{path}/_SUCCESS")
+    assert store.materialize(facts.limit(5), path).count() == 5
+
+
+def test_candidates_exchange_between_atoms(spark):
+    from hornbeam.operators.candidates import ordered_subsets
+    c = spark.createDataFrame([("domain", "k", [f"p{i}" for i in range(9)])], "kind string, cluster_id string, properties array<string>")
+    out = ordered_subsets(c, 3)
+    assert out.count() == 9 * 8 * 7
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2
