@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.llm.bpe import encode
-from hornbeam.llm.common import cut, stored
+from hornbeam.llm.common import bitmap, cut, maybe_in, stored
 from hornbeam.llm.exact_dedup import exact_duplicates
 from hornbeam.llm.mixing import mix
 from hornbeam.llm.ngram_join import jaccard_components
@@ -22,10 +22,21 @@ MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS = [3, 1, 2], 1.5, 2.0
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
+DROP_BITS = 1 << 22
+
+
 def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` less the ids of which no row of ``decided (id, kept)`` is kept. Only the dropped ids are joined."""
-    dropped = cut(decided.groupBy("id").agg(F.bool_or("kept").alias("kept")).where("NOT kept AND id IS NOT NULL").select("id"))
-    return docs.join(dropped, docs["doc_id"] == dropped["id"], "left_anti")
+    """``docs`` less the ids of which no row of ``decided (id, kept)`` is kept.
+
+    A bitmap of the dropped ids (512 KB) lets most rows through in the scan; only rows it may hold, the dropped and
+    a few others, are joined with the exact ids.
+    """
+    dropped = cut(decided.groupBy("id").agg(F.bool_or("kept").alias("kept")).where("NOT kept AND id IS NOT NULL")
+                  .select("id", F.xxhash64("id").alias("h")))
+    key = F.xxhash64(docs["doc_id"])
+    maybe = F.coalesce(maybe_in(bitmap(dropped, "h", DROP_BITS), key, DROP_BITS), F.lit(False))
+    asked = docs.where(maybe)
+    return docs.where(~maybe).unionByName(asked.join(dropped.select("id"), asked["doc_id"] == dropped["id"], "left_anti"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

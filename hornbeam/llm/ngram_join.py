@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, cut, maybe_in, numpy_bitmap, numpy_maybe_in, ship, stored
+from .common import bitmap, components, cut, discard, maybe_in, numpy_bitmap, numpy_maybe_in, ship, stored
 from .textvec import shingle_set, word_hashes
 
 SLOT_BITS = 18
 FRAGMENTS = 8
-SKETCH = 128
+SKETCH = 64
 BLOCK = 512
 BITS = 1 << 22
 
@@ -249,7 +249,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
     # keep of the firsts what another node holds as well (and, by chance, a little more)
     twice = profiles.select(F.explode("firsts").alias("gram")).groupBy("gram").count().where("count > 1")
     often = spark.sparkContext.broadcast(numpy_bitmap(twice, "gram", BITS))
-    profiles = stored(profiles.mapInArrow(_held_twice(often), profiles.schema), "ngram-profiles")
+    all_firsts, profiles = profiles, stored(profiles.mapInArrow(_held_twice(often), profiles.schema), "ngram-profiles")
+    discard(all_firsts)
     # a little wider than the ratio of sizes of linked sets, so that rounding cannot part them by two bands
     width = 1.0001 * math.log(100 / percent) if percent < 100 else 1.0
     band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
