@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numpy_bitmap, numpy_maybe_in, ship
+from .common import numpy_bitmap, numpy_maybe_in, ship, worker_cache
 from .textvec import _powers, mix64, utf8, VALUES
 
 WINDOW = 24        # bytes under the rolling hash
@@ -139,15 +139,13 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, np.frombuffer(packed, self.kind).tolist()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name: str, spec: str) -> Encoder:
     """One encoder in each Python worker."""
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(spec)
-    return _ENCODERS[name]
+    kept = worker_cache("bpe")
+    if name not in kept:
+        kept.clear()
+        kept[name] = Encoder(spec)
+    return kept[name]
 
 
 def split_chunk(text: bytes) -> tuple[bytes, bytes, bytes | None]:

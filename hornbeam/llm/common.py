@@ -7,6 +7,7 @@ all executors here has a size fixed by a parameter, never by the number of rows.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +43,20 @@ def ship(spark: SparkSession) -> None:
     sc._hornbeam_shipped = True
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps between tasks of one operator. Workers outlive a job, so the tables of other
+    operators are dropped as soon as a task of this one starts."""
+    others = [x for x in _CACHES if x != owner]
+    for x in others:
+        del _CACHES[x]
+    if others:
+        gc.collect()
+    return _CACHES.setdefault(owner, {})
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder (visible to every executor)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, cut, discard, maybe_in, numpy_bitmap, numpy_maybe_in, ship, stored
+from .common import bitmap, components, cut, discard, maybe_in, numpy_bitmap, numpy_maybe_in, ship, stored, worker_cache
 from .textvec import shingle_set, word_hashes
 
 SLOT_BITS = 18
@@ -85,6 +85,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _survey(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngram_join")
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         kind = None
         for batch in batches:

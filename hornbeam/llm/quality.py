@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, unit_hash
+from .common import cut, ship, unit_hash, worker_cache
 from .textvec import mix64, word_hashes
 
 SLOTS = 1 << 14
@@ -39,6 +39,7 @@ def slots_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("quality")
     counts = np.zeros(SLOTS + 1, np.int64)
     for batch in batches:
         for grams, _ in slots_of(batch.column(0)):
@@ -57,6 +58,7 @@ def model(texts: DataFrame) -> np.ndarray:
 
 def _weigh(ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("quality")
         r = np.append(ratio.value, 0.0)
         for batch in batches:
             out, n = [], []

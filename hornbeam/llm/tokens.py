@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, worker_cache
 
 # fixed value: the pre-token pattern of the tokenizer file's ByteLevel step
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,15 +176,13 @@ class Counter:
         return self.whole(text) if None in counts else self.whole(first) + sum(counts)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter(name: str, spec) -> Counter:
     """One counter in each Python worker: what a task has merged serves the worker's next tasks too."""
-    if name not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[name] = Counter(spec.value)
-    return _COUNTERS[name]
+    kept = worker_cache("tokens")
+    if name not in kept:
+        kept.clear()
+        kept[name] = Counter(spec.value)
+    return kept[name]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
