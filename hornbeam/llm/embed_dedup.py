@@ -4,16 +4,19 @@
 2. A first neighbour graph: nodes are sorted by the signs of a few random projections, in several seeded orders, and
    each meets the next few of every order.
 3. Rounds of neighbours-of-neighbours joins: the neighbours of each node, in both directions, meet each other, and
-   every node keeps its ``k`` nearest. Lists of hubs are dealt into parts, anew in each round.
-4. Lists that are full of links are saturated: they are enlarged to the whole component of threshold edges, whose
-   members are compared in blocks in double precision. That gives exact link counts within components without a
-   row for each pair.
-5. Recall is audited on a bounded sample of nodes against all vectors; while it is too low, the search goes on with
+   every node keeps its ``k`` nearest. Lists of hubs are dealt into parts, anew in each round. Links that were met
+   are kept as edges of components (a star for each part), also when closer neighbours push them out of a list.
+4. Lists that are full of links are saturated: they are enlarged to the whole component of threshold edges and ``k``
+   more outside of it, and orders and rounds are repeated for what is outside, until no list is full of links.
+5. The members of a component are compared in blocks in double precision. That gives exact link counts within
+   components without a row for each pair.
+6. Recall is audited on a bounded sample of nodes against all vectors; while it is too low, the search goes on with
    more orders and longer lists.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -70,7 +73,7 @@ def _orders(seeds: list[int], bits: int):
                 code = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), seed)), pa.array(code, pa.int64()), pa.array(p[:, bits].astype(np.float64)), batch.column(0),
-                     pa.array([y.tobytes() for y in x], pa.binary())], ["seed", "code", "along", "node", "v"])
+                     batch.column(2), pa.array([y.tobytes() for y in x], pa.binary())], ["seed", "code", "along", "node", "c", "v"])
     return run
 
 
@@ -82,72 +85,97 @@ def _singles(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def _adjacent(reach: int):
-    """Similarity of each row with the next ``reach`` rows of its order."""
+def _adjacent(reach: int, threshold: float):
+    """Similarity of each row with the ``reach`` rows before the run of its component in its order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed, node, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        seed, node, c, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in batches:
+            old = len(node)
             seed = np.append(seed, batch.column(0).to_numpy())
             node = np.append(node, batch.column(3).to_numpy())
-            raw += batch.column(4).to_pylist()
+            c = np.append(c, batch.column(4).to_numpy())
+            raw += batch.column(5).to_pylist()
+            if not len(node):
+                continue
             x = _singles(raw)
+            start = np.append(True, (seed[1:] != seed[:-1]) | (c[1:] != c[:-1]))
+            start = np.maximum.accumulate(np.where(start, np.arange(len(node)), 0))
             a, b, s = [], [], []
-            old = len(node) - batch.num_rows
             for step in range(1, reach + 1):
-                i = np.arange(max(old - step, 0), len(node) - step)
-                i = i[seed[i] == seed[i + step]]
-                a.append(node[i])
-                b.append(node[i + step])
-                s.append(np.einsum("ij,ij->i", x[i], x[i + step]))
-            yield _edges(np.concatenate(a), np.concatenate(b), np.concatenate(s))
-            seed, node, raw = seed[-reach:], node[-reach:], raw[-reach:]
+                i = np.arange(old, len(node))
+                i = i[start[i] >= step]
+                j = start[i] - step
+                fine = (seed[i] == seed[j]) & (c[i] != c[j])
+                i, j = i[fine], j[fine]
+                a.append(node[j])
+                b.append(node[i])
+                s.append(np.einsum("ij,ij->i", x[j], x[i]))
+            a, b, s = (np.concatenate(z) for z in (a, b, s))
+            yield _edges(a, b, s, s >= threshold - SLACK)
+            last = start[-1]  # the next batch may go on with this run: what is before it, and its own last rows
+            keep = np.append(np.arange(max(last - reach, 0), last), np.arange(max(len(node) - reach, last), len(node)))
+            seed, node, c, raw = seed[keep], node[keep], c[keep], [raw[k] for k in keep]
     return run
 
 
-def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray, tie: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.append(a, b), pa.int64()), pa.array(np.append(b, a), pa.int64()),
-                                       pa.array(np.append(s, s), pa.float32())], ["u", "v", "sim"])
+                                       pa.array(np.append(s, s), pa.float32()), pa.array(np.append(tie, np.zeros(len(tie), bool)))],
+                                      ["u", "v", "sim", "tie"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``at, part, node, least, fresh, vec`` sorted by (at, part): all pairs of a part, one of them fresh, that
-    would enter the list of one of them."""
-    held: list[tuple] = []
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
-
+def _meet(threshold: float):
+    """Rows ``at, part, node, least, fresh, c, vec`` sorted by (at, part): all pairs of a part from two components, one of
+    them fresh, that would enter the list of one of them; and as ties a star for each set of the part that links join."""
     def pairs(rows):
         node, least, fresh = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], np.float32), np.array([r[4] for r in rows])
-        x = _singles([r[5] for r in rows])
+        c = np.array([r[5] for r in rows])
+        x = _singles([r[6] for r in rows])
         s = x @ x.T
-        i, j = np.nonzero(np.triu((fresh[:, None] | fresh[None]) & (s > np.minimum(least[:, None], least[None])), 1))
-        i, j = (k[node[i] != node[j]] for k in (i, j))
-        return node[i], node[j], s[i, j]
+        apart = c[:, None] != c[None]
+        link = apart & (s >= threshold - SLACK)
+        root = np.arange(len(rows))
+        while True:
+            new = np.minimum(root, np.where(link, root[None], len(rows)).min(1))
+            if (new == root).all():
+                break
+            root = new
+        tie = np.zeros_like(link)
+        tie[root, np.arange(len(rows))] = True
+        tie &= apart
+        i, j = np.nonzero(np.triu(apart & (fresh[:, None] | fresh[None]) & (s > np.minimum(least[:, None], least[None])), 1) | tie)
+        return node[i], node[j], s[i, j], tie[i, j]
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:2] != held[0][:2]:
-                if len(held) > 1:
-                    out.append(pairs(held))
-                    size += len(out[-1][0])
-                held = []
-                if size > 50_000:
-                    yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
-                    out, size = [], 0
-            held.append(row)
-    if len(held) > 1:
-        out.append(pairs(held))
-    if out:
-        yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] != held[0][:2]:
+                    if len(held) > 1:
+                        out.append(pairs(held))
+                        size += len(out[-1][0])
+                    held = []
+                    if size > 50_000:
+                        yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+                        out, size = [], 0
+                held.append(row)
+        if len(held) > 1:
+            out.append(pairs(held))
+        if out:
+            yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
+    return run
 
 
 def nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each node with the least similarity of its list (-1 while it is not full)."""
-    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    """The ``k`` nearest of each node (``held``) with the least similarity of its list (-1 while it is not full), and all ties."""
+    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.max("tie").alias("tie"))
     w = Window.partitionBy("u")
     rank = F.row_number().over(w.orderBy(F.col("sim").desc(), "v"))
-    top = one.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.withColumn("least", F.when(F.count(F.lit(1)).over(w) < k, F.lit(-1.0)).otherwise(F.min("sim").over(w)).cast("float")).drop("rank")
+    top = one.withColumn("rank", rank).withColumn("held", F.col("rank") <= k).where("held OR tie")
+    full = F.count(F.when(F.col("held"), 1)).over(w) == k
+    return top.withColumn("least", F.when(full, F.min(F.when(F.col("held"), F.col("sim"))).over(w)).otherwise(F.lit(-1.0)).cast("float")).drop("rank")
 
 
 def _exact(threshold: float):
@@ -228,36 +256,38 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str
     total = nodes.count()
     single = stored(nodes.select("node", "v").mapInArrow(_singled, "node long, v32 binary"), "vectors")
     bits = max(1, int(math.log2(max(total, 2) / 8)))
-    found, spread = None, None
+    found, kin, graph = None, None, None
     for attempt in range(attempts):
         seeds = list(range(1, 1 + orders * 2 ** attempt))
         size = k * 2 ** attempt
-        first = (nodes.select("node", "v").mapInArrow(_orders(seeds, bits), "seed long, code long, along double, node long, v binary")
-                 .repartitionByRange("seed", "code", "along", "node").sortWithinPartitions("seed", "code", "along", "node")
-                 .mapInArrow(_adjacent(reach), "u long, v long, sim float"))
-        graph = stored(nearest(first.withColumn("fresh", F.lit(True)), size), "graph")
-        for step in range(rounds):
-            least = graph.groupBy("u").agg(F.first("least").alias("least"))
-            both = graph.select(F.col("u").alias("at"), F.col("v").alias("node"), "fresh").unionByName(
-                graph.select(F.col("v").alias("at"), F.col("u").alias("node"), "fresh"))
-            both = both.groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
-            held = both.groupBy("at").agg(F.count(F.lit(1)).alias("held"), F.max("fresh").alias("any")).where("any AND held > 1").drop("any")
-            members = (both.join(held, "at").withColumn("part", F.pmod(F.xxhash64("node", F.lit(step)),
-                                                                       F.ceil(F.col("held") / PART)).cast("int"))
-                       .join(least.withColumnRenamed("u", "node"), "node").join(single, "node")
-                       .select("at", "part", "node", "least", "fresh", "v32"))
-            met = members.repartition("at", "part").sortWithinPartitions("at", "part").mapInArrow(_meet, "u long, v long, sim float")
-            graph = stored(nearest(graph.select("u", "v", "sim", F.lit(False).alias("fresh"))
-                                   .unionByName(met.withColumn("fresh", F.lit(True))), size), "graph")
-        edges = graph.where(F.col("sim") >= threshold - SLACK).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        found = components(edges)
+        full = True
+        while full:  # each time round joins components; lists that were full of links go on outside of theirs
+            named = _named(nodes, found)
+            near = None if graph is None else _apart(graph, kin, named)
+            kin = None if near is None else stored(nearest(near.where("same").drop("same"), size).where("held").select("u", "v", "sim"), "graph")
+            first = (nodes.select("node", "v").join(named, "node").select("node", "v", "c")
+                     .mapInArrow(_orders(seeds, bits), "seed long, code long, along double, node long, c long, v binary")
+                     .repartitionByRange("seed", "code", "along", "node").sortWithinPartitions("seed", "code", "along", "node")
+                     .mapInArrow(_adjacent(reach, threshold), "u long, v long, sim float, tie boolean").withColumn("fresh", F.lit(True)))
+            graph = stored(nearest(first if near is None else first.unionByName(near.where("NOT same").drop("same")), size), "graph")
+            links = [graph]
+            for step in range(rounds):
+                graph = stored(nearest(graph.where("held").select("u", "v", "sim", F.lit(False).alias("fresh"), F.lit(False).alias("tie"))
+                                       .unionByName(_round(graph, kin, named, single, step, threshold)), size), "graph")
+                links.append(graph)
+            edges = functools.reduce(DataFrame.unionByName, links).where(F.col("tie") | (F.col("sim") >= threshold - SLACK))
+            edges = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+            if found is not None:
+                edges = edges.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            found = components(edges)
+            full = not graph.where(F.col("least") >= threshold - SLACK).isEmpty()
         spread = _blocks(nodes, found)
         exact = stored(spread.mapInArrow(_exact(threshold), "node long, root long, n long"), "links")
-        found = components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if recall(nodes, found, threshold) >= min_recall:
+        linked = components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        if recall(nodes, linked, threshold) >= min_recall:
             break
     counts = exact.groupBy("node").agg(F.sum("n").alias("n"))
-    label = nodes.drop("v").join(found, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label = nodes.drop("v").join(linked, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("least").alias("first"))
     label = (label.join(least, "component").select("same", "copies", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "first")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
@@ -268,6 +298,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str
     return some.unionByName(rest).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
 
 
+def _named(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``node, c``: the component of each node, itself where it has no links yet."""
+    if found is None:
+        return nodes.select("node", F.col("node").alias("c"))
+    return stored(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c")), "names")
+
+
+def _apart(graph: DataFrame, kin: DataFrame | None, named: DataFrame) -> DataFrame:
+    """The lists so far, ``same`` where both nodes are of one component."""
+    lists = graph.where("held").select("u", "v", "sim")
+    lists = lists if kin is None else lists.unionByName(kin)
+    name = lambda x: named.select(F.col("node").alias(x), F.col("c").alias(f"c{x}"))
+    return (lists.join(name("u"), "u").join(name("v"), "v")
+            .select("u", "v", "sim", F.lit(False).alias("fresh"), F.lit(False).alias("tie"), (F.col("cu") == F.col("cv")).alias("same")))
+
+
+def _round(graph: DataFrame, kin: DataFrame | None, named: DataFrame, single: DataFrame, step: int, threshold: float) -> DataFrame:
+    """What neighbours of a node, in both directions and of its own component or not, find by meeting each other."""
+    least = graph.groupBy("u").agg(F.first("least").alias("least"))
+    lists = graph.where("held").select("u", "v", "fresh")
+    lists = lists if kin is None else lists.unionByName(kin.select("u", "v", F.lit(False).alias("fresh")))
+    both = lists.select(F.col("u").alias("at"), F.col("v").alias("node"), "fresh").unionByName(
+        lists.select(F.col("v").alias("at"), F.col("u").alias("node"), "fresh"))
+    both = both.groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
+    held = both.groupBy("at").agg(F.count(F.lit(1)).alias("held"), F.max("fresh").alias("any")).where("any AND held > 1").drop("any")
+    members = (both.join(held, "at").withColumn("part", F.pmod(F.xxhash64("node", F.lit(step)),
+                                                               F.ceil(F.col("held") / PART)).cast("int"))
+               .join(least.withColumnRenamed("u", "node"), "node", "left").join(single.join(named, "node"), "node")
+               .select("at", "part", "node", F.coalesce("least", F.lit(-1.0).cast("float")).alias("least"), "fresh", "c", "v32"))
+    return (members.repartition("at", "part").sortWithinPartitions("at", "part")
+            .mapInArrow(_meet(threshold), "u long, v long, sim float, tie boolean").withColumn("fresh", F.lit(True)))
+
+
 def _singled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in unit(batch.column(1).to_pylist())], pa.binary())],

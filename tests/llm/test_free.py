@@ -202,6 +202,23 @@ def test_near_duplicates(spark, monkeypatch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_dense_groups_linked_across(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(900, 64))
+    base, other = r.normal(size=64), r.normal(size=64)
+    other -= base * (base @ other) / (base @ base)
+    other *= np.linalg.norm(base) / np.linalg.norm(other)
+    x[:150] = base + r.normal(size=(150, 64)) * 0.03
+    x[150:300] = 0.97 * base + math.sqrt(1 - 0.97 ** 2) * other + r.normal(size=(150, 64)) * 0.03
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near[:150, 150:300].all()
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {g.id: g for g in embed_dedup.near_duplicates(d, min_recall=0.0).collect()}  # the first search, whatever its audit says
+    assert all(got[i].n_links == n and got[i].component == (0 if i < 300 else i) for i, n in enumerate(near.sum(1)))
+
+
 def test_resample(spark):
     r = random.Random(1)
     good, bad = ["the", "of", "and", "house", "tree"], ["%%%", "###", "buy", "now", "!!!"]
