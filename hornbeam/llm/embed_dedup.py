@@ -10,8 +10,8 @@
    more outside of it, and orders and rounds are repeated for what is outside, until no list is full of links.
 5. The members of a component are compared in blocks in double precision. That gives exact link counts within
    components without a row for each pair.
-6. Recall is audited on a bounded sample of nodes against all vectors; while it is too low, the search goes on with
-   more orders and longer lists.
+6. Recall is audited, as the mean over sampled nodes that have links, against all vectors; while it is too low, the
+   search goes on with more orders and longer lists, and it is an error if it stays too low.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from .common import components, cut, ship, stored, unit_hash
 SLACK = 1e-4   # what single precision may be off; pairs this close below the threshold are compared in double
 BLOCK = 256
 PART = 64
-AUDIT = 300
+AUDIT = 300     # nodes with links that the audit wants
+SENT = 4800     # nodes that are compared with all in one pass
 SALTS = 8
 
 
@@ -222,14 +223,21 @@ def _exact(threshold: float):
 
 
 def _audit(queries, threshold: float):
+    """Rows ``node, v, c``: for each queried node its links among them, and how many of these are of its component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors = queries.value
+        names, vectors, own = queries.value
+        names, own = np.array(names), np.array(own)
+        n, hit = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         for batch in batches:
-            x = matrix([*vectors, *batch.column(1).to_pylist()])
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            i, j = np.nonzero(x[:len(names)] @ x[len(names):].T >= threshold)
-            a, b = np.array(names)[i], batch.column(0).to_numpy()[j]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b], pa.int64()), pa.array(b[a != b], pa.int64())], ["a", "b"])
+            for at in range(0, batch.num_rows, 4 * BLOCK):
+                some = batch.slice(at, 4 * BLOCK)
+                x = matrix([*vectors, *some.column(1).to_pylist()])
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                near = (x[:len(names)] @ x[len(names):].T >= threshold) & (names[:, None] != some.column(0).to_numpy()[None])
+                n += near.sum(1)
+                hit += (near & (own[:, None] == some.column(2).to_numpy()[None])).sum(1)
+        seen = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(names[seen], pa.int64()), pa.array(n[seen]), pa.array(hit[seen])], ["a", "n", "hit"])
     return run
 
 
@@ -242,8 +250,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str
     hold null or non-finite components link with nothing. ``component`` is the smallest id reachable by links, ``kept`` whether
     it is the row's own. Rows that repeat an id are rows of their own. Other columns are ignored; an empty table
     gives an empty result. The search is approximate: links between components that no found edge joins are missed;
-    its recall is audited on ``AUDIT`` nodes and the search repeated up to ``attempts`` times, each with twice the orders and
-    lists, while it is below ``min_recall``.
+    its recall is audited on ``AUDIT`` nodes that have links and the search repeated up to ``attempts`` times, each with twice
+    the orders and lists, while it is below ``min_recall``; if the last is still below, that is an error.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -284,8 +292,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str
         spread = _blocks(nodes, found)
         exact = stored(spread.mapInArrow(_exact(threshold), "node long, root long, n long"), "links")
         linked = components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        if recall(nodes, linked, threshold) >= min_recall:
+        share = recall(nodes, linked, threshold)
+        if share >= min_recall:
             break
+    else:
+        raise RuntimeError(f"links are missing: the audited recall is {share:.4f}, below {min_recall}, after {attempts} attempts")
     counts = exact.groupBy("node").agg(F.sum("n").alias("n"))
     label = nodes.drop("v").join(linked, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = label.groupBy("component").agg(F.min("least").alias("first"))
@@ -350,13 +361,21 @@ def _blocks(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def recall(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Of the links of ``AUDIT`` nodes (the first by a seeded hash) with any node, the share within one component."""
-    some = nodes.orderBy(unit_hash(1, F.col("node")), "node").limit(AUDIT).select("node", "v").collect()  # AUDIT rows
-    if not some:
-        return 1.0
-    sent = nodes.sparkSession.sparkContext.broadcast(([r["node"] for r in some], [bytes(r["v"]) for r in some]))
-    true = nodes.select("node", "v").mapInArrow(_audit(sent, threshold), "a long, b long")
-    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    m = true.join(label("a"), "a", "left").join(label("b"), "b", "left").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("ca") == F.col("cb")).cast("long")).alias("hit")).first()
-    return (m["hit"] or 0) / m["n"] if m["n"] else 1.0
+    """Mean over nodes that have links with any node of the share of these links within one component.
+
+    Nodes are drawn by a seeded hash, at most ``SENT`` at a time, until ``AUDIT`` of them have links or all are drawn."""
+    tagged = nodes.select("node", "v").join(_named(nodes, found), "node")
+    drawn = nodes.select("node", unit_hash(1, F.col("node")).alias("h"))
+    last, size, linked, share = None, AUDIT, 0, 0.0
+    while linked < AUDIT:
+        left = drawn if last is None else drawn.where((F.col("h") > last["h"]) | ((F.col("h") == last["h"]) & (F.col("node") > last["node"])))
+        names = cut(left.orderBy("h", "node").limit(size))
+        some = tagged.join(F.broadcast(names), "node").orderBy("h", "node").collect()  # at most SENT rows
+        if not some:
+            break
+        sent = nodes.sparkSession.sparkContext.broadcast(([r["node"] for r in some], [bytes(r["v"]) for r in some], [r["c"] for r in some]))
+        m = (tagged.select("node", "v", "c").mapInArrow(_audit(sent, threshold), "a long, n long, hit long")
+             .groupBy("a").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
+             .agg(F.count(F.lit(1)).alias("linked"), F.sum(F.col("hit") / F.col("n")).alias("share")).first())
+        linked, share, last, size = linked + m["linked"], share + (m["share"] or 0.0), some[-1], min(2 * size, SENT)
+    return share / linked if linked else 1.0

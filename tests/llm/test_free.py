@@ -219,6 +219,29 @@ def test_dense_groups_linked_across(spark):
     assert all(got[i].n_links == n and got[i].component == (0 if i < 300 else i) for i, n in enumerate(near.sum(1)))
 
 
+def test_recall_is_a_mean_over_nodes_with_links(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, x.tobytes()) for i, x in enumerate(np.repeat(r.normal(size=(21, 32)), [200] + [4] * 20, 0) + r.normal(size=(280, 32)) * 1e-3)]
+    nodes = spark.createDataFrame(rows, "node long, v binary")
+    found = [(i, 0) for i in range(200)] + [(i, i - i % 2) for i in range(200, 280)]  # each four split in two
+    got = embed_dedup.recall(nodes, spark.createDataFrame(found, "node long, component long"), 0.95)
+    assert got == pytest.approx((200 + 80 / 3) / 280)  # by links it would be above 0.99
+    monkeypatch.setattr(embed_dedup, "AUDIT", 5)
+    monkeypatch.setattr(embed_dedup, "SENT", 100)
+    few = [(i, x.tobytes()) for i, x in enumerate(r.normal(size=(400, 32)))]
+    few[399] = (399, few[398][1])
+    none = spark.createDataFrame([], "node long, component long")
+    assert embed_dedup.recall(spark.createDataFrame(few, "node long, v binary"), none, 0.95) == 0.0
+    assert embed_dedup.recall(spark.createDataFrame(few[:399], "node long, v binary"), none, 0.95) == 1.0
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "recall", lambda *a: 0.5)
+    d = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(5)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="0.5"):
+        embed_dedup.near_duplicates(d, attempts=1)
+
+
 def test_resample(spark):
     r = random.Random(1)
     good, bad = ["the", "of", "and", "house", "tree"], ["%%%", "###", "buy", "now", "!!!"]
