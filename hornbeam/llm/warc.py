@@ -27,17 +27,21 @@ CHUNKS = ("record_id string, record_type string, refers_to string, chunk_no long
 
 
 def plan_revisits(records: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """``record_id -> refers_to`` for records whose payload another record with a smaller id has.
+    """``id, sha -> refers_to`` for records whose payload another record with a smaller id has, one row per id and payload.
 
     Reads only ids, sizes and digests after the scan; ``records`` has ``id`` (any ordered type) and
     ``payload`` (binary). Payloads below ``min_bytes`` are never revisits.
     """
     d = cut(records.where(F.octet_length("payload") >= min_bytes)
-            .select("id", F.unhex(F.sha2("payload", 256)).alias("sha")))
+            .select("id", _sha().alias("sha")))
     first = (d.groupBy("sha").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     return (d.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-            .join(first, ["sha", "salt"]).where("id <> refers_to").select("id", "refers_to"))
+            .join(first, ["sha", "salt"]).where("id <> refers_to").groupBy("id", "sha").agg(F.min("refers_to").alias("refers_to")))
+
+
+def _sha() -> Column:
+    return F.unhex(F.sha2("payload", 256))
 
 
 def _segments(chunk_bytes: int):
@@ -93,8 +97,8 @@ def write_archives(records: DataFrame, path: str, *, id_col: str = "id", url_col
     """Write one record per row below ``path`` (a new folder, in any store Spark can write).
 
     Of equal payloads of ``min_bytes`` and more the smallest id is the response and the others are
-    revisits without a payload. A null payload is empty; a null id is written as an empty id. Rows
-    that repeat an id become records with that id. Other columns are ignored; an empty
+    revisits without a payload. A null payload is empty; a null id is written as an empty id and never a revisit. Rows
+    that repeat an id become records with that id, each by its own payload. Other columns are ignored; an empty
     table writes an empty archive. A string payload counts as its UTF-8 bytes.
     """
     ship(records.sparkSession)
@@ -102,7 +106,8 @@ def write_archives(records: DataFrame, path: str, *, id_col: str = "id", url_col
     r = records.select(F.col(id_col).alias("id"), url.cast("string").alias("url"),
                        F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     revisits = plan_revisits(r, min_bytes)
-    joined = r.join(revisits.hint("shuffle_hash"), "id", "left").select(
+    keyed = r.withColumn("sha", F.when(F.octet_length("payload") >= min_bytes, _sha()))
+    joined = keyed.join(revisits.hint("shuffle_hash"), ["id", "sha"], "left").select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "url", F.col("refers_to").cast("string"), "payload")
     (joined.mapInArrow(_segments(chunk_bytes), "value binary").select(F.col("value").cast("string"))
      .write.option("lineSep", EOL).option("compression", "gzip").text(path))
@@ -159,7 +164,7 @@ class _Reader:
         refers = h.get("WARC-Refers-To")
         total = h.get("X-Payload-Length") if refers else h.get("WARC-Segment-Total-Length")
         name = lambda x: x.removeprefix("<urn:record:").removesuffix(">")
-        self.rows.append((name(self.origin), self.kind, refers and name(refers), self.number, start, n,
+        self.rows.append((name(self.origin) or None, self.kind, refers and name(refers), self.number, start, n,
                           b"".join(self.parts) if self.keep else None, so_far, said is not None,
                           total and int(total), said,
                           None if said is None or refers else said == so_far and int(total) == self.done))
@@ -190,7 +195,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     ``digest_so_far`` is the SHA-256 of the payload up to and with this chunk; on the last row
     of a record ``payload_digest`` and ``payload_bytes`` are as its headers say and ``intact`` tells whether the
-    bytes read agree (null for revisits, which carry none). A torn record is an error, not a lost row.
+    bytes read agree (null for revisits, which carry none). An empty id is read as null. A torn record is an error, not a lost row.
     """
     ship(spark)
     lines = spark.read.option("lineSep", EOL).text(path).select(F.col("value").cast("binary"))

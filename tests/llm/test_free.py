@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from hornbeam.llm import bpe, embed_dedup, ngram_join, textvec, tokens, toxicity, warc
 from hornbeam.llm.common import shared_path
 from hornbeam.llm.quality import resample
+from hornbeam.llm.queries import op2_warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -117,6 +118,24 @@ def test_warc(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    a, b, tiny = "a" * 200, "b" * 300, "c"
+    rows = [(2, a), (5, a), (5, a), (5, b), (7, b), (7, tiny), (7, tiny), (2, a), (None, a), (None, b), (None, "d" * 150), (None, "d" * 150), (None, None)]
+    first = {a: 2, b: 5}
+    pages = spark.createDataFrame([(i, f"http://h/{n}", t) for n, (i, t) in enumerate(rows)], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    want = []
+    for i, t in rows:
+        refers = first.get(t) if i is not None and first.get(t) != i else None
+        p = (t or "").encode()
+        want.append((i, len(p), hashlib.sha256(p).hexdigest(), "response" if refers is None else "revisit", refers))
+    assert sorted(map(tuple, op2_warc(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+    path = shared_path(spark, "test")
+    warc.write_archives(pages, path, id_col="page_id", url_col="url", payload_col="html", chunk_bytes=100)
+    bodies = {bytes(x.digest, "ascii") for x in warc.read_archives(spark, path).where("is_last AND intact").select(F.col("payload_digest").alias("digest")).collect()}
+    assert bodies == {hashlib.sha256((t or "").encode()).hexdigest().encode() for _, t in rows}  # every content is in the archive
+
+
 def test_torn_archives_are_errors():
     one = b"".join(warc.record_segments("1", None, None, memoryview(b"payload"), 4))
     lines = one.replace(b"payl", b"pay").split(b"\r\n")
