@@ -43,7 +43,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards documents labelled good; what it rejects goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.where("quality = 1").select(F.col("doc_id").alias("id"))
-    return without(docs, resample(docs, good).select("id", "kept"))
+    bad = labels.where("quality = 0").select(F.col("doc_id").alias("id"))
+    return without(docs, resample(docs, good, bad_ids=bad).select("id", "kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,13 +94,33 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
         width //= 4096
 
 
+def share_like(rows: DataFrame, good: DataFrame, bad: DataFrame) -> float | None:
+    """Estimated share of ``rows`` that is like those of ``good``; None unless both classes have rows.
+
+    The cut on the log weight per word is where the kept shares of good and bad rows differ most, so a handful of
+    wrong labels and the length of texts hardly move it. The share of all rows above it is corrected by both shares."""
+    per = rows.withColumn("per", F.round(F.col("log_weight") / F.greatest("n_words", F.lit(1)), 2))
+    one = lambda ids: dict(map(tuple, per.join(F.broadcast(ids), "id", "left_semi").groupBy("per").count().collect()))
+    g, b = one(good), one(bad)  # counts by hundredths
+    if not g or not b:
+        return None
+    above = lambda counts, at: sum(n for x, n in counts.items() if x >= at) / sum(counts.values())
+    at = max(sorted(set(g) | set(b)), key=lambda x: above(g, x) - above(b, x))
+    hit, false = above(g, at), above(b, at)
+    if hit <= false:
+        return None
+    share = per.agg(F.avg((F.col("per") >= at).cast("double"))).first()[0]
+    return min(max((share - false) / (hit - false), 0.0), 1.0)
+
+
 def resample(docs: DataFrame, target_ids: DataFrame, keep: float | None = None, seed: int = 11, *, id_col: str = "doc_id",
-             text_col: str = "text", target_rows: int = TARGET_ROWS, kept_good: float = 0.999) -> DataFrame:
+             text_col: str = "text", target_rows: int = TARGET_ROWS, kept_good: float = 0.999, bad_ids: DataFrame | None = None) -> DataFrame:
     """One row per input row: ``id, log_weight, n_words, key, kept``.
 
     ``target_ids`` (column ``id``) names good documents; at most ``target_rows`` of them, the first by a seeded hash,
-    make the target model. ``keep`` is the share of all rows to keep (``k``, rounded up). Without it ``k`` is as many
-    rows as have a key no less than the share ``kept_good`` of the good ones has, so that text like the target
+    make the target model. ``keep`` is the share of all rows to keep (``k``, rounded up). Without it, ``bad_ids`` (column
+    ``id``, as many at most) gives ``k``: the share of all rows that is like the good ones, as ``share_like`` estimates it from
+    the log weights per word of both classes. Without bad rows either, ``k`` is as many rows as have a key no less than the share ``kept_good`` of the good ones has, so that text like the target
     stays whatever share of the table is not. Null and empty texts have weight 1 (log 0). Rows that
     repeat an id and text have the same key and are kept or dropped together. Without target ids all weights
     are 1 and, if ``keep`` is not given, all rows stay. Other columns are ignored; an empty table gives an
@@ -116,6 +136,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, keep: float | None = None,
     weighed = d.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), f"id {kind}, log_weight double, n_words long")
     noise = -F.log(-F.log((unit_hash(seed + 1, F.col("id")) + F.lit(0.5)) / F.lit(float(1 << 60))))
     rows = cut(weighed.withColumn("key", F.round((F.col("log_weight") + noise) * KEY_STEPS).cast("bigint")))
+    if keep is None and bad_ids is not None and not some.isEmpty():
+        bad = cut(bad_ids.select("id").distinct().orderBy(unit_hash(seed, F.col("id")), "id").limit(target_rows))
+        keep = share_like(rows, some, bad)
     if keep is None:
         good = rows.join(F.broadcast(some), "id", "left_semi").select("key")
         floor = good.agg(F.expr(f"percentile(key, {1 - kept_good})").alias("p")).first()["p"]

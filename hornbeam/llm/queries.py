@@ -31,9 +31,13 @@ def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
 
 
+def bad_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resample all documents towards those labelled good."""
-    return resample(table(spark, sf_dir, "documents"), good_ids(spark, sf_dir)).select(
+    return resample(table(spark, sf_dir, "documents"), good_ids(spark, sf_dir), bad_ids=bad_ids(spark, sf_dir)).select(
         F.col("id").alias("doc_id"), "log_weight", "n_words", "key", "kept")
 
 

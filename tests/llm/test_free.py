@@ -277,6 +277,17 @@ def test_resample(spark):
     assert resample(d.where("false"), ids).count() == 0
 
 
+def test_resample_with_wrong_labels(spark):
+    r = random.Random(4)
+    good, bad = ["the", "of", "and", "house", "tree"], ["%%%", "###", "buy", "now", "!!!"]
+    rows = [(i, " ".join(r.choice(bad if i % 5 == 0 else good) for _ in range(r.choice([40, 400])))) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = {i: int(i % 5 > 0 or i in (35, 70)) for i in range(1000) if i % 7 == 0}  # two bad rows labelled good
+    ids = [spark.createDataFrame([(i,) for i, q in labels.items() if q == quality], "id long") for quality in (1, 0)]
+    kept = {g.id for g in resample(d, ids[0], bad_ids=ids[1]).collect() if g.kept}
+    assert 780 <= len(kept) <= 820 and sum(i % 5 > 0 for i in kept) >= 780
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words, mean = [f"w{i}" for i in range(300)], ["idiot", "scum", "trash"]
