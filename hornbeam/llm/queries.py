@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .embed_dedup import near_duplicates
 from .exact_dedup import exact_duplicates
 from .bpe import encode
-from .common import shared_path
+from .common import cut, shared_path
+from .decontaminate import contamination
+from .lexical_scan import search
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .prefix_trie import ends_digest, prefix_trie, step_digest, word_count
 from .quality import resample
 from .tokens import count_tokens
 from .toxicity import score, train
@@ -106,6 +110,50 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def rebuilt_conversations(conversations: DataFrame) -> DataFrame:
+    """Steps of every conv_id c: the first h turns of conversation c - c % 20, then its own turns after its first h.
+
+    ``h`` is crc32(c) % 4. Turns are ordered by turn, null first; rows of one turn by their digest, so reruns agree. Rows
+    without a conv_id are left out.
+    """
+    t = conversations.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("bigint").alias("conv"), "turn", step_digest(F.col("role"), F.col("text")).alias("step"),
+        word_count(F.col("text")).alias("words"))
+    order = Window.partitionBy("conv").orderBy(F.asc_nulls_first("turn"), "step")
+    t = cut(t.select("conv", "step", "words", (F.row_number().over(order) - 1).cast("bigint").alias("pos")))
+    shared = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    convs = t.where("pos = 0").select("conv")
+    heads = t.where("pos < 3").select(F.col("conv").alias("base"), "pos", "step", "words")
+    given = (convs.withColumn("h", shared).where("h > 0").withColumn("base", F.col("conv") - F.col("conv") % 20)
+             .join(heads, "base").where("pos < h"))
+    roots = convs.select("conv", F.lit(-1).cast("bigint").alias("pos"), F.lit(None).cast("binary").alias("step"), F.lit(0).cast("bigint").alias("words"))
+    return roots.unionByName(given.select("conv", "pos", "step", "words")).unionByName(
+        t.where(F.col("pos") >= shared).select("conv", "pos", "step", "words"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, one row per node."""
+    nodes, ends = prefix_trie(rebuilt_conversations(table(spark, sf_dir, "conversations")))
+    return nodes.join(ends_digest(ends), ["n1", "n2"], "left").select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10).select(
+        F.col("item").alias("item_id"), "rank", F.col("doc").cast("bigint").alias("doc_id"), "score")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside 10-word windows of the benchmark."""
+    c = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["first"])
+    return c.select(F.col("id").alias("doc_id"), F.col("n_words").cast("bigint").alias("n_words"), hit.alias("n_hit"),
+                    F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                    (F.size("spans") > 0).alias("contaminated"))
+
+
 LLM_QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
@@ -117,6 +165,9 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_scan": op12_lexical_scan,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 OP4_SQL = r"""
@@ -157,8 +208,70 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+# the table of CRC-32 is computed; a conversation's node is the text of its turn digests so far
+OP11_SQL = r"""
+WITH tab AS (SELECT list(t ORDER BY i) AS crc FROM (
+       SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS t FROM range(256) r(i))),
+t AS (SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || strlen(coalesce(text, '')) || ':' || coalesce(text, ''))[1:32] AS step,
+             coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words, turn
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, step, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, step) - 1 AS pos FROM t),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                        lambda s, b: xor(crc[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT c FROM t), tab),
+r AS (SELECT h.c, -1 AS pos, '' AS step, 0 AS words FROM h
+      UNION ALL SELECT h.c, o.pos, o.step, o.words FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.pos < h.h
+      UNION ALL SELECT h.c, o.pos, o.step, o.words FROM h JOIN o ON o.c = h.c AND o.pos >= h.h),
+p AS (SELECT c, words, row_number() OVER w - 1 AS depth, md5(string_agg(step, '') OVER w) AS node,
+             row_number() OVER (PARTITION BY c ORDER BY pos DESC) = 1 AS ends
+      FROM r WINDOW w AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent FROM p),
+n AS (SELECT node, min(c) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n_convs, min(words) AS words,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+u AS (SELECT p.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens
+      FROM n LEFT JOIN k USING (node) JOIN p ON p.c = n.conv_id AND p.depth <= n.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN k USING (node) JOIN u USING (node) LEFT JOIN n AS m ON m.node = n.parent
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (SELECT item_id, term, count(*) AS reps FROM (SELECT item_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+      GROUP BY ALL),
+s AS (SELECT r, count(*) AS n FROM d GROUP BY r),
+a AS (SELECT count(*) AS texts, sum(n)::BIGINT AS total FROM s),
+f AS (SELECT r, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY term, texts),
+x AS (SELECT f.r, doc_id, item_id, sum(reps * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * texts) // total))))::BIGINT AS score
+      FROM f JOIN i USING (term) JOIN w USING (term) JOIN s USING (r), a GROUP BY ALL),
+y AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+v AS (SELECT item_id, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS s FROM b WHERE len(words) > 0),
+w AS (SELECT DISTINCT item_id, least(len(words), 10) AS k, array_to_string(words[s:s + 9], ' ') AS win FROM v),
+g AS (SELECT r, k, words, unnest(range(1, len(words) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM w)),
+o AS (SELECT r, s, g.k, item_id FROM (SELECT r, s, k, array_to_string(words[s:s + k - 1], ' ') AS win FROM g) g JOIN w ON w.k = g.k AND w.win = g.win),
+h AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS spot FROM o) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM o) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""
+
 LLM_ORACLES = {
     "op2_warc": OP2_SQL,
     "op4_mixing": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_lexical_scan": OP12_SQL,
+    "op13_decontaminate": OP13_SQL,
 }
