@@ -1,9 +1,8 @@
 """Candidate rules and their shape.
 
 A candidate is an ordered k-subset of a cluster: ``head <= body1 [^ body2]``.
-A cluster fans out atom by atom, with an exchange after the head and after the first
-body, so the n(n-1)(n-2) rules of one large cluster are made by as many tasks as there are
-partitions; the same rule coming from several clusters is kept once.
+The rules of a cluster are numbered and unranked by arithmetic, so the n(n-1)(n-2) rules of one large cluster are
+made by as many tasks as there are partitions; the same rule coming from several clusters is kept once.
 
 ``classify`` attaches the class arrays ``d0, d1, d2`` (``[dom, ran]``), the
 overlaps ``c12 = d0 ∩ d1``, ``c13 = d0 ∩ d2``, ``c23 = d1 ∩ d2`` (each in the order
@@ -15,25 +14,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import broadcast_if_small, fits, materialize_small
 
 CANDIDATE_COLUMNS = ["head", "body1", "body2"]
+RANGE = 1 << 16  # rules that one row of a range table stands for
 
 
 def ordered_subsets(clusters: DataFrame, k: int) -> DataFrame:
-    """distinct ``(head, body1, body2)``; ``body2`` is null when ``k`` = 2."""
+    """distinct ``(head, body1, body2)``; ``body2`` is null when ``k`` = 2.
+
+    The subsets of a cluster of n properties are numbered, n(n-1) or n(n-1)(n-2) of them, and a number is unranked by
+    arithmetic to the ranks of its atoms. Ranges of numbers are dealt to as many tasks as there are partitions, so one large
+    cluster is made by all of them, and exchanges carry numbers only: (cluster, first number), then the rule as property numbers.
+    """
     if k not in (2, 3):
         raise ValueError("rules have 2 or 3 atoms")
-    def others(*atoms: str) -> Column:
-        return F.explode(F.filter("properties", lambda x: ~x.isin(*[F.col(a) for a in atoms])))
-
-    heads = clusters.select("properties", F.explode("properties").alias("head")).repartition("head")
-    pairs = heads.select("properties", "head", others("head").alias("body1"))
+    spark = clusters.sparkSession
+    members = materialize_small(clusters.select("properties").withColumn("cid", F.monotonically_increasing_id())
+                                .select("cid", F.size("properties").cast("bigint").alias("n"), F.posexplode("properties").alias("rank", "property")))
+    numbers = materialize_small(members.select("property").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    small = fits(members)
+    ranks = members.join(F.broadcast(numbers) if small else numbers, "property").select("cid", F.col("rank").cast("bigint").alias("rank"), "pid")
+    n = F.col("n")
+    total = n * (n - 1) if k == 2 else n * (n - 1) * (n - 2)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    span = members.where("rank = 0").select("cid", "n", F.lit(0).cast("bigint").alias("lo"), total.alias("hi")).where("hi > 0")
+    for step in (RANGE * RANGE, RANGE):  # a given number of partitions is not merged by their few bytes
+        first = F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(step).cast("bigint")))
+        span = (span.select("cid", "n", "hi", first.alias("lo")).select("cid", "n", "lo", F.least("hi", F.col("lo") + step).alias("hi"))
+                .repartition(parts, "cid", "lo"))
+    rule = span.select("cid", "n", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("t"))
     if k == 2:
-        out = pairs.select("head", "body1", F.lit(None).cast("string").alias("body2"))
+        rule = rule.select("cid", F.expr("t div (n - 1)").alias("head"), F.expr("t % (n - 1)").alias("body1"))
     else:
-        out = pairs.repartition("head", "body1").select("head", "body1", others("head", "body1").alias("body2"))
-    return out.dropDuplicates(CANDIDATE_COLUMNS)
+        rule = rule.select("cid", F.expr("t div ((n - 1) * (n - 2))").alias("head"), F.expr("t % ((n - 1) * (n - 2)) div (n - 2)").alias("body1"),
+                           F.expr("t % (n - 2)").alias("body2"))
+    # ranks among the properties that are left, to ranks among all
+    rule = rule.withColumn("body1", F.expr("body1 + if(body1 >= head, 1, 0)"))
+    atoms = CANDIDATE_COLUMNS[:k]
+    if k == 3:
+        rule = (rule.withColumn("body2", F.expr("body2 + if(body2 >= least(head, body1), 1, 0)"))
+                .withColumn("body2", F.expr("body2 + if(body2 >= greatest(head, body1), 1, 0)")))
+    for a in atoms:
+        at = ranks.select(F.col("cid").alias("_cid"), F.col("rank").alias("_rank"), F.col("pid").alias(f"{a}_id"))
+        at = F.broadcast(at) if small else at
+        rule = rule.join(at, (F.col("cid") == F.col("_cid")) & (F.col(a) == F.col("_rank"))).drop("_cid", "_rank", a)
+    rule = rule.select(*[f"{a}_id" for a in atoms]).distinct()
+    for a in atoms:
+        names = numbers.select(F.col("pid").alias(f"{a}_id"), F.col("property").alias(a))
+        rule = rule.join(F.broadcast(names) if small else names, f"{a}_id")
+    return rule.select("head", "body1", F.col("body2") if k == 3 else F.lit(None).cast("string").alias("body2"))
 
 
 def connected_triples(schema: DataFrame) -> DataFrame:

@@ -20,13 +20,17 @@ M4         |other_K(r0,V) ∩ other_K(r1,V)|, K = c12[0]   |r1|
 K is the first class common to all three atoms, in the head's order. A 0
 denominator counts as 1 for three atoms. Head coverage = support / |r0|.
 
-No exchange is keyed by a request. Facts are regrouped twice, whatever the number of rules:
+Facts are regrouped twice, whatever the number of rules, and every fact-level exchange carries plain columns only:
 
-* by key: one row per value with the set of (property, class) pairs that hold it. ``V`` of a
-  request is then a containment test on that row;
-* by ``other``: every fact side, tagged with its key's set, gives its other value a set of
-  (property, class, key's set) entries. Whether a value lies in both ``other`` sets of a
-  request is again a test on one row.
+* **Key sets.** A value (key) is held by a set of (property, class) pairs. Two order-free 64-bit hashes over its pairs name
+  the set, so keys with one set share a name. The distinct sets form a dictionary with the number of keys of each, its pairs
+  read from one representative key. ``V`` of a request is a containment test once per distinct set.
+* **Entry sets.** Each fact gives its other value an entry (property, class, name of the key's set). Distinct entries of an ``other``
+  value name its entry set in the same way, and a second dictionary counts the values of each. Whether a value lies in
+  both ``other`` sets of a request is tested once per distinct entry set.
+
+The facts of one hot key meet its set's name in parts (``dealing``); a hot ``other`` value is counted by its distinct entries, each an
+exchange key of its own.
 
 Requests are canonical (sorted members), computed once for all rules that share them, and
 counted with partial aggregation: one row per request and task. ``one_object_per_subject=True``
@@ -45,6 +49,7 @@ from ..functions.sizing import (MAX_BROADCAST_BYTES, empty_like, materialize_sma
                                spread_join)
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
+from .dealing import Heavy
 from .measure_join import _attach
 
 
@@ -56,12 +61,13 @@ def _member(p: Column, c: Column) -> Column:
     return F.struct(p.alias("p"), c.alias("c"))
 
 
-MEMBERS = "array<struct<p:string,c:string>>"
-TAG_PARTS = 8  # parts in which the facts of one hot key meet the key's set
+def _named_sets(rows: DataFrame, key: str, entry: list[str], names: tuple[str, str], *more: Column) -> DataFrame:
+    """``key`` with the name of the set of its distinct rows ``entry``: two order-free hashes, 128 bits together."""
+    return rows.groupBy(key).agg(*[F.bit_xor(F.xxhash64(F.lit(seed), *entry)).alias(n) for seed, n in enumerate(names)], *more)
 
 
 class BindingContext:
-    """Key rows and other rows of the binding measure, from the distinct facts."""
+    """Dictionary of key sets, and entries of other values, from the distinct facts."""
 
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
                  one_object_per_subject: bool = False, sizes: DataFrame | None = None,
@@ -74,48 +80,59 @@ class BindingContext:
             own = (own.groupBy("property", "dom", "ran", "subject")
                    .agg(F.max("object").alias("object")))
         self.small = small
-        side = own.select(F.inline(F.array(
+        self.side = own.select(F.inline(F.array(
             F.struct(F.col("property").alias("p"), F.col("dom").alias("c"),
                      F.col("subject").alias("key"), F.col("object").alias("other")),
             F.struct(F.col("property").alias("p"), F.col("ran").alias("c"),
                      F.col("object").alias("key"), F.col("subject").alias("other")))))
-        self.side = side
-        # collect_set aggregates before the exchange; a key's set is bounded by the properties
-        self.keys = (side.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("p", "c"))).alias("held"))
+        # Distinct values of each column, with the facts behind them (partial counts before the exchange)
+        self.held = (self.side.groupBy("key", "p", "c").agg(F.count(F.lit(1)).alias("n"))
                      .persist(StorageLevel.MEMORY_AND_DISK))
+        self.keys = _named_sets(self.held, "key", ["p", "c"], ("s1", "s2"), F.sum("n").alias("n"))
+        self.sets = self._dictionary(self.keys, self.held, "key", ("s1", "s2")).groupBy("s1", "s2", "n").agg(
+            F.collect_list(F.struct("p", "c")).alias("held")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.entries: DataFrame | None = None
         self.bag_sizes = sizes if sizes is not None else fx.property_sizes(facts)
 
+    @staticmethod
+    def _dictionary(named: DataFrame, rows: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+        """The rows of one representative key of each distinct set, with the set's name and the number ``n`` of its keys."""
+        sets = named.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("_rep"))
+        return rows.drop("n").join(sets, F.col(key) == F.col("_rep")).drop(key, "_rep")
+
     def release(self) -> None:
-        self.keys.unpersist()
+        for df in (self.held, self.sets, self.entries):
+            if df is not None:
+                df.unpersist()
+
+    def holding(self, req: DataFrame) -> DataFrame:
+        """``(members, s1, s2, n)``: the sets that hold every member of a request, and their numbers of keys."""
+        r = req.select("members").distinct().withColumn("first", F.get("members", 0))
+        k = self.sets.select("s1", "s2", "n", "held", F.explode("held").alias("one"))
+        return (spread_join(k, r, [("one", "first")], ["s1"], self.small)
+                .where(F.size(F.array_except("members", "held")) == 0).select("members", "s1", "s2", "n"))
 
     def set_sizes(self, req: DataFrame) -> DataFrame:
         """``req(members)`` -> ``(members, value)``: number of keys held by every member."""
-        r = req.select("members").distinct().withColumn("first", F.get("members", 0))
-        k = self.keys.select("key", "held", F.explode("held").alias("one"))
-        hit = (spread_join(k, r, [("one", "first")], ["key"], self.small)
-               .where(F.size(F.array_except("members", "held")) == 0))
-        return hit.groupBy("members").agg(F.count(F.lit(1)).alias("value"))
+        return self.holding(req).groupBy("members").agg(F.sum("n").alias("value"))
+
+    def other_sets(self) -> DataFrame:
+        """Dictionary of entry sets ``(o1, o2, n, p, c, s1, s2)``: one row per entry of a set that ``n`` other values have."""
+        heavy = Heavy(self.keys.select("key", "n"), ["key"])
+        names = heavy.deal(self.keys.drop("n"), ["key"], None)
+        tagged = heavy.deal(self.side, ["key"], ["p", "c", "other"]).join(names, ["key", "_part"])
+        self.entries = tagged.select("other", "p", "c", "s1", "s2").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        others = _named_sets(self.entries, "other", ["p", "c", "s1", "s2"], ("o1", "o2"))
+        return self._dictionary(others, self.entries, "other", ("o1", "o2"))
 
     def other_overlap(self, req: DataFrame) -> DataFrame:
         """``req(members, a, b, K)`` -> value = |other_K(a, V) ∩ other_K(b, V)|."""
         req = req.select("members", "a", "b", "K").distinct()
-        held = self.keys.select(F.col("key").alias("_k"), "held", F.explode(
-            F.sequence(F.lit(0), F.lit(TAG_PARTS - 1))).alias("_copy"))
-        side = self.side.withColumn("_part", F.pmod(F.xxhash64("p", "c", "other"), F.lit(TAG_PARTS)).cast("int"))
-        tagged = (side.join(held, (F.col("key") == F.col("_k")) & (F.col("_part") == F.col("_copy")))
-                  .select("other", F.struct("p", "c", "held").alias("entry")))
-        rows = tagged.groupBy("other").agg(F.collect_set("entry").alias("entries"))
-        rows = rows.select("other", "entries", F.explode(F.array_distinct(F.transform(
-            "entries", lambda e: F.struct(e["p"].alias("p"), e["c"].alias("c"))))).alias("one"))
-        rows = rows.select("other", "entries", F.col("one.p").alias("_a"), F.col("one.c").alias("_K"))
-        j = spread_join(rows, req, [("_a", "a"), ("_K", "K")], ["other"], self.small)
-
-        def reached(atom: str) -> Column:
-            return F.exists("entries", lambda e: (e["p"] == F.col(atom)) & (e["c"] == F.col("K"))
-                            & (F.size(F.array_except(F.col("members"), e["held"])) == 0))
-
-        return (j.where(reached("a") & reached("b")).groupBy("members", "a", "b", "K")
-                .agg(F.count(F.lit(1)).alias("value")))
+        asked = (self.holding(req).drop("n").join(req, "members")
+                 .select("members", "a", "b", "K", "s1", "s2", F.explode(F.array_distinct(F.array("a", "b"))).alias("p"), F.col("K").alias("c")))
+        met = self.other_sets().join(asked, ["p", "c", "s1", "s2"]).groupBy("members", "a", "b", "K", "o1", "o2", "n").agg(
+            F.max(F.col("p") == F.col("a")).alias("in_a"), F.max(F.col("p") == F.col("b")).alias("in_b"))
+        return met.where("in_a AND in_b").groupBy("members", "a", "b", "K").agg(F.sum("n").alias("value"))
 
 
 def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
@@ -127,6 +144,8 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     head_coverage)``.
     """
     cl = classified
+    kind = dict(cl.dtypes)["head"]  # names, or their ids
+    members_kind = f"array<struct<p:{kind},c:{kind}>>"
     pb = F.col("pattern_binding")
     h, b1, b2 = F.col("head"), F.col("body1"), F.col("body2")
 
@@ -162,10 +181,10 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
                 .unionByName(b.where(F.col("den_members").isNotNull())
                              .select(F.col("den_members").alias("members"))))
     sizes = (materialize_small(ctx.set_sizes(size_req)) if has["members"]
-             else empty_like(b, f"members {MEMBERS}, value long"))
+             else empty_like(b, f"members {members_kind}, value long"))
     oo_vals = (materialize_small(ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
         "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K")))) if has["oa"]
-        else empty_like(b, f"members {MEMBERS}, a string, b string, K string, value long"))
+        else empty_like(b, f"members {members_kind}, a {kind}, b {kind}, K {kind}, value long"))
     ctx.release()
     r = _attach(b, sizes, [(F.when(is_set, F.col("members")), "members")], "v_set")
     r = _attach(r, sizes, [(F.col("den_members"), "members")], "v_den")

@@ -14,7 +14,8 @@ S3             sum over pair(r0, r2) rows of deg(r1, C, value at C)
 S5b            sum over pair(r1, r2) rows of deg(r0, C, value at C)
 S4_star / S5a  sum over keys k of class K of deg(r0,K,k) * deg(r1,K,k) * deg(r2,K,k)
 S4_triangle    rows of the three-way equi-join (no degree form); joined from the
-               pivot class with the fewest wedges, computed from degrees first
+               pivot class with the fewest wedges, computed from degrees first, heavy
+               pivot values in a grid of parts or from their closing edges
 S6             body atoms unconnected: head-path / cross-product form from degrees
 S7 / S8        0 (head not connected / nothing shared)
 =============  =====================================================================
@@ -41,11 +42,13 @@ from ..functions.sizing import (MAX_BROADCAST_BYTES, empty_like, materialize_sma
                                spread_join)
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
+from .dealing import Heavy
 
 DEC = "decimal(38,0)"
 PAIR_PATTERNS = ("S1", "S2", "S3", "S5b")
 STAR_PATTERNS = ("S4_star", "S5a")
-WEDGE_PART = 1024  # facts of an edge at one pivot value that meet the other edge in one part
+WEDGE_PART = 4096  # facts of an edge at one pivot value that meet the other edge in one cell
+TURN = 1.0  # wedges of a pivot value for each closing fact, from which it is joined along the closing edge
 
 
 def _first(c: str) -> Column:
@@ -83,6 +86,7 @@ class JoinContext:
         self.side = fx.sides(self.fsets)
         self.deg = fx.degrees(self.side)
         self.dmap = fx.degree_maps(self.deg).persist(StorageLevel.MEMORY_AND_DISK)
+        self._heavy: Heavy | None = None
         self.bag_sizes = sizes if sizes is not None else fx.property_sizes(facts)
 
     def release(self) -> None:
@@ -138,21 +142,35 @@ class JoinContext:
         term = F.col("na").cast(DEC) * nb * nc
         return j.groupBy("a", "b", "c", "K").agg(F.sum(term).alias("value"))
 
+    # -- values with very many facts
+
+    def heavy(self) -> Heavy:
+        if self._heavy is None:
+            total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, b: a + b)
+            self._heavy = Heavy(self.dmap.select("cls", "key", total.alias("n")), ["cls", "key"])
+        return self._heavy
+
+    def with_degrees(self, rows: DataFrame, cls: str, key: str, by: str, name: str) -> DataFrame:
+        """Inner join of fact rows with the degree map of ``(cls, key)`` as ``name``. The facts of a heavy value meet copies of its
+        (small) map in parts, by their ``by`` value, so no value is one task."""
+        at = self.heavy().deal(self.dmap, ["cls", "key"], None).select(
+            F.col("cls").alias("_c"), F.col("key").alias("_k"), F.col("_part").alias("_p"), F.col("m").alias(name))
+        r = self.heavy().deal(rows, [cls, key], [by])
+        cond = (F.col(cls) == F.col("_c")) & (F.col(key) == F.col("_k")) & (F.col("_part") == F.col("_p"))
+        return r.join(at, cond).drop("_c", "_k", "_p", "_part")
+
     def head_path(self, req: DataFrame) -> DataFrame:
         """``req(h, K1, K2, p, q)`` -> sum over distinct facts of h of deg(p,K1,.)*deg(q,K2,.).
 
-        The head's facts are read from their K1 side, whose ``other`` is the value at K2.
+        The head's facts are read from their K1 side, whose ``other`` is the value at K2; those of a heavy value at either
+        end are dealt into parts.
         """
         r = req.select("h", "K1", "K2", "p", "q").distinct()
         s = spread_join(self.side, r, [("property", "h"), ("cls", "K1")], ["key", "other"], self.small)
         s = s.select("h", "K1", "K2", "p", "q", F.col("key").alias("v1"), F.col("other").alias("v2"))
-        m1 = self.dmap.select(F.col("cls").alias("c1"), F.col("key").alias("key1"),
-                              F.col("m").alias("m1"))
-        m2 = self.dmap.select(F.col("cls").alias("c2"), F.col("key").alias("key2"),
-                              F.col("m").alias("m2"))
-        j = s.join(m1, (s["K1"] == m1["c1"]) & (s["v1"] == m1["key1"]))
-        j = j.join(m2, (j["K2"] == m2["c2"]) & (j["v2"] == m2["key2"]))
-        term = _lookup("m1", F.col("p")).cast(DEC) * _lookup("m2", F.col("q")).cast(DEC)
+        j = self.with_degrees(s, "K1", "v1", "v2", "_m").withColumn("n1", _lookup("_m", F.col("p"))).where("n1 IS NOT NULL").drop("_m")
+        j = self.with_degrees(j, "K2", "v2", "v1", "_m")
+        term = F.col("n1").cast(DEC) * _lookup("_m", F.col("q")).cast(DEC)
         return j.groupBy("h", "K1", "K2", "p", "q").agg(F.sum(term).alias("value"))
 
     def triangles(self, req: DataFrame) -> DataFrame:
@@ -161,55 +179,70 @@ class JoinContext:
         ``e0`` holds classes {X, Y}, ``e1`` {X, Z}, ``e2`` {Y, Z}; a request is canonical
         (``e0 < e1 < e2``), so each triangle is joined once for all rules over it. The wedge
         count of each pivot class is a degree dot product; the join runs from
-        the pivot with the fewest wedges. Both edges are first reduced to facts whose pivot
-        value the other edge holds and whose far value the closing edge holds. Then the edges meet on (pivot
-        value, part): the second edge's facts at a value are dealt into parts of about
-        ``WEDGE_PART``, and each of the first edge's meets every part, so a value that is heavy in both
-        spreads over tasks. Wedges are closed by an exact match on the third
-        property's (key, other).
+        the pivot with the fewest wedges (``edges``), each pivot value in the cheaper of two ways:
+
+        * its wedges are closed by an exact match on the third property's facts (``grid``);
+        * a value with more wedges than there are closing facts is joined along these instead: each first edge meets the
+          closing facts at its far value, and the second edge closes. At most all closing facts are met for one such value.
         """
         keys = ["e0", "e1", "e2", "X", "Y", "Z"]
         req = materialize_small(req.select(*keys).distinct().withColumn("tid", F.monotonically_increasing_id()))
+        plan = self.pivots(req)
+        a_rows, b_rows = self.edges(plan)
+        c_rows = spread_join(self.side, plan, [("property", "pc"), ("cls", "cu")], ["key", "other"], self.small).select(
+            "tid", "cu", F.col("key").alias("u"), F.col("other").alias("w"))
+        turned = F.col("na").cast("double") * F.col("nb") > TURN * F.col("nc")
+        a_grid, b_grid = self.grid(a_rows.where(~turned), b_rows.where(~turned))
+        closed = a_grid.join(b_grid, ["tid", "pk", "i", "j"]).join(c_rows, ["tid", "u", "w"]).select("tid")
+        # the first edges of a turned pivot meet the closing facts at u, dealt by w when u is heavy
+        hub = self.heavy().deal(a_rows.where(turned).select("tid", "cu", "pk", "u"), ["cu", "u"], None)
+        along = hub.join(self.heavy().deal(c_rows, ["cu", "u"], ["w"]), ["tid", "cu", "u", "_part"]).select("tid", "pk", "w")
+        along = along.join(b_rows.where(turned).select("tid", "pk", "w"), ["tid", "pk", "w"]).select("tid")
+        counted = closed.unionByName(along).groupBy("tid").agg(F.count(F.lit(1)).cast(DEC).alias("value"))
+        return req.join(counted, "tid", "left").select(*keys, F.coalesce("value", F.lit(0).cast(DEC)).alias("value"))
+
+    def pivots(self, req: DataFrame) -> DataFrame:
+        """The plan of each request: pivot class ``P``, edges ``pa`` and ``pb`` with far classes ``cu`` and ``cw``, closing property
+        ``pc`` and its number of facts ``nc``."""
         opts = [("X", "e0", "e1", "Y", "Z", "e2"),
                 ("Y", "e0", "e2", "X", "Z", "e1"),
                 ("Z", "e1", "e2", "X", "Y", "e0")]
         cands = req.select("tid", F.inline(F.array(*[F.struct(
-            F.col(piv).alias("P"), F.col(a).alias("pa"), F.col(b).alias("pb"), F.col(ua).alias("U"),
-            F.col(ub).alias("W"), F.col(c).alias("pc")) for piv, a, b, ua, ub, c in opts])))
+            F.col(piv).alias("P"), F.col(a).alias("pa"), F.col(b).alias("pb"), F.col(ua).alias("cu"),
+            F.col(ub).alias("cw"), F.col(c).alias("pc")) for piv, a, b, ua, ub, c in opts])))
         dots = self.deg_products(cands.select(F.col("pa").alias("a"), F.col("pb").alias("b"),
-                                              F.lit(None).cast("string").alias("c"), F.col("P").alias("K")))
+                                              F.lit(None).cast(dict(req.dtypes)["e0"]).alias("c"), F.col("P").alias("K")))
         costed = cands.join(dots.select(F.col("a").alias("pa"), F.col("b").alias("pb"),
                                         F.col("K").alias("P"), F.col("value").alias("wedges")),
                             ["pa", "pb", "P"], "left")
-        plan = materialize_small(
-            costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC))).groupBy("tid")
-            .agg(F.min_by(F.struct("P", "pa", "pb", "U", "W", "pc"), "wedges").alias("best")).select("tid", "best.*"))
-
-        def edge(p: str, c: str, far: str, partner: str, far_class: str) -> DataFrame:
-            """Facts of ``plan[p]`` seen from class ``plan[c]`` that a partner and the closing edge can meet."""
-            rows = spread_join(self.side, plan, [("property", p), ("cls", c)], ["key", "other"], self.small).select(
-                "tid", F.col("key").alias("pk"), F.col("other").alias(far), c, F.col(partner).alias("_q"),
-                F.col(far_class).alias("_far"), "pc")
-            at = self.dmap.select(F.col("cls").alias("_c"), F.col("key").alias("_k"), F.col("m").alias("_m"))
-            rows = (rows.join(at, (F.col(c) == F.col("_c")) & (F.col("pk") == F.col("_k")))
-                    .withColumn("n", _lookup("_m", F.col("_q"))).where("n IS NOT NULL")
-                    .select("tid", "pk", far, "_far", "pc", "n"))
-            return (rows.join(at, (F.col("_far") == F.col("_c")) & (F.col(far) == F.col("_k")))
-                    .where(_lookup("_m", F.col("pc")).isNotNull()).select("tid", "pk", far, "n"))
-
-        a_rows = edge("pa", "P", "u", "pb", "U")
-        b_rows = edge("pb", "P", "w", "pa", "W")
-        c_rows = spread_join(self.side, plan, [("property", "pc"), ("cls", "U")], ["key", "other"], self.small).select(
-            "tid", F.col("key").alias("u"), F.col("other").alias("w"))
-        # n of an a-row is the number of b-facts at its pivot value; a b-row learns it with its pivot value
-        parts = F.ceil(F.col("n") / WEDGE_PART).cast("int")
-        held = a_rows.groupBy("tid", "pk").agg(F.max(parts).alias("parts"))
-        b_rows = (b_rows.drop("n").join(held, ["tid", "pk"])
-                  .select("tid", "pk", "w", F.pmod(F.xxhash64("w"), F.col("parts")).cast("int").alias("part")))
-        a_rows = a_rows.select("tid", "pk", "u", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        closed = a_rows.join(b_rows, ["tid", "pk", "part"]).join(c_rows, ["tid", "u", "w"])
-        counted = closed.groupBy("tid").agg(F.count(F.lit(1)).cast(DEC).alias("value"))
-        return req.join(counted, "tid", "left").select(*keys, F.coalesce("value", F.lit(0).cast(DEC)).alias("value"))
+        best = (costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC))).groupBy("tid")
+                .agg(F.min_by(F.struct("P", "pa", "pb", "cu", "cw", "pc"), "wedges").alias("best")).select("tid", "best.*"))
+        sizes = self.distinct_sizes().select(F.col("property").alias("pc"), F.col("n").alias("nc"))
+        return materialize_small(best.join(sizes, "pc", "left").withColumn("nc", F.coalesce("nc", F.lit(0).cast("bigint"))))
+
+    def edges(self, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Facts of both edges ``(tid, cu, nc, pk, u or w, na, nb)`` that the other edge meets at the pivot value ``pk`` and the closing
+        property at the far value; ``na`` and ``nb`` are the facts of the edges at ``pk``, known to both sides alike."""
+        def edge(p: str, far: str, far_class: str) -> DataFrame:
+            rows = spread_join(self.side, plan, [("property", p), ("cls", "P")], ["key", "other"], self.small).select(
+                "tid", "pa", "pb", "pc", "nc", "P", "cu", F.col("key").alias("pk"), F.col("other").alias(far), F.col(far_class).alias("_far"))
+            rows = (self.with_degrees(rows, "P", "pk", far, "_m")
+                    .withColumn("na", _lookup("_m", F.col("pa"))).withColumn("nb", _lookup("_m", F.col("pb")))
+                    .where("na IS NOT NULL AND nb IS NOT NULL").drop("_m"))
+            rows = self.with_degrees(rows, "_far", far, "pk", "_m").where(_lookup("_m", F.col("pc")).isNotNull())
+            return rows.select("tid", "cu", "nc", "pk", far, "na", "nb")
+
+        return edge("pa", "u", "cu"), edge("pb", "w", "cw")
+
+    @staticmethod
+    def grid(a_rows: DataFrame, b_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both edges of a pivot value dealt into a grid: ``i`` numbers the row parts of the first edge's facts, ``j`` the column parts of
+        the second's, about ``WEDGE_PART`` facts each; each fact is in all cells of its row or column, so a cell reads two parts."""
+        rows, columns = (F.ceil(F.col(n) / WEDGE_PART).cast("int") for n in ("na", "nb"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        a = a_rows.select("tid", "pk", "u", F.pmod(F.xxhash64("u"), rows).cast("int").alias("i"), every(columns).alias("j"))
+        b = b_rows.select("tid", "pk", "w", every(rows).alias("i"), F.pmod(F.xxhash64("w"), columns).cast("int").alias("j"))
+        return a, b
 
 
 # --------------------------------------------------------------------------
@@ -246,7 +279,8 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     cl = classified
     pj = F.col("pattern_join")
     three = F.col("body2").isNotNull()
-    none = F.lit(None).cast("string")
+    kind = dict(cl.dtypes)["head"]  # names, or their ids
+    none = F.lit(None).cast(kind)
 
     # pair-based supports (S1, S2, S3, S5b): pair(x, y) against deg(z) on class C
     is_pair = pj.isin(*PAIR_PATTERNS)
@@ -311,7 +345,7 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
 
     def values(needed: int, keys: str, make) -> DataFrame:
         if not needed:
-            return empty_like(b, ", ".join(f"{k} string" for k in keys.split()) + f", value {DEC}")
+            return empty_like(b, ", ".join(f"{k} {kind}" for k in keys.split()) + f", value {DEC}")
         return materialize_small(make())
 
     def some(column: str, **names: str) -> DataFrame:
@@ -329,7 +363,7 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     tri_vals = values(has["X"], "e0 e1 e2 X Y Z", lambda: ctx.triangles(
         some("X", e0="e0", e1="e1", e2="e2", X="X", Y="Y", Z="Z")))
     third = (materialize_small(ctx.distinct_sizes()) if has["s6_third"]
-             else empty_like(b, "property string, n long"))
+             else empty_like(b, f"property {kind}, n long"))
     ctx.release()
     r = _attach(b, pair_vals, [(F.col("px"), "x"), (F.col("py"), "y"), (F.col("pC"), "C"),
                                (F.col("pz"), "z")], "v_pairdeg")
@@ -354,11 +388,11 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
                "s6_third", "left")
 
     pat = F.col("pattern")
-    kind = F.col("s6_kind")
+    s6 = F.col("s6_kind")
     zero = F.lit(0).cast(DEC)
-    s6_support = (F.when(kind == "path", F.col("v_path"))
-                  .when(kind == "pairx", F.col("v_paircnt") * F.col("third_distinct"))
-                  .when(kind == "dotx", F.col("v_dot") * F.col("third_distinct")))
+    s6_support = (F.when(s6 == "path", F.col("v_path"))
+                  .when(s6 == "pairx", F.col("v_paircnt") * F.col("third_distinct"))
+                  .when(s6 == "dotx", F.col("v_dot") * F.col("third_distinct")))
     support = (F.when(pat == "P2", F.col("v_paircnt"))
                .when(pat.isin(*PAIR_PATTERNS), F.col("v_pairdeg"))
                .when(pat.isin(*STAR_PATTERNS), F.col("v_star"))

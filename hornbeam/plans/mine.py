@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import MIN_CONF, MIN_HEAD_COVERAGE
-from ..functions.sizing import materialize_small
-from ..operators.candidates import classify, ordered_subsets
+from ..functions.ids import NameIds
+from ..functions.sizing import broadcast_if_small, materialize_small
+from ..operators.candidates import CANDIDATE_COLUMNS, classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
 from ..operators.facts import counted_facts, property_sizes, sizes_from_counts, typed_counts
 from ..operators.measure_binding import score_binding
@@ -42,21 +43,31 @@ def candidate_rules(facts: DataFrame, schema: DataFrame, atoms: int = 3,
 
 
 def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: str = "join",
-          one_object_per_subject: bool = False, sizes: DataFrame | None = None,
-          counts: DataFrame | None = None) -> DataFrame:
-    """Scores of every candidate, before thresholds.
-
-    ``sizes`` (bag size per property) may be passed in when the caller already
-    has it, so the fact table is aggregated once.
-    """
+          one_object_per_subject: bool = False) -> DataFrame:
+    """Scores of every candidate, before thresholds."""
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
     if measure == "join" and one_object_per_subject:
         raise ValueError("one_object_per_subject is a view of the binding measure only")
-    classified = classify(candidates, schema)
-    if measure == "join":
-        return score_join(facts, schema, classified, sizes, counts)
-    return score_binding(facts, schema, classified, one_object_per_subject, sizes, counts)
+    return score_classified(facts, schema, classify(candidates, schema), measure, one_object_per_subject)
+
+
+def score_classified(facts: DataFrame, schema: DataFrame, classified: DataFrame, measure: str = "join",
+                     one_object_per_subject: bool = False, ids: NameIds | None = None,
+                     sizes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Scores of ``classify``'s rows. The measures work on ids; the names come back on the scored rules.
+
+    ``sizes`` and ``counts`` (of ``ids``) may be passed in when the caller already has them.
+    """
+    ids = ids or NameIds(facts, schema)
+    own = ids.facts(facts)
+    if one_object_per_subject:  # the largest object by name, so before names become ids; sizes stay those of all facts
+        sizes = sizes if sizes is not None else property_sizes(own)
+        own = ids.facts(facts.groupBy("property", "subject").agg(F.max("object").alias("object")))
+    rules, typed = ids.rules(classified), ids.schema(schema)
+    scored = (score_join(own, typed, rules, sizes, counts) if measure == "join"
+              else score_binding(own, typed, rules, sizes=sizes, counts=counts))
+    return ids.restore(scored, broadcast_if_small(schema.select("property")), CANDIDATE_COLUMNS)
 
 
 def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "join",
@@ -74,15 +85,18 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
         raise ValueError("rules have 2 or 3 atoms")
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
+    ids = NameIds(facts, schema)
     # one pass over the facts serves bag sizes, clusters and every measure
     make = typed_counts if measure == "join" else counted_facts
-    counts = make(facts, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = make(ids.facts(facts), ids.schema(schema)).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = materialize_small(sizes_from_counts(counts))
     if candidates is None:
+        named = ids.encode(schema.select("property", F.col("property").alias("name")), ["property"]).join(sizes, "property")
         candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size,
-                                     sizes, **hash_params)
+                                     named.select(F.col("name").alias("property"), "n"), **hash_params)
     else:
         candidates = candidates.select("head", "body1", F.col("body2").cast("string"))
-    scored = score(facts, schema, candidates, measure, one_object_per_subject, sizes, counts)
+    scored = score_classified(facts, schema, classify(candidates, schema), measure, one_object_per_subject, ids, sizes,
+                              None if one_object_per_subject else counts)
     counts.unpersist()
     return to_rules(scored, schema, min_conf, min_hc, drop_duplicates)

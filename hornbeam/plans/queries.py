@@ -12,19 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sizing import materialize_small
 from ..functions.text import iri, local_name
 from ..operators import facts as fx
 from ..operators.candidates import atom_pairs, classify, connected_triples, open_paths
 from ..operators.clusters import all_clusters, cluster_properties, similar_pairs
-from ..operators.measure_binding import score_binding
-from ..operators.measure_join import score_join
 from ..operators.rules import apply_thresholds, dedupe, render, with_atom_text
 from ..operators.schema import class_overlap, property_schema, schema_report
 from ..sources import axioms as ax
 from ..sources import store
 from ..sources.kg_tables import declarations_from_tables, knowledge_graph
-from .mine import candidate_rules, mine, score
+from .mine import candidate_rules, mine, score, score_classified
 
 SCORE_COLUMNS = ["head", "body1", "body2", "support", "body_size", "head_size", "conf",
                  "head_coverage"]
@@ -166,20 +163,17 @@ def q_candidates_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _connected_classified(spark: SparkSession, sf_dir: str):
     facts, schema = knowledge_graph(spark, sf_dir)
-    sizes = materialize_small(fx.property_sizes(facts))
-    typed = schema.join(sizes.select("property"), "property", "leftsemi")
-    cl = classify(connected_triples(typed), schema)
-    return facts, schema, cl, sizes
+    return facts, schema, classify(connected_triples(_typed_with_facts(facts, schema)), schema)
 
 
 def q_join_pattern(patterns: tuple[str, ...], star_side: str | None = None) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts, schema, cl, sizes = _connected_classified(spark, sf_dir)
+        facts, schema, cl = _connected_classified(spark, sf_dir)
         sel = cl.where(F.col("pattern_join").isin(*patterns))
         if star_side is not None:
             idx = 0 if star_side == "domain" else 1
             sel = sel.where(F.get("c12", 0) == F.get("d0", idx))
-        return _scored(score_join(facts, schema, sel, sizes))
+        return _scored(score_classified(facts, schema, sel))
     return q
 
 
@@ -198,7 +192,7 @@ def q_disconnected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over open paths: bodies unconnected (S6, confidence 0) or head apart."""
     facts, schema = knowledge_graph(spark, sf_dir)
     cl = classify(open_paths(_typed_with_facts(facts, schema)), schema)
-    s = score_join(facts, schema, cl)
+    s = score_classified(facts, schema, cl)
     return _scored(s, ["head", "body1", "body2", "pattern", "support", "body_size", "conf", "head_coverage"])
 
 
@@ -225,9 +219,9 @@ def q_apart(measure: str) -> Query:
 
 def q_binding_pattern(patterns: tuple[str, ...], one_object: bool = False) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts, schema, cl, sizes = _connected_classified(spark, sf_dir)
+        facts, schema, cl = _connected_classified(spark, sf_dir)
         sel = cl.where(F.col("pattern_binding").isin(*patterns))
-        return _scored(score_binding(facts, schema, sel, one_object, sizes))
+        return _scored(score_classified(facts, schema, sel, "binding", one_object))
     return q
 
 

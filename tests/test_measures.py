@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import binding_measure, join_measure, r4
-from hornbeam.functions import sizing
+from hornbeam.functions import ids, sizing
 from hornbeam.functions.scores import ratio4
-from hornbeam.operators import measure_binding, measure_join
-from hornbeam.operators.candidates import classify
+from hornbeam.operators import candidates, dealing, measure_binding, measure_join
+from hornbeam.operators import facts as fx
+from hornbeam.operators.candidates import classify, ordered_subsets
 from hornbeam.operators.measure_binding import score_binding
 from hornbeam.operators.measure_join import score_join
 from hornbeam.plans.mine import candidate_rules, mine, score
@@ -75,6 +76,8 @@ def test_measures_match_brute_force_on_all_triples(spark, seed, monkeypatch):
             monkeypatch.setattr(m, "MAX_BROADCAST_BYTES", -1)
         monkeypatch.setattr(sizing, "PARTS", 3)
         monkeypatch.setattr(measure_join, "WEDGE_PART", 2)
+        monkeypatch.setattr(dealing, "HEAVY_FACTS", 2)
+        monkeypatch.setattr(measure_join, "TURN", 0.3)  # some pivot values are joined along the closing edge
     f, sch = frames(spark, schema, facts)
     tables, bags = python_tables(schema, facts)
     props = list(schema)
@@ -82,8 +85,11 @@ def test_measures_match_brute_force_on_all_triples(spark, seed, monkeypatch):
     pairs = [(a, b, None) for a, b in itertools.permutations(props, 2)]
     cand = spark.createDataFrame(triples + pairs, "head string, body1 string, body2 string")
     cl = classify(cand, sch)
-    js = {(r.head, r.body1, r.body2): r for r in score_join(f, sch, cl).collect()}
-    bs = {(r.head, r.body1, r.body2): r for r in score_binding(f, sch, cl).collect()}
+    if seed == 1:  # on ids, as the library's callers do; else on the names as they are
+        js, bs = (score(f, sch, cand, m).collect() for m in ("join", "binding"))
+    else:
+        js, bs = score_join(f, sch, cl).collect(), score_binding(f, sch, cl).collect()
+    js, bs = ({(r.head, r.body1, r.body2): r for r in x} for x in (js, bs))
     seen_patterns = set()
     for rule in triples + [p[:2] for p in pairs]:
         key = tuple(rule) + ((None,) if len(rule) == 2 else ())
@@ -113,18 +119,68 @@ def test_supports_beyond_64_bits(spark):
     assert {r.c: r.s for r in v.collect()} == {"c": r4(n ** 3, n ** 2 + 2), None: 1.0}
 
 
-def test_one_heavy_pivot_spreads(spark, monkeypatch):
-    monkeypatch.setattr(measure_join, "WEDGE_PART", 16)
+def triangle_graph(spark, n, n_closing, step):
     a, b, c = (IRI.format(x) for x in "abc")
-    schema = {a: [IRI.format("X"), IRI.format("Y")], b: [IRI.format("X"), IRI.format("Z")], c: [IRI.format("Y"), IRI.format("Z")]}
-    facts = [(a, "x0", f"y{i}") for i in range(200)] + [(b, "x0", f"z{i}") for i in range(200)] + [(c, f"y{i}", f"z{(i * 7) % 300}") for i in range(300)]
-    f, sch = frames(spark, schema, facts)
-    cand = spark.createDataFrame(list(itertools.permutations([a, b, c])), "head string, body1 string, body2 string")
+    schema = spark.createDataFrame([(a, "a", "X", "Y"), (b, "b", "X", "Z"), (c, "c", "Y", "Z")], "property string, name string, dom string, ran string")
+    r = spark.range(n).select(F.col("id").cast("string").alias("i"))
+    facts = (r.select(F.lit(a), F.lit("x0"), F.concat(F.lit("y"), "i")).union(r.select(F.lit(b), F.lit("x0"), F.concat(F.lit("z"), "i")))
+             .union(spark.range(n_closing).select(F.lit(c), F.concat(F.lit("y"), F.col("id").cast("string")),
+                                                  F.concat(F.lit("z"), ((F.col("id") * step) % n_closing).cast("string")))))
+    return facts.toDF("property", "subject", "object"), schema, spark.createDataFrame(list(itertools.permutations([a, b, c])), "head string, body1 string, body2 string")
+
+
+@pytest.mark.parametrize("turn", [0.0, 1e30])
+def test_one_heavy_pivot_value(spark, monkeypatch, turn):
+    """All wedges at one value, closed in the grid or joined along the closing edge."""
+    monkeypatch.setattr(measure_join, "WEDGE_PART", 16)
+    monkeypatch.setattr(measure_join, "TURN", turn)
+    monkeypatch.setattr(dealing, "HEAVY_FACTS", 10)
+    facts, sch, cand = triangle_graph(spark, 200, 300, 7)
     want = sum(1 for i in range(300) if i < 200 and (i * 7) % 300 < 200)
-    got = score_join(f, sch, classify(cand, sch)).collect()
+    got = score_join(facts, sch, classify(cand, sch)).collect()
     assert [(r.pattern, r.support) for r in got] == [("S4_triangle", want)] * 6
 
 
+def test_200000_facts_at_one_pivot_value(spark):
+    """Joined along the closing edge: 4e10 wedges are never made."""
+    facts, sch, cand = triangle_graph(spark, 200_000, 200_000, 3)
+    got = score(facts, sch, cand.limit(1), "join").collect()
+    assert [(r.pattern, r.support) for r in got] == [("S4_triangle", 200_000)]
+
+
+def test_grid_cells_are_even(spark):
+    """200,000 facts of both edges at one value: what a cell reads stays near the median."""
+    n = 200_000
+    at = spark.range(n).select(F.lit(0).alias("tid"), F.lit("x0").alias("pk"), F.col("id").alias("u"), F.col("id").alias("w"),
+                               F.lit(n).alias("na"), F.lit(n).alias("nb"))
+    a, b = measure_join.JoinContext.grid(at, at)
+    cells = [r[0] for r in a.select("i", "j").unionByName(b.select("i", "j")).groupBy("i", "j").count().select("count").collect()]
+    parts = -(-n // measure_join.WEDGE_PART)
+    assert len(cells) == parts ** 2 and max(cells) <= 4 * sorted(cells)[len(cells) // 2] and max(cells) < 3 * measure_join.WEDGE_PART
+
+
+def test_heavy_value_of_a_path_is_dealt(spark, monkeypatch):
+    """Half of the head's facts at one value are spread over parts, and the sum stays right."""
+    monkeypatch.setattr(dealing, "HEAVY_FACTS", 100)
+    h, p, q = (IRI.format(x) for x in "hpq")
+    schema = {h: ["X", "Y"], p: ["X", "A"], q: ["Y", "B"]}
+    facts = [(h, "x0" if i % 2 else f"x{i}", f"y{i}") for i in range(3000)] + [(p, "x0", f"a{i}") for i in range(40)] + [(p, "x2", "a")]
+    facts += [(q, f"y{i}", f"b{i % 3}") for i in range(0, 3000, 3)] + [(q, "y1", "b9"), (q, "y2", "b9")]
+    f, sch = frames(spark, schema, facts)
+    cand = spark.createDataFrame([(h, p, q)], "head string, body1 string, body2 string")
+    deg_q = {f"y{i}": 1 for i in range(0, 3000, 3)} | {"y1": 1, "y2": 1}
+    want = sum((40 if i % 2 or i == 0 else 1 if i == 2 else 0) * deg_q.get(f"y{i}", 0) for i in range(3000))
+    r = score_join(f, sch, classify(cand, sch)).collect()[0]
+    assert (r.pattern, r.support) == ("S6", want)
+    ctx = measure_join.JoinContext(f, sch)
+    rows = ctx.side.where((F.col("property") == h) & (F.col("cls") == "X") & (F.col("key") == "x0"))
+    parts = [x["count"] for x in ctx.heavy().deal(rows, ["cls", "key"], ["other"]).groupBy("_part").count().collect()]
+    assert sum(parts) == 1501 and len(parts) >= 15 and max(parts) <= 200
+    copies = ctx.heavy().deal(ctx.dmap.where("key = 'x0'"), ["cls", "key"], None).count()
+    assert copies >= len(parts)
+    ctx.release()
+
+
 @pytest.mark.parametrize("measure", ["join", "binding"])
 def test_mining_leaves_nothing_cached(spark, kg, measure):
     facts, schema = kg
@@ -206,3 +262,65 @@ def test_same_result_at_one_and_many_partitions(spark, kg):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert a == b and len(a) > 0
+
+
+def test_hot_key_and_hot_other_of_the_binding_measure(spark, monkeypatch):
+    """Half of all facts at one key, and at one other value; counts by Python sets."""
+    monkeypatch.setattr(dealing, "HEAVY_FACTS", 50)
+    p, q = IRI.format("p"), IRI.format("q")
+    schema = {p: ["X", "Y"], q: ["X", "Y"]}
+    facts = [(p, "x0", f"y{i}") for i in range(400)] + [(p, f"x{i}", "y0") for i in range(400)]
+    facts += [(q, "x0", f"y{i}") for i in range(100, 300)] + [(q, f"x{i}", "y0") for i in range(100)] + [(q, "x999", "y5")]
+    f, sch = frames(spark, schema, facts)
+    r = score(f, sch, spark.createDataFrame([(p, q, None)], "head string, body1 string, body2 string"), "binding").collect()[0]
+    col = {z: {s for a, s, _ in facts if a == z} for z in (p, q)}
+    v = col[p] & col[q]
+    other = {z: {o for a, s, o in facts if a == z and s in v} for z in (p, q)}
+    assert (r.pattern, r.support, r.body_size) == ("M4", len(other[p] & other[q]), sum(a == q for a, *_ in facts))
+
+
+def exchanged(df):
+    """Types of the columns of every exchange in the plan of ``df``."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    names = {c.strip().split("#")[0] for block in text.split("\n\n") if " Exchange" in block.split("\n")[0]
+             for line in block.split("\n") if line.startswith("Input") for c in line.split("[", 2)[-1].rstrip("]").split(",")}
+    return names
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_subsets_by_unranking(spark, k, monkeypatch):
+    monkeypatch.setattr(candidates, "RANGE", 7)
+    groups = [["a", "b", "c", "d", "e"], ["d", "e", "f"], ["x"], ["y", "z"]]
+    c = spark.createDataFrame([("kind", str(i), g) for i, g in enumerate(groups)], "kind string, cluster_id string, properties array<string>")
+    want = {(*s, *[None] * (3 - k)) for g in groups for s in itertools.permutations(g, k)}
+    got = [tuple(r) for r in ordered_subsets(c, k).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ordered_subsets(c.where("false"), k).count() == 0
+
+
+def test_large_cluster_shuffles_numbers_only(spark):
+    names = [f"<http://ex.org/kg#p{i}>" for i in range(2000)]
+    c = spark.createDataFrame([("kind", "0", names)], "kind string, cluster_id string, properties array<string>")
+    pairs = ordered_subsets(c, 2)
+    assert pairs.count() == 2000 * 1999
+    assert exchanged(pairs) <= {"cid", "n", "lo", "hi", "head_id", "body1_id"} and exchanged(pairs)
+
+
+def test_ids_part_names_that_share_a_hash(spark, monkeypatch):
+    """With a hash of nine bits many names clash; the ids still part them, and scores stay those of the names."""
+    real = ids._hash
+    monkeypatch.setattr(ids, "_hash", lambda name, seed: F.pmod(real(name, seed), F.lit(1 << 9)) if seed >= 0 else real(name, seed))
+    schema, facts = shaped_graph(5, n_vals=12, n_facts=40)
+    f, sch = frames(spark, schema, facts + [(IRI.format("p0"), None, "Bv1"), (IRI.format("p0"), "Av1", None)])
+    names = ids.NameIds(f, sch)
+    values = spark.createDataFrame([(x,) for x in sorted({v for t in facts for v in t} | {c for d in schema.values() for c in d})], "v string")
+    got = [r[0] for r in names.encode(values, ["v"]).collect()]
+    assert names.levels and len(set(got)) == len(got)
+    assert names.facts(f).where("subject IS NULL OR object IS NULL").count() == 2
+
+
+def test_fact_exchanges_carry_numbers(spark, kg):
+    facts, schema = kg
+    names = ids.NameIds(facts, schema)
+    counts = fx.typed_counts(names.facts(facts), names.schema(schema))
+    assert {t for _, t in counts.dtypes} == {"bigint"} and {t for _, t in fx.fact_sets_from_counts(counts).dtypes} == {"bigint", "array<bigint>"}
