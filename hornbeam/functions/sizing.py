@@ -53,11 +53,6 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], by:
     return big.join(small, cond).drop("_part", "_copy")
 
 
-def empty_like(df: DataFrame, schema: str) -> DataFrame:
-    """An empty frame with a DDL ``schema`` (prunes a plan branch with no requests)."""
-    return df.sparkSession.createDataFrame([], schema)
-
-
 def materialize_small(df: DataFrame) -> DataFrame:
     """Compute a small table (schema-level, or one row per request) and cut its lineage.
 

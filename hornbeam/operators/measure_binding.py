@@ -45,12 +45,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import (MAX_BROADCAST_BYTES, empty_like, materialize_small, row_bytes,
-                               spread_join)
+from ..functions.sizing import MAX_BROADCAST_BYTES, materialize_small, row_bytes, spread_join
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
 from .dealing import Heavy
-from .measure_join import _attach
+from .measure_join import attach
 
 
 def _first(c: str) -> Column:
@@ -180,30 +179,38 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     size_req = (b.where(is_set).select("members")
                 .unionByName(b.where(F.col("den_members").isNotNull())
                              .select(F.col("den_members").alias("members"))))
-    sizes = (materialize_small(ctx.set_sizes(size_req)) if has["members"]
-             else empty_like(b, f"members {members_kind}, value long"))
-    oo_vals = (materialize_small(ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
-        "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K")))) if has["oa"]
-        else empty_like(b, f"members {members_kind}, a {kind}, b {kind}, K {kind}, value long"))
+    none = F.lit(None).cast(kind)
+    asks_set, asks_overlap = has["members"], has["oa"]
+    keys = ["kind", "members", "a", "b", "K"]
+    vals = (ctx.bag_sizes.select(F.lit("size").alias("kind"), F.lit(None).cast(members_kind).alias("members"), F.col("property").alias("a"),
+                                 none.alias("b"), none.alias("K"), F.col("n").alias("value")))
+    if asks_set:
+        vals = vals.unionByName(ctx.set_sizes(size_req).select(
+            F.lit("set").alias("kind"), "members", none.alias("a"), none.alias("b"), none.alias("K"), "value"))
+    if asks_overlap:
+        vals = vals.unionByName(ctx.other_overlap(b.where(F.col("oa").isNotNull()).select(
+            "members", F.col("oa").alias("a"), F.col("ob").alias("b"), F.col("oK").alias("K"))).select(F.lit("overlap").alias("kind"), *keys[1:], "value"))
+    vals = materialize_small(vals)
     ctx.release()
-    r = _attach(b, sizes, [(F.when(is_set, F.col("members")), "members")], "v_set")
-    r = _attach(r, sizes, [(F.col("den_members"), "members")], "v_den")
-    r = _attach(r, oo_vals, [(F.when(F.col("oa").isNotNull(), F.col("members")), "members"),
-                             (F.col("oa"), "a"), (F.col("ob"), "b"), (F.col("oK"), "K")], "v_oo")
-
-    bag = ctx.bag_sizes
-    r = (r.join(bag.select(F.col("property").alias("head"), F.col("n").alias("head_size")),
-                "head", "left")
-         .join(bag.select(F.col("property").alias("body1"), F.col("n").alias("b1_size")),
-               "body1", "left"))
+
+    def ask(role: str, name: str, when: Column, members: str, *rest: str) -> Column:
+        padded = [F.col(members) if members else F.lit(None).cast(members_kind), *[F.col(x) for x in rest], *[none] * (3 - len(rest))]
+        return F.when(when, F.struct(F.lit(role).alias("role"), F.lit(name).alias("kind"),
+                                     *[c.alias(k) for c, k in zip(padded, keys[1:], strict=True)]))
+
+    asked = b.select(*CANDIDATE_COLUMNS, "pattern", F.col("oa").isNotNull().alias("overlaps"), F.inline(F.filter(F.array(
+        ask("set", "set", is_set, "members"), ask("den", "set", F.col("den_members").isNotNull(), "den_members"),
+        ask("oo", "overlap", F.col("oa").isNotNull(), "members", "oa", "ob", "oK"),
+        ask("head", "size", F.lit(True), "", "head"), ask("body", "size", F.lit(True), "", "body1")), lambda x: x.isNotNull())))
+    r = attach(asked, vals, [*CANDIDATE_COLUMNS, "pattern", "overlaps"], ("set", "den", "oo", "head", "body"), keys)
     three = F.col("body2").isNotNull()
     support = (F.when(is_set, F.col("v_set"))
-               .when(F.col("oa").isNotNull(), F.col("v_oo")).otherwise(F.lit(0)))
-    den = F.when(~three, F.col("b1_size")).otherwise(F.col("v_den"))
+               .when(F.col("overlaps"), F.col("v_oo")).otherwise(F.lit(0)))
+    den = F.when(~three, F.col("v_body")).otherwise(F.col("v_den"))
     den = F.when(three & (F.coalesce(den, F.lit(0)) == 0), F.lit(1)).otherwise(den)
     out = r.select(*CANDIDATE_COLUMNS, "pattern",
                    F.coalesce(support, F.lit(0)).cast("bigint").alias("support"),
                    F.coalesce(den, F.lit(0)).cast("bigint").alias("body_size"),
-                   F.coalesce(F.col("head_size"), F.lit(0)).cast("bigint").alias("head_size"))
+                   F.coalesce(F.col("v_head"), F.lit(0)).cast("bigint").alias("head_size"))
     return out.select("*", ratio4(F.col("support"), F.col("body_size")).alias("conf"),
                       ratio4(F.col("support"), F.col("head_size")).alias("head_coverage"))

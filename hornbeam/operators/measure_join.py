@@ -38,8 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import (MAX_BROADCAST_BYTES, empty_like, materialize_small, row_bytes,
-                               spread_join)
+from ..functions.sizing import MAX_BROADCAST_BYTES, materialize_small, row_bytes, spread_join
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
 from .dealing import Heavy
@@ -47,6 +46,7 @@ from .dealing import Heavy
 DEC = "decimal(38,0)"
 PAIR_PATTERNS = ("S1", "S2", "S3", "S5b")
 STAR_PATTERNS = ("S4_star", "S5a")
+SPREAD = 8  # parts of the rules that ask for one value
 WEDGE_PART = 4096  # facts of an edge at one pivot value that meet the other edge in one cell
 TURN = 1.0  # wedges of a pivot value for each closing fact, from which it is joined along the closing edge
 
@@ -104,12 +104,11 @@ class JoinContext:
                 .where(F.array_contains(F.col("props"), F.col("y"))))
 
     def pair_count(self, req: DataFrame) -> DataFrame:
-        """``req(x, y)`` -> ``(x, y, value)``: number of facts x and y share (aligned)."""
-        return (self._pair_rows(req.select("x", "y").distinct()).groupBy("x", "y")
-                .agg(F.count(F.lit(1)).cast(DEC).alias("value")))
+        """``req(x, y)`` -> terms of value = number of facts x and y share (aligned)."""
+        return self._pair_rows(req.select("x", "y").distinct()).select("x", "y", F.lit(1).cast(DEC).alias("value"))
 
     def pair_deg(self, req: DataFrame) -> DataFrame:
-        """``req(x, y, C, z)`` -> value = sum over pair(x, y) rows of deg(z, C, value at C).
+        """``req(x, y, C, z)`` -> terms of value = sum over pair(x, y) rows of deg(z, C, value at C).
 
         Pair rows are first counted per value at C (partial aggregation absorbs a
         hot value), then meet the degree map of that value once.
@@ -124,10 +123,10 @@ class JoinContext:
         q = req.toDF("_x", "_y", "_C", "z")
         j = spread_join(j, q, [("x", "_x"), ("y", "_y"), ("C", "_C")], ["k"], self.small)
         term = F.col("cnt").cast(DEC) * _lookup("m", F.col("z")).cast(DEC)
-        return j.groupBy("x", "y", "C", "z").agg(F.sum(term).alias("value"))
+        return j.select("x", "y", "C", "z", term.alias("value"))
 
     def deg_products(self, req: DataFrame) -> DataFrame:
-        """``req(a, b, c, K)`` -> value = sum over keys k of class K of deg(a)*deg(b)[*deg(c)].
+        """``req(a, b, c, K)`` -> terms of value = sum over keys k of class K of deg(a)*deg(b)[*deg(c)].
 
         ``c`` null gives the two-factor dot product. One pass over the degree
         maps serves every request: a key row meets only the requests whose
@@ -140,7 +139,7 @@ class JoinContext:
         nc = F.when(F.col("c").isNull(), F.lit(1).cast(DEC)).otherwise(
             _lookup("m", F.col("c")).cast(DEC))
         term = F.col("na").cast(DEC) * nb * nc
-        return j.groupBy("a", "b", "c", "K").agg(F.sum(term).alias("value"))
+        return j.select("a", "b", "c", "K", term.alias("value"))
 
     # -- values with very many facts
 
@@ -160,7 +159,7 @@ class JoinContext:
         return r.join(at, cond).drop("_c", "_k", "_p", "_part")
 
     def head_path(self, req: DataFrame) -> DataFrame:
-        """``req(h, K1, K2, p, q)`` -> sum over distinct facts of h of deg(p,K1,.)*deg(q,K2,.).
+        """``req(h, K1, K2, p, q)`` -> terms of the sum over distinct facts of h of deg(p,K1,.)*deg(q,K2,.).
 
         The head's facts are read from their K1 side, whose ``other`` is the value at K2; those of a heavy value at either
         end are dealt into parts.
@@ -171,10 +170,10 @@ class JoinContext:
         j = self.with_degrees(s, "K1", "v1", "v2", "_m").withColumn("n1", _lookup("_m", F.col("p"))).where("n1 IS NOT NULL").drop("_m")
         j = self.with_degrees(j, "K2", "v2", "v1", "_m")
         term = F.col("n1").cast(DEC) * _lookup("_m", F.col("q")).cast(DEC)
-        return j.groupBy("h", "K1", "K2", "p", "q").agg(F.sum(term).alias("value"))
+        return j.select("h", "K1", "K2", "p", "q", term.alias("value"))
 
     def triangles(self, req: DataFrame) -> DataFrame:
-        """``req(e0, e1, e2, X, Y, Z)`` -> value = rows of the three-way join.
+        """``req(e0, e1, e2, X, Y, Z)`` -> terms of value = rows of the three-way join.
 
         ``e0`` holds classes {X, Y}, ``e1`` {X, Z}, ``e2`` {Y, Z}; a request is canonical
         (``e0 < e1 < e2``), so each triangle is joined once for all rules over it. The wedge
@@ -199,7 +198,7 @@ class JoinContext:
         along = hub.join(self.heavy().deal(c_rows, ["cu", "u"], ["w"]), ["tid", "cu", "u", "_part"]).select("tid", "pk", "w")
         along = along.join(b_rows.where(turned).select("tid", "pk", "w"), ["tid", "pk", "w"]).select("tid")
         counted = closed.unionByName(along).groupBy("tid").agg(F.count(F.lit(1)).cast(DEC).alias("value"))
-        return req.join(counted, "tid", "left").select(*keys, F.coalesce("value", F.lit(0).cast(DEC)).alias("value"))
+        return req.join(counted, "tid").select(*keys, "value")
 
     def pivots(self, req: DataFrame) -> DataFrame:
         """The plan of each request: pivot class ``P``, edges ``pa`` and ``pb`` with far classes ``cu`` and ``cw``, closing property
@@ -212,6 +211,7 @@ class JoinContext:
             F.col(ub).alias("cw"), F.col(c).alias("pc")) for piv, a, b, ua, ub, c in opts])))
         dots = self.deg_products(cands.select(F.col("pa").alias("a"), F.col("pb").alias("b"),
                                               F.lit(None).cast(dict(req.dtypes)["e0"]).alias("c"), F.col("P").alias("K")))
+        dots = dots.groupBy("a", "b", "K").agg(F.sum("value").alias("value"))
         costed = cands.join(dots.select(F.col("a").alias("pa"), F.col("b").alias("pb"),
                                         F.col("K").alias("P"), F.col("value").alias("wedges")),
                             ["pa", "pb", "P"], "left")
@@ -249,20 +249,22 @@ class JoinContext:
 # Scoring
 # --------------------------------------------------------------------------
 
-def _attach(rules: DataFrame, values: DataFrame, on: list[tuple[Column, str]], name: str) -> DataFrame:
-    """Left-join ``values.value`` onto ``rules`` where each rule expression equals a key column.
+REQUEST = ("kind", "k1", "k2", "k3", "k4", "k5", "k6")
 
-    Only a null ``c`` (the two-factor product) is a key; rules that ask for no value have a null first
-    key and a part of their own, so they do not meet in one task.
+
+def attach(asked: DataFrame, vals: DataFrame, rule: list[str], roles: tuple[str, ...], request: tuple[str, ...] = REQUEST) -> DataFrame:
+    """One row per rule with the value of each role as ``v_<role>``, from its requests and the values of all requests.
+
+    Requests are dealt by their whole key: a value that many rules ask for (a property's size) is copied to ``SPREAD`` parts.
     """
-    v = values.select(*[F.col(k).alias(f"_{k}") for _, k in on], F.col("value").alias(name))
-    first = on[0][0]
-    spread = F.when(first.isNull(), F.xxhash64(*CANDIDATE_COLUMNS)).otherwise(F.lit(0).cast("bigint"))
-    cond = spread == F.col("_none")
-    for expr, k in on:
-        cond = cond & (expr.eqNullSafe(F.col(f"_{k}")) if k == "c" else expr == F.col(f"_{k}"))
-    v = v.withColumn("_none", F.lit(0).cast("bigint"))
-    return rules.join(v, cond, "left").drop("_none", *[f"_{k}" for _, k in on])
+    v = vals.select(*[F.col(c).alias(f"_{c}") for c in request], "value").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    part = F.pmod(F.xxhash64(*rule), F.lit(SPREAD)).cast("int")
+    cond = F.col("_part") == F.col("_copy")
+    for c in request:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    met = asked.withColumn("_part", part).join(v, cond, "left")
+    return met.groupBy(*rule).agg(*[F.max(F.when(F.col("role") == x, F.col("value"))).alias(f"v_{x}") for x in roles])
 
 
 def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
@@ -343,66 +345,74 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
              .where(F.col("property").isNotNull()).distinct())
     ctx = JoinContext(facts, schema, props, sizes, counts, has["bytes"] <= MAX_BROADCAST_BYTES)
 
-    def values(needed: int, keys: str, make) -> DataFrame:
-        if not needed:
-            return empty_like(b, ", ".join(f"{k} {kind}" for k in keys.split()) + f", value {DEC}")
-        return materialize_small(make())
-
     def some(column: str, **names: str) -> DataFrame:
         return b.where(F.col(column).isNotNull()).select(*[F.col(v).alias(k) if v else none.alias(k) for k, v in names.items()])
 
-    pair_vals = values(has["px"], "x y C z", lambda: ctx.pair_deg(some("px", x="px", y="py", C="pC", z="pz")))
-    cnt_vals = values(has["cx"], "x y", lambda: ctx.pair_count(some("cx", x="cx", y="cy")))
-    dp = values(has["sa"] + has["dK"] + has["oK"], "a b c K", lambda: ctx.deg_products(
-        some("sa", a="sa", b="sb", c="sc", K="sK").unionByName(some("dK", a="da", b="db", c="", K="dK"))
-        .unionByName(some("oK", a="oa", b="ob", c="", K="oK"))))
-    path_vals = values(has["path"], "h K1 K2 p q", lambda: ctx.head_path(
-        b.where(F.col("s6_kind") == "path").select(
+    # what the branches have in common: a request is its kind and up to six keys, a term adds to its value
+    terms: list[DataFrame] = []
+
+    def add(name: str, made: DataFrame, *keys: str) -> None:
+        padded = [*[F.col(k) for k in keys], *[none] * (len(REQUEST) - 1 - len(keys))]
+        terms.append(made.select(F.lit(name).alias(REQUEST[0]), *[c.alias(k) for c, k in zip(padded, REQUEST[1:], strict=True)],
+                                 F.col("value").cast(DEC).alias("value")))
+
+    if has["px"]:
+        add("pair", ctx.pair_deg(some("px", x="px", y="py", C="pC", z="pz")), "x", "y", "C", "z")
+    if has["cx"]:
+        add("count", ctx.pair_count(some("cx", x="cx", y="cy")), "x", "y")
+    if has["sa"] + has["dK"] + has["oK"]:
+        add("dot", ctx.deg_products(
+            some("sa", a="sa", b="sb", c="sc", K="sK").unionByName(some("dK", a="da", b="db", c="", K="dK"))
+            .unionByName(some("oK", a="oa", b="ob", c="", K="oK"))), "a", "b", "c", "K")
+    if has["path"]:
+        add("path", ctx.head_path(b.where(F.col("s6_kind") == "path").select(
             F.col("head").alias("h"), F.col("K12").alias("K1"), F.col("K13").alias("K2"),
-            F.col("body1").alias("p"), F.col("body2").alias("q"))))
-    tri_vals = values(has["X"], "e0 e1 e2 X Y Z", lambda: ctx.triangles(
-        some("X", e0="e0", e1="e1", e2="e2", X="X", Y="Y", Z="Z")))
-    third = (materialize_small(ctx.distinct_sizes()) if has["s6_third"]
-             else empty_like(b, f"property {kind}, n long"))
+            F.col("body1").alias("p"), F.col("body2").alias("q"))), "h", "K1", "K2", "p", "q")
+    if has["X"]:
+        add("triangle", ctx.triangles(some("X", e0="e0", e1="e1", e2="e2", X="X", Y="Y", Z="Z")), "e0", "e1", "e2", "X", "Y", "Z")
+    if has["s6_third"]:
+        add("facts", ctx.distinct_sizes().withColumnRenamed("n", "value"), "property")
+    add("size", ctx.bag_sizes.withColumnRenamed("n", "value"), "property")
+    every = terms[0]
+    for t in terms[1:]:
+        every = every.unionByName(t)
+    vals = materialize_small(every.groupBy(*REQUEST).agg(F.sum("value").alias("value")))  # one exchange of partial sums
     ctx.release()
-    r = _attach(b, pair_vals, [(F.col("px"), "x"), (F.col("py"), "y"), (F.col("pC"), "C"),
-                               (F.col("pz"), "z")], "v_pairdeg")
-    r = _attach(r, cnt_vals, [(F.col("cx"), "x"), (F.col("cy"), "y")], "v_paircnt")
-    r = _attach(r, dp, [(F.col("sa"), "a"), (F.col("sb"), "b"), (F.col("sc"), "c"),
-                        (F.col("sK"), "K")], "v_star")
-    r = _attach(r, dp, [(F.col("da"), "a"), (F.col("db"), "b"), (none, "c"),
-                        (F.col("dK"), "K")], "v_den")
-    r = _attach(r, dp, [(F.col("oa"), "a"), (F.col("ob"), "b"), (none, "c"),
-                        (F.col("oK"), "K")], "v_dot")
-    r = _attach(r, path_vals, [(F.when(F.col("s6_kind") == "path", F.col("head")), "h"),
-                               (F.col("K12"), "K1"), (F.col("K13"), "K2"),
-                               (F.col("body1"), "p"), (F.col("body2"), "q")], "v_path")
-    r = _attach(r, tri_vals, [(F.col(k), k) for k in ("e0", "e1", "e2", "X", "Y", "Z")], "v_tri")
-
-    bag = ctx.bag_sizes
-    r = (r.join(bag.select(F.col("property").alias("head"), F.col("n").alias("head_size")),
-                "head", "left")
-         .join(bag.select(F.col("property").alias("body1"), F.col("n").alias("b1_size")),
-               "body1", "left"))
-    r = r.join(third.select(F.col("property").alias("s6_third"), F.col("n").alias("third_distinct")),
-               "s6_third", "left")
+
+    def ask(role: str, name: str, when: Column, *keys: str) -> Column:
+        padded = [*[F.col(k) if k else none for k in keys], *[none] * (len(REQUEST) - 1 - len(keys))]
+        return F.when(when, F.struct(F.lit(role).alias("role"), F.lit(name).alias(REQUEST[0]),
+                                     *[c.alias(k) for c, k in zip(padded, REQUEST[1:], strict=True)]))
+
+    path = F.coalesce(F.col("s6_kind") == "path", F.lit(False))
+    asked = b.select(*CANDIDATE_COLUMNS, "pattern", "s6_kind", F.inline(F.filter(F.array(
+        ask("pairdeg", "pair", F.col("px").isNotNull(), "px", "py", "pC", "pz"),
+        ask("paircnt", "count", F.col("cx").isNotNull(), "cx", "cy"),
+        ask("star", "dot", F.col("sa").isNotNull(), "sa", "sb", "sc", "sK"),
+        ask("den", "dot", F.col("dK").isNotNull(), "da", "db", "", "dK"),
+        ask("dot", "dot", F.col("oK").isNotNull(), "oa", "ob", "", "oK"),
+        ask("path", "path", path, "head", "K12", "K13", "body1", "body2"),
+        ask("tri", "triangle", F.col("X").isNotNull(), "e0", "e1", "e2", "X", "Y", "Z"),
+        ask("third", "facts", F.col("s6_third").isNotNull(), "s6_third"),
+        ask("head", "size", F.lit(True), "head"), ask("body", "size", F.lit(True), "body1")), lambda x: x.isNotNull())))
+    r = attach(asked, vals, [*CANDIDATE_COLUMNS, "pattern", "s6_kind"], ("pairdeg", "paircnt", "star", "den", "dot", "path", "tri", "third", "head", "body"))
 
     pat = F.col("pattern")
     s6 = F.col("s6_kind")
     zero = F.lit(0).cast(DEC)
     s6_support = (F.when(s6 == "path", F.col("v_path"))
-                  .when(s6 == "pairx", F.col("v_paircnt") * F.col("third_distinct"))
-                  .when(s6 == "dotx", F.col("v_dot") * F.col("third_distinct")))
+                  .when(s6 == "pairx", F.col("v_paircnt") * F.col("v_third"))
+                  .when(s6 == "dotx", F.col("v_dot") * F.col("v_third")))
     support = (F.when(pat == "P2", F.col("v_paircnt"))
                .when(pat.isin(*PAIR_PATTERNS), F.col("v_pairdeg"))
                .when(pat.isin(*STAR_PATTERNS), F.col("v_star"))
                .when(pat == "S4_triangle", F.col("v_tri"))
                .when(pat == "S6", s6_support)
                .otherwise(zero))
-    body = F.when(F.col("body2").isNull(), F.col("b1_size").cast(DEC)).otherwise(F.col("v_den"))
+    body = F.when(F.col("body2").isNull(), F.col("v_body")).otherwise(F.col("v_den"))
     out = r.select(*CANDIDATE_COLUMNS, "pattern",
                    F.coalesce(support, zero).cast(DEC).alias("support"),
                    F.coalesce(body, zero).cast(DEC).alias("body_size"),
-                   F.coalesce(F.col("head_size"), F.lit(0)).cast("bigint").alias("head_size"))
+                   F.coalesce(F.col("v_head"), zero).cast("bigint").alias("head_size"))
     return out.select("*", ratio4(F.col("support"), F.col("body_size")).alias("conf"),
                       ratio4(F.col("support"), F.col("head_size")).alias("head_coverage"))
