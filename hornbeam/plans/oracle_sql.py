@@ -342,6 +342,10 @@ SELECT a.property, regexp_extract(a.property, '#([^#>]*)', 1) AS name, CAST(n_cl
 FROM agg a LEFT JOIN sizes z ON z.property = a.property WHERE has_dom AND has_ran"""
     q["vertical_partition"] = _with(FACTS) + (
         "SELECT property, subject, object, count(*) AS n FROM facts GROUP BY property, subject, object")
+    q["axioms_two_files"] = _with(FACTS) + (
+        "SELECT '<http://' || CASE WHEN length(subject || object) % 2 = 1 THEN 'b' ELSE 'a' END || '#' || "
+        "regexp_extract(property, '#([^>]*)>', 1) || '>' AS property, count(*) AS n FROM facts GROUP BY 1 "
+        "UNION ALL VALUES ('MalformedObjectPropertyAssertion', 2), ('MalformedObjectPropertyDomain', 1)")
     q["property_sizes"] = _with(FACTS) + "SELECT property, count(*) AS n FROM facts GROUP BY property"
     q["triple_sets"] = _with(FACTS) + "SELECT DISTINCT property, subject, object FROM facts"
     q["degrees"] = base + "SELECT property, cls, key, count(*) AS n FROM side GROUP BY property, cls, key"

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import iri, local_name
+from ..functions.text import iri, iri_col, local_name
 from ..operators import facts as fx
 from ..operators.candidates import atom_pairs, classify, connected_triples, open_paths
 from ..operators.clusters import all_clusters, cluster_properties, similar_pairs
@@ -281,6 +281,26 @@ def q_mine_from_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(ax.assertions(axioms), property_schema(ax.domains(axioms), ax.ranges(axioms)), 3, "join")
 
 
+def q_axioms_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts in two files that declare one prefix differently, every statement of the second broken over three
+    lines, and a third file of broken statements (A1, B1, B4): facts per file, and its malformed statements."""
+    facts, _ = knowledge_graph(spark, sf_dir)
+    path = store.store_path(spark, "axioms", unique=True)
+    name = lambda c: F.when(F.col(c).rlike(ax.PLAIN), F.concat(F.lit(":"), c)).otherwise(iri_col(c))
+    for folder, sep in (("a", " "), ("b", "\n   ")):
+        line = F.concat(F.lit("ObjectPropertyAssertion(:"), local_name("property"), F.lit(sep), name("subject"), F.lit(sep), name("object"), F.lit(")"))
+        # one file, its header first: sorted within the one partition that is written
+        text = facts.where(F.length(F.concat("subject", "object")) % 2 == int(folder == "b")).select(
+            F.lit(1).alias("at"), line.alias("value"))
+        head = spark.createDataFrame([(0, f"Prefix(:=<http://{folder}#>)")], "at int, value string")
+        head.unionByName(text).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{path}/{folder}")
+    broken = ["Prefix(:=<http://c#>)", "ObjectPropertyAssertion(:p :a", "ObjectPropertyAssertion(:p :a :b :c)", "ObjectPropertyDomain(x:p :A)"]
+    spark.createDataFrame([(x,) for x in broken], "value string").coalesce(1).write.text(f"{path}/c")
+    axioms = ax.read_axioms(spark, f"{path}/*", "functional")
+    wrong = ax.malformed(axioms).select(F.col("axiom_type").alias("property"), "n")
+    return fx.property_sizes(ax.assertions(axioms)).unionByName(wrong)
+
+
 PRUNED = ["customerIn", "inSegment", "did_error"]  # properties of the pruned read
 
 
@@ -327,6 +347,7 @@ def q_partitioned_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "mine_from_axioms": q_mine_from_axioms,
     "mine_from_store": q_mine_from_store,
+    "axioms_two_files": q_axioms_two_files,
     "store_pruned_read": q_store_pruned_read,
     "views_join": q_views,
     "partitioned_sizes": q_partitioned_sizes,

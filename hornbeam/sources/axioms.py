@@ -1,18 +1,21 @@
 """Axiom text source, functional syntax.
 
-Reads one axiom per line with ``spark.read.text``. A line is normalised once (prefixed
-names become full IRIs) and, if it starts with one of the three keywords the miner uses, cut
-into its parts by a single regular expression (JVM-side, no UDF):
+Reads a file or a folder of files with ``spark.read.text``. A line that is a whole statement is cut into its parts by a
+single regular expression (JVM-side, no UDF) if it starts with one of the three keywords the miner uses:
 
 * ``ObjectPropertyAssertion(p s o)``  -> a fact,
 * ``ObjectPropertyDomain(p C)`` / ``ObjectPropertyRange(p C)`` -> a declaration,
   where ``C`` is a class or an ``ObjectUnionOf(...)`` expression.
 
+A statement may be broken over several lines. Lines that are no whole statement are few; only they are exchanged, by split of
+a file, where runs of consecutive ones are joined again: a statement starts at a line with a keyword and goes on until the next. One that
+goes on in the file's next split is joined there.
+
 Names are full IRIs (``<...>``), prefixed names (``:a``, ``ex:a``) declared by ``Prefix(...)`` lines of
-the same read, or, as individuals, blank nodes (``_:a``, kept as they are). Any line of
+the same file, or, as individuals, blank nodes (``_:a``, kept as they are). Files may declare a prefix differently. A statement of
 these kinds that does not have this form (annotations, other class expressions, an undeclared
-prefix) gets the axiom type ``Malformed<kind>`` with null arguments: it can be counted, and never becomes
-a fact or a declaration. Other lines keep their keyword as ``axiom_type``. Manchester syntax
+prefix, a missing parenthesis) gets the axiom type ``Malformed<kind>`` with null arguments: ``malformed`` counts them by file,
+and none becomes a fact or a declaration. Other statements keep their keyword as ``axiom_type``. Manchester syntax
 and OWL/XML are not supported (``ValueError``).
 """
 
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.sizing import PARTS, fits, materialize_small
 from ..functions.text import NAMESPACE, iri_col
 
 # Axiom kinds and the syntax names accepted.
@@ -41,6 +46,7 @@ AXIOM_RE = (rf"^\s*({_KINDS})\(\s*({_NAME})\s+({_NAME}|{_BLANK}|ObjectUnionOf\([
 SEP = "\n"
 PREFIX_RE = rf"^\s*Prefix\(\s*([A-Za-z]?[\w.-]*:)\s*=\s*({_IRI})\s*\)\s*$"
 KEYWORD_RE = r"^\s*([A-Za-z]+)\s*\("
+START_RE = r"^\s*(?!Object(?:UnionOf|IntersectionOf|ComplementOf|InverseOf|SomeValuesFrom|AllValuesFrom|OneOf)\b)[A-Za-z]+\s*\("  # not an expression
 
 
 def dataset_name(path: str) -> str:
@@ -49,26 +55,59 @@ def dataset_name(path: str) -> str:
     return base.split(".owl")[0]
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """``lines`` with their ``file``, ``block`` (split of the file) and number ``nr`` in it."""
+    out = lines
+    for c, kind in (("file", "string"), ("block", "bigint")):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit("" if kind == "string" else 0).cast(kind))
+    return out.select("value", "file", "block", F.monotonically_increasing_id().alias("nr"))
+
+
 def prefixes(lines: DataFrame) -> DataFrame:
-    """``(prefix, iri)`` of the ``Prefix(...)`` lines: ontology headers, a handful of rows each."""
-    p = lines.where(F.ltrim("value").startswith("Prefix")).select(
-        F.regexp_extract("value", PREFIX_RE, 1).alias("prefix"), F.regexp_extract("value", PREFIX_RE, 2).alias("iri"))
-    return p.where("iri <> ''").groupBy("prefix").agg(F.min("iri").alias("iri"))
-
-
-def _full(c: Column, known: list[tuple[str, str]]) -> Column:
-    """A name as a full IRI; null when its prefix is not declared. Blank nodes stay."""
-    whole = F.lit(None).cast("string")
-    for prefix, name in known:
-        local = F.substring(c, F.lit(len(prefix) + 1), F.length(c))
-        whole = F.when(c.startswith(prefix), F.concat(F.lit(name[:-1]), local, F.lit(">"))).otherwise(whole)
+    """``(file, prefix, iri)`` of the ``Prefix(...)`` lines: ontology headers, a handful of rows for each file."""
+    p = _placed(lines).where(F.ltrim("value").startswith("Prefix")).select(
+        "file", F.regexp_extract("value", PREFIX_RE, 1).alias("prefix"), F.regexp_extract("value", PREFIX_RE, 2).alias("iri"))
+    return p.where("iri <> ''").groupBy("file", "prefix").agg(F.min("iri").alias("iri"))
+
+
+def statements(lines: DataFrame) -> DataFrame:
+    """``(value, file)``: whole statements, those broken over several lines joined by blanks."""
+    # parentheses inside of IRIs do not count
+    bare = F.regexp_replace("value", _IRI, "<>")
+    opens, closes = (F.length(bare) - F.length(F.replace(bare, F.lit(x))) for x in "()")
+    starts = F.col("value").rlike(START_RE)
+    lines = _placed(lines).withColumn("starts", starts).withColumn("whole", F.col("starts") & (opens == closes))
+    rest = lines.where(~F.col("whole"))
+    own = Window.partitionBy("file", "block").orderBy("nr")
+    # a statement starts with a keyword, or where a run of consecutive lines begins
+    rest = rest.withColumn("gap", F.col("nr") - F.coalesce(F.lag("nr").over(own), F.col("nr") - 1) > 1)
+    rest = rest.withColumn("stmt", F.sum((F.col("starts") | F.col("gap")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rest.groupBy("file", "block", "stmt").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "value"))), lambda x: x["value"]), " ").alias("value"))
+    # number 0 has no start in its split: it ends the last statement of the split before, if that is open (one row for each split)
+    parts = parts.withColumn("at", F.struct("block", "stmt"))
+    ends = parts.groupBy("file", "block").agg(F.max(F.struct("at", (opens > closes).alias("open"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("block")
+    ends = ends.withColumn("home", F.lag("last").over(before)).select("file", "block", F.when(F.col("home.open"), F.col("home.at")).alias("home"))
+    parts = parts.join(ends, ["file", "block"]).withColumn("home", F.when(F.col("stmt") == 0, F.coalesce("home", "at")).otherwise(F.col("at")))
+    joined = parts.groupBy("file", "home").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), " ").alias("value"))
+    # the parenthesis that closes the ontology may follow the last statement
+    joined = joined.withColumn("value", F.when(closes == opens + 1, F.regexp_replace("value", r"\)\s*$", "")).otherwise(F.col("value")))
+    return lines.where("whole").select("value", "file").unionByName(joined.where(F.trim("value") != "").select("value", "file"))
+
+
+def _full(c: Column) -> Column:
+    """A name as a full IRI by the prefixes ``known`` of its file; null when its prefix is not declared. Blank nodes stay."""
+    prefix = F.regexp_extract(c, r"^([A-Za-z]?[\w.-]*:)", 1)
+    name = F.try_element_at("known", prefix)
+    whole = F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.substring(c, F.length(prefix) + 1, F.length(c)), F.lit(">"))
     return F.when(c.startswith("<") | c.startswith("_:") | c.startswith("ObjectUnionOf("), c).otherwise(whole)
 
 
 def parse_axioms(lines: DataFrame) -> DataFrame:
-    """``lines(value)`` -> ``axioms(axiom_type, property, arg1, arg2)``."""
-    # the declared prefixes are needed by every line, so they are read first: ontology headers, a few rows
-    known = sorted(tuple(r) for r in prefixes(lines).collect())
+    """``lines(value[, file, block])`` -> ``axioms(axiom_type, property, arg1, arg2, file)``."""
     v = F.col("value")
     keyword = F.regexp_extract(v, KEYWORD_RE, 1)
 
@@ -76,28 +115,45 @@ def parse_axioms(lines: DataFrame) -> DataFrame:
         """Columns computed once for each row: a generator of one row, which the optimiser does not repeat."""
         return df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
-    p = once(lines.select("value"), kind=keyword, value=v)
+    # the prefixes of a file: by broadcast when they are few, else the lines of a file meet them in parts
+    known = prefixes(lines).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "iri"))).alias("known"))
+    known = materialize_small(known.withColumnRenamed("file", "_file"))
+    p = statements(lines)
+    if fits(known):
+        p = p.join(F.broadcast(known), F.col("file") == F.col("_file"), "left")
+    else:
+        copies = known.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        p = p.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int"))
+        p = p.join(copies, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_copy")), "left")
+    f, k = F.col("file"), F.col("known")
+    p = once(p.select("value", "file", "known"), kind=keyword, value=v, file=f, known=k)
     ours = F.col("kind").isin(ASSERTION, DOMAIN, RANGE)
-    p = once(p, kind=F.col("kind"), ours=ours,
+    p = once(p, kind=F.col("kind"), ours=ours, file=f, known=k,
              cut=F.when(ours, F.split(F.regexp_replace(v, AXIOM_RE, f"$1{SEP}$2{SEP}$3{SEP}$4"), SEP)))
     part = lambda i: F.get("cut", i)
-    p = once(p, kind=F.col("kind"), ours=F.col("ours"), fits=F.size("cut") == 4, property=_full(part(1), known),
-             arg1=_full(part(2), known), arg2=F.when(part(3) != "", _full(part(3), known)))
+    p = once(p, kind=F.col("kind"), ours=F.col("ours"), file=f, fits=F.size("cut") == 4, property=_full(part(1)),
+             arg1=_full(part(2)), arg2=F.when(part(3) != "", _full(part(3))))
     is_fact = F.col("kind") == ASSERTION
     good = F.col("ours") & F.coalesce(
         F.col("fits") & F.col("property").isNotNull() & F.col("arg1").isNotNull() & (is_fact == F.col("arg2").isNotNull())
         & ~F.when(is_fact, F.col("arg1").startswith("ObjectUnionOf(")).otherwise(F.col("arg1").startswith("_:")), F.lit(False))
-    p = once(p, kind=F.col("kind"), ours=F.col("ours"), good=good, property=F.col("property"), arg1=F.col("arg1"), arg2=F.col("arg2"))
+    p = once(p, kind=F.col("kind"), ours=F.col("ours"), file=f, good=good, property=F.col("property"), arg1=F.col("arg1"), arg2=F.col("arg2"))
     name = (F.when(F.col("ours") & ~F.col("good"), F.concat(F.lit(MALFORMED), "kind"))
             .when(F.col("kind") == "", F.lit("Other")).otherwise(F.col("kind")))
-    return p.select(name.alias("axiom_type"), *[F.when(F.col("good"), F.col(c)).alias(c) for c in ("property", "arg1", "arg2")])
+    return p.select(name.alias("axiom_type"), *[F.when(F.col("good"), F.col(c)).alias(c) for c in ("property", "arg1", "arg2")], "file")
 
 
 def read_axioms(spark: SparkSession, path: str, syntax: str = "functional") -> DataFrame:
     """A1/A2: axioms of a functional-syntax file (or directory of files)."""
     if syntax not in SYNTAXES:
         raise ValueError(f"axioms are read in functional syntax only, not {syntax!r}; accepted names: {', '.join(SYNTAXES)}")
-    return parse_axioms(spark.read.text(path))
+    return parse_axioms(spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+
+
+def malformed(axioms: DataFrame) -> DataFrame:
+    """``(file, axiom_type, n)``: statements of the three kinds that could not be read."""
+    return axioms.where(F.col("axiom_type").startswith(MALFORMED)).groupBy("file", "axiom_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def assertions(axioms: DataFrame) -> DataFrame:
