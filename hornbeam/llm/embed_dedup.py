@@ -57,9 +57,13 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for v in batch.column(1):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid and len(v.values) and not v.values.null_count else None
-            with np.errstate(over="ignore"):
-                fine = x is not None and np.isfinite(x).all() and np.isfinite(x @ x) and x @ x > 0
-            out.append(x.tobytes() if fine else None)
+            if x is None or not np.isfinite(x).all() or not x.any():
+                out.append(None)
+                continue
+            most = np.abs(x).max()
+            if not 1e-100 < most < 1e100:  # by a power of two, so that squares neither overflow nor vanish
+                x = np.ldexp(x, -np.frexp(most)[1])
+            out.append(x.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "v"])
 
 
@@ -68,9 +72,8 @@ def _orders(seeds: list[int], bits: int):
         for batch in batches:
             x = unit(batch.column(1).to_pylist())
             for seed in seeds:
-                r = np.random.default_rng(seed).normal(size=(4096, bits + 1)).astype(np.float32)
-                wide = x if x.shape[1] <= 4096 else x[:, :4096]
-                p = wide @ r[:wide.shape[1]]
+                # drawn row by row, so a narrower batch has the first of the same rows
+                p = x @ np.random.default_rng(seed).normal(size=(x.shape[1], bits + 1)).astype(np.float32)
                 code = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(x), seed)), pa.array(code, pa.int64()), pa.array(p[:, bits].astype(np.float64)), batch.column(0),

@@ -1,7 +1,7 @@
 """Words and their 64-bit hashes of whole Arrow string columns, by numpy over the UTF-8 bytes.
 
 A word is a run of anything but blank, tab, line feed, VT, FF and CR. Hashes are polynomial in
-randomised byte values, modulo 2**64, from running sums; a column is walked in pieces of about a
+randomised byte values, modulo 2**64, from running sums, those of words over 64 bytes XXH3; a column is walked in pieces of about a
 megabyte cut between words, so memory follows the piece and the number of words.
 """
 
@@ -12,8 +12,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE = 1 << 20
+LONG = 64  # bytes; sums modulo 2**64 part short words, but long ones can be built that share a sum
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -95,6 +98,9 @@ def word_hashes(column: pa.Array, lower: bool = True, prefixes: tuple[int, ...]
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(values[piece] * up[:len(piece)], dtype=np.uint64, out=sums[1:])
         own = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        for i in np.flatnonzero(e - s > LONG).tolist():
+            long = piece[s[i]:e[i]].tobytes()
+            own[i] = xxhash.xxh3_64_intdigest(long.translate(LOWER) if lower else long)
         if prefixes:
             parts = [mix64((sums[np.minimum(e, s + k)] - sums[s]) * down[s] + np.uint64(k << 32)) for k in prefixes]
             own = np.stack([own, *parts], 1)

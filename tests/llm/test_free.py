@@ -319,3 +319,48 @@ def test_long_texts_score_as_in_one_piece(monkeypatch):
     whole = net.pooled(words, first)
     monkeypatch.setattr(toxicity, "PIECE", 7)
     assert np.allclose(net.pooled(words, first), whole, atol=1e-5)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_long_words_that_share_a_polynomial_hash(spark):
+    """A Thue-Morse word and its swap have one sum modulo 2**64 whatever the base; they are different words."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    h, _ = textvec.word_hashes(pa.array([one, two, one.upper()]))
+    assert h[0] != h[1] and h[0] == h[2]
+    got = ngram_join.jaccard_components(spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id long, text string"), 3, 90)
+    assert {r.id: r.component for r in got.collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_vectors_of_any_norm_and_width(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=5000)
+    other = np.concatenate([base[:4096], r.normal(size=904) * 9])  # differs behind the 4,096th component only
+    rows = [(0, base), (1, base * 1e200), (2, base * 1e-170), (3, base * 5e-310 / np.abs(base).max()), (4, other), (5, other * 1e300 / 99), (6, base * 0)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert {g.id: (g.component, g.n_links) for g in got} == {**{i: (0, 3) for i in range(4)}, 4: (4, 1), 5: (4, 1), 6: (6, 0)}
+
+
+def test_group_of_near_copies_around_the_threshold(spark):
+    """Copies with two edits each: some pairs link, most just do not, all share nearly all shingles."""
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(120)]
+    for n in (150,):
+        rows = []
+        for i in range(n):
+            t = words.copy()
+            for _ in range(2):
+                t[r.randrange(120)] = f"x{r.random()}"
+            rows.append((i, " ".join(t)))
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+        sets = {i: {tuple(t.split()[k:k + 3]) for k in range(118)} for i, t in rows}
+        label = {i: i for i in sets}
+        for i in sets:
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                    x, y = sorted((label[i], label[j]))
+                    label = {k: x if v == y else v for k, v in label.items()}
+        assert {g.id: g.component for g in got} == label
