@@ -7,6 +7,8 @@ all executors here has a size fixed by a parameter, never by the number of rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -14,6 +16,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +57,9 @@ def worker_cache(owner: str) -> dict:
         del _CACHES[x]
     if others:
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # hand freed memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
     return _CACHES.setdefault(owner, {})
 
 

@@ -35,6 +35,12 @@ FRAGMENTS = 8
 SKETCH = 64
 BLOCK = 512
 BITS = 1 << 22
+MAX_BITS = 1 << 27  # of the bitmap of n-grams held twice, 16 MB
+
+
+def bits_for(keys: int) -> int:
+    """About eight bits a key, within ``BITS`` and ``MAX_BITS``."""
+    return min(max(BITS, 1 << (8 * keys).bit_length()), MAX_BITS)
 
 
 def enough(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -137,22 +143,21 @@ def _held_twice(often):
 
 
 def _slices(size: int, order):
+    """The set of each text by its digest, cut into the fragments of the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
+        kind = pa.list_(pa.list_(pa.int64()))
         for batch in batches:
-            at, digests, parts, values = [], [], [], []
-            for i, g in _sets(batch, size):
-                part, digest = o.fragment[o.slots(g)], _digest(g) if len(g) else None
-                for p in np.unique(part).tolist():
-                    at.append(i)
-                    digests.append(digest)
-                    parts.append(p)
-                    values.append(g[part == p].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(digests, pa.binary()), pa.array(parts, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))],
-                ["id", "digest", "fragment", "grams"])
+            digests, ends, grams = [], [0], []
+            for _, g in _sets(batch, size):
+                if len(g):
+                    part = o.fragment[o.slots(g)]
+                    digests.append(_digest(g))
+                    ends += (ends[-1] + np.cumsum(np.bincount(part, minlength=FRAGMENTS))).tolist()
+                    grams.append(g[np.argsort(part, kind="stable")].view(np.int64))
+            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * FRAGMENTS), inner)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), outer.cast(kind)], ["digest", "fragments"])
     return run
 
 
@@ -249,7 +254,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
                       .select("node", "n", "sketch", "firsts"), "ngram-profiles")  # a row said again is there again
     # keep of the firsts what another node holds as well (and, by chance, a little more)
     twice = profiles.select(F.explode("firsts").alias("gram")).groupBy("gram").count().where("count > 1")
-    often = spark.sparkContext.broadcast(numpy_bitmap(twice, "gram", BITS))
+    # a set of n gives at most n - ceil(n * percent / 100) + 1 firsts, and half as many can be held twice
+    most = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    often = spark.sparkContext.broadcast(numpy_bitmap(twice, "gram", bits_for(int(most) // 2)))
     all_firsts, profiles = profiles, stored(profiles.mapInArrow(_held_twice(often), profiles.schema), "ngram-profiles")
     discard(all_firsts)
     # a little wider than the ratio of sizes of linked sets, so that rounding cannot part them by two bands
@@ -260,24 +267,28 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
     holders = holders.withColumn("key", F.xxhash64("gram", "win"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs ``a, b, na, nb``: overlaps counted per fragment, summed per pair."""
+        """Links among the pairs ``a, b, na, nb``: overlaps counted in each fragment, summed per pair.
+
+        Sets meet by their digest, so copies need no look-up; they are exchanged once, by digest, and once more for each
+        pair they are the first of.
+        """
         pairs = cut(pairs.distinct())
         own = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         own = cut(nodes.join(own, "node", "left_semi").withColumn("at", F.xxhash64("id")))
         near = d.where(maybe_in(bitmap(own, "at", BITS), F.xxhash64("id"), BITS))
-        s = near.mapInArrow(_slices(shingle, order), f"id {kind}, digest binary, fragment int, grams array<long>")
-        s = (s.join(own, (s["digest"] == own["digest"]) & s["id"].eqNullSafe(own["id"])).select("node", "fragment", "grams")
-             .dropDuplicates(["node", "fragment"]))
-        s = stored(s, "ngram-slices")
-        left = s.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = s.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-        part = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-            "a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("bigint").alias("part"))
-        both = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("inter"))
+        sets = (near.mapInArrow(_slices(shingle, order), "digest binary, fragments array<array<long>>")
+                .repartition("digest").dropDuplicates(["digest"]))
+        named = own.select("node", "digest")
+        pairs = (pairs.join(named.toDF("a", "da"), "a").join(named.toDF("b", "db"), "b").select("a", "b", "na", "nb", "da", "db"))
+        left = sets.select(F.col("digest").alias("da"), F.col("fragments").alias("fa"))
+        right = sets.select(F.col("digest").alias("db"), F.col("fragments").alias("fb"))
+        parts = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)).cast("bigint"))
+        both = pairs.join(left, "da").join(right, "db").select(
+            "a", "b", "na", "nb", F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n + x).alias("inter"))
         return both.where(enough(F.col("inter"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
-    first = (holders.groupBy("gram", "win").agg(F.min(F.struct("band", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("k"))
-             .where("k > 1 AND hub.band < win"))
+    first = (holders.groupBy("gram", "win").agg(F.min(F.when(F.col("band") < F.col("win"), F.struct("node", "n"))).alias("hub"), F.count(F.lit(1)).alias("k"))
+             .where("k > 1 AND hub IS NOT NULL"))
     first = stored(first.select(F.col("gram").alias("g"), F.col("win").alias("w"), F.xxhash64("gram", "win").alias("key"),
                                 F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), "k"), "ngram-hubs")
     live = holders.where(maybe_in(bitmap(first, "key", BITS), F.col("key"), BITS))
