@@ -12,7 +12,8 @@ a file, where runs of consecutive ones are joined again: a statement starts at a
 goes on in the file's next split is joined there.
 
 Names are full IRIs (``<...>``), prefixed names (``:a``, ``ex:a``) declared by ``Prefix(...)`` lines of
-the same file, or, as individuals, blank nodes (``_:a``, kept as they are). Files may declare a prefix differently. A statement of
+the same file, or, as individuals, blank nodes (``_:a``, kept as they are). Files may declare a prefix differently; a file that
+declares none takes the prefixes on which all others agree, so a document may be written in parts. A statement of
 these kinds that does not have this form (annotations, other class expressions, an undeclared
 prefix, a missing parenthesis) gets the axiom type ``Malformed<kind>`` with null arguments: ``malformed`` counts them by file,
 and none becomes a fact or a declaration. Other statements keep their keyword as ``axiom_type``. Manchester syntax
@@ -125,7 +126,12 @@ def parse_axioms(lines: DataFrame) -> DataFrame:
         copies = known.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         p = p.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int"))
         p = p.join(copies, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_copy")), "left")
-    f, k = F.col("file"), F.col("known")
+    # a file without any Prefix line (a part of a document written in parts) takes those on which the files agree: a handful
+    agreed = (prefixes(lines).groupBy("prefix").agg(F.min("iri").alias("iri"), F.max("iri").alias("hi")).where("iri = hi")
+              .select("prefix", "iri").collect())
+    shared = F.map_from_arrays(F.array(*[F.lit(r["prefix"]) for r in agreed]).cast("array<string>"),
+                               F.array(*[F.lit(r["iri"]) for r in agreed]).cast("array<string>"))
+    f, k = F.col("file"), F.coalesce("known", shared)
     p = once(p.select("value", "file", "known"), kind=keyword, value=v, file=f, known=k)
     ours = F.col("kind").isin(ASSERTION, DOMAIN, RANGE)
     p = once(p, kind=F.col("kind"), ours=ours, file=f, known=k,
