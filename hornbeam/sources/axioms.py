@@ -127,7 +127,7 @@ def parse_axioms(lines: DataFrame) -> DataFrame:
         p = p.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int"))
         p = p.join(copies, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_copy")), "left")
     # a file without any Prefix line (a part of a document written in parts) takes those on which the files agree: a handful
-    agreed = (prefixes(lines).groupBy("prefix").agg(F.min("iri").alias("iri"), F.max("iri").alias("hi")).where("iri = hi")
+    agreed = (known.select(F.explode("known").alias("prefix", "iri")).groupBy("prefix").agg(F.min("iri").alias("iri"), F.max("iri").alias("hi")).where("iri = hi")
               .select("prefix", "iri").collect())
     shared = F.map_from_arrays(F.array(*[F.lit(r["prefix"]) for r in agreed]).cast("array<string>"),
                                F.array(*[F.lit(r["iri"]) for r in agreed]).cast("array<string>"))
