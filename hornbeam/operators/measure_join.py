@@ -37,7 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import ratio4
+from ..functions.scores import passes, ratio4
 from ..functions.sizing import MAX_BROADCAST_BYTES, materialize_small, row_bytes, spread_join
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
@@ -267,8 +267,40 @@ def attach(asked: DataFrame, vals: DataFrame, rule: list[str], roles: tuple[str,
     return met.groupBy(*rule).agg(*[F.max(F.when(F.col("role") == x, F.col("value"))).alias(f"v_{x}") for x in roles])
 
 
+BOUNDS = ("bound0", "bound1", "bound2")
+
+
+def may_pass(b: DataFrame, vals: DataFrame, ask, min_conf: float, min_hc: float) -> DataFrame:
+    """The rules of ``b`` whose scores may reach both thresholds, by upper bounds of their supports.
+
+    A bound holds for every graph, and rounding keeps order, so a rule that is left out could not pass:
+
+    * pair patterns: a row of pair(x, y) with value v at C is a fact of x and of y, so the support is at most the degree product of x
+      and z on C, and that of y and z;
+    * triangles: at most the wedges of each of the three pivot classes;
+    * two atoms: at most the size of either; stars: the support itself, which degrees give;
+    * S6 has confidence 0, S7 and S8 support 0.
+    """
+    asked = b.select(*b.columns, F.inline(F.filter(F.array(
+        ask("den", "dot", F.col("dK").isNotNull(), "da", "db", "", "dK"),
+        ask("star", "dot", F.col("sa").isNotNull(), "sa", "sb", "sc", "sK"),
+        *[ask(name, "dot", F.col(f"K_{name}").isNotNull(), f"a_{name}", f"b_{name}", "", f"K_{name}") for name in BOUNDS],
+        ask("head", "size", F.lit(True), "head"), ask("body", "size", F.lit(True), "body1")), lambda x: x.isNotNull())))
+    r = attach(asked, vals, b.columns, ("den", "star", "head", "body", *BOUNDS))
+    pat = F.col("pattern")
+    zero = F.lit(0).cast(DEC)
+    met = {name: F.when(F.col(f"K_{name}").isNotNull(), F.coalesce(F.col(f"v_{name}"), zero)) for name in BOUNDS}
+    upper = (F.when(pat == "P2", F.least("v_head", "v_body"))
+             .when(pat.isin(*PAIR_PATTERNS) | (pat == "S4_triangle"), F.least(*met.values()))
+             .when(pat.isin(*STAR_PATTERNS), F.coalesce(F.col("v_star"), zero)).otherwise(zero))
+    body = F.when(F.col("body2").isNull(), F.col("v_body")).otherwise(F.col("v_den"))
+    may = passes(ratio4(upper, body), ratio4(upper, F.col("v_head")), min_conf, min_hc)
+    return r.where((pat == "S6") & (F.lit(min_conf) <= 0) | F.coalesce(may, F.lit(False))).select(*b.columns)
+
+
 def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
-               sizes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+               sizes: DataFrame | None = None, counts: DataFrame | None = None,
+               thresholds: tuple[float, float] | None = None) -> DataFrame:
     """Score classified candidates with the join measure.
 
     Returns ``(head, body1, body2, pattern, support, body_size, head_size, conf,
@@ -277,6 +309,9 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     All request keys are computed once on the (schema-level) candidate table,
     which is persisted; every request table is a projection of it, so the plan
     grows linearly with the number of building blocks.
+
+    With ``thresholds`` (least confidence and head coverage) rules that cannot reach them are left out before pairs and triangles
+    are joined (``may_pass``); the rows of all others are the same.
     """
     cl = classified
     pj = F.col("pattern_join")
@@ -336,11 +371,22 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
         F.when(s6_path, F.lit("path")).when(s6_left2 | s6_right2, F.lit("pairx"))
         .when(s6_l1 | s6_r1, F.lit("dotx")).alias("s6_kind"),
     )
+    # degree products that bound the support of a pair pattern or a triangle: two properties and the class on which they meet
+    bounds = []
+    for name, end, corner in zip(BOUNDS, ("px", "py", None), (("e0", "e1", "X"), ("e0", "e2", "Y"), ("e1", "e2", "Z")), strict=True):
+        of_pair = (F.least(end, "pz"), F.greatest(end, "pz"), F.col("pC")) if end else (none, none, none)
+        bounds += [F.when(F.col("px").isNotNull(), x).otherwise(F.col(t)).alias(f"{part}_{name}")
+                   for part, x, t in zip("abK", of_pair, corner, strict=True)]
+    base = base.select("*", *bounds) if thresholds is not None else base
     base = materialize_small(base)  # every request table below is a projection of it
     b = base
-    # one job tells which branches have requests and whether the rule table may be broadcast
-    has = b.agg(*[F.count(c).alias(c) for c in ("px", "cx", "sa", "dK", "oK", "s6_third", "X")],
-                F.count(F.when(F.col("s6_kind") == "path", 1)).alias("path"), row_bytes(b).alias("bytes")).first()
+
+    def requests(rules: DataFrame):
+        """One job tells which branches have requests and whether the rule table may be broadcast."""
+        return rules.agg(*[F.count(c).alias(c) for c in ("px", "cx", "sa", "dK", "oK", "s6_third", "X")],
+                         F.count(F.when(F.col("s6_kind") == "path", 1)).alias("path"), row_bytes(rules).alias("bytes")).first()
+
+    has = requests(b)
     props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
              .where(F.col("property").isNotNull()).distinct())
     ctx = JoinContext(facts, schema, props, sizes, counts, has["bytes"] <= MAX_BROADCAST_BYTES)
@@ -349,41 +395,62 @@ def score_join(facts: DataFrame, schema: DataFrame, classified: DataFrame,
         return b.where(F.col(column).isNotNull()).select(*[F.col(v).alias(k) if v else none.alias(k) for k, v in names.items()])
 
     # what the branches have in common: a request is its kind and up to six keys, a term adds to its value
-    terms: list[DataFrame] = []
-
-    def add(name: str, made: DataFrame, *keys: str) -> None:
+    def term(name: str, made: DataFrame, *keys: str) -> DataFrame:
         padded = [*[F.col(k) for k in keys], *[none] * (len(REQUEST) - 1 - len(keys))]
-        terms.append(made.select(F.lit(name).alias(REQUEST[0]), *[c.alias(k) for c, k in zip(padded, REQUEST[1:], strict=True)],
-                                 F.col("value").cast(DEC).alias("value")))
-
-    if has["px"]:
-        add("pair", ctx.pair_deg(some("px", x="px", y="py", C="pC", z="pz")), "x", "y", "C", "z")
-    if has["cx"]:
-        add("count", ctx.pair_count(some("cx", x="cx", y="cy")), "x", "y")
-    if has["sa"] + has["dK"] + has["oK"]:
-        add("dot", ctx.deg_products(
-            some("sa", a="sa", b="sb", c="sc", K="sK").unionByName(some("dK", a="da", b="db", c="", K="dK"))
-            .unionByName(some("oK", a="oa", b="ob", c="", K="oK"))), "a", "b", "c", "K")
-    if has["path"]:
-        add("path", ctx.head_path(b.where(F.col("s6_kind") == "path").select(
-            F.col("head").alias("h"), F.col("K12").alias("K1"), F.col("K13").alias("K2"),
-            F.col("body1").alias("p"), F.col("body2").alias("q"))), "h", "K1", "K2", "p", "q")
-    if has["X"]:
-        add("triangle", ctx.triangles(some("X", e0="e0", e1="e1", e2="e2", X="X", Y="Y", Z="Z")), "e0", "e1", "e2", "X", "Y", "Z")
-    if has["s6_third"]:
-        add("facts", ctx.distinct_sizes().withColumnRenamed("n", "value"), "property")
-    add("size", ctx.bag_sizes.withColumnRenamed("n", "value"), "property")
-    every = terms[0]
-    for t in terms[1:]:
-        every = every.unionByName(t)
-    vals = materialize_small(every.groupBy(*REQUEST).agg(F.sum("value").alias("value")))  # one exchange of partial sums
-    ctx.release()
+        return made.select(F.lit(name).alias(REQUEST[0]), *[c.alias(k) for c, k in zip(padded, REQUEST[1:], strict=True)],
+                           F.col("value").cast(DEC).alias("value"))
+
+    def summed(terms: list[DataFrame]) -> DataFrame:
+        every = terms[0]
+        for t in terms[1:]:
+            every = every.unionByName(t)
+        return materialize_small(every.groupBy(*REQUEST).agg(F.sum("value").alias("value")))  # one exchange of partial sums
+
+    def from_degrees() -> list[DataFrame]:
+        asked = [some("sa", a="sa", b="sb", c="sc", K="sK"), some("dK", a="da", b="db", c="", K="dK")]
+        if thresholds is None or thresholds[0] <= 0:  # else S6 cannot pass
+            asked.append(some("oK", a="oa", b="ob", c="", K="oK"))
+        if thresholds is not None:
+            asked += [some(f"K_{n}", a=f"a_{n}", b=f"b_{n}", c="", K=f"K_{n}") for n in BOUNDS]
+        dots = asked[0]
+        for x in asked[1:]:
+            dots = dots.unionByName(x)
+        out = [term("size", ctx.bag_sizes.withColumnRenamed("n", "value"), "property")]
+        if has["sa"] + has["dK"] + has["oK"] + has["px"] + has["X"]:
+            out.append(term("dot", ctx.deg_products(dots), "a", "b", "c", "K"))
+        return out
+
+    def from_facts() -> list[DataFrame]:
+        out: list[DataFrame] = []
+        if has["px"]:
+            out.append(term("pair", ctx.pair_deg(some("px", x="px", y="py", C="pC", z="pz")), "x", "y", "C", "z"))
+        if has["cx"]:
+            out.append(term("count", ctx.pair_count(some("cx", x="cx", y="cy")), "x", "y"))
+        if has["path"]:
+            out.append(term("path", ctx.head_path(b.where(F.col("s6_kind") == "path").select(
+                F.col("head").alias("h"), F.col("K12").alias("K1"), F.col("K13").alias("K2"),
+                F.col("body1").alias("p"), F.col("body2").alias("q"))), "h", "K1", "K2", "p", "q"))
+        if has["X"]:
+            out.append(term("triangle", ctx.triangles(some("X", e0="e0", e1="e1", e2="e2", X="X", Y="Y", Z="Z")), "e0", "e1", "e2", "X", "Y", "Z"))
+        if has["s6_third"]:
+            out.append(term("facts", ctx.distinct_sizes().withColumnRenamed("n", "value"), "property"))
+        return out
 
     def ask(role: str, name: str, when: Column, *keys: str) -> Column:
         padded = [*[F.col(k) if k else none for k in keys], *[none] * (len(REQUEST) - 1 - len(keys))]
         return F.when(when, F.struct(F.lit(role).alias("role"), F.lit(name).alias(REQUEST[0]),
                                      *[c.alias(k) for c, k in zip(padded, REQUEST[1:], strict=True)]))
 
+    if thresholds is None:
+        vals = summed([*from_degrees(), *from_facts()])
+    else:
+        vals = summed(from_degrees())
+        b = materialize_small(may_pass(b, vals, ask, *thresholds))
+        has = requests(b)
+        rest = from_facts()
+        vals = vals.unionByName(summed(rest)) if rest else vals
+    ctx.release()
+
     path = F.coalesce(F.col("s6_kind") == "path", F.lit(False))
     asked = b.select(*CANDIDATE_COLUMNS, "pattern", "s6_kind", F.inline(F.filter(F.array(
         ask("pairdeg", "pair", F.col("px").isNotNull(), "px", "py", "pC", "pz"),

@@ -50,10 +50,12 @@ def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: s
 
 def score_classified(facts: DataFrame, schema: DataFrame, classified: DataFrame, measure: str = "join",
                      one_object_per_subject: bool = False, ids: NameIds | None = None,
-                     sizes: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+                     sizes: DataFrame | None = None, counts: DataFrame | None = None,
+                     thresholds: tuple[float, float] | None = None) -> DataFrame:
     """Scores of ``classify``'s rows. The measures work on ids; the names come back on the scored rules.
 
-    ``sizes`` and ``counts`` (of ``ids``) may be passed in when the caller already has them.
+    ``sizes`` and ``counts`` (of ``ids``) may be passed in when the caller already has them. With ``thresholds`` the join measure
+    leaves out rules that cannot reach them before it evaluates these.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
@@ -65,7 +67,7 @@ def score_classified(facts: DataFrame, schema: DataFrame, classified: DataFrame,
         sizes = sizes if sizes is not None else property_sizes(own)
         own = ids.facts(facts.groupBy("property", "subject").agg(F.max("object").alias("object")))
     rules, typed = ids.rules(classified), ids.schema(schema)
-    scored = (score_join(own, typed, rules, sizes, counts) if measure == "join"
+    scored = (score_join(own, typed, rules, sizes, counts, thresholds) if measure == "join"
               else score_binding(own, typed, rules, sizes=sizes, counts=counts))
     return ids.restore(scored, broadcast_if_small(schema.select("property")), CANDIDATE_COLUMNS)
 
@@ -75,11 +77,13 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
          method: str = "exact", min_conf: float = MIN_CONF,
          min_hc: float = MIN_HEAD_COVERAGE, one_object_per_subject: bool = False,
          min_cluster_size: int = MIN_CLUSTER_SIZE, drop_duplicates: bool = True,
-         **hash_params) -> DataFrame:
+         sizes: DataFrame | None = None, prune: bool = True, **hash_params) -> DataFrame:
     """Mine ``atoms``-atom Horn rules scored with ``measure`` ("join" or "binding").
 
     Returns ``(head, body1, body2, conf, fitness, rule)``; ``body2`` is null for
-    two-atom rules. Empty inputs give an empty, typed frame.
+    two-atom rules. Empty inputs give an empty, typed frame. ``sizes`` are the bag sizes ``(property, n)`` when the caller has
+    them (a store's manifest has); else they are counted. ``prune`` lets the join measure bound supports by degrees first and
+    evaluate only rules that may pass; the result is the same.
     """
     if atoms not in (2, 3):
         raise ValueError("rules have 2 or 3 atoms")
@@ -89,7 +93,8 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
     # one pass over the facts serves bag sizes, clusters and every measure
     make = typed_counts if measure == "join" else counted_facts
     counts = make(ids.facts(facts), ids.schema(schema)).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = materialize_small(sizes_from_counts(counts))
+    known = ids.encode(sizes.join(schema, "property", "leftsemi").select("property", "n"), ["property"]) if sizes is not None else None
+    sizes = materialize_small(known if known is not None else sizes_from_counts(counts))
     if candidates is None:
         named = ids.encode(schema.select("property", F.col("property").alias("name")), ["property"]).join(sizes, "property")
         candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size,
@@ -97,6 +102,6 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
     else:
         candidates = candidates.select("head", "body1", F.col("body2").cast("string"))
     scored = score_classified(facts, schema, classify(candidates, schema), measure, one_object_per_subject, ids, sizes,
-                              None if one_object_per_subject else counts)
+                              None if one_object_per_subject else counts, (min_conf, min_hc) if prune else None)
     counts.unpersist()
     return to_rules(scored, schema, min_conf, min_hc, drop_duplicates)

@@ -148,6 +148,42 @@ def test_200000_facts_at_one_pivot_value(spark):
     assert [(r.pattern, r.support) for r in got] == [("S4_triangle", 200_000)]
 
 
+def counting(monkeypatch):
+    """Numbers of requests that the joins of facts evaluate, by kind."""
+    seen = {}
+    for kind in ("triangles", "pair_deg", "pair_count", "head_path"):
+        def evaluate(self, req, kind=kind, own=getattr(measure_join.JoinContext, kind)):
+            seen[kind] = req.distinct().count()
+            return own(self, req)
+        monkeypatch.setattr(measure_join.JoinContext, kind, evaluate)
+    return seen
+
+
+@pytest.mark.parametrize("least", [(0.1, 0.01), (0.4, 0.3), (0.0, 0.2)])
+def test_pruning_keeps_every_rule_that_passes(spark, monkeypatch, least):
+    schema, facts = shaped_graph(11, n_vals=6)
+    f, sch = frames(spark, schema, facts)
+    rules = [*itertools.permutations(schema, 3), *[(a, b, None) for a, b in itertools.permutations(schema, 2)]]
+    cl = classify(spark.createDataFrame(rules, "head string, body1 string, body2 string"), sch)
+    seen = counting(monkeypatch)
+    passing = lambda df: sorted(map(str, df.where((F.col("conf") >= least[0]) & (F.col("head_coverage") >= least[1])).collect()))
+    want, before = passing(score_join(f, sch, cl)), dict(seen)
+    seen.clear()
+    got = score_join(f, sch, cl, thresholds=least)
+    assert passing(got) == want and want
+    assert sum(seen.values()) < sum(before.values()) if least[0] else seen["head_path"] == before["head_path"]
+
+
+def test_triangles_that_cannot_pass_are_not_joined(spark, monkeypatch):
+    """200 x 200 wedges at one value and 100 closing facts: two rules fail by confidence, the others by head coverage."""
+    facts, sch, cand = triangle_graph(spark, 200, 100, 7)
+    cl = classify(cand, sch)
+    seen = counting(monkeypatch)
+    assert score_join(facts, sch, cl, thresholds=(0.1, 0.01)).count() == 4 and seen == {"triangles": 1}
+    seen.clear()
+    assert score_join(facts, sch, cl, thresholds=(0.1, 0.6)).count() == 0 and seen == {}
+
+
 def test_grid_cells_are_even(spark):
     """200,000 facts of both edges at one value: what a cell reads stays near the median."""
     n = 200_000
