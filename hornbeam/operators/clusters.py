@@ -12,6 +12,9 @@ groups properties by their sorted class array: one aggregation, deterministic.
 ``minhash`` runs Spark ML's ``HashingTF`` + ``MinHashLSH.approxSimilarityJoin``
 with the same parameters (20 features, 2 tables, threshold 0.5 by default); with
 few features, bucket collisions merge unrelated class sets, as hashing does.
+``signature`` gives the clusters of ``minhash`` without a pair table: by the same argument its pairs are
+those with equal bucket sets (which share every MinHash value, so none is missed), so properties are grouped by the
+bucket set of ``HashingTF``. One aggregation, at any number of features.
 
 A cluster keeps only members that have facts and needs more than two of them
 (``min_size`` = 3).
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("domain_range", "domain", "range")
+METHODS = ("exact", "minhash", "signature")
 
 # Similarity parameters of the hashing method.
 NUM_FEATURES = 20
@@ -44,6 +48,19 @@ def class_key(schema: DataFrame, kind: str) -> DataFrame:
     return schema.select("property", key.alias("key"))
 
 
+def bucket_key(schema: DataFrame, kind: str, num_features: int = NUM_FEATURES) -> DataFrame:
+    """G1: ``(property, key)``: the sorted slots that ``HashingTF`` gives the classes compared for this kind.
+
+    The vectors stay sparse: a key has at most two slots whatever ``num_features`` is.
+    """
+    from pyspark.ml.feature import HashingTF
+
+    data = class_key(schema, kind).toDF("property", "values")
+    feats = HashingTF(inputCol="values", outputCol="features", numFeatures=num_features).transform(data)
+    vector = F.from_json(F.to_json(F.struct("features")), "features struct<indices:array<int>>")
+    return feats.select("property", F.array_sort(vector["features"]["indices"]).alias("key"))
+
+
 def properties_with_facts(facts_or_sizes: DataFrame) -> DataFrame:
     """``(property)`` of every property holding at least one fact."""
     return facts_or_sizes.select("property").distinct()
@@ -61,7 +78,7 @@ def similar_pairs(schema: DataFrame, kind: str, method: str = "exact",
     elif method == "minhash":
         pairs = _minhash_pairs(keys, num_features, num_tables, threshold, seed)
     else:
-        raise ValueError(f"unknown method {method!r}; expected 'exact' or 'minhash'")
+        raise ValueError(f"pairs come from method 'exact' or 'minhash', not {method!r}")
     return pairs.select(F.lit(kind).alias("kind"), "id1", "id2")
 
 
@@ -80,15 +97,25 @@ def _minhash_pairs(keys: DataFrame, num_features: int, num_tables: int, threshol
             .select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2")))
 
 
+def _signatures(schema: DataFrame, kind: str, num_features: int = NUM_FEATURES,
+                threshold: float = SIM_THRESHOLD) -> DataFrame:
+    if not 0 < threshold <= 0.5:
+        raise ValueError("sets of one or two slots group by equality only for thresholds up to 0.5; use method 'minhash'")
+    return bucket_key(schema, kind, num_features)
+
+
 def cluster_properties(schema: DataFrame, with_facts: DataFrame, kind: str,
                        method: str = "exact", min_size: int = MIN_CLUSTER_SIZE,
                        **hash_params) -> DataFrame:
     """``(kind, cluster_id, properties)`` for one kind; members sorted, only with facts."""
-    if method == "exact":
-        keyed = class_key(schema, kind).join(with_facts, "property", "leftsemi")   # C4
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; expected one of {METHODS}")
+    if method != "minhash":
+        keys = class_key(schema, kind) if method == "exact" else _signatures(schema, kind, **hash_params)
+        keyed = keys.join(with_facts, "property", "leftsemi")                      # C4
         grouped = (keyed.groupBy("key")
                    .agg(F.array_sort(F.collect_set("property")).alias("properties"))
-                   .withColumn("cluster_id", F.concat_ws("|", "key")))
+                   .withColumn("cluster_id", F.concat_ws("|", F.col("key").cast("array<string>"))))
     else:
         pairs = similar_pairs(schema, kind, method, **hash_params)
         nb = (pairs.groupBy("id1")                                                  # D5

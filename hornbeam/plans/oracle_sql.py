@@ -50,6 +50,12 @@ SCHEMA = "schema(property, name, dom, ran) AS (VALUES " + ", ".join(
 DECLS = "decls(axiom_type, property, cls) AS (VALUES " + ", ".join(
     f"({_q(k)}, {_q(p)}, {_q(c)})" for k, p, c in declaration_rows()) + ")"
 
+# The slot of each class name under the ML library's HashingTF with so many features.
+BUCKETS = {
+    20: {"User": 1, "Hour": 12, "Customer": 10, "Nation": 5, "Supplier": 3, "Order": 15, "Segment": 1, "Priority": 18, "Status": 6},
+    5: {"User": 1, "Hour": 2, "Customer": 0, "Nation": 0, "Supplier": 3, "Order": 0, "Segment": 1, "Priority": 3, "Status": 1},
+}
+
 SIZES = "sizes AS (SELECT property, count(*) AS n FROM facts GROUP BY property)"
 TYPED = ("tf AS (SELECT DISTINCT f.property, s.dom, s.ran, f.subject, f.object "
          "FROM facts f JOIN schema s ON f.property = s.property)")
@@ -355,6 +361,14 @@ FROM agg a LEFT JOIN sizes z ON z.property = a.property WHERE has_dom AND has_ra
             f"SELECT kind, cluster_id, members, n_members FROM clusters WHERE kind = '{kind}'")
     q["clusters_all"] = cl_base + "SELECT kind, cluster_id, members, n_members FROM clusters"
     q["clusters_minhash"] = cl_base + "SELECT kind, members, n_members FROM clusters"
+    for n, buckets in BUCKETS.items():
+        slots = "slot(cls, b) AS (VALUES " + ", ".join(f"({_q(_iri(c))}, {b})" for c, b in buckets.items()) + ")"
+        q[f"clusters_minhash_{n}"] = _with(*BASE, slots) + """,
+skeys AS (SELECT t.property, d.b AS db, r.b AS rb FROM tschema t JOIN slot d ON d.cls = t.dom JOIN slot r ON r.cls = t.ran),
+sets AS (SELECT 'domain_range' AS kind, property, least(db, rb) AS lo, greatest(db, rb) AS hi FROM skeys
+  UNION ALL SELECT 'domain', property, db, db FROM skeys UNION ALL SELECT 'range', property, rb, rb FROM skeys)
+SELECT kind, string_agg(property, ',' ORDER BY property) AS members, count(*) AS n_members
+FROM sets GROUP BY kind, lo, hi HAVING count(*) >= 3"""
     q["similar_pairs"] = _with(*BASE, CLUSTERS.split(",\nclusters AS")[0]) + (
         "SELECT a.kind, a.property AS id1, b.property AS id2 FROM ckeys a JOIN ckeys b "
         "ON a.kind = b.kind AND a.cluster_id = b.cluster_id AND a.property <> b.property")
@@ -433,6 +447,9 @@ opn AS (SELECT b AS head, a AS body1, c AS body2 FROM path UNION SELECT a, b, c
     q["mine_from_axioms"] = q["mine_from_store"] = q["mine_join_3"]
     names = ", ".join(_q(_iri(n)) for n in PRUNED)
     q["store_pruned_read"] = _with(FACTS) + f"SELECT property, subject, object FROM facts WHERE property IN ({names})"
+    q["store_manifest"] = _with(FACTS) + (
+        "SELECT property, n, CASE WHEN d < n THEN d END AS n_distinct FROM (SELECT property, count(*) AS n, "
+        "count(DISTINCT (subject, object)) AS d FROM facts GROUP BY property)")
     q["views_join"] = _with(FACTS) + f"""SELECT c.nation, c.n AS customers, s.n AS suppliers
 FROM (SELECT object AS nation, count(DISTINCT subject) AS n FROM facts WHERE property = '{_iri("customerIn")}' GROUP BY object) c
 JOIN (SELECT object AS nation, count(DISTINCT subject) AS n FROM facts WHERE property = '{_iri("supplierIn")}' GROUP BY object) s

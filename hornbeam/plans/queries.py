@@ -312,18 +312,34 @@ def q_store_pruned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_facts(spark, path, [iri(n) for n in PRUNED])
 
 
+def stored_graph(spark: SparkSession, facts: DataFrame, schema: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The typed properties' facts of a store and their bag sizes: directories are pruned before anything is cached, sizes come
+    from the manifest."""
+    store.materialize(facts, path, mode="reuse")
+    names = [r["property"] for r in schema.select("property").collect()]  # schema-level
+    return store.cache_facts(store.read_facts(spark, path, names)), store.stored_sizes(spark, path)
+
+
 def q_mine_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mine from the stored facts (A5, A6, A8, N3): written once, reused, read for the typed properties only."""
+    """Mine from the stored facts (A5, A6, A8, N3): written once, verified and reused, read for the typed properties only."""
     facts, schema = knowledge_graph(spark, sf_dir)
     path = store.store_path(spark, ax.dataset_name(sf_dir), unique=True)
     store.materialize(facts, path)
-    kept = store.cache_facts(store.materialize(facts.limit(0), path))  # complete, so reused as it is
-    names = [r["property"] for r in schema.select("property").collect()]  # schema-level
-    out = mine(kept.where(F.col("property").isin(names)), schema, 3, "join")
+    kept, sizes = stored_graph(spark, facts, schema, path)
+    out = mine(kept, schema, 3, "join", sizes=sizes)
     kept.unpersist()
     return out
 
 
+def q_store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes from a store's manifest, and the properties in which it differs from the same facts said in distinct rows."""
+    facts, _ = knowledge_graph(spark, sf_dir)
+    path = store.store_path(spark, "facts", unique=True)
+    store.materialize(facts, path)
+    other = store.differences(facts.distinct(), path).select("property", F.col("n_here").alias("n_distinct"))
+    return store.stored_sizes(spark, path).join(other, "property", "left")
+
+
 def q_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named views joined in SQL by their class columns (A7): customers and suppliers of each nation."""
     facts, schema = knowledge_graph(spark, sf_dir)
@@ -349,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "mine_from_store": q_mine_from_store,
     "axioms_two_files": q_axioms_two_files,
     "store_pruned_read": q_store_pruned_read,
+    "store_manifest": q_store_manifest,
     "views_join": q_views,
     "partitioned_sizes": q_partitioned_sizes,
     "join_apart": q_apart("join"),
@@ -366,6 +383,8 @@ QUERIES: dict[str, Query] = {
     "clusters_domain_range": _clusters_query("domain_range"),
     "clusters_all": _clusters_query(None),
     "clusters_minhash": _clusters_query(None, "minhash", num_features=1 << 18),
+    "clusters_minhash_20": _clusters_query(None, "signature"),
+    "clusters_minhash_5": _clusters_query(None, "signature", num_features=5),
     "similar_pairs": q_similar_pairs,
     "class_overlap": q_class_overlap,
     "candidates_2": q_candidates(2),

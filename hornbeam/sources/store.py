@@ -2,9 +2,14 @@
 
 The store is one long table partitioned on disk by property, so reading a few
 properties prunes every other directory. ``materialize`` is the reuse-or-create
-step: with ``mode="ignore"`` an existing store is read as it is, otherwise it is
-(re)written. Paths must be on shared storage; ``store_path`` derives one from
+step: with ``mode="ignore"`` an existing store is read as it is, with ``"reuse"`` after a
+comparison of its content, otherwise it is (re)written. Paths must be on shared storage; ``store_path`` derives one from
 the session's ``spark.checkpoint.dir``.
+
+Beside the facts lies a **manifest** (``_manifest``, which Spark's readers of the store pass over): one row per property with
+its number of facts and an order-free digest of them. It is written last, so a store is complete when its manifest is. Bag sizes
+are read from it without a scan, and ``mode="reuse"`` refuses a store whose manifest differs from the facts at hand: two data
+sets of one name cannot be taken for each other.
 """
 
 from __future__ import annotations
@@ -18,6 +23,11 @@ from pyspark.sql import functions as F
 from ..functions.text import local_name
 from ..session import ensure_checkpoint_dir
 
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = "property string, n bigint, digest string"
+FACT_SCHEMA = "subject string, object string, property string"  # stated, so an empty store reads and no property becomes a number
+SHOWN = 5  # differing properties that an error names
+
 
 def store_path(spark: SparkSession, name: str, unique: bool = False) -> str:
     """A path under the shared checkpoint folder (``unique`` adds a random suffix)."""
@@ -38,29 +48,81 @@ def write_facts(facts: DataFrame, path: str, mode: str = "overwrite",
      .partitionBy("property").parquet(path))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` holds a store whose write ended well (Spark's success marker is there)."""
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    """Whether ``path`` holds a store whose writes ended well (the success markers of the facts and of the manifest are there)."""
+    base = path.rstrip("/")
+    return _exists(spark, f"{base}/_SUCCESS") and _exists(spark, f"{base}/{MANIFEST}/_SUCCESS")
+
+
+def manifest(facts: DataFrame) -> DataFrame:
+    """``(property, n, digest)``: bag size and digest of each property's facts, whatever their order; one aggregation.
+
+    The digest is a sum and an exclusive or of two 64-bit hashes of each fact. The sum counts repeated facts; nulls differ from
+    empty names.
+    """
+    fact = [F.col("subject").isNull(), F.col("object").isNull(), F.col("subject"), F.col("object")]
+    total = F.sum(F.xxhash64(*fact).cast("decimal(38,0)")).cast("string")
+    odd = F.hex(F.bit_xor(F.xxhash64(F.lit(1), *fact)))
+    return facts.groupBy("property").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("/", total, odd).alias("digest"))
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """Write the manifest of the facts stored at ``path``, from these facts as they were stored."""
+    manifest(read_facts(spark, path)).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(property, n, digest)`` of a complete store."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def stored_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """D2 bag sizes ``(property, n)`` of a complete store, without a scan of its facts."""
+    return read_manifest(spark, path).select("property", "n")
+
+
+def differences(facts: DataFrame, path: str) -> DataFrame:
+    """Properties whose facts differ between ``facts`` and the store: ``(property, n_here, n_stored)``, null where there are none."""
+    here = manifest(facts).select(F.col("property").alias("_p"), F.col("n").alias("n_here"), F.col("digest").alias("_d"))
+    kept = read_manifest(facts.sparkSession, path)
+    both = here.join(kept, here["_p"].eqNullSafe(kept["property"]), "full").where(~F.col("_d").eqNullSafe(F.col("digest")))
+    return both.select(F.coalesce("property", "_p").alias("property"), "n_here", F.col("n").alias("n_stored"))
 
 
 def read_facts(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
     """A4: read the store; a property list becomes a partition filter (pruned directories)."""
-    df = spark.read.parquet(path).select("property", "subject", "object")
+    df = spark.read.schema(FACT_SCHEMA).parquet(path).select("property", "subject", "object")
     if properties is not None:
         df = df.where(F.col("property").isin(properties))
     return df
 
 
+class StoreMismatch(ValueError):
+    """A complete store holds other facts than those at hand."""
+
+
 def materialize(facts: DataFrame, path: str, mode: str = "ignore") -> DataFrame:
-    """A5: write unless a complete store exists (``mode="ignore"``), then read it back.
+    """A5: write unless a complete store exists (``mode`` "reuse" or "ignore"), then read it back.
 
-    What a failed write left behind is no store: it is written again.
+    What a failed write left behind is no store: it is written again. "reuse" takes an existing store only if its manifest equals
+    that of ``facts`` (one aggregation of them), else ``StoreMismatch`` is raised; "ignore" takes it unseen. Other modes are
+    Spark's own and always write.
     """
-    if mode == "ignore" and is_complete(facts.sparkSession, path):
-        return read_facts(facts.sparkSession, path)
-    write_facts(facts, path, mode="overwrite" if mode == "ignore" else mode)
-    return read_facts(facts.sparkSession, path)
+    spark = facts.sparkSession
+    if mode in ("ignore", "reuse") and is_complete(spark, path):
+        other = differences(facts, path).orderBy("property").limit(SHOWN).collect() if mode == "reuse" else []
+        if other:
+            raise StoreMismatch(f"{path} holds other facts: " + ", ".join(
+                f"{r['property']} {r['n_stored'] or 0} stored, {r['n_here'] or 0} here" for r in other))
+        return read_facts(spark, path)
+    write_facts(facts, path, mode="overwrite" if mode in ("ignore", "reuse") else mode)
+    write_manifest(spark, path)
+    return read_facts(spark, path)
 
 
 def cache_facts(facts: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from hornbeam.operators.candidates import classify, open_paths, ordered_subsets
@@ -31,6 +32,25 @@ def test_minhash_equals_exact_without_collisions(kg):
     assert ex == mh
 
 
+@pytest.mark.parametrize("n", [2, 5, 20])
+def test_signatures_equal_the_librarys_pairs(kg, n):
+    facts, schema = kg
+    wf = property_sizes(facts).select("property")
+    flat = lambda m: {(r.kind, tuple(r.properties)) for r in all_clusters(schema, wf, m, num_features=n).collect()}
+    pairs = flat("minhash")
+    assert flat("signature") == pairs
+    exact = {(r.kind, tuple(r.properties)) for r in all_clusters(schema, wf).collect()}
+    assert (pairs == exact) == (n == 20)    # fewer slots merge classes
+
+
+def test_signatures_need_no_pair_table(kg):
+    facts, schema = kg
+    plan = all_clusters(schema, schema.select("property"), "signature")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan
+    with pytest.raises(ValueError):
+        all_clusters(schema, facts.select("property"), "signature", threshold=0.6)
+
+
 def test_candidates_counts(kg):
     facts, schema = kg
     c = all_clusters(schema, property_sizes(facts).select("property"))

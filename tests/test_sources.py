@@ -101,6 +101,38 @@ def test_an_unfinished_store_is_written_again(spark, kg, tmp_path):
     assert store.materialize(facts.limit(5), path).count() == 5
 
 
+def test_a_store_of_other_content_is_refused(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [("p", "a", "b"), ("p", "a", "b"), ("q", "c", None), ("r", "", "d"), (None, "a", "b")]
+    make = lambda x: spark.createDataFrame(x, "property string, subject string, object string")
+    n = store.materialize(make(rows), path, mode="reuse").count()
+    assert n == 5 and store.materialize(make(rows[::-1]), path, mode="reuse").count() == 5   # order does not matter
+    sizes = store.stored_sizes(spark, path)
+    assert {r.property: r.n for r in sizes.collect()} == {"p": 2, "q": 1, "r": 1, None: 1}
+    for other in (rows[1:], [*rows, ("s", "x", "y")], rows[:2], [*rows[:2], ("q", "c", ""), *rows[3:]], [*rows[:2], ("q", None, "c"), *rows[3:]]):
+        with pytest.raises(store.StoreMismatch):
+            store.materialize(make(other), path, mode="reuse")
+    empty = str(tmp_path / "empty")
+    assert store.materialize(make([]), empty, mode="reuse").count() == 0 and store.differences(make([]), empty).isEmpty()
+    with pytest.raises(store.StoreMismatch):
+        store.materialize(make(rows), empty, mode="reuse")
+
+
+def test_stored_graph_prunes_before_it_caches(spark, kg):
+    from hornbeam.operators.facts import property_sizes
+    from hornbeam.plans.queries import stored_graph
+    facts, schema = kg
+    path = store.store_path(spark, "test-graph", unique=True)
+    some = schema.where("name IN ('customerIn', 'homeOf')")
+    kept, sizes = stored_graph(spark, facts, some, path)
+    assert kept.select("property").distinct().count() == 2
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters:")[1].splitlines()[0]
+    assert "InMemoryRelation" in plan and "customerIn" in filters and "homeOf" in filters
+    assert sorted(sizes.collect()) == sorted(property_sizes(facts).select("property", "n").collect())
+    kept.unpersist()
+
+
 def test_candidates_exchange_between_atoms(spark):
     from hornbeam.operators.candidates import ordered_subsets
     c = spark.createDataFrame([("domain", "k", [f"p{i}" for i in range(9)])], "kind string, cluster_id string, properties array<string>")
