@@ -89,6 +89,13 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + i, shingle_set(h[first[i]:first[i + 1]], size)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most 1,000 at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            yield batch.slice(at, 1000)
+
+
 def _survey(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("ngram_join")
@@ -116,7 +123,7 @@ def _survey(size: int):
 def _profiles(size: int, percent: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
-        for batch in batches:
+        for batch in _small(batches):
             rows = [(i, _digest(g), sketch(g), o.prefix(g, percent)) for i, g in _sets(batch, size) if len(g)]
             lists = [x[3].view(np.int64) for x in rows]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
@@ -147,7 +154,7 @@ def _slices(size: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         kind = pa.list_(pa.list_(pa.int64()))
-        for batch in batches:
+        for batch in _small(batches):
             digests, ends, grams = [], [0], []
             for _, g in _sets(batch, size):
                 if len(g):
@@ -181,47 +188,73 @@ def _rule_out(percent: int):
     return run
 
 
+def _share(before: pa.ListArray) -> np.ndarray | None:
+    """How many n-grams each two rows share (a square matrix), counted over slices of the n-grams held more than once."""
+    values = before.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(before)), before.value_lengths().to_numpy(zero_copy_only=False))
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times > 1
+    if not often.any():
+        return None
+    row, at = row[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(before), len(before)), np.float32)
+    for k in range(0, int(often.sum()), 2048):
+        lo, hi = np.searchsorted(at, [k, k + 2048])
+        held = np.zeros((len(before), 2048), np.float32)
+        held[row[lo:hi], at[lo:hi] - k] = 1
+        out += held @ held.T
+    return out
+
+
 def _cross(percent: int):
-    """Rows ``gram, win, block, node, component, side, n, band, sketch, firsts`` sorted by the first three; a block holds
-    two slices (``side`` 0 and 1, or 2 for a slice with itself). Gives pairs of different components that may
-    link, share no earlier n-gram, and whose smaller band is the window's first."""
+    """Rows ``gram, win, block, node, component, side, n, band, sketch, before`` sorted by the first three; a block holds
+    two slices (``side`` 0 and 1, or 2 for a slice with itself), ``before`` the earlier n-grams of a row. Gives pairs of different
+    components that may link, share no earlier n-gram, and whose smaller band is the window's first."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        gram, win = rows[0][:2]
-        node, comp, side, n, band = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6, 7))
-        s = np.stack([np.frombuffer(r[8], np.uint8) if r[8] else np.full(SKETCH, 255, np.uint8) for r in rows])
-        blind = np.array([not r[8] for r in rows])
-        before = [r[9][:r[9].index(gram)] for r in rows]
-        names, at = np.unique([x for y in before for x in y], return_inverse=True) if any(before) else (np.zeros(0), np.zeros(0, np.int64))
-        held = np.zeros((len(rows), len(names)), np.float32)
-        held[np.repeat(np.arange(len(rows)), [len(y) for y in before]), at] = 1
-        held = held[:, held.sum(0) > 1]
+    def pairs(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        win = rows.column(1)[0].as_py()
+        node, comp, side, n, band = (rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4, 5, 6, 7))
+        if len(node) < 2 or (comp == comp[0]).all():
+            return None
+        sketches = rows.column(8).to_pylist()
+        s = np.stack([np.frombuffer(x, np.uint8) if x else np.full(SKETCH, 255, np.uint8) for x in sketches])
+        blind = np.array([not x for x in sketches])
+        shared = _share(rows.column(9))
         out = []
-        for i in range(len(rows) - 1):
-            j = np.arange(i + 1, len(rows))
+        for i in range(len(node) - 1):
+            j = np.arange(i + 1, len(node))
             j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2)) & (np.minimum(band[j], band[i]) + 1 == win)]
             small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
             j = j[100 * small >= percent * large]
-            if len(j) and held.shape[1]:
-                j = j[held[j] @ held[i] == 0]
+            if len(j) and shared is not None:
+                j = j[shared[i, j] == 0]
             if len(j):
                 j = j[blind[i] | blind[j] | _possible(s[j], s[i], n[j], n[i], percent)]
-                out += [(node[i], node[k], n[i], n[k]) if node[i] < node[k] else (node[k], node[i], n[k], n[i]) for k in j.tolist()]
+                first = node[i] < node[j]
+                out.append((np.where(first, node[i], node[j]), np.where(first, node[j], node[i]),
+                            np.where(first, n[i], n[j]), np.where(first, n[j], n[i])))
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        worker_cache("ngram_join")
+        open_group: pa.RecordBatch | None = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    if (found := pairs(held)) is not None:
-                        yield found
-                    held = []
-                held.append(row)
-        if held and (found := pairs(held)) is not None:
+            if open_group is not None:
+                batch = pa.concat_batches([open_group, batch])
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2)])
+            at = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1]).tolist()
+            for lo, hi in zip(at, at[1:], strict=False):
+                if (found := pairs(batch.slice(lo, hi - lo))) is not None:
+                    yield found
+            open_group = batch.slice(at[-1])
+        if open_group is not None and (found := pairs(open_group)) is not None:
             yield found
     return run
 
@@ -316,7 +349,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, *,
               .withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
               .select("gram", "win", "block", "node", "component", "side", "band"))
     cross = (spread.join(profiles, "node")
-             .select("gram", "win", "block", "node", "component", "side", "n", "band", "sketch", "firsts")
+             .select("gram", "win", "block", "node", "component", "side", "n", "band", "sketch",
+                     F.expr("slice(firsts, 1, cast(array_position(firsts, gram) as int) - 1)").alias("before"))
              .repartition("gram", "win", "block").sortWithinPartitions("gram", "win", "block")
              .mapInArrow(_cross(percent), "a long, b long, na long, nb long").distinct())
     links = links.unionByName(verify(cross))

@@ -2,7 +2,7 @@
 
 A word is a run of anything but blank, tab, line feed, VT, FF and CR. Hashes are polynomial in
 randomised byte values, modulo 2**64, from running sums, those of words over 64 bytes XXH3; a column is walked in pieces of about a
-megabyte cut between words, so memory follows the piece and the number of words.
+quarter of a megabyte cut between words, so memory follows the piece and the number of words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 LONG = 64  # bytes; sums modulo 2**64 part short words, but long ones can be built that share a sum
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -93,7 +93,7 @@ def word_hashes(column: pa.Array, lower: bool = True, prefixes: tuple[int, ...]
         end[:-1] &= ~word[1:]
         end[cut - 1] = word[cut - 1]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        size = 1 << max(20, int(len(piece) - 1).bit_length())
+        size = 1 << max(18, int(len(piece) - 1).bit_length())
         up, down = _powers(size)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(values[piece] * up[:len(piece)], dtype=np.uint64, out=sums[1:])
