@@ -208,6 +208,35 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+# equal sets of shingles are one node, links are followed to the end
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS grams FROM d),
+s AS (SELECT min(doc_id) AS id, grams, len(grams) AS n FROM g WHERE len(grams) > 0 GROUP BY grams),
+e AS MATERIALIZED (SELECT row_number() OVER () AS node, id, n, grams FROM s),
+x AS MATERIALIZED (SELECT node, n, hash(unnest(grams)) AS gram FROM e),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT p.node AS a, q.node AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS inter
+                                     FROM x p JOIN x q ON p.gram = q.gram AND p.node <> q.node AND 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n) GROUP BY ALL)
+                   WHERE 100 * inter >= 90 * (na + nb - inter)),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT e.grams, least(e.id, coalesce(min(o.id), e.id)) AS component_id FROM e LEFT JOIN c ON c.a = e.node LEFT JOIN e AS o ON o.node = c.b GROUP BY e.grams, e.id)
+SELECT doc_id, len(g.grams)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM g LEFT JOIN m ON m.grams = g.grams
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, v FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.v, q.v) >= 0.95),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+m AS (SELECT a, min(b) AS least FROM c GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.least, vec_id)) AS kept
+FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
 # the table of CRC-32 is computed; a conversation's node is the text of its turn digests so far
 OP11_SQL = r"""
 WITH tab AS (SELECT list(t ORDER BY i) AS crc FROM (
@@ -270,6 +299,8 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 LLM_ORACLES = {
     "op2_warc": OP2_SQL,
     "op4_mixing": OP4_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
+    "op7_nn_descent": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
     "op12_lexical_scan": OP12_SQL,
