@@ -37,13 +37,14 @@ SYNTAXES = ("functional", "fun")
 
 MALFORMED = "Malformed"
 
-_IRI = r"<[^<>\s]*>"
-_NAME = r"<[^<>\s]*>|[A-Za-z][\w.-]*:[\w.-]*|:[\w.-]+"
-_BLANK = r"_:[\w.-]+"
+# possessive: none of these parts can give back a character that the next one takes
+_IRI = r"<[^<>\s]*+>"
+_NAME = r"<[^<>\s]*+>|[A-Za-z][\w.-]*+:[\w.-]*+|:[\w.-]++"
+_BLANK = r"_:[\w.-]++"
 _KINDS = f"{ASSERTION}|{DOMAIN}|{RANGE}"
 # kind, property, first argument, second argument; one pass, parts separated by a character no line holds
-AXIOM_RE = (rf"^\s*({_KINDS})\(\s*({_NAME})\s+({_NAME}|{_BLANK}|ObjectUnionOf\([^()]*\))"
-            rf"(?:\s+({_NAME}|{_BLANK}))?\s*\)\s*$")
+AXIOM_RE = (rf"^\s*+({_KINDS})\(\s*+({_NAME})\s++({_NAME}|{_BLANK}|ObjectUnionOf\([^()]*+\))"
+            rf"(?:\s++({_NAME}|{_BLANK}))?\s*+\)\s*+$")
 SEP = "\n"
 PREFIX_RE = rf"^\s*Prefix\(\s*([A-Za-z]?[\w.-]*:)\s*=\s*({_IRI})\s*\)\s*$"
 KEYWORD_RE = r"^\s*([A-Za-z]+)\s*\("
@@ -65,21 +66,61 @@ def _placed(lines: DataFrame) -> DataFrame:
     return out.select("value", "file", "block", F.monotonically_increasing_id().alias("nr"))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns computed once for each row: a generator of one row, which the optimiser does not repeat."""
+    return df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def _cut(value: Column) -> Column:
+    """Kind, property and arguments of a statement the miner uses; one part only if it is none."""
+    return F.split(F.regexp_replace(value, AXIOM_RE, f"$1{SEP}$2{SEP}$3{SEP}$4"), SEP)
+
+
+def _counts(value: Column) -> tuple[Column, Column]:
+    """Parentheses opened and closed; those inside of IRIs do not count."""
+    bare = F.regexp_replace(value, _IRI, "<>")
+    return tuple(F.length(bare) - F.length(F.replace(bare, F.lit(x))) for x in "()")
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Placed lines with ``cut``, one regular expression a line, and ``whole``: whether a line is a statement of its own. One that is cut into
+    its four parts is; parentheses are counted in the few others."""
+    opens, closes = _counts(F.col("value"))
+    out = once(_placed(lines), value=F.col("value"), file=F.col("file"), block=F.col("block"), nr=F.col("nr"), cut=_cut(F.col("value")))
+    return out.withColumn("whole", F.when(F.size("cut") == 4, True).otherwise(F.col("value").rlike(START_RE) & (opens == closes)))
+
+
+def _prefix_columns() -> tuple[Column, Column]:
+    line = F.ltrim("value").startswith("Prefix")
+    return tuple(F.when(line, F.regexp_extract("value", PREFIX_RE, i)) for i in (1, 2))
+
+
 def prefixes(lines: DataFrame) -> DataFrame:
     """``(file, prefix, iri)`` of the ``Prefix(...)`` lines: ontology headers, a handful of rows for each file."""
-    p = _placed(lines).where(F.ltrim("value").startswith("Prefix")).select(
-        "file", F.regexp_extract("value", PREFIX_RE, 1).alias("prefix"), F.regexp_extract("value", PREFIX_RE, 2).alias("iri"))
+    prefix, name = _prefix_columns()
+    p = _placed(lines).where(F.ltrim("value").startswith("Prefix")).select("file", prefix.alias("prefix"), name.alias("iri"))
     return p.where("iri <> ''").groupBy("file", "prefix").agg(F.min("iri").alias("iri"))
 
 
-def statements(lines: DataFrame) -> DataFrame:
-    """``(value, file)``: whole statements, those broken over several lines joined by blanks."""
-    # parentheses inside of IRIs do not count
-    bare = F.regexp_replace("value", _IRI, "<>")
-    opens, closes = (F.length(bare) - F.length(F.replace(bare, F.lit(x))) for x in "()")
-    starts = F.col("value").rlike(START_RE)
-    lines = _placed(lines).withColumn("starts", starts).withColumn("whole", F.col("starts") & (opens == closes))
-    rest = lines.where(~F.col("whole"))
+def survey(lines: DataFrame) -> DataFrame:
+    """``(file, prefix, iri)`` as ``prefixes``, and a row without a prefix for each file with lines that are no whole statement; one scan."""
+    prefix, name = _prefix_columns()
+    p = _marked(lines).where(F.size("cut") != 4).select(
+        "file", F.col("whole").alias("_whole"), F.inline(F.array(F.struct(prefix.alias("prefix"), name.alias("iri")), F.struct(
+            F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("iri")))))
+    return (p.where("CASE WHEN prefix IS NULL THEN iri IS NULL AND NOT _whole ELSE iri <> '' END")
+            .groupBy("file", "prefix").agg(F.min("iri").alias("iri")))
+
+
+def statements(lines: DataFrame, broken: bool = True) -> DataFrame:
+    """``(value, file, cut)``: whole statements and their parts, those broken over several lines joined by blanks (``broken`` False says that
+    there are none, so lines are read once)."""
+    lines = _marked(lines)
+    whole = lines.where("whole").select("value", "file", "cut")
+    if not broken:
+        return whole
+    opens, closes = _counts(F.col("value"))
+    rest = lines.where(~F.col("whole")).select("value", "file", "block", "nr").withColumn("starts", F.col("value").rlike(START_RE))
     own = Window.partitionBy("file", "block").orderBy("nr")
     # a statement starts with a keyword, or where a run of consecutive lines begins
     rest = rest.withColumn("gap", F.col("nr") - F.coalesce(F.lag("nr").over(own), F.col("nr") - 1) > 1)
@@ -88,7 +129,7 @@ def statements(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "value"))), lambda x: x["value"]), " ").alias("value"))
     # number 0 has no start in its split: it ends the last statement of the split before, if that is open (one row for each split)
     parts = parts.withColumn("at", F.struct("block", "stmt"))
-    ends = parts.groupBy("file", "block").agg(F.max(F.struct("at", (opens > closes).alias("open"))).alias("last"))
+    ends = parts.groupBy("file", "block").agg(F.max_by(F.struct("at", (opens > closes).alias("open")), "at").alias("last"))
     before = Window.partitionBy("file").orderBy("block")
     ends = ends.withColumn("home", F.lag("last").over(before)).select("file", "block", F.when(F.col("home.open"), F.col("home.at")).alias("home"))
     parts = parts.join(ends, ["file", "block"]).withColumn("home", F.when(F.col("stmt") == 0, F.coalesce("home", "at")).otherwise(F.col("at")))
@@ -96,30 +137,26 @@ def statements(lines: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), " ").alias("value"))
     # the parenthesis that closes the ontology may follow the last statement
     joined = joined.withColumn("value", F.when(closes == opens + 1, F.regexp_replace("value", r"\)\s*$", "")).otherwise(F.col("value")))
-    return lines.where("whole").select("value", "file").unionByName(joined.where(F.trim("value") != "").select("value", "file"))
+    joined = joined.where(F.trim("value") != "")
+    return whole.unionByName(once(joined, value=F.col("value"), file=F.col("file"), cut=_cut(F.col("value"))))
 
 
-def _full(c: Column) -> Column:
-    """A name as a full IRI by the prefixes ``known`` of its file; null when its prefix is not declared. Blank nodes stay."""
-    prefix = F.regexp_extract(c, r"^([A-Za-z]?[\w.-]*:)", 1)
-    name = F.try_element_at("known", prefix)
-    whole = F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.substring(c, F.length(prefix) + 1, F.length(c)), F.lit(">"))
+def _full(c: Column, known: Column) -> Column:
+    """A name as a full IRI by the prefixes ``known``; null when its prefix is not declared. Blank nodes stay."""
+    end = F.instr(c, ":")
+    whole = F.concat(F.try_element_at(known, F.substring(c, F.lit(1), end)), F.substring(c, end + 1, F.length(c)), F.lit(">"))
     return F.when(c.startswith("<") | c.startswith("_:") | c.startswith("ObjectUnionOf("), c).otherwise(whole)
 
 
 def parse_axioms(lines: DataFrame) -> DataFrame:
     """``lines(value[, file, block])`` -> ``axioms(axiom_type, property, arg1, arg2, file)``."""
-    v = F.col("value")
-    keyword = F.regexp_extract(v, KEYWORD_RE, 1)
-
-    def once(df: DataFrame, **columns: Column) -> DataFrame:
-        """Columns computed once for each row: a generator of one row, which the optimiser does not repeat."""
-        return df.select(F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-    # the prefixes of a file: by broadcast when they are few, else the lines of a file meet them in parts
-    known = prefixes(lines).groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "iri"))).alias("known"))
-    known = materialize_small(known.withColumnRenamed("file", "_file"))
-    p = statements(lines)
+    found = materialize_small(survey(lines))
+    broken = not found.where("prefix IS NULL").isEmpty()
+    # the prefixes of a file (IRIs without the closing bracket): by broadcast when they are few, else the lines of a file meet them in parts
+    open_iri = F.substring("iri", F.lit(1), F.length("iri") - 1)
+    known = found.where("prefix IS NOT NULL").groupBy(F.col("file").alias("_file")).agg(
+        F.map_from_entries(F.collect_list(F.struct("prefix", open_iri.alias("iri")))).alias("known"))
+    p = statements(lines, broken)
     if fits(known):
         p = p.join(F.broadcast(known), F.col("file") == F.col("_file"), "left")
     else:
@@ -127,28 +164,34 @@ def parse_axioms(lines: DataFrame) -> DataFrame:
         p = p.withColumn("_part", F.pmod(F.xxhash64("value"), F.lit(PARTS)).cast("int"))
         p = p.join(copies, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_copy")), "left")
     # a file without any Prefix line (a part of a document written in parts) takes those on which the files agree: a handful
-    agreed = (known.select(F.explode("known").alias("prefix", "iri")).groupBy("prefix").agg(F.min("iri").alias("iri"), F.max("iri").alias("hi")).where("iri = hi")
+    agreed = (found.where("prefix IS NOT NULL").groupBy("prefix").agg(F.min(open_iri).alias("iri"), F.max(open_iri).alias("hi")).where("iri = hi")
               .select("prefix", "iri").collect())
     shared = F.map_from_arrays(F.array(*[F.lit(r["prefix"]) for r in agreed]).cast("array<string>"),
                                F.array(*[F.lit(r["iri"]) for r in agreed]).cast("array<string>"))
-    f, k = F.col("file"), F.coalesce("known", shared)
-    p = once(p.select("value", "file", "known"), kind=keyword, value=v, file=f, known=k)
-    ours = F.col("kind").isin(ASSERTION, DOMAIN, RANGE)
-    p = once(p, kind=F.col("kind"), ours=ours, file=f, known=k,
-             cut=F.when(ours, F.split(F.regexp_replace(v, AXIOM_RE, f"$1{SEP}$2{SEP}$3{SEP}$4"), SEP)))
+    known, fit = F.coalesce("known", shared), F.size("cut") == 4
     part = lambda i: F.get("cut", i)
-    p = once(p, kind=F.col("kind"), ours=F.col("ours"), file=f, fits=F.size("cut") == 4, property=_full(part(1)),
-             arg1=_full(part(2)), arg2=F.when(part(3) != "", _full(part(3))))
+    p = once(p, kind=F.when(fit, part(0)).otherwise(F.regexp_extract("value", KEYWORD_RE, 1)), file=F.col("file"), fits=fit,
+             property=F.when(fit, _full(part(1), known)), arg1=F.when(fit, _full(part(2), known)),
+             arg2=F.when(fit & (part(3) != ""), _full(part(3), known)))
     is_fact = F.col("kind") == ASSERTION
-    good = F.col("ours") & F.coalesce(
+    ours = F.col("kind").isin(ASSERTION, DOMAIN, RANGE)
+    good = F.coalesce(
         F.col("fits") & F.col("property").isNotNull() & F.col("arg1").isNotNull() & (is_fact == F.col("arg2").isNotNull())
         & ~F.when(is_fact, F.col("arg1").startswith("ObjectUnionOf(")).otherwise(F.col("arg1").startswith("_:")), F.lit(False))
-    p = once(p, kind=F.col("kind"), ours=F.col("ours"), file=f, good=good, property=F.col("property"), arg1=F.col("arg1"), arg2=F.col("arg2"))
-    name = (F.when(F.col("ours") & ~F.col("good"), F.concat(F.lit(MALFORMED), "kind"))
+    p = p.withColumn("good", good)
+    name = (F.when(ours & ~F.col("good"), F.concat(F.lit(MALFORMED), "kind"))
             .when(F.col("kind") == "", F.lit("Other")).otherwise(F.col("kind")))
     return p.select(name.alias("axiom_type"), *[F.when(F.col("good"), F.col(c)).alias(c) for c in ("property", "arg1", "arg2")], "file")
 
 
+def heads(axioms: DataFrame) -> DataFrame:
+    """What schema and sizes read of axioms: kind, property, the class of a declaration; a fact's individuals are left empty, so rows that are
+    kept take a few bytes each."""
+    declared = F.col("axiom_type").isin(DOMAIN, RANGE)
+    return axioms.where(declared | (F.col("axiom_type") == ASSERTION)).select(
+        "axiom_type", "property", F.when(declared, F.col("arg1")).otherwise("").alias("arg1"), F.lit("").alias("arg2"))
+
+
 def read_axioms(spark: SparkSession, path: str, syntax: str = "functional") -> DataFrame:
     """A1/A2: axioms of a functional-syntax file (or directory of files)."""
     if syntax not in SYNTAXES:
@@ -194,7 +237,7 @@ def _as_iri(c: str, mixed: bool) -> Column:
     if not mixed:
         return whole
     plain, form = col.rlike(PLAIN), F.length(col) % 3
-    return (F.when(plain & (form == 1), F.concat(F.lit(":"), col)).when(plain & (form == 2), F.concat(F.lit("_:"), col))
+    return (F.when((form != 0) & plain, F.concat(F.when(form == 1, F.lit(":")).otherwise(F.lit("_:")), col))
             .otherwise(whole))
 
 
