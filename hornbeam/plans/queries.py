@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sizing import materialize_small
 from ..functions.text import iri, iri_col, local_name
 from ..operators import facts as fx
 from ..operators.candidates import atom_pairs, classify, connected_triples, open_paths
@@ -66,10 +68,17 @@ def q_axioms_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ax.assertions(ax.parse_axioms(_axiom_text(spark, sf_dir)))
 
 
+def _of_heads(axioms: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A small table (of properties or declarations) made from ``axioms`` without their individuals; the text is parsed once, whatever ``make`` reads."""
+    kept = ax.heads(axioms).persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize_small(make(kept))
+    kept.unpersist()
+    return out
+
+
 def q_domain_range_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain / range axioms found in the whole axiom text, with the facts of each property."""
-    axioms = ax.parse_axioms(_axiom_text(spark, sf_dir))
-    return _with_fact_count(ax.declarations(axioms), axioms)
+    return _of_heads(ax.parse_axioms(_axiom_text(spark, sf_dir)), lambda axioms: _with_fact_count(ax.declarations(axioms), axioms))
 
 
 def _with_fact_count(declared: DataFrame, axioms: DataFrame) -> DataFrame:
@@ -79,17 +88,19 @@ def _with_fact_count(declared: DataFrame, axioms: DataFrame) -> DataFrame:
 
 def q_property_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed schema parsed from the text, with the fact count of each property."""
-    axioms = ax.parse_axioms(_axiom_text(spark, sf_dir))
-    sch = property_schema(ax.domains(axioms), ax.ranges(axioms))
-    return sch.join(fx.property_sizes(ax.assertions(axioms)), "property")
+    def made(axioms: DataFrame) -> DataFrame:
+        sch = property_schema(ax.domains(axioms), ax.ranges(axioms))
+        return sch.join(fx.property_sizes(ax.assertions(axioms)), "property")
+    return _of_heads(ax.parse_axioms(_axiom_text(spark, sf_dir)), made)
 
 
 def q_schema_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every declared property with its facts, kept / dropped and the reason."""
-    axioms = ax.parse_axioms(_axiom_text(spark, sf_dir))
-    rep = schema_report(ax.domains(axioms), ax.ranges(axioms))
-    rep = rep.select("property", "name", F.col("n_classes").cast("bigint").alias("n_classes"), "kept", "reason")
-    return _with_fact_count(rep, axioms)
+    def made(axioms: DataFrame) -> DataFrame:
+        rep = schema_report(ax.domains(axioms), ax.ranges(axioms))
+        rep = rep.select("property", "name", F.col("n_classes").cast("bigint").alias("n_classes"), "kept", "reason")
+        return _with_fact_count(rep, axioms)
+    return _of_heads(ax.parse_axioms(_axiom_text(spark, sf_dir)), made)
 
 
 # ---------------------------------------------------------------- facts
@@ -278,22 +289,28 @@ def q_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mine_from_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axiom text to rules, the way a user starts: read a file, derive the schema, mine."""
     axioms = _axiom_file(spark, sf_dir)
-    return mine(ax.assertions(axioms), property_schema(ax.domains(axioms), ax.ranges(axioms)), 3, "join")
+    schema = _of_heads(axioms, lambda a: property_schema(ax.domains(a), ax.ranges(a)))
+    return mine(ax.assertions(axioms), schema, 3, "join")
+
+
+FILE_FACTS = 1_000_000  # facts of one text file
 
 
 def q_axioms_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts in two files that declare one prefix differently, every statement of the second broken over three
-    lines, and a third file of broken statements (A1, B1, B4): facts per file, and its malformed statements."""
+    lines, and a third file of broken statements (A1, B1, B4): facts per file, and its malformed statements. Beyond ``FILE_FACTS`` facts a
+    file goes on in others that repeat its header, so no task writes it alone."""
     facts, _ = knowledge_graph(spark, sf_dir)
     path = store.store_path(spark, "axioms", unique=True)
+    files = 1 + facts.count() // FILE_FACTS
     name = lambda c: F.when(F.col(c).rlike(ax.PLAIN), F.concat(F.lit(":"), c)).otherwise(iri_col(c))
     for folder, sep in (("a", " "), ("b", "\n   ")):
         line = F.concat(F.lit("ObjectPropertyAssertion(:"), local_name("property"), F.lit(sep), name("subject"), F.lit(sep), name("object"), F.lit(")"))
-        # one file, its header first: sorted within the one partition that is written
+        # each part once and with its header; parts that meet in one file say the same header twice, so their order does not matter
         text = facts.where(F.length(F.concat("subject", "object")) % 2 == int(folder == "b")).select(
-            F.lit(1).alias("at"), line.alias("value"))
-        head = spark.createDataFrame([(0, f"Prefix(:=<http://{folder}#>)")], "at int, value string")
-        head.unionByName(text).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{path}/{folder}")
+            F.pmod(F.xxhash64("subject", "object"), F.lit(files)).cast("int").alias("at"), line.alias("value"))
+        head = spark.range(files).select(F.col("id").cast("int").alias("at"), F.lit(f"Prefix(:=<http://{folder}#>)").alias("value"))
+        head.unionByName(text).repartition(files, "at").select("value").write.text(f"{path}/{folder}")
     broken = ["Prefix(:=<http://c#>)", "ObjectPropertyAssertion(:p :a", "ObjectPropertyAssertion(:p :a :b :c)", "ObjectPropertyDomain(x:p :A)"]
     spark.createDataFrame([(x,) for x in broken], "value string").coalesce(1).write.text(f"{path}/c")
     axioms = ax.read_axioms(spark, f"{path}/*", "functional")

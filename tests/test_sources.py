@@ -3,8 +3,11 @@ from pyspark.sql import functions as F
 
 from hornbeam.operators import facts as fx
 from hornbeam.operators.schema import property_schema, schema_report
+from hornbeam.plans import queries
+from hornbeam.plans.mine import score
 from hornbeam.sources import axioms as ax
 from hornbeam.sources import store
+from hornbeam.sources.kg_tables import knowledge_graph
 
 # FIXTURES.md section 2
 AXIOM_TEXT = """ObjectPropertyDomain(<http://ex.org/kg#worksAt> <http://ex.org/kg#Person>)
@@ -170,3 +173,58 @@ def test_statements_across_splits(spark, tmp_path):
             assert got == {(f"<http://a#s{i}>", f"<http://a#o{i}>") for i in range(60)} and ax.malformed(axioms).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+
+
+def counted(df):
+    """``df`` and the number of its rows computed so far, whatever asks for them."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    return df.mapInArrow(run, df.schema), seen
+
+
+@pytest.mark.parametrize("query", [queries.q_axioms_roundtrip, queries.q_domain_range_axioms, queries.q_property_schema, queries.q_schema_drops])
+def test_text_is_computed_twice_at_most(spark, monkeypatch, query):
+    """Once for its prefixes, once for its statements: broken lines are looked for in the first pass."""
+    rows = [f"ObjectPropertyAssertion(:p :a{i} :b{i % 7})" for i in range(200)]
+    rows += ["Prefix(:=<http://x#>)", "ObjectPropertyDomain(:p :A)", "ObjectPropertyRange(:p :B)", "Annotation(:x)"]
+    text, seen = counted(spark.createDataFrame([(x,) for x in rows], "value string"))
+    monkeypatch.setattr(queries, "_axiom_text", lambda *_: text)
+    got = query(spark, "").collect()
+    if query is queries.q_axioms_roundtrip:
+        assert sorted(map(tuple, got)) == sorted(("<http://x#p>", f"<http://x#a{i}>", f"<http://x#b{i % 7}>") for i in range(200))
+    elif query is queries.q_domain_range_axioms:
+        assert sorted(map(tuple, got)) == [("<http://x#p>", k, f"<http://x#{c}>", 200) for k, c in (("ObjectPropertyDomain", "A"), ("ObjectPropertyRange", "B"))]
+    else:
+        assert len(got) == 1 and 200 in tuple(got[0])
+    assert seen.value <= 2 * len(rows)
+
+
+def test_text_in_several_files(spark, monkeypatch, tmp_path):
+    """Beyond the bound of a file the text goes on in others that repeat its header."""
+    facts = spark.createDataFrame([(f"<http://ex.org/kg#p{i % 3}>", f"s{i}", f"o{i % 11}") for i in range(120)], "property string, subject string, object string")
+    monkeypatch.setattr(queries, "knowledge_graph", lambda *_: (facts, None))
+    got = []
+    for bound in (1_000_000, 25):
+        monkeypatch.setattr(queries, "FILE_FACTS", bound)
+        monkeypatch.setattr(queries.store, "store_path", lambda *_, at=str(tmp_path / str(bound)), **__: at)
+        got.append(sorted(map(tuple, queries.q_axioms_two_files(spark, "").collect())))
+    assert got[0] == got[1] and sum(n for name, n in got[0] if name.startswith("<")) == 120
+    assert {len(list((tmp_path / "1000000" / x).glob("part-*"))) for x in "ab"} == {1}
+    assert all(len(list((tmp_path / "25" / x).glob("part-*"))) > 1 for x in "ab")
+
+
+@pytest.mark.parametrize("measure", ["join", "binding"])
+def test_score_computes_facts_twice(spark, measure):
+    """Once to name them, once for the measure and the sizes."""
+    facts, schema = knowledge_graph(spark, "/root/testdata/sf0.001")
+    small = facts.where(F.col("property").contains("ustomerIn") | F.col("property").contains("supplierIn")).limit(300)
+    rows = [tuple(r) for r in small.collect()]
+    given, seen = counted(spark.createDataFrame(rows, small.schema))
+    names = schema.where(F.col("property").contains("ustomerIn")).select("property").orderBy("property").limit(2).toArrow()["property"].to_pylist()
+    asked = spark.createDataFrame([(names[0], names[1], None)], "head string, body1 string, body2 string")
+    assert score(given, schema, asked, measure).count() == 1
+    assert seen.value <= 2 * len(rows)
