@@ -67,8 +67,15 @@ def score_classified(facts: DataFrame, schema: DataFrame, classified: DataFrame,
         sizes = sizes if sizes is not None else property_sizes(own)
         own = ids.facts(facts.groupBy("property", "subject").agg(F.max("object").alias("object")))
     rules, typed = ids.rules(classified), ids.schema(schema)
+    kept = None
+    if counts is None:  # one pass over the facts serves the measure, which reads them several times, and their sizes
+        make = typed_counts if measure == "join" else counted_facts
+        counts = kept = make(own, typed).persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = sizes if sizes is not None else materialize_small(sizes_from_counts(counts))
     scored = (score_join(own, typed, rules, sizes, counts, thresholds) if measure == "join"
               else score_binding(own, typed, rules, sizes=sizes, counts=counts))
+    if kept is not None:
+        kept.unpersist()
     return ids.restore(scored, broadcast_if_small(schema.select("property")), CANDIDATE_COLUMNS)
 
 
