@@ -34,7 +34,8 @@ WINDOW = 24        # bytes under the rolling hash
 MEAN_BITS = 10     # a cut every 2**10 bytes on average
 LEAST = 256        # bytes between cuts
 BITMAP_BITS = 1 << 24
-MEMO = 700_000     # runs that a worker keeps
+MEMO = 400_000     # runs that a worker keeps
+PIECE = 1 << 21    # bytes of text, and of packed ids, that a worker holds at a time beside the batch it reads
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 # a word of ASCII letters ends before these whatever follows, so a blank put there changes no token
 AFTER_WORD = re.compile(rb"(?<=[a-z])(?=[.,;:!?|])")
@@ -94,7 +95,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.runs: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}   # at most half of MEMO, and as many used before these
+        self.older: dict[bytes, bytes] = {}
         mark = json.loads(spec)["added_tokens"][0]
         self.mark, self.mark_id = mark["content"].encode(), mark["id"]
         number = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -107,9 +109,12 @@ class Encoder:
 
     def learn(self, runs: set[bytes]) -> None:
         new = [x for x in runs if x not in self.runs]
-        if len(self.runs) + len(new) > MEMO:
-            self.runs.clear()
+        if len(self.runs) + len(new) > MEMO // 2:
+            self.older, self.runs = self.runs, {}
             new = list(runs)
+        if self.older:
+            self.runs.update((x, self.older[x]) for x in new if x in self.older)
+            new = [x for x in new if x not in self.older]
         plain = [x for x in new if self.mark not in x]
         for x in new if len(plain) < len(new) else ():
             self.runs[x] = self.one(x).tobytes()
@@ -122,15 +127,15 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        out, get = [], self.runs.get
+        out = []
         for text in texts:
             if b"<" not in text:  # else it may hold a special string, which is matched before lower-casing
                 text = AFTER_WORD.sub(b" ", text.lower())
             runs = text.split()  # bytes: splits at exactly the six ASCII spaces
-            got = list(map(get, runs))
+            got = list(map(self.runs.get, runs))
             if None in got:
                 self.learn(set(runs))
-                got = map(get, runs)
+                got = map(self.runs.get, runs)
             out.append(b"".join(got))
         return out
 
@@ -178,12 +183,23 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return [raw[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of a piece hold about ``PIECE`` bytes (one text may hold more)."""
+    for batch in batches:
+        at = utf8(batch.column(column))[1]
+        begin = 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + PIECE, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def shared_chunks(t: DataFrame, bits: int) -> np.ndarray:
     """Bitmap (``bits / 8`` bytes) of the keys of chunks that occur twice or more."""
     schema = pa.schema([("key", pa.int64())])
 
     def keys(batches):
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             all_keys = [k for x in _texts(batch, 1) for k in chunks_of(x)[1]]
             if all_keys:
                 yield pa.RecordBatch.from_arrays([pa.array(short(all_keys))], schema=schema)
@@ -219,7 +235,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     def lone(batches):
         """Texts of which no chunk is shared, encoded in place."""
         e = encoder(name, spec.value)
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
             mine = [i for i, x in enumerate(texts) if not len(x) or not shared(chunks_of(x)[1]).any()]
             yield _encoded(e, [ids[i] for i in mine], e.encode([texts[i].tobytes() for i in mine]), batch.schema.field(0).type)
@@ -227,8 +243,8 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     content = pa.schema([("key", pa.binary()), ("text", pa.binary())])
 
     def contents(batches):
-        """Each shared chunk, once per batch."""
-        for batch in batches:
+        """Each shared chunk, once per piece of a batch."""
+        for batch in _pieces(batches, 1):
             found = {}
             for x in _texts(batch, 1):
                 parts, keys = chunks_of(x)
@@ -240,7 +256,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     def once(batches):
         e = encoder(name, spec.value)
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             keys, split = batch.column(0).to_pylist(), [split_chunk(x) for x in batch.column(1).to_pylist()]
             got = e.encode([x[1] for x in split])
             yield from _flush([(k, h, m, z) for k, (h, _, z), m in zip(keys, split, got, strict=True)], encoded)
@@ -249,7 +265,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         """The chunks of the other texts in order; those not shared with their encoding."""
         e = encoder(name, spec.value)
         schema = None
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             schema = schema or pa.schema([("row", pa.int64()), ("id", batch.schema.field(0).type), ("seq", pa.int32()), *encoded])
             ids, row, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for i, x in enumerate(_texts(batch, 1)):
@@ -298,7 +314,7 @@ def assemble(e: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             if tail is not None:  # a space on both sides: the piece in doubt is settled
                 parts += [e.encode([doubt])[0], mid]
                 doubt = tail
-            if held > 1 << 24:
+            if held > PIECE:
                 yield _encoded(e, [x[0] for x in done], [x[1] for x in done], kind)
                 done, held = [], 0
     if row is not None:

@@ -364,3 +364,26 @@ def test_group_of_near_copies_around_the_threshold(spark):
                     x, y = sorted((label[i], label[j]))
                     label = {k: x if v == y else v for k, v in label.items()}
         assert {g.id: g.component for g in got} == label
+
+
+def test_bpe_worker_memory_is_bounded(monkeypatch):
+    """Runs are kept up to MEMO, those in use stay; batches are worked through in pieces."""
+    import pyarrow as pa
+    with open(WORDS, encoding="utf-8") as f:
+        spec = f.read()
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    e, words = bpe.Encoder(spec), [f"word{i}" for i in range(300)]
+    asked, learn = [], e.one
+    e.one = lambda x: asked.append(x) or learn(x)
+    for w in words:
+        text = f"the {w} {w}s".encode()
+        assert e.encode([text])[0] == learn(text).tobytes()
+        assert len(e.runs) + len(e.older) <= 40
+    assert sum(b"the" in x.split(e.mark) for x in asked) == 1  # a run in use is not encoded again
+    monkeypatch.setattr(bpe, "PIECE", 10)
+    column = pa.array(["", "abcd", None, "x" * 35, "ab", "cdefgh", "i", "jk", ""])
+    for kind in (pa.string(), pa.binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(9)), column.cast(kind)], ["id", "t"])
+        pieces = list(bpe._pieces([batch, batch.slice(9), batch.slice(4)], 1))
+        assert [x for p in pieces for x in p.column(0).to_pylist()] == [*range(9), *range(4, 9)]
+        assert max(sum(len(x or "") for x in p.column(1).to_pylist()) for p in pieces if len(p) > 1) <= 10
