@@ -106,3 +106,72 @@ def test_gradients_by_finite_differences():
             down = loss()
             flat[at] = old
             assert (up - down) / (2 * step) == pytest.approx(slope[at], abs=1e-5, rel=1e-3), (name, at)
+
+
+def texts_of(n, odd, seed, rare=()):
+    """Rows ``id, text, lang, toxic``: every ``odd``-th text holds a word of ``rare``, else one of three mean words."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        t = [f"w{r.randrange(300)}" for _ in range(r.randint(5, 40))]
+        if i % odd == 0:
+            t[r.randrange(len(t))] = r.choice(rare or ["idiot", "scum", "trash"])
+        rows.append((i, " ".join(t), r.choice(["en", "de"]), int(i % odd == 0)))
+    return rows
+
+
+def test_all_labelled_rows_reach_the_weights(spark, monkeypatch):
+    """The net starts on 200 rows; words that only later rows hold must move all the same, and thresholds come from a whole fold."""
+    monkeypatch.setattr(toxicity, "START_ROWS", 200)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1500)
+    seen, fitted = [], toxicity.average_round
+    chosen, choose = [], toxicity.choose_thresholds
+
+    def count(net, rows, *rest):
+        seen.extend(r["t"] for r in rows.select("t").collect())
+        return fitted(net, rows, *rest)
+
+    def keep(scored, p1):
+        chosen.append(scored.count())
+        return choose(scored, p1)
+
+    monkeypatch.setattr(toxicity, "average_round", count)
+    monkeypatch.setattr(toxicity, "choose_thresholds", keep)
+    rows = texts_of(4000, 4, 3, [f"mean{i}" for i in range(60)])
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    labels = d.where("doc_id < 3600").select(d["doc_id"].alias("id"), d["toxic"].alias("label"))
+    net, thresholds = toxicity.train(d.where("doc_id < 3600"), labels)
+    assert len(seen) + chosen[0] == 3600 and 260 < chosen[0] < 460 and set(thresholds) == {"en", "de"}
+    got = {r.id: r.score for r in toxicity.score(d.where("doc_id >= 3600"), net, thresholds).collect()}
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in range(3600, 4000)) >= 380
+    again, same = toxicity.train(d.where("doc_id < 3600"), labels)
+    assert same == thresholds and np.array_equal(again.p["E"], net.p["E"])
+
+
+def test_thresholds_against_a_plain_loop(spark):
+    r = random.Random(8)
+    rows = [(y, lang, min(max(r.gauss(0.3 + 0.3 * y, 0.2), 0.0), 1.0)) for lang in ("en", "de") for _ in range(150) for y in [int(r.random() < 0.3)]]
+    rows += [(0, "xx", 0.2), (1, None, 0.4), (0, None, 0.3)]
+    got = toxicity.choose_thresholds(spark.createDataFrame(rows, "label int, lang string, score double"), 0.1)
+    assert set(got) == {"en", "de"}
+    for lang, x in got.items():
+        mine = [(y, s) for y, z, s in rows if z == lang]
+        p, n = sum(y for y, _ in mine), sum(1 - y for y, _ in mine)
+        w1, w0 = 0.1 * len(mine) / p, 0.9 * len(mine) / n
+
+        def f1(limit):
+            tp, fp = w1 * sum(y for y, s in mine if s >= limit), w0 * sum(1 - y for y, s in mine if s >= limit)
+            return 2 * tp / (tp + fp + w1 * p)
+
+        assert f1(x) >= max(f1(s) for _, s in mine) - 1e-9
+
+
+def test_weighted_gradients_and_pieces(monkeypatch):
+    net = toxicity.Net(2)
+    words, labels = texts([0, 3, 50, 9], 4), np.array([0.0, 1.0, 0.0, 1.0])
+    whole = net.gradients(words, labels)
+    twice = net.gradients([*words, words[1]], np.append(labels, 1.0))
+    weighted = net.gradients(words, labels, np.array([1.0, 2.0, 1.0, 1.0]))
+    assert all(np.allclose(twice[k] * 5, weighted[k] * 4, atol=1e-5) for k in whole)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert all(np.allclose(net.gradients(words, labels)[k], whole[k], atol=1e-6) for k in whole)
