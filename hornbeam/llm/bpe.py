@@ -261,21 +261,35 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
             got = e.encode([x[1] for x in split])
             yield from _flush([(k, h, m, z) for k, (h, _, z), m in zip(keys, split, got, strict=True)], encoded)
 
+    def stand(batch):
+        """The texts of a batch that hold a shared chunk: ``(place in the batch, chunks, keys, which are shared)``."""
+        for i, x in enumerate(_texts(batch, 1)):
+            parts, keys = chunks_of(x)
+            hit = shared(keys) if parts else np.zeros(0, bool)
+            if hit.any():
+                yield i, parts, keys, hit
+
     def places(batches):
-        """The chunks of the other texts in order; those not shared with their encoding."""
+        """The chunks of these texts that are not shared, encoded where they stand."""
         e = encoder(name, spec.value)
         schema = None
         for batch in _pieces(batches, 1):
-            schema = schema or pa.schema([("row", pa.int64()), ("id", batch.schema.field(0).type), ("seq", pa.int32()), *encoded])
+            schema = schema or pa.schema([("row", pa.int64()), ("id", batch.schema.field(0).type), ("seq", pa.int32()), *list(encoded)[1:]])
             ids, row, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for i, x in enumerate(_texts(batch, 1)):
-                parts, keys = chunks_of(x)
-                hit = shared(keys) if parts else np.zeros(0, bool)
-                if hit.any():
-                    split = [None if hit[j] else split_chunk(parts[j]) for j in range(len(parts))]
-                    got = iter(e.encode([s[1] for s in split if s]))
-                    out += [(row[i], ids[i], j, keys[j], None, None, None) if s is None else
-                            (row[i], ids[i], j, None, s[0], next(got), s[2]) for j, s in enumerate(split)]
+            for i, parts, _, hit in stand(batch):
+                own = np.flatnonzero(~hit).tolist()
+                split = [split_chunk(parts[j]) for j in own]
+                got = e.encode([s[1] for s in split])
+                out += [(row[i], ids[i], j, h, m, z) for j, (h, _, z), m in zip(own, split, got, strict=True)]
+            yield from _flush(out, schema)
+
+    def wanted(batches):
+        """The shared chunks of these texts by key; nothing is encoded."""
+        schema = None
+        for batch in _pieces(batches, 1):
+            schema = schema or pa.schema([("row", pa.int64()), ("id", batch.schema.field(0).type), ("seq", pa.int32()), ("key", pa.binary())])
+            ids, row = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            out = [(row[i], ids[i], j, keys[j]) for i, _, keys, hit in stand(batch) for j in np.flatnonzero(hit).tolist()]
             yield from _flush(out, schema)
 
     def joined(batches):
@@ -284,11 +298,9 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     texts = t.mapInArrow(contents, "key binary, text binary").groupBy("key").agg(F.first("text").alias("text"))
     book = texts.mapInArrow(once, "key binary, head binary, mid binary, tail binary")
-    at = t.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        places, f"row long, id {kind}, seq int, key binary, head binary, mid binary, tail binary")
-    at = at.select("row", "id", "seq", "key", "head", "mid", "tail")
-    known = at.where("key IS NULL").drop("key")
-    looked_up = at.where("key IS NOT NULL").select("row", "id", "seq", "key").join(book, "key").drop("key")
+    at = t.withColumn("row", F.monotonically_increasing_id())
+    known = at.mapInArrow(places, f"row long, id {kind}, seq int, head binary, mid binary, tail binary")
+    looked_up = at.mapInArrow(wanted, f"row long, id {kind}, seq int, key binary").join(book, "key").drop("key")
     whole = (known.unionByName(looked_up).repartition("row").sortWithinPartitions("row", "seq")
              .mapInArrow(joined, f"id {kind}, ids array<int>, decoded string"))
     return t.mapInArrow(lone, f"id {kind}, ids array<int>, decoded string").unionByName(whole)

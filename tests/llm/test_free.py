@@ -387,3 +387,14 @@ def test_bpe_worker_memory_is_bounded(monkeypatch):
         pieces = list(bpe._pieces([batch, batch.slice(9), batch.slice(4)], 1))
         assert [x for p in pieces for x in p.column(0).to_pylist()] == [*range(9), *range(4, 9)]
         assert max(sum(len(x or "") for x in p.column(1).to_pylist()) for p in pieces if len(p) > 1) <= 10
+
+
+def test_bpe_chunks_that_stand_alone_are_encoded_in_one_pass_only(spark):
+    passage = " ".join(f"passage{i * i} word" for i in range(400))
+    docs = spark.createDataFrame([(i, f"own{i} text {i} {passage} more{i}. " + " ".join(f"x{i}y{j}" for j in range(300))) for i in range(3)],
+                                 "doc_id long, text string")
+    got = bpe.encode(docs, WORDS)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow places(") == 1 and plan.count("MapInArrow wanted(") == 1  # the shared ones are only named
+    lib = Tokenizer.from_file(WORDS)
+    assert {r.id: r.ids for r in got.collect()} == {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
