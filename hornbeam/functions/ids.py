@@ -3,13 +3,15 @@
 Measures only ask whether two names are equal, so every fact-level exchange carries numbers and names come back on
 the rule table. The id of a name is its 64-bit hash, which needs neither a dictionary join nor an exchange of names; that no two
 names share an id is measured, not assumed: one aggregation over the ids compares a second hash of the names behind each. Names
-that do clash (some hundred among 10^11) are hashed again under another seed until none do.
+that do clash (some hundred among 10^11) are hashed again under another seed until none do. ``counted_by_ids`` measures it on the
+distinct facts that a measure keeps anyway, so the facts are read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +26,37 @@ def _hash(name: Column, seed: int) -> Column:
     return F.xxhash64(name) if seed == 0 else F.xxhash64(F.lit(seed), name)
 
 
+def _check(name: Column) -> Column:
+    """32 bits of another hash family: names that share an id and these too (less than one chance in 10^7 among 10^11 names) go unseen."""
+    return F.hash(name)
+
+
 class NameIds:
     """Ids for the names of ``facts`` and ``schema``: equal names have equal ids, different names different ones."""
 
-    def __init__(self, facts: DataFrame, schema: DataFrame):
+    def __init__(self, facts: DataFrame | None, schema: DataFrame):
+        """``facts`` None leaves their names to ``counted_by_ids``."""
         self.levels: list[list[int]] = []
-        names = facts.select(F.explode(F.array("subject", "object")).alias("name")).unionByName(
-            schema.select(F.explode(F.array("property", "dom", "ran")).alias("name"))).where("name IS NOT NULL")
-        while True:
-            other = _hash(F.col("name"), -1)
-            clash = (names.select(self.id_of(F.col("name")).alias("id"), other.alias("other"))
-                     .groupBy("id").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
-                     .where("lo <> hi").select("id").limit(MAX_CLASHES + 1).toArrow()["id"].to_pylist())
-            if not clash:
-                break
-            if len(self.levels) == MAX_LEVELS or len(clash) > MAX_CLASHES:
-                raise RuntimeError("names share too many 64-bit ids")
-            self.levels.append(clash)
+        self.schema_names = schema.select(F.explode(F.array("property", "dom", "ran")).alias("name")).where("name IS NOT NULL")
+        if facts is None:
+            return
+        names = facts.select(F.explode(F.array("subject", "object")).alias("name")).where("name IS NOT NULL").unionByName(self.schema_names)
+        while self.clashes(self.checked(names)):
+            pass
+
+    def checked(self, names: DataFrame) -> DataFrame:
+        """``(id, lo, hi)`` of each row of ``names(name)``, a second hash as both ``lo`` and ``hi``."""
+        other = _check(F.col("name"))
+        return names.select(self.id_of(F.col("name")).alias("id"), other.alias("lo"), other.alias("hi"))
+
+    def clashes(self, checked: DataFrame) -> bool:
+        """Whether names share ids; if so, these ids get another level."""
+        clash = (checked.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                 .where("lo <> hi").select("id").limit(MAX_CLASHES + 1).toArrow()["id"].to_pylist())
+        if clash and (len(self.levels) == MAX_LEVELS or len(clash) > MAX_CLASHES):
+            raise RuntimeError("names share too many 64-bit ids")
+        self.levels += [clash] if clash else []
+        return bool(clash)
 
     def id_of(self, name: Column) -> Column:
         out = _hash(name, 0)
@@ -69,3 +85,21 @@ class NameIds:
         for c in columns:
             df = df.join(n, df[c] == n["_id"], "left").withColumn(c, F.col("_name")).drop("_id", "_name")
         return df
+
+
+def counted_by_ids(facts: DataFrame, schema: DataFrame, count: Callable[..., DataFrame], ends: tuple[str, str]) -> tuple[NameIds, DataFrame, DataFrame]:
+    """``(ids, counts, kept)`` from one pass over ``facts``: ``count`` of the facts by ids, and ``kept``, the persisted table behind it.
+
+    ``count`` groups typed facts with second hashes of their names, and ``<end>_check`` is the one behind the id column ``<end>``. Names
+    that share an id make more groups, which the check finds on ``kept``; only then are the facts read again.
+    """
+    ids = NameIds(None, schema)
+    while True:
+        own = ids.encode(facts.select("*", _check(F.col("subject")).alias("subject_check"), _check(F.col("object")).alias("object_check")),
+                         ("property", "subject", "object"))
+        kept = count(own, ids.schema(schema)).persist(StorageLevel.MEMORY_AND_DISK)
+        check = lambda e: F.col(f"{e}_check")
+        seen = kept.select(F.inline(F.array(*[F.struct(F.col(e).alias("id"), check(e).alias("lo"), check(e).alias("hi")) for e in ends])))
+        if not ids.clashes(seen.where("id IS NOT NULL").unionByName(ids.checked(ids.schema_names))):
+            return ids, kept.drop(*[f"{e}_check" for e in ends]), kept
+        kept.unpersist()

@@ -39,26 +39,32 @@ def triple_sets(facts: DataFrame) -> DataFrame:
     return facts.select("property", "subject", "object").dropDuplicates()
 
 
-def typed_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
-    """Facts of typed properties with their classes ``(property, dom, ran, subject, object)``.
+def typed_facts(facts: DataFrame, schema: DataFrame, *more: str) -> DataFrame:
+    """Facts of typed properties with their classes ``(property, dom, ran, subject, object)``, and the columns ``more``.
 
     The schema is property-level; it is broadcast only after its size is checked, else the facts of
     a property are spread over several parts.
     """
     sch = schema.select(F.col("property").alias("_p"), "dom", "ran")
-    return spread_join(facts.select("property", "subject", "object"), sch, [("property", "_p")],
-                       ["subject", "object"], fits(sch)).select("property", "dom", "ran", "subject", "object")
+    return spread_join(facts.select("property", "subject", "object", *more), sch, [("property", "_p")],
+                       ["subject", "object"], fits(sch)).select("property", "dom", "ran", "subject", "object", *more)
+
+
+CHECKS = ("subject_check", "object_check")  # second hashes of a fact's names, beside their ids
 
 
 def canonical(typed: DataFrame) -> DataFrame:
     """Class-aligned identity of each typed fact (narrow)."""
     lo_is_dom = F.col("dom") < F.col("ran")
+    checks = [F.when(lo_is_dom, a).otherwise(b).alias(f"{v}_check") for v, (a, b) in (
+        ("v_lo", (F.col(CHECKS[0]), F.col(CHECKS[1]))), ("v_hi", (F.col(CHECKS[1]), F.col(CHECKS[0]))))] if CHECKS[0] in typed.columns else []
     return typed.select(
         "property",
         F.least("dom", "ran").alias("cls_lo"),
         F.greatest("dom", "ran").alias("cls_hi"),
         F.when(lo_is_dom, F.col("subject")).otherwise(F.col("object")).alias("v_lo"),
         F.when(lo_is_dom, F.col("object")).otherwise(F.col("subject")).alias("v_hi"),
+        *checks,
     )
 
 
@@ -74,25 +80,30 @@ def fact_sets(typed: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_set("property")).alias("props")))
 
 
-def typed_counts(facts: DataFrame, schema: DataFrame) -> DataFrame:
+def typed_counts(facts: DataFrame, schema: DataFrame, checks: bool = False) -> DataFrame:
     """Distinct typed facts by identity with their bag multiplicity.
 
     ``(property, cls_lo, cls_hi, v_lo, v_hi, n)``: one pass over the facts gives
     both the bag sizes (``sizes_from_counts``) and the fact sets
-    (``fact_sets_from_counts``). A plain hash aggregate with map-side combine.
+    (``fact_sets_from_counts``). A plain hash aggregate with map-side combine. ``checks`` keeps ``v_lo_check`` and ``v_hi_check`` too.
     """
-    return (canonical(typed_facts(facts, schema))
-            .groupBy("property", "cls_lo", "cls_hi", "v_lo", "v_hi")
+    return (canonical(typed_facts(facts, schema, *CHECKS[:2 * checks]))
+            .groupBy("property", "cls_lo", "cls_hi", "v_lo", "v_hi", *("v_lo_check", "v_hi_check")[:2 * checks])
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def counted_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
+def counted_facts(facts: DataFrame, schema: DataFrame, checks: bool = False) -> DataFrame:
     """Distinct typed facts in their own direction with their bag multiplicity:
-    ``(property, dom, ran, subject, object, n)``, one pass with map-side combine."""
-    return (typed_facts(facts, schema).groupBy("property", "dom", "ran", "subject", "object")
+    ``(property, dom, ran, subject, object, n)``, one pass with map-side combine. ``checks`` keeps ``CHECKS`` too."""
+    return (typed_facts(facts, schema, *CHECKS[:2 * checks]).groupBy("property", "dom", "ran", "subject", "object", *CHECKS[:2 * checks])
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def largest_objects(facts: DataFrame) -> DataFrame:
+    """One object per subject (the largest by name) with the number ``n`` of its facts: ``(property, subject, object, n)``."""
+    return facts.groupBy("property", "subject").agg(F.max("object").alias("object"), F.count(F.lit(1)).alias("n"))
+
+
 def sizes_from_counts(counts: DataFrame) -> DataFrame:
     """D2 bag sizes ``(property, n)`` of typed properties, from ``typed_counts``."""
     return counts.groupBy("property").agg(F.sum("n").cast("bigint").alias("n"))

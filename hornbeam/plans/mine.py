@@ -8,16 +8,18 @@ plan; what it persists is released as soon as the values of the rules are comput
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import MIN_CONF, MIN_HEAD_COVERAGE
-from ..functions.ids import NameIds
+from ..functions.ids import NameIds, counted_by_ids
 from ..functions.sizing import broadcast_if_small, materialize_small
 from ..operators.candidates import CANDIDATE_COLUMNS, classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
-from ..operators.facts import counted_facts, property_sizes, sizes_from_counts, typed_counts
+from ..operators.facts import counted_facts, largest_objects, property_sizes, sizes_from_counts, typed_counts, typed_facts, CHECKS
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
 from ..operators.rules import to_rules
@@ -42,41 +44,75 @@ def candidate_rules(facts: DataFrame, schema: DataFrame, atoms: int = 3,
     return ordered_subsets(clusters, atoms)
 
 
+@dataclass
+class Counted:
+    """What one pass over the facts gives a measure: ``ids``, distinct typed facts by ids ``counts`` (persisted as ``kept``), their
+    bag sizes by id, and by name as ``named``."""
+
+    ids: NameIds
+    counts: DataFrame
+    kept: DataFrame
+    sizes: DataFrame
+    named: DataFrame
+
+
+def count_once(facts: DataFrame, schema: DataFrame, measure: str = "join", one_object_per_subject: bool = False) -> Counted:
+    """``Counted`` of ``facts``, which are read once (again only when names share an id)."""
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
+    if measure == "join" and one_object_per_subject:
+        raise ValueError("one_object_per_subject is a view of the binding measure only")
+    ends = ("v_lo", "v_hi") if measure == "join" else ("subject", "object")
+    if one_object_per_subject:  # the largest object by name, so before names become ids; sizes stay those of all facts
+        ids, counts, kept = counted_by_ids(largest_objects(facts), schema, lambda own, typed: typed_facts(own, typed, *CHECKS, "n"), ends)
+    else:
+        make = typed_counts if measure == "join" else counted_facts
+        ids, counts, kept = counted_by_ids(facts, schema, lambda own, typed: make(own, typed, True), ends)
+    sizes = materialize_small(sizes_from_counts(counts))
+    names = ids.encode(schema.select("property", F.col("property").alias("name")), ["property"])
+    named = materialize_small(names.join(sizes, "property").select(F.col("name").alias("property"), "n"))
+    return Counted(ids, counts, kept, sizes, named)
+
+
 def score(facts: DataFrame, schema: DataFrame, candidates: DataFrame, measure: str = "join",
           one_object_per_subject: bool = False) -> DataFrame:
     """Scores of every candidate, before thresholds."""
     return score_classified(facts, schema, classify(candidates, schema), measure, one_object_per_subject)
 
 
+def score_candidates(facts: DataFrame, schema: DataFrame, atoms: int, measure: str = "join",
+                     one_object_per_subject: bool = False) -> DataFrame:
+    """Scores of the cluster candidates, before thresholds; clusters and measure share one pass over the facts."""
+    return score_made(facts, schema, lambda sizes: classify(candidate_rules(facts, schema, atoms, sizes=sizes), schema),
+                      measure, one_object_per_subject)
+
+
+def score_made(facts: DataFrame, schema: DataFrame, make: Callable[[DataFrame], DataFrame], measure: str = "join",
+               one_object_per_subject: bool = False) -> DataFrame:
+    """Scores of the ``classify`` rows that ``make`` gives for the bag sizes ``(property, n)`` of the typed properties with facts."""
+    c = count_once(facts, schema, measure, one_object_per_subject)
+    return score_counted(c, schema, make(c.named), measure)
+
+
 def score_classified(facts: DataFrame, schema: DataFrame, classified: DataFrame, measure: str = "join",
-                     one_object_per_subject: bool = False, ids: NameIds | None = None,
-                     sizes: DataFrame | None = None, counts: DataFrame | None = None,
-                     thresholds: tuple[float, float] | None = None) -> DataFrame:
-    """Scores of ``classify``'s rows. The measures work on ids; the names come back on the scored rules.
+                     one_object_per_subject: bool = False) -> DataFrame:
+    """Scores of ``classify``'s rows."""
+    return score_made(facts, schema, lambda _: classified, measure, one_object_per_subject)
+
+
+def score_counted(c: Counted, schema: DataFrame, classified: DataFrame, measure: str,
+                  sizes: DataFrame | None = None, thresholds: tuple[float, float] | None = None) -> DataFrame:
+    """Scores of ``classify``'s rows on counted facts, which are released. The measures work on ids; the names come back on the scored rules.
 
-    ``sizes`` and ``counts`` (of ``ids``) may be passed in when the caller already has them. With ``thresholds`` the join measure
+    ``sizes`` (by id) may be passed in when the caller has others. With ``thresholds`` the join measure
     leaves out rules that cannot reach them before it evaluates these.
     """
-    if measure not in MEASURES:
-        raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
-    if measure == "join" and one_object_per_subject:
-        raise ValueError("one_object_per_subject is a view of the binding measure only")
-    ids = ids or NameIds(facts, schema)
-    own = ids.facts(facts)
-    if one_object_per_subject:  # the largest object by name, so before names become ids; sizes stay those of all facts
-        sizes = sizes if sizes is not None else property_sizes(own)
-        own = ids.facts(facts.groupBy("property", "subject").agg(F.max("object").alias("object")))
-    rules, typed = ids.rules(classified), ids.schema(schema)
-    kept = None
-    if counts is None:  # one pass over the facts serves the measure, which reads them several times, and their sizes
-        make = typed_counts if measure == "join" else counted_facts
-        counts = kept = make(own, typed).persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = sizes if sizes is not None else materialize_small(sizes_from_counts(counts))
-    scored = (score_join(own, typed, rules, sizes, counts, thresholds) if measure == "join"
-              else score_binding(own, typed, rules, sizes=sizes, counts=counts))
-    if kept is not None:
-        kept.unpersist()
-    return ids.restore(scored, broadcast_if_small(schema.select("property")), CANDIDATE_COLUMNS)
+    rules, typed = c.ids.rules(classified), c.ids.schema(schema)
+    sizes = sizes if sizes is not None else c.sizes
+    scored = (score_join(c.counts, typed, rules, sizes, c.counts, thresholds) if measure == "join"
+              else score_binding(c.counts, typed, rules, sizes=sizes, counts=c.counts))
+    c.kept.unpersist()
+    return c.ids.restore(scored, broadcast_if_small(schema.select("property")), CANDIDATE_COLUMNS)
 
 
 def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "join",
@@ -96,19 +132,14 @@ def mine(facts: DataFrame, schema: DataFrame, atoms: int = 3, measure: str = "jo
         raise ValueError("rules have 2 or 3 atoms")
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; expected one of {MEASURES}")
-    ids = NameIds(facts, schema)
-    # one pass over the facts serves bag sizes, clusters and every measure
-    make = typed_counts if measure == "join" else counted_facts
-    counts = make(ids.facts(facts), ids.schema(schema)).persist(StorageLevel.MEMORY_AND_DISK)
-    known = ids.encode(sizes.join(schema, "property", "leftsemi").select("property", "n"), ["property"]) if sizes is not None else None
-    sizes = materialize_small(known if known is not None else sizes_from_counts(counts))
+    # one pass over the facts serves ids, bag sizes, clusters and every measure
+    c = count_once(facts, schema, measure, one_object_per_subject)
+    known = (materialize_small(c.ids.encode(sizes.join(schema, "property", "leftsemi").select("property", "n"), ["property"]))
+             if sizes is not None else None)
     if candidates is None:
-        named = ids.encode(schema.select("property", F.col("property").alias("name")), ["property"]).join(sizes, "property")
-        candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size,
-                                     named.select(F.col("name").alias("property"), "n"), **hash_params)
+        named = sizes.join(schema, "property", "leftsemi").select("property", "n") if sizes is not None else c.named
+        candidates = candidate_rules(facts, schema, atoms, clusters, method, min_cluster_size, named, **hash_params)
     else:
         candidates = candidates.select("head", "body1", F.col("body2").cast("string"))
-    scored = score_classified(facts, schema, classify(candidates, schema), measure, one_object_per_subject, ids, sizes,
-                              None if one_object_per_subject else counts, (min_conf, min_hc) if prune else None)
-    counts.unpersist()
+    scored = score_counted(c, schema, classify(candidates, schema), measure, known, (min_conf, min_hc) if prune else None)
     return to_rules(scored, schema, min_conf, min_hc, drop_duplicates)

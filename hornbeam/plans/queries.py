@@ -23,7 +23,7 @@ from ..operators.schema import class_overlap, property_schema, schema_report
 from ..sources import axioms as ax
 from ..sources import store
 from ..sources.kg_tables import declarations_from_tables, knowledge_graph
-from .mine import candidate_rules, mine, score, score_classified
+from .mine import candidate_rules, mine, score, score_candidates, score_made
 
 SCORE_COLUMNS = ["head", "body1", "body2", "support", "body_size", "head_size", "conf",
                  "head_coverage"]
@@ -34,8 +34,12 @@ def _with_facts(facts: DataFrame) -> DataFrame:
     return fx.property_sizes(facts).select("property")
 
 
+def _typed(schema: DataFrame, sizes: DataFrame) -> DataFrame:
+    return schema.join(sizes, "property", "leftsemi")
+
+
 def _typed_with_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
-    return schema.join(_with_facts(facts), "property", "leftsemi")
+    return _typed(schema, materialize_small(_with_facts(facts)))
 
 
 def _axiom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,38 +176,35 @@ def q_candidates_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- join measure by pattern
 
-def _connected_classified(spark: SparkSession, sf_dir: str):
-    facts, schema = knowledge_graph(spark, sf_dir)
-    return facts, schema, classify(connected_triples(_typed_with_facts(facts, schema)), schema)
-
-
 def q_join_pattern(patterns: tuple[str, ...], star_side: str | None = None) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts, schema, cl = _connected_classified(spark, sf_dir)
-        sel = cl.where(F.col("pattern_join").isin(*patterns))
-        if star_side is not None:
-            idx = 0 if star_side == "domain" else 1
-            sel = sel.where(F.get("c12", 0) == F.get("d0", idx))
-        return _scored(score_classified(facts, schema, sel))
+        facts, schema = knowledge_graph(spark, sf_dir)
+
+        def made(sizes: DataFrame) -> DataFrame:
+            sel = classify(connected_triples(_typed(schema, sizes)), schema).where(F.col("pattern_join").isin(*patterns))
+            if star_side is not None:
+                idx = 0 if star_side == "domain" else 1
+                sel = sel.where(F.get("c12", 0) == F.get("d0", idx))
+            return sel
+        return _scored(score_made(facts, schema, made))
     return q
 
 
 def q_join_two_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, schema = knowledge_graph(spark, sf_dir)
-    return _scored(score(facts, schema, candidate_rules(facts, schema, 2), "join"))
+    return _scored(score_candidates(facts, schema, 2))
 
 
 def q_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, schema = knowledge_graph(spark, sf_dir)
-    s = score(facts, schema, candidate_rules(facts, schema, 3), "join")
+    s = score_candidates(facts, schema, 3)
     return _scored(s, ["head", "body1", "body2", "body_size"])
 
 
 def q_disconnected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over open paths: bodies unconnected (S6, confidence 0) or head apart."""
     facts, schema = knowledge_graph(spark, sf_dir)
-    cl = classify(open_paths(_typed_with_facts(facts, schema)), schema)
-    s = score_classified(facts, schema, cl)
+    s = score_made(facts, schema, lambda sizes: classify(open_paths(_typed(schema, sizes)), schema))
     return _scored(s, ["head", "body1", "body2", "pattern", "support", "body_size", "conf", "head_coverage"])
 
 
@@ -230,28 +231,29 @@ def q_apart(measure: str) -> Query:
 
 def q_binding_pattern(patterns: tuple[str, ...], one_object: bool = False) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        facts, schema, cl = _connected_classified(spark, sf_dir)
-        sel = cl.where(F.col("pattern_binding").isin(*patterns))
-        return _scored(score_classified(facts, schema, sel, "binding", one_object))
+        facts, schema = knowledge_graph(spark, sf_dir)
+
+        def made(sizes: DataFrame) -> DataFrame:
+            return classify(connected_triples(_typed(schema, sizes)), schema).where(F.col("pattern_binding").isin(*patterns))
+        return _scored(score_made(facts, schema, made, "binding", one_object))
     return q
 
 
 def q_binding_two_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, schema = knowledge_graph(spark, sf_dir)
-    return _scored(score(facts, schema, candidate_rules(facts, schema, 2), "binding"))
+    return _scored(score_candidates(facts, schema, 2, "binding"))
 
 
 def q_binding_one_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, schema = knowledge_graph(spark, sf_dir)
-    return _scored(score(facts, schema, candidate_rules(facts, schema, 3), "binding",
-                         one_object_per_subject=True))
+    return _scored(score_candidates(facts, schema, 3, "binding", one_object_per_subject=True))
 
 
 # ---------------------------------------------------------------- rules
 
 def _scored_join3(spark: SparkSession, sf_dir: str):
     facts, schema = knowledge_graph(spark, sf_dir)
-    return schema, score(facts, schema, candidate_rules(facts, schema, 3), "join")
+    return schema, score_candidates(facts, schema, 3)
 
 
 def q_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ from hornbeam.functions import ids, sizing
 from hornbeam.functions.scores import ratio4
 from hornbeam.operators import candidates, dealing, measure_binding, measure_join
 from hornbeam.operators import facts as fx
-from hornbeam.operators.candidates import classify, ordered_subsets
+from hornbeam.operators.candidates import classify, connected_triples, ordered_subsets
 from hornbeam.operators.measure_binding import score_binding
 from hornbeam.operators.measure_join import score_join
-from hornbeam.plans.mine import candidate_rules, mine, score
+from hornbeam.plans.mine import candidate_rules, mine, score, score_made
 
 IRI = "<http://ex.org/kg#{}>"
 
@@ -360,3 +360,24 @@ def test_fact_exchanges_carry_numbers(spark, kg):
     names = ids.NameIds(facts, schema)
     counts = fx.typed_counts(names.facts(facts), names.schema(schema))
     assert {t for _, t in counts.dtypes} == {"bigint"} and {t for _, t in fx.fact_sets_from_counts(counts).dtypes} == {"bigint", "array<bigint>"}
+
+
+@pytest.mark.parametrize("measure, one_object", [("join", False), ("binding", False), ("binding", True)])
+def test_facts_are_read_once_and_ids_part_names_there_too(spark, monkeypatch, measure, one_object):
+    """One pass over the facts serves ids, sizes, candidates and the measure; it is repeated only while names share an id."""
+    schema, facts = shaped_graph(5, n_vals=12, n_facts=40)
+    f, sch = frames(spark, schema, facts)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+    f = f.mapInArrow(seen, f.schema)
+    run = lambda: sorted(map(str, score_made(f, sch, lambda sizes: classify(connected_triples(sch.join(sizes, "property", "leftsemi")), sch),
+                                             measure, one_object).collect()))
+    want = run()
+    assert want and read.value == len(facts)
+    real, levels = ids._hash, []
+    monkeypatch.setattr(ids, "_hash", lambda name, seed: levels.append(seed) or F.pmod(real(name, seed), F.lit(1 << 9)))
+    assert run() == want and max(levels) >= 1
