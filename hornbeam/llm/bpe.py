@@ -33,8 +33,9 @@ from .textvec import _powers, mix64, utf8, VALUES
 WINDOW = 24        # bytes under the rolling hash
 MEAN_BITS = 10     # a cut every 2**10 bytes on average
 LEAST = 256        # bytes between cuts
+SLICE = 1 << 16    # bytes that are hashed in one go
 BITMAP_BITS = 1 << 24
-MEMO = 400_000     # runs that a worker keeps
+MEMO = 200_000     # runs that a worker keeps
 PIECE = 1 << 21    # bytes of text, and of packed ids, that a worker holds at a time beside the batch it reads
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 # a word of ASCII letters ends before these whatever follows, so a blank put there changes no token
@@ -42,21 +43,26 @@ AFTER_WORD = re.compile(rb"(?<=[a-z])(?=[.,;:!?|])")
 TAIL = re.compile(rb"[^\x20\x09-\x0D]*\Z")
 
 
-def cuts(raw: np.ndarray) -> list[int]:
-    """Where chunks of one text begin (without 0), by content alone: never within a UTF-8 character."""
-    n = len(raw)
-    if n < LEAST + WINDOW:
-        return []
-    found, piece = [], 1 << 20
-    for at in range(0, n - WINDOW + 1, piece):
-        part = raw[at:at + piece + WINDOW - 1]
-        up, down = _powers(1 << max(20, int(len(part) - 1).bit_length()))
+def asked_cuts(raw: np.ndarray) -> np.ndarray:
+    """Ends of the windows of ``raw`` whose hash asks for a cut, in order. It depends on the bytes of the window alone."""
+    up, down = _powers(1 << (SLICE + WINDOW).bit_length())
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(raw) - WINDOW + 1, SLICE):
+        part = raw[at:at + SLICE + WINDOW - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(VALUES[part] * up[:len(part)], dtype=np.uint64, out=sums[1:])
         rolling = (sums[WINDOW:] - sums[:-WINDOW]) * down[:len(part) - WINDOW + 1]
         found.append(np.flatnonzero(mix64(rolling) >> np.uint64(64 - MEAN_BITS) == 0) + at + WINDOW)
+    return np.concatenate(found)
+
+
+def cuts(raw: np.ndarray, asked: np.ndarray | None = None) -> list[int]:
+    """Where chunks of one text begin (without 0), by content alone: never within a UTF-8 character. ``asked`` when it is known."""
+    n = len(raw)
+    if n < LEAST + WINDOW:
+        return []
     out, last = [], 0
-    for p in np.concatenate(found).tolist():
+    for p in (asked_cuts(raw) if asked is None else asked).tolist():
         while p < n and raw[p] & 0xC0 == 0x80:
             p += 1
         if p - last >= LEAST and p < n:
@@ -65,9 +71,9 @@ def cuts(raw: np.ndarray) -> list[int]:
     return out
 
 
-def chunks_of(raw: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def chunks_of(raw: np.ndarray, asked: np.ndarray | None = None) -> tuple[list[bytes], list[bytes]]:
     """The chunks of a text and their 128-bit keys."""
-    at = [0, *cuts(raw), len(raw)]
+    at = [0, *cuts(raw, asked), len(raw)]
     parts = [raw[a:b].tobytes() for a, b in zip(at, at[1:])] if len(raw) else []  # noqa: B905
     return parts, [xxhash.xxh3_128_digest(x) for x in parts]
 
@@ -178,9 +184,13 @@ def _encoded(e: Encoder, ids: list, packed: list[bytes], kind: pa.DataType) -> p
                                        pa.array(map(e.decode, packed), pa.string())], ["id", "ids", "decoded"])
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
+def _chunked(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
+    """Each text of a batch with its chunks and their keys; the texts are hashed one after the other in one go."""
     raw, at = utf8(batch.column(column))
-    return [raw[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+    ends = asked_cuts(raw)
+    first, last = np.searchsorted(ends, at[:-1] + WINDOW), np.searchsorted(ends, at[1:], "right")
+    for a, b, i, j in zip(at[:-1].tolist(), at[1:].tolist(), first.tolist(), last.tolist(), strict=True):
+        yield raw[a:b], *chunks_of(raw[a:b], ends[i:j] - a)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -200,7 +210,7 @@ def shared_chunks(t: DataFrame, bits: int) -> np.ndarray:
 
     def keys(batches):
         for batch in _pieces(batches, 1):
-            all_keys = [k for x in _texts(batch, 1) for k in chunks_of(x)[1]]
+            all_keys = [k for _, _, keys in _chunked(batch, 1) for k in keys]
             if all_keys:
                 yield pa.RecordBatch.from_arrays([pa.array(short(all_keys))], schema=schema)
 
@@ -236,9 +246,9 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         """Texts of which no chunk is shared, encoded in place."""
         e = encoder(name, spec.value)
         for batch in _pieces(batches, 1):
-            ids, texts = batch.column(0).to_pylist(), _texts(batch, 1)
-            mine = [i for i, x in enumerate(texts) if not len(x) or not shared(chunks_of(x)[1]).any()]
-            yield _encoded(e, [ids[i] for i in mine], e.encode([texts[i].tobytes() for i in mine]), batch.schema.field(0).type)
+            ids = batch.column(0).to_pylist()
+            mine = [(i, x.tobytes()) for i, (x, _, keys) in zip(ids, _chunked(batch, 1), strict=True) if not keys or not shared(keys).any()]
+            yield _encoded(e, [i for i, _ in mine], e.encode([x for _, x in mine]), batch.schema.field(0).type)
 
     content = pa.schema([("key", pa.binary()), ("text", pa.binary())])
 
@@ -246,8 +256,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
         """Each shared chunk, once per piece of a batch."""
         for batch in _pieces(batches, 1):
             found = {}
-            for x in _texts(batch, 1):
-                parts, keys = chunks_of(x)
+            for _, parts, keys in _chunked(batch, 1):
                 if parts:
                     found |= {keys[i]: parts[i] for i in np.flatnonzero(shared(keys))}
             yield from _flush(list(found.items()), content)
@@ -263,8 +272,7 @@ def encode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
     def stand(batch):
         """The texts of a batch that hold a shared chunk: ``(place in the batch, chunks, keys, which are shared)``."""
-        for i, x in enumerate(_texts(batch, 1)):
-            parts, keys = chunks_of(x)
+        for i, (_, parts, keys) in enumerate(_chunked(batch, 1)):
             hit = shared(keys) if parts else np.zeros(0, bool)
             if hit.any():
                 yield i, parts, keys, hit
