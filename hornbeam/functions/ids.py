@@ -31,6 +31,11 @@ def _check(name: Column) -> Column:
     return F.hash(name)
 
 
+def _both(first: Column, second: Column) -> Column:
+    """Two 32-bit numbers in the halves of one."""
+    return F.shiftleft(first.cast("bigint"), 32).bitwiseOR(second.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 class NameIds:
     """Ids for the names of ``facts`` and ``schema``: equal names have equal ids, different names different ones."""
 
@@ -90,16 +95,15 @@ class NameIds:
 def counted_by_ids(facts: DataFrame, schema: DataFrame, count: Callable[..., DataFrame], ends: tuple[str, str]) -> tuple[NameIds, DataFrame, DataFrame]:
     """``(ids, counts, kept)`` from one pass over ``facts``: ``count`` of the facts by ids, and ``kept``, the persisted table behind it.
 
-    ``count`` groups typed facts with second hashes of their names, and ``<end>_check`` is the one behind the id column ``<end>``. Names
+    ``count`` groups typed facts with second hashes of their names in the halves of ``check``, in the order of the id columns ``ends``. Names
     that share an id make more groups, which the check finds on ``kept``; only then are the facts read again.
     """
     ids = NameIds(None, schema)
     while True:
-        own = ids.encode(facts.select("*", _check(F.col("subject")).alias("subject_check"), _check(F.col("object")).alias("object_check")),
-                         ("property", "subject", "object"))
+        own = ids.encode(facts.select("*", _both(_check(F.col("subject")), _check(F.col("object"))).alias("check")), ("property", "subject", "object"))
         kept = count(own, ids.schema(schema)).persist(StorageLevel.MEMORY_AND_DISK)
-        check = lambda e: F.col(f"{e}_check")
-        seen = kept.select(F.inline(F.array(*[F.struct(F.col(e).alias("id"), check(e).alias("lo"), check(e).alias("hi")) for e in ends])))
+        halves = (F.shiftright("check", 32).cast("int"), F.shiftright(F.shiftleft("check", 32), 32).cast("int"))
+        seen = kept.select(F.inline(F.array(*[F.struct(F.col(e).alias("id"), x.alias("lo"), x.alias("hi")) for e, x in zip(ends, halves, strict=True)])))
         if not ids.clashes(seen.where("id IS NOT NULL").unionByName(ids.checked(ids.schema_names))):
-            return ids, kept.drop(*[f"{e}_check" for e in ends]), kept
+            return ids, kept.drop("check"), kept
         kept.unpersist()

@@ -50,21 +50,20 @@ def typed_facts(facts: DataFrame, schema: DataFrame, *more: str) -> DataFrame:
                        ["subject", "object"], fits(sch)).select("property", "dom", "ran", "subject", "object", *more)
 
 
-CHECKS = ("subject_check", "object_check")  # second hashes of a fact's names, beside their ids
+CHECK = "check"  # second hashes of a fact's names in one number, beside their ids
 
 
 def canonical(typed: DataFrame) -> DataFrame:
-    """Class-aligned identity of each typed fact (narrow)."""
+    """Class-aligned identity of each typed fact (narrow); the halves of ``CHECK`` are turned with the names."""
     lo_is_dom = F.col("dom") < F.col("ran")
-    checks = [F.when(lo_is_dom, a).otherwise(b).alias(f"{v}_check") for v, (a, b) in (
-        ("v_lo", (F.col(CHECKS[0]), F.col(CHECKS[1]))), ("v_hi", (F.col(CHECKS[1]), F.col(CHECKS[0]))))] if CHECKS[0] in typed.columns else []
+    turned = F.shiftleft(CHECK, 32).bitwiseOR(F.shiftrightunsigned(CHECK, 32))
     return typed.select(
         "property",
         F.least("dom", "ran").alias("cls_lo"),
         F.greatest("dom", "ran").alias("cls_hi"),
         F.when(lo_is_dom, F.col("subject")).otherwise(F.col("object")).alias("v_lo"),
         F.when(lo_is_dom, F.col("object")).otherwise(F.col("subject")).alias("v_hi"),
-        *checks,
+        *[F.when(lo_is_dom, F.col(CHECK)).otherwise(turned).alias(CHECK)][:CHECK in typed.columns],
     )
 
 
@@ -85,17 +84,18 @@ def typed_counts(facts: DataFrame, schema: DataFrame, checks: bool = False) -> D
 
     ``(property, cls_lo, cls_hi, v_lo, v_hi, n)``: one pass over the facts gives
     both the bag sizes (``sizes_from_counts``) and the fact sets
-    (``fact_sets_from_counts``). A plain hash aggregate with map-side combine. ``checks`` keeps ``v_lo_check`` and ``v_hi_check`` too.
+    (``fact_sets_from_counts``). A plain hash aggregate with map-side combine. ``checks`` keeps ``CHECK`` too.
     """
-    return (canonical(typed_facts(facts, schema, *CHECKS[:2 * checks]))
-            .groupBy("property", "cls_lo", "cls_hi", "v_lo", "v_hi", *("v_lo_check", "v_hi_check")[:2 * checks])
+    more = [CHECK][:checks]
+    return (canonical(typed_facts(facts, schema, *more)).groupBy("property", "cls_lo", "cls_hi", "v_lo", "v_hi", *more)
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def counted_facts(facts: DataFrame, schema: DataFrame, checks: bool = False) -> DataFrame:
     """Distinct typed facts in their own direction with their bag multiplicity:
-    ``(property, dom, ran, subject, object, n)``, one pass with map-side combine. ``checks`` keeps ``CHECKS`` too."""
-    return (typed_facts(facts, schema, *CHECKS[:2 * checks]).groupBy("property", "dom", "ran", "subject", "object", *CHECKS[:2 * checks])
+    ``(property, dom, ran, subject, object, n)``, one pass with map-side combine. ``checks`` keeps ``CHECK`` too."""
+    more = [CHECK][:checks]
+    return (typed_facts(facts, schema, *more).groupBy("property", "dom", "ran", "subject", "object", *more)
             .agg(F.count(F.lit(1)).alias("n")))
 
 

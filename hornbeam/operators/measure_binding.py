@@ -25,7 +25,8 @@ Facts are regrouped twice, whatever the number of rules, and every fact-level ex
 * **Key sets.** A value (key) is held by a set of (property, class) pairs. Two order-free 64-bit hashes over its pairs name
   the set, so keys with one set share a name. The distinct sets form a dictionary with the number of keys of each, its pairs
   read from one representative key. ``V`` of a request is a containment test once per distinct set.
-* **Entry sets.** Each fact gives its other value an entry (property, class, name of the key's set). Distinct entries of an ``other``
+* **Entry sets.** Each fact gives its other value an entry (property, class, name of the key's set), as the number that a dictionary
+  of the entries in requests gives it; entries that no request asks for are left out. Distinct entries of an ``other``
   value name its entry set in the same way, and a second dictionary counts the values of each. Whether a value lies in
   both ``other`` sets of a request is tested once per distinct entry set.
 
@@ -33,7 +34,8 @@ The facts of one hot key meet its set's name in parts (``dealing``); a hot ``oth
 exchange key of its own.
 
 Requests are canonical (sorted members), computed once for all rules that share them, and
-counted with partial aggregation: one row per request and task. ``one_object_per_subject=True``
+counted with partial aggregation: one row per request and task. Facts are read only from the classes at which some request looks
+at their property. ``one_object_per_subject=True``
 first keeps one object per subject (the largest), the single-valued view of
 multi-valued properties.
 """
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import ratio4
-from ..functions.sizing import MAX_BROADCAST_BYTES, materialize_small, row_bytes, spread_join
+from ..functions.sizing import MAX_BROADCAST_BYTES, fits, materialize_small, row_bytes, spread_join
 from . import facts as fx
 from .candidates import CANDIDATE_COLUMNS
 from .dealing import Heavy
@@ -70,7 +72,8 @@ class BindingContext:
 
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
                  one_object_per_subject: bool = False, sizes: DataFrame | None = None,
-                 counts: DataFrame | None = None, small: bool = True):
+                 counts: DataFrame | None = None, small: bool = True, asked: DataFrame | None = None):
+        """``asked(p, c)`` are the properties and classes that requests look at; the facts are not read from their other sides."""
         own = counts if counts is not None else fx.counted_facts(facts, schema)
         if props is not None:
             own = spread_join(own, props.withColumnRenamed("property", "_p"), [("property", "_p")],
@@ -84,10 +87,13 @@ class BindingContext:
                      F.col("subject").alias("key"), F.col("object").alias("other")),
             F.struct(F.col("property").alias("p"), F.col("ran").alias("c"),
                      F.col("object").alias("key"), F.col("subject").alias("other")))))
+        if asked is not None:
+            self.side = spread_join(self.side, asked.toDF("_p", "_c"), [("p", "_p"), ("c", "_c")], ["key", "other"], small).drop("_p", "_c")
         # Distinct values of each column, with the facts behind them (partial counts before the exchange)
         self.held = (self.side.groupBy("key", "p", "c").agg(F.count(F.lit(1)).alias("n"))
                      .persist(StorageLevel.MEMORY_AND_DISK))
-        self.keys = _named_sets(self.held, "key", ["p", "c"], ("s1", "s2"), F.sum("n").alias("n"))
+        self.keys = (_named_sets(self.held, "key", ["p", "c"], ("s1", "s2"), F.sum("n").alias("n"))
+                     .persist(StorageLevel.MEMORY_AND_DISK))
         self.sets = self._dictionary(self.keys, self.held, "key", ("s1", "s2")).groupBy("s1", "s2", "n").agg(
             F.collect_list(F.struct("p", "c")).alias("held")).persist(StorageLevel.MEMORY_AND_DISK)
         self.entries: DataFrame | None = None
@@ -100,7 +106,7 @@ class BindingContext:
         return rows.drop("n").join(sets, F.col(key) == F.col("_rep")).drop(key, "_rep")
 
     def release(self) -> None:
-        for df in (self.held, self.sets, self.entries):
+        for df in (self.held, self.keys, self.sets, self.entries):
             if df is not None:
                 df.unpersist()
 
@@ -115,13 +121,18 @@ class BindingContext:
         """``req(members)`` -> ``(members, value)``: number of keys held by every member."""
         return self.holding(req).groupBy("members").agg(F.sum("n").alias("value"))
 
-    def other_sets(self) -> DataFrame:
-        """Dictionary of entry sets ``(o1, o2, n, p, c, s1, s2)``: one row per entry of a set that ``n`` other values have."""
+    def other_sets(self, entries: DataFrame) -> DataFrame:
+        """Dictionary of sets of ``entries(e, p, c, s1, s2)``: ``(o1, o2, n, e)``, one row per entry of a set that ``n`` other values have."""
+        known = fits(entries)
+        asked = entries.select(F.col("p").alias("_p"), F.col("c").alias("_c")).distinct()
+        side = spread_join(self.side, asked, [("p", "_p"), ("c", "_c")], ["key", "other"], known).drop("_p", "_c")
         heavy = Heavy(self.keys.select("key", "n"), ["key"])
         names = heavy.deal(self.keys.drop("n"), ["key"], None)
-        tagged = heavy.deal(self.side, ["key"], ["p", "c", "other"]).join(names, ["key", "_part"])
-        self.entries = tagged.select("other", "p", "c", "s1", "s2").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-        others = _named_sets(self.entries, "other", ["p", "c", "s1", "s2"], ("o1", "o2"))
+        tagged = heavy.deal(side, ["key"], ["p", "c", "other"]).join(names, ["key", "_part"])
+        same = entries.toDF("e", *[f"_{x}" for x in ("p", "c", "s1", "s2")])
+        tagged = spread_join(tagged, same, [(x, f"_{x}") for x in ("p", "c", "s1", "s2")], ["other"], known)
+        self.entries = tagged.select("other", "e").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        others = _named_sets(self.entries, "other", ["e"], ("o1", "o2"))
         return self._dictionary(others, self.entries, "other", ("o1", "o2"))
 
     def other_overlap(self, req: DataFrame) -> DataFrame:
@@ -129,7 +140,9 @@ class BindingContext:
         req = req.select("members", "a", "b", "K").distinct()
         asked = (self.holding(req).drop("n").join(req, "members")
                  .select("members", "a", "b", "K", "s1", "s2", F.explode(F.array_distinct(F.array("a", "b"))).alias("p"), F.col("K").alias("c")))
-        met = self.other_sets().join(asked, ["p", "c", "s1", "s2"]).groupBy("members", "a", "b", "K", "o1", "o2", "n").agg(
+        entry = ["p", "c", "s1", "s2"]
+        entries = materialize_small(asked.select(*entry).distinct().select(F.monotonically_increasing_id().alias("e"), *entry))
+        met = self.other_sets(entries).join(asked.join(entries, entry).drop("c", "s1", "s2"), "e").groupBy("members", "a", "b", "K", "o1", "o2", "n").agg(
             F.max(F.col("p") == F.col("a")).alias("in_a"), F.max(F.col("p") == F.col("b")).alias("in_b"))
         return met.where("in_a AND in_b").groupBy("members", "a", "b", "K").agg(F.sum("n").alias("value"))
 
@@ -172,8 +185,10 @@ def score_binding(facts: DataFrame, schema: DataFrame, classified: DataFrame,
     has = b.agg(F.count("members").alias("members"), F.count("oa").alias("oa"), row_bytes(b).alias("bytes")).first()
     props = (b.select(F.explode(F.array("head", "body1", "body2")).alias("property"))
              .where(F.col("property").isNotNull()).distinct())
+    looked_at = (b.select(F.explode(F.flatten(F.filter(F.array("members", "den_members"), lambda x: x.isNotNull()))).alias("m"))
+                 .select("m.p", "m.c").where("p IS NOT NULL AND c IS NOT NULL").distinct())
     ctx = BindingContext(facts, schema, props, one_object_per_subject, sizes, counts,
-                         has["bytes"] <= MAX_BROADCAST_BYTES)
+                         has["bytes"] <= MAX_BROADCAST_BYTES, looked_at)
     pat = F.col("pattern")
     is_set = pat.isin("M1", "M3b")
     size_req = (b.where(is_set).select("members")

@@ -19,7 +19,7 @@ from ..functions.ids import NameIds, counted_by_ids
 from ..functions.sizing import broadcast_if_small, materialize_small
 from ..operators.candidates import CANDIDATE_COLUMNS, classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
-from ..operators.facts import counted_facts, largest_objects, property_sizes, sizes_from_counts, typed_counts, typed_facts, CHECKS
+from ..operators.facts import counted_facts, largest_objects, property_sizes, sizes_from_counts, typed_counts, typed_facts, CHECK
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
 from ..operators.rules import to_rules
@@ -64,7 +64,7 @@ def count_once(facts: DataFrame, schema: DataFrame, measure: str = "join", one_o
         raise ValueError("one_object_per_subject is a view of the binding measure only")
     ends = ("v_lo", "v_hi") if measure == "join" else ("subject", "object")
     if one_object_per_subject:  # the largest object by name, so before names become ids; sizes stay those of all facts
-        ids, counts, kept = counted_by_ids(largest_objects(facts), schema, lambda own, typed: typed_facts(own, typed, *CHECKS, "n"), ends)
+        ids, counts, kept = counted_by_ids(largest_objects(facts), schema, lambda own, typed: typed_facts(own, typed, CHECK, "n"), ends)
     else:
         make = typed_counts if measure == "join" else counted_facts
         ids, counts, kept = counted_by_ids(facts, schema, lambda own, typed: make(own, typed, True), ends)
