@@ -36,6 +36,10 @@ def _both(first: Column, second: Column) -> Column:
     return F.shiftleft(first.cast("bigint"), 32).bitwiseOR(second.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def _halves(both: str) -> tuple[Column, Column]:
+    return F.shiftright(both, 32).cast("int"), F.shiftright(F.shiftleft(both, 32), 32).cast("int")
+
+
 class NameIds:
     """Ids for the names of ``facts`` and ``schema``: equal names have equal ids, different names different ones."""
 
@@ -102,8 +106,7 @@ def counted_by_ids(facts: DataFrame, schema: DataFrame, count: Callable[..., Dat
     while True:
         own = ids.encode(facts.select("*", _both(_check(F.col("subject")), _check(F.col("object"))).alias("check")), ("property", "subject", "object"))
         kept = count(own, ids.schema(schema)).persist(StorageLevel.MEMORY_AND_DISK)
-        halves = (F.shiftright("check", 32).cast("int"), F.shiftright(F.shiftleft("check", 32), 32).cast("int"))
-        seen = kept.select(F.inline(F.array(*[F.struct(F.col(e).alias("id"), x.alias("lo"), x.alias("hi")) for e, x in zip(ends, halves, strict=True)])))
+        seen = kept.select(F.inline(F.array(*[F.struct(F.col(e).alias("id"), x.alias("lo"), x.alias("hi")) for e, x in zip(ends, _halves("check"), strict=True)])))
         if not ids.clashes(seen.where("id IS NOT NULL").unionByName(ids.checked(ids.schema_names))):
             return ids, kept.drop("check"), kept
         kept.unpersist()

@@ -104,6 +104,9 @@ def largest_objects(facts: DataFrame) -> DataFrame:
     return facts.groupBy("property", "subject").agg(F.max("object").alias("object"), F.count(F.lit(1)).alias("n"))
 
 
+MASK_BITS = 63  # properties whose sets fit in one number
+
+
 def sizes_from_counts(counts: DataFrame) -> DataFrame:
     """D2 bag sizes ``(property, n)`` of typed properties, from ``typed_counts``."""
     return counts.groupBy("property").agg(F.sum("n").cast("bigint").alias("n"))
@@ -115,6 +118,15 @@ def fact_sets_from_counts(counts: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list("property")).alias("props")))
 
 
+def fact_sets_from_bits(counts: DataFrame, names: list) -> DataFrame:
+    """``fact_sets_from_counts`` for rows with ``bit``, the place of their property in the sorted ``names`` (at most ``MASK_BITS``): a set
+    travels as one number and is merged by a plain hash aggregate."""
+    kind = dict(counts.dtypes)["property"]
+    held = F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(p).cast(kind)) for i, p in enumerate(names)])
+    return (counts.groupBy("cls_lo", "cls_hi", "v_lo", "v_hi").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+            .select("cls_lo", "cls_hi", "v_lo", "v_hi", F.array_compact(held).alias("props")))
+
+
 def sides(fsets: DataFrame) -> DataFrame:
     """Two rows per distinct fact: ``(property, cls, key, other)`` (narrow)."""
     return (fsets.select(F.explode("props").alias("property"), "cls_lo", "cls_hi", "v_lo", "v_hi")

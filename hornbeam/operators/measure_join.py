@@ -78,11 +78,14 @@ class JoinContext:
                  small: bool = True):
         if counts is None:
             counts = fx.typed_counts(facts, schema)
+        names = sorted(r[0] for r in props.limit(fx.MASK_BITS + 1).collect()) if props is not None else []
         if props is not None:
-            counts = spread_join(counts, props.withColumnRenamed("property", "_p"),
-                                 [("property", "_p")], ["v_lo", "v_hi"], small).drop("_p")
+            bit = F.array_position(F.array(*[F.lit(x).cast(dict(props.dtypes)["property"]) for x in names[:fx.MASK_BITS]]), F.col("property"))
+            props = props.select(F.col("property").alias("_p"), *[(bit - 1).cast("int").alias("bit")][:len(names)])
+            counts = spread_join(counts, props, [("property", "_p")], ["v_lo", "v_hi"], small).drop("_p")
         self.small = small
-        self.fsets = fx.fact_sets_from_counts(counts).persist(StorageLevel.MEMORY_AND_DISK)
+        few = 0 < len(names) <= fx.MASK_BITS
+        self.fsets = (fx.fact_sets_from_bits(counts, names) if few else fx.fact_sets_from_counts(counts)).persist(StorageLevel.MEMORY_AND_DISK)
         self.side = fx.sides(self.fsets)
         self.deg = fx.degrees(self.side)
         self.dmap = fx.degree_maps(self.deg).persist(StorageLevel.MEMORY_AND_DISK)

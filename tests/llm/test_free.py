@@ -398,3 +398,24 @@ def test_bpe_chunks_that_stand_alone_are_encoded_in_one_pass_only(spark):
     assert plan.count("MapInArrow places(") == 1 and plan.count("MapInArrow wanted(") == 1  # the shared ones are only named
     lib = Tokenizer.from_file(WORDS)
     assert {r.id: r.ids for r in got.collect()} == {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+
+
+def test_bpe_chunks_of_a_batch_are_those_of_each_text_and_tables_stay_small():
+    """The texts of a batch are hashed in one go; windows over two texts ask for nothing, and no table grows with a text."""
+    import pyarrow as pa
+    from hornbeam.llm import textvec
+    r = np.random.default_rng(5)
+    texts = [*odd_texts(60), None, "", "".join(map(chr, r.integers(97, 123, 300_000))), *("".join(map(chr, r.integers(97, 123, n))) for n in (279, 280, 3000, 70_000)), "ü€" * 9000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "t"])
+    textvec._powers.cache_clear()
+    sizes, real = [], bpe._powers
+    bpe._powers = lambda n: sizes.append(n) or real(n)
+    try:
+        for part in (batch, batch.slice(61)):
+            got = list(bpe._chunked(part, 1))
+            own = [bpe.chunks_of(np.frombuffer((x or "").encode(), np.uint8)) for x in part.column(1).to_pylist()]
+            assert [(parts, keys) for _, parts, keys in got] == own
+            assert sum(len(parts) > 1 for parts, _ in own) >= 3
+    finally:
+        bpe._powers = real
+    assert set(sizes) == {1 << 17}

@@ -381,3 +381,40 @@ def test_facts_are_read_once_and_ids_part_names_there_too(spark, monkeypatch, me
     real, levels = ids._hash, []
     monkeypatch.setattr(ids, "_hash", lambda name, seed: levels.append(seed) or F.pmod(real(name, seed), F.lit(1 << 9)))
     assert run() == want and max(levels) >= 1
+
+
+def test_key_sets_are_built_of_the_classes_that_requests_look_at(spark):
+    """One rule over the first class of its atoms: nothing is grouped by, or carried for, the values of the other classes."""
+    a, b, c = (IRI.format(x) for x in "ABC")
+    facts = [("p", "a1", "b1"), ("p", "a2", "b1"), ("q", "a1", "c1"), ("q", "a2", "c2")]
+    f = spark.createDataFrame(facts, "property string, subject string, object string")
+    sch = spark.createDataFrame([("p", a, b), ("q", a, c)], "property string, dom string, ran string")
+    ctx = measure_binding.BindingContext(f, sch, asked=spark.createDataFrame([("p", a), ("q", a)], "p string, c string"))
+    assert {(r.key, r.c) for r in ctx.held.collect()} == {("a1", a), ("a2", a)}
+    entries = ctx.sets.select(F.lit(5).cast("bigint").alias("e"), F.lit("q").alias("p"), F.lit(a).alias("c"), "s1", "s2")
+    got = ctx.other_sets(entries).collect()
+    assert [(r.n, r.e) for r in got] == [(2, 5)] and {(r.other, r.e) for r in ctx.entries.collect()} == {("c1", 5), ("c2", 5)}
+    ctx.release()
+
+
+def test_second_hashes_of_a_fact_share_one_column(spark):
+    """The exchange of the counts carries one check for both names, turned with them, and the check still finds names that clash."""
+    f = spark.createDataFrame([(1, 10, 20, 5 << 32 | 6), (2, 20, 10, 7 << 32 | 8)], "property long, subject long, object long, check long")
+    sch = spark.createDataFrame([(1, 100, 200), (2, 200, 100)], "property long, dom long, ran long")
+    counts = fx.typed_counts(f, sch, True)
+    assert len(counts.columns) == 7
+    assert sorted((r.property, r.v_lo, r.v_hi, r.check) for r in counts.collect()) == [(1, 10, 20, 5 << 32 | 6), (2, 10, 20, 8 << 32 | 7)]
+    names = spark.createDataFrame([(-1, -2), (-1, 2 ** 31 - 1), (-2 ** 31, -1)], "a int, b int").withColumn("check", ids._both(F.col("a"), F.col("b")))
+    assert all(r.x == r.a and r.y == r.b for r in names.select("a", "b", *[x.alias(n) for x, n in zip(ids._halves("check"), "xy")]).collect())
+
+
+@pytest.mark.parametrize("n_props", [1, 63, 64])
+def test_sets_of_few_properties_travel_as_one_number(spark, n_props):
+    schema = {IRI.format(f"p{i:02}"): [IRI.format("A"), IRI.format("B")][::-1 if i % 2 else 1] for i in range(n_props)}
+    facts = [(p, *(("a1", "b1") if i % 2 == 0 else ("b1", "a1"))) for i, p in enumerate(schema)] + [(IRI.format("p00"), "a2", "b1")] * 2
+    f, sch = frames(spark, schema, facts)
+    ctx = measure_join.JoinContext(f, sch, sch.select("property"))
+    got = {(r.v_lo, r.v_hi): r.props for r in ctx.fsets.collect()}
+    assert got == {("a1", "b1"): sorted(schema), ("a2", "b1"): [IRI.format("p00")]}
+    assert ("bit_or" in ctx.fsets._jdf.queryExecution().optimizedPlan().toString()) == (n_props <= 63)
+    ctx.release()
