@@ -7,9 +7,9 @@ single regular expression (JVM-side, no UDF) if it starts with one of the three
 * ``ObjectPropertyDomain(p C)`` / ``ObjectPropertyRange(p C)`` -> a declaration,
   where ``C`` is a class or an ``ObjectUnionOf(...)`` expression.
 
-A statement may be broken over several lines. Lines that are no whole statement are few; only they are exchanged, by split of
-a file, where runs of consecutive ones are joined again: a statement starts at a line with a keyword and goes on until the next. One that
-goes on in the file's next split is joined there.
+A statement may be broken over several lines. Runs of consecutive lines that are no whole statement are joined again by the task that
+reads them, in Arrow batches: a statement starts at a line with a keyword and goes on until the next. Lines are never exchanged, only the joined
+runs, so that one that goes on in the file's next split meets its end.
 
 Names are full IRIs (``<...>``), prefixed names (``:a``, ``ex:a``) declared by ``Prefix(...)`` lines of
 the same file, or, as individuals, blank nodes (``_:a``, kept as they are). Files may declare a prefix differently; a file that
@@ -108,8 +108,56 @@ def survey(lines: DataFrame) -> DataFrame:
     p = _marked(lines).where(F.size("cut") != 4).select(
         "file", F.col("whole").alias("_whole"), F.inline(F.array(F.struct(prefix.alias("prefix"), name.alias("iri")), F.struct(
             F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("iri")))))
-    return (p.where("CASE WHEN prefix IS NULL THEN iri IS NULL AND NOT _whole ELSE iri <> '' END")
-            .groupBy("file", "prefix").agg(F.min("iri").alias("iri")))
+    p = p.where("CASE WHEN prefix IS NULL THEN iri IS NULL AND NOT _whole ELSE iri <> '' END")
+    # the least of a set of few IRIs: the minimum of a text would sort all broken lines
+    return p.groupBy("file", "prefix").agg(F.array_min(F.collect_set("iri")).alias("iri"))
+
+
+RUN_BITS = 12  # lines that one group of runs away from the edges covers, as a power of two
+
+
+def _runs():
+    """Arrow batches of a task's lines that are no whole statement -> its runs: lines of one split that follow each other, from one with a
+    keyword (``starts``) to before the next, joined by blanks. ``edge`` tells a run that may be part of a statement of a neighbouring split: the last of its split, and
+    the first one if it starts with no keyword. Only the run that may go on in the next batch is held."""
+    def run(batches):  # travels by value: workers need not import this package
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def made(t, fresh_next):
+            at = np.flatnonzero(t["first"].to_numpy())
+            fresh, starts = t["fresh"].to_numpy()[at], t["starts"].to_numpy()[at]
+            lists = pa.ListArray.from_arrays(np.append(at, t.num_rows).astype(np.int32), pa.concat_arrays(t["value"].chunks))
+            heads = t.select(["file", "block", "nr", "starts"]).take(at)
+            out = pa.table({"value": pc.binary_join(lists, " "), **{c: heads[c] for c in heads.column_names},
+                            "edge": (fresh & ~starts) | np.append(fresh[1:], fresh_next)})
+            return out.combine_chunks().to_batches()
+
+        held, last = [], None  # tables of the run that may go on; file, block and number of the line before
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            file = b["file"].dictionary_encode()
+            codes, block, nr = file.indices.to_numpy(), b["block"].to_numpy(), b["nr"].to_numpy()
+            here = file.dictionary[int(codes[0])].as_py(), int(block[0])
+            fresh = np.append(last is None or here != last[:2], (codes[1:] != codes[:-1]) | (block[1:] != block[:-1]))
+            gap = np.append(last is None or nr[0] != last[2] + 1, nr[1:] != nr[:-1] + 1)
+            first = fresh | gap | b["starts"].to_numpy(zero_copy_only=False)
+            last = file.dictionary[int(codes[-1])].as_py(), int(block[-1]), int(nr[-1])
+            t = pa.Table.from_batches([b]).append_column("fresh", pa.array(fresh)).append_column("first", pa.array(first))
+            if first.any():
+                k = int(np.flatnonzero(first)[-1])
+                before = pa.concat_tables([*held, t.slice(0, k)])
+                if before.num_rows:
+                    yield from made(before, bool(fresh[k]))
+                held = [t.slice(k)]
+            else:
+                held.append(t)
+        if held:
+            yield from made(pa.concat_tables(held), True)
+
+    return run
 
 
 def statements(lines: DataFrame, broken: bool = True) -> DataFrame:
@@ -120,21 +168,19 @@ def statements(lines: DataFrame, broken: bool = True) -> DataFrame:
     if not broken:
         return whole
     opens, closes = _counts(F.col("value"))
-    rest = lines.where(~F.col("whole")).select("value", "file", "block", "nr").withColumn("starts", F.col("value").rlike(START_RE))
-    own = Window.partitionBy("file", "block").orderBy("nr")
-    # a statement starts with a keyword, or where a run of consecutive lines begins
-    rest = rest.withColumn("gap", F.col("nr") - F.coalesce(F.lag("nr").over(own), F.col("nr") - 1) > 1)
-    rest = rest.withColumn("stmt", F.sum((F.col("starts") | F.col("gap")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = rest.groupBy("file", "block", "stmt").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "value"))), lambda x: x["value"]), " ").alias("value"))
-    # number 0 has no start in its split: it ends the last statement of the split before, if that is open (one row for each split)
-    parts = parts.withColumn("at", F.struct("block", "stmt"))
-    ends = parts.groupBy("file", "block").agg(F.max_by(F.struct("at", (opens > closes).alias("open")), "at").alias("last"))
-    before = Window.partitionBy("file").orderBy("block")
-    ends = ends.withColumn("home", F.lag("last").over(before)).select("file", "block", F.when(F.col("home.open"), F.col("home.at")).alias("home"))
-    parts = parts.join(ends, ["file", "block"]).withColumn("home", F.when(F.col("stmt") == 0, F.coalesce("home", "at")).otherwise(F.col("at")))
-    joined = parts.groupBy("file", "home").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), " ").alias("value"))
+    rest = lines.where(~F.col("whole")).select("value", "file", "block", "nr", F.col("value").rlike(START_RE).alias("starts"))
+    runs = rest.mapInArrow(_runs(), "value string, file string, block bigint, nr bigint, starts boolean, edge boolean")
+    # runs at the edges of a file's splits meet in their order, the others are statements: these are dealt in small groups of their task
+    group = F.when(F.col("edge"), F.lit(-1).cast("bigint")).otherwise(F.shiftright("nr", RUN_BITS))
+    own = Window.partitionBy("file", "group").orderBy("block", "nr")
+    runs = runs.withColumn("group", group).withColumn("open", F.col("edge") & (opens > closes))
+    # the first run of a split that starts with no keyword ends the last statement of the split before, if that is open
+    first = F.coalesce(F.lag("block").over(own) != F.col("block"), F.lit(True))
+    goes_on = F.col("edge") & ~F.col("starts") & first & F.coalesce(F.lag("open").over(own), F.lit(False))
+    runs = runs.withColumn("goes_on", goes_on)
+    after = F.when(F.lead("goes_on").over(own), F.lead("value").over(own))
+    joined = runs.select("file", F.when(~F.col("goes_on"), F.col("value")).alias("value"), after.alias("after"))
+    joined = joined.where("value IS NOT NULL OR after IS NOT NULL").select("file", F.concat_ws(" ", "value", "after").alias("value"))
     # the parenthesis that closes the ontology may follow the last statement
     joined = joined.withColumn("value", F.when(closes == opens + 1, F.regexp_replace("value", r"\)\s*$", "")).otherwise(F.col("value")))
     joined = joined.where(F.trim("value") != "")

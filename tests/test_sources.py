@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,41 @@ def test_statements_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_broken_statements_are_joined_where_they_are_read(spark, tmp_path, batch):
+    """Runs of lines meet in their task, whatever the batches and splits; no line is exchanged, only joined runs are."""
+    rnd = random.Random(batch)
+    for name in "ab":
+        lines = [f"Prefix(:=<http://{name}#>)"]
+        for i in range(80):
+            gaps = ["\n" * rnd.randint(0, 2) + " " for _ in range(4)]
+            lines.append(f"ObjectPropertyAssertion({gaps[0]}:p{gaps[1]}:s{i}{gaps[2]}:o{i}{gaps[3]})")
+        (tmp_path / f"{name}.owl").write_text("\n".join(lines) + "\n")
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.files.maxPartitionBytes": "700b"}
+    prev = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        axioms = ax.read_axioms(spark, str(tmp_path), "functional")
+        got = [tuple(r) for r in ax.assertions(axioms).collect()]
+    finally:
+        for k, v in prev.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted((f"<http://{f}#p>", f"<http://{f}#s{i}>", f"<http://{f}#o{i}>") for f in "ab" for i in range(80))
+    plan = ax.statements(spark.read.text(str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+
+
+def test_stray_lines_stay_their_own(spark):
+    """Lines without file and split: a run that starts with no keyword is a statement of its own, and is malformed or other."""
+    rows = [":a :b)", "ObjectPropertyAssertion(:p", ":a :b)", "Prefix(:=<http://a#>)", ":c :d)", "ObjectPropertyAssertion(:p :a", None, ":b)"]
+    axioms = ax.parse_axioms(spark.createDataFrame([(x,) for x in rows], "value string").coalesce(1))
+    assert sorted((r.axiom_type, r.property, r.arg1) for r in axioms.where("axiom_type <> 'Prefix'").collect() if r.property) == [
+        ("ObjectPropertyAssertion", "<http://a#p>", "<http://a#a>")]
+    assert sorted(r.axiom_type for r in axioms.collect()) == sorted(
+        ["Other", "Prefix", "Other", "ObjectPropertyAssertion", "MalformedObjectPropertyAssertion", "Other"])
+
+
 def counted(df):
     """``df`` and the number of its rows computed so far, whatever asks for them."""
     seen = df.sparkSession.sparkContext.accumulator(0)
