@@ -18,7 +18,7 @@ Data model (see README):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import fits, spread_join
@@ -107,6 +107,44 @@ def largest_objects(facts: DataFrame) -> DataFrame:
 MASK_BITS = 63  # properties whose sets fit in one number
 
 
+def bit_names(schema: DataFrame) -> list | None:
+    """Typed properties in order, whose places are the bits of a set; None when they are more than ``MASK_BITS``."""
+    names = sorted(r[0] for r in schema.select("property").where("property IS NOT NULL").distinct().limit(MASK_BITS + 1).collect())
+    return names if len(names) <= MASK_BITS else None
+
+
+def typed_sets(facts: DataFrame, schema: DataFrame, names: list) -> DataFrame:
+    """``fact_sets`` and bag sizes from one exchange: ``(cls_lo, cls_hi, v_lo, v_hi, check, mask, n)``, the property set of a fact as the
+    bits of ``mask`` by ``names``. Bag sizes are the rows with ``mask`` 0, a property as ``cls_lo`` and its ``n``: each fact counts
+    for its own row and for that of its property, which the map side keeps as one."""
+    kind = dict(schema.dtypes)["property"]
+    bit = (F.array_position(F.array(*[F.lit(x).cast(kind) for x in names]).cast(f"array<{kind}>"), F.col("property")) - 1).cast("int")
+    c = canonical(typed_facts(facts, schema, CHECK)).withColumn("bit", bit)
+    own = F.struct(*["cls_lo", "cls_hi", "v_lo", "v_hi", CHECK], F.expr("shiftleft(1L, bit)").alias("mask"))
+    none = [F.lit(None).cast(dict(c.dtypes)[x]).alias(x) for x in ("cls_hi", "v_lo", "v_hi", CHECK)]
+    size = F.struct(F.col("property").alias("cls_lo"), *none, F.lit(0).cast("bigint").alias("mask"))
+    return (c.select(F.inline(F.array(own, size))).groupBy("cls_lo", "cls_hi", "v_lo", "v_hi", CHECK)
+            .agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("n")))
+
+
+def sizes_from_sets(sets: DataFrame) -> DataFrame:
+    """D2 bag sizes ``(property, n)`` of typed properties, from ``typed_sets``."""
+    return sets.where("mask = 0").select(F.col("cls_lo").alias("property"), "n")
+
+
+def held(names: list, kind: str, wanted: set | None = None) -> Column:
+    """The properties of ``mask``, in order; only those ``wanted``, if given."""
+    return F.array_compact(F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(p).cast(kind)) for i, p in enumerate(names)
+                                     if wanted is None or p in wanted]))
+
+
+def fact_sets_from_masks(sets: DataFrame, names: list, kind: str, wanted: set) -> DataFrame:
+    """``fact_sets`` of the ``wanted`` properties from ``typed_sets``: rows as they are, nothing is exchanged."""
+    bits = sum(1 << i for i, p in enumerate(names) if p in wanted)
+    return (sets.where(F.col("mask").bitwiseAND(F.lit(bits).cast("bigint")) != 0)
+            .select("cls_lo", "cls_hi", "v_lo", "v_hi", held(names, kind, wanted).alias("props")))
+
+
 def sizes_from_counts(counts: DataFrame) -> DataFrame:
     """D2 bag sizes ``(property, n)`` of typed properties, from ``typed_counts``."""
     return counts.groupBy("property").agg(F.sum("n").cast("bigint").alias("n"))
@@ -122,9 +160,8 @@ def fact_sets_from_bits(counts: DataFrame, names: list) -> DataFrame:
     """``fact_sets_from_counts`` for rows with ``bit``, the place of their property in the sorted ``names`` (at most ``MASK_BITS``): a set
     travels as one number and is merged by a plain hash aggregate."""
     kind = dict(counts.dtypes)["property"]
-    held = F.array(*[F.when(F.getbit("mask", F.lit(i)) == 1, F.lit(p).cast(kind)) for i, p in enumerate(names)])
     return (counts.groupBy("cls_lo", "cls_hi", "v_lo", "v_hi").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-            .select("cls_lo", "cls_hi", "v_lo", "v_hi", F.array_compact(held).alias("props")))
+            .select("cls_lo", "cls_hi", "v_lo", "v_hi", held(names, kind).alias("props")))
 
 
 def sides(fsets: DataFrame) -> DataFrame:

@@ -76,22 +76,27 @@ class JoinContext:
     def __init__(self, facts: DataFrame, schema: DataFrame, props: DataFrame | None = None,
                  sizes: DataFrame | None = None, counts: DataFrame | None = None,
                  small: bool = True):
-        if counts is None:
-            counts = fx.typed_counts(facts, schema)
-        names = sorted(r[0] for r in props.limit(fx.MASK_BITS + 1).collect()) if props is not None else []
-        if props is not None:
-            bit = F.array_position(F.array(*[F.lit(x).cast(dict(props.dtypes)["property"]) for x in names[:fx.MASK_BITS]]), F.col("property"))
-            props = props.select(F.col("property").alias("_p"), *[(bit - 1).cast("int").alias("bit")][:len(names)])
-            counts = spread_join(counts, props, [("property", "_p")], ["v_lo", "v_hi"], small).drop("_p")
         self.small = small
-        few = 0 < len(names) <= fx.MASK_BITS
-        self.fsets = (fx.fact_sets_from_bits(counts, names) if few else fx.fact_sets_from_counts(counts)).persist(StorageLevel.MEMORY_AND_DISK)
+        if counts is not None and "mask" in counts.columns:  # ``typed_sets``, which the caller keeps
+            names, kind = fx.bit_names(schema), dict(schema.dtypes)["property"]
+            self.fsets = fx.fact_sets_from_masks(counts, names, kind, set(names) if props is None else {r[0] for r in props.collect()})
+        else:
+            self.fsets = self.sets_of(fx.typed_counts(facts, schema) if counts is None else counts, props).persist(StorageLevel.MEMORY_AND_DISK)
         self.side = fx.sides(self.fsets)
         self.deg = fx.degrees(self.side)
         self.dmap = fx.degree_maps(self.deg).persist(StorageLevel.MEMORY_AND_DISK)
         self._heavy: Heavy | None = None
         self.bag_sizes = sizes if sizes is not None else fx.property_sizes(facts)
 
+    def sets_of(self, counts: DataFrame, props: DataFrame | None) -> DataFrame:
+        names = sorted(r[0] for r in props.limit(fx.MASK_BITS + 1).collect()) if props is not None else []
+        if props is not None:
+            bit = F.array_position(F.array(*[F.lit(x).cast(dict(props.dtypes)["property"]) for x in names[:fx.MASK_BITS]]), F.col("property"))
+            props = props.select(F.col("property").alias("_p"), *[(bit - 1).cast("int").alias("bit")][:len(names)])
+            counts = spread_join(counts, props, [("property", "_p")], ["v_lo", "v_hi"], self.small).drop("_p")
+        few = 0 < len(names) <= fx.MASK_BITS
+        return fx.fact_sets_from_bits(counts, names) if few else fx.fact_sets_from_counts(counts)
+
     def release(self) -> None:
         self.fsets.unpersist()
         self.dmap.unpersist()
@@ -164,15 +169,28 @@ class JoinContext:
     def head_path(self, req: DataFrame) -> DataFrame:
         """``req(h, K1, K2, p, q)`` -> terms of the sum over distinct facts of h of deg(p,K1,.)*deg(q,K2,.).
 
-        The head's facts are read from their K1 side, whose ``other`` is the value at K2; those of a heavy value at either
-        end are dealt into parts.
+        The head's facts are read from the side of the class with more keys (the sum is the same from either), once for all requests over
+        them; those of a heavy value are dealt into parts. Degrees met there are summed by the value at the other class before they travel, so
+        that value is read once for each head and property, whatever its number of facts.
         """
         r = req.select("h", "K1", "K2", "p", "q").distinct()
-        s = spread_join(self.side, r, [("property", "h"), ("cls", "K1")], ["key", "other"], self.small)
-        s = s.select("h", "K1", "K2", "p", "q", F.col("key").alias("v1"), F.col("other").alias("v2"))
-        j = self.with_degrees(s, "K1", "v1", "v2", "_m").withColumn("n1", _lookup("_m", F.col("p"))).where("n1 IS NOT NULL").drop("_m")
-        j = self.with_degrees(j, "K2", "v2", "v1", "_m")
-        term = F.col("n1").cast(DEC) * _lookup("_m", F.col("q")).cast(DEC)
+        keys = self.dmap.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+        for c in ("K1", "K2"):
+            r = r.join(keys.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}")), c, "left").fillna(0, [f"n_{c}"])
+        turned = (F.col("n_K2") > F.col("n_K1")) | ((F.col("n_K2") == F.col("n_K1")) & (F.col("K2") < F.col("K1")))
+        ways = (("C1", "K1", "K2"), ("C2", "K2", "K1"), ("a", "p", "q"), ("b", "q", "p"))
+        plan = materialize_small(r.select("h", "K1", "K2", "p", "q", *[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(c) for c, x, y in ways]))
+        s = spread_join(self.side, plan.select("h", "C1", "C2").distinct(), [("property", "h"), ("cls", "C1")], ["key", "other"], self.small)
+        s = s.select("h", "C1", "C2", F.col("key").alias("v1"), F.col("other").alias("v2"))
+        j = self.with_degrees(s, "C1", "v1", "v2", "_m")
+        first = plan.select(F.col("h").alias("_h"), F.col("C1").alias("_C1"), F.col("C2").alias("_C2"), "a").distinct()
+        j = spread_join(j, first, [("h", "_h"), ("C1", "_C1"), ("C2", "_C2")], ["v1", "v2"], self.small)
+        j = j.withColumn("n1", _lookup("_m", F.col("a"))).where("n1 IS NOT NULL")
+        j = j.groupBy("h", "C1", "C2", "a", "v2").agg(F.sum(F.col("n1").cast(DEC)).alias("n1"))
+        j = j.join(self.dmap, (F.col("C2") == F.col("cls")) & (F.col("v2") == F.col("key")))
+        every = plan.select("K1", "K2", "p", "q", "b", *[F.col(c).alias(f"_{c}") for c in ("h", "C1", "C2", "a")])
+        j = spread_join(j, every, [(c, f"_{c}") for c in ("h", "C1", "C2", "a")], ["v2"], self.small)
+        term = F.col("n1").cast(DEC) * _lookup("m", F.col("b")).cast(DEC)
         return j.select("h", "K1", "K2", "p", "q", term.alias("value"))
 
     def triangles(self, req: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from ..functions.ids import NameIds, counted_by_ids
 from ..functions.sizing import broadcast_if_small, materialize_small
 from ..operators.candidates import CANDIDATE_COLUMNS, classify, ordered_subsets
 from ..operators.clusters import KINDS, MIN_CLUSTER_SIZE, all_clusters
-from ..operators.facts import counted_facts, largest_objects, property_sizes, sizes_from_counts, typed_counts, typed_facts, CHECK
+from ..operators.facts import (
+    CHECK, bit_names, counted_facts, largest_objects, property_sizes, sizes_from_counts, sizes_from_sets, typed_counts, typed_facts, typed_sets)
 from ..operators.measure_binding import score_binding
 from ..operators.measure_join import score_join
 from ..operators.rules import to_rules
@@ -46,8 +47,8 @@ def candidate_rules(facts: DataFrame, schema: DataFrame, atoms: int = 3,
 
 @dataclass
 class Counted:
-    """What one pass over the facts gives a measure: ``ids``, distinct typed facts by ids ``counts`` (persisted as ``kept``), their
-    bag sizes by id, and by name as ``named``."""
+    """What one pass over the facts gives a measure: ``ids``, distinct typed facts by ids ``counts`` (``typed_sets`` or ``typed_counts``
+    for the join measure, persisted as ``kept``), their bag sizes by id, and by name as ``named``."""
 
     ids: NameIds
     counts: DataFrame
@@ -56,6 +57,12 @@ class Counted:
     named: DataFrame
 
 
+def typed_sets_or_counts(own: DataFrame, typed: DataFrame) -> DataFrame:
+    """What the join measure keeps of the facts: their property sets as one number, or a row for each property when these are too many for that."""
+    names = bit_names(typed)
+    return typed_counts(own, typed, True) if names is None else typed_sets(own, typed, names)
+
+
 def count_once(facts: DataFrame, schema: DataFrame, measure: str = "join", one_object_per_subject: bool = False) -> Counted:
     """``Counted`` of ``facts``, which are read once (again only when names share an id)."""
     if measure not in MEASURES:
@@ -66,9 +73,9 @@ def count_once(facts: DataFrame, schema: DataFrame, measure: str = "join", one_o
     if one_object_per_subject:  # the largest object by name, so before names become ids; sizes stay those of all facts
         ids, counts, kept = counted_by_ids(largest_objects(facts), schema, lambda own, typed: typed_facts(own, typed, CHECK, "n"), ends)
     else:
-        make = typed_counts if measure == "join" else counted_facts
-        ids, counts, kept = counted_by_ids(facts, schema, lambda own, typed: make(own, typed, True), ends)
-    sizes = materialize_small(sizes_from_counts(counts))
+        make = typed_sets_or_counts if measure == "join" else lambda own, typed: counted_facts(own, typed, True)
+        ids, counts, kept = counted_by_ids(facts, schema, make, ends)
+    sizes = materialize_small(sizes_from_sets(counts) if "mask" in counts.columns else sizes_from_counts(counts))
     names = ids.encode(schema.select("property", F.col("property").alias("name")), ["property"])
     named = materialize_small(names.join(sizes, "property").select(F.col("name").alias("property"), "n"))
     return Counted(ids, counts, kept, sizes, named)

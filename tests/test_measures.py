@@ -12,7 +12,7 @@ from hornbeam.operators import facts as fx
 from hornbeam.operators.candidates import classify, connected_triples, ordered_subsets
 from hornbeam.operators.measure_binding import score_binding
 from hornbeam.operators.measure_join import score_join
-from hornbeam.plans.mine import candidate_rules, mine, score, score_made
+from hornbeam.plans.mine import candidate_rules, count_once, mine, score, score_made
 
 IRI = "<http://ex.org/kg#{}>"
 
@@ -217,6 +217,50 @@ def test_heavy_value_of_a_path_is_dealt(spark, monkeypatch):
     ctx.release()
 
 
+def test_a_path_reads_its_head_once_for_all_requests(spark, monkeypatch):
+    """Five rules over one head, from either side: its facts meet the degrees of the class with more keys once, and travel on as sums."""
+    h, p1, p2, q1, q2 = (IRI.format(x) for x in ("h", "p1", "p2", "q1", "q2"))
+    schema = {h: ["X", "Y"], p1: ["X", "A"], p2: ["B", "X"], q1: ["Y", "C"], q2: ["D", "Y"]}
+    facts = [(h, f"x{i}", f"y{i % 5}") for i in range(300)] + [(p1, f"x{i % 90}", f"a{i % 7}") for i in range(200)]
+    facts += [(p2, f"b{i % 3}", f"x{i}") for i in range(100)] + [(q1, f"y{i % 4}", f"c{i}") for i in range(30)] + [(q2, f"d{i}", "y1") for i in range(9)]
+    f, sch = frames(spark, schema, facts)
+    rules = [(h, p1, q1), (h, p1, q2), (h, p2, q1), (h, p2, q2), (h, q2, p1)]
+    rows, own = [], measure_join.JoinContext.with_degrees
+
+    def met(self, df, *names):
+        rows.append(df.count())
+        return own(self, df, *names)
+    monkeypatch.setattr(measure_join.JoinContext, "with_degrees", met)
+    got = {(r.head, r.body1, r.body2): (r.pattern, r.support) for r in score_join(
+        f, sch, classify(spark.createDataFrame(rules, "head string, body1 string, body2 string"), sch)).collect()}
+    tables, _ = python_tables(schema, facts)
+    assert got == {r: ("S6", join_measure(tables, _, schema, r)[0]) for r in rules} and all(n for _, n in got.values())
+    assert rows == [300]
+
+
+def test_sets_and_sizes_come_from_one_exchange(spark):
+    """A fact that several properties hold is one row with their bits, bag sizes stand beside it, and the sets are not exchanged again."""
+    schema, facts = shaped_graph(5, n_vals=4, n_facts=20)
+    facts += [(IRI.format("p0"), None, "Bv1")] * 2 + [(IRI.format("p1"), "Av1", None)] + facts[:30] * 3
+    f, sch = frames(spark, schema, facts)
+    c = count_once(f, sch)
+    sizes = {p: sum(x[0] == p for x in facts) for p in schema}
+    assert {r.property: r.n for r in c.named.collect()} == sizes
+    names = {r[0]: r[1] for r in c.ids.encode(sch.select("property", F.col("property").alias("name")), ["property"]).collect()}
+    want = sorted((tuple(r.props), r.n) for r in fx.fact_sets(fx.typed_facts(f, sch)).groupBy("props").agg(F.count(F.lit(1)).alias("n")).collect())
+    some = sorted(names)[:3]
+    for props in (None, some):
+        ctx = measure_join.JoinContext(c.counts, c.ids.schema(sch), None if props is None else spark.createDataFrame([(x,) for x in props], "property long"),
+                                       c.sizes, c.counts)
+        rows = [tuple(sorted(names[x] for x in r.props)) for r in ctx.fsets.collect()]
+        kept = set(schema) if props is None else {names[x] for x in props}
+        left = [tuple(x for x in s if x in kept) for s, n in want for _ in range(n)]
+        assert sorted(rows) == sorted(x for x in left if x)
+        assert "Exchange" not in ctx.fsets._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        ctx.release()
+    c.kept.unpersist()
+
+
 @pytest.mark.parametrize("measure", ["join", "binding"])
 def test_mining_leaves_nothing_cached(spark, kg, measure):
     facts, schema = kg
