@@ -14,8 +14,8 @@ S3             sum over pair(r0, r2) rows of deg(r1, C, value at C)
 S5b            sum over pair(r1, r2) rows of deg(r0, C, value at C)
 S4_star / S5a  sum over keys k of class K of deg(r0,K,k) * deg(r1,K,k) * deg(r2,K,k)
 S4_triangle    rows of the three-way equi-join (no degree form); joined from the
-               pivot class with the fewest wedges, computed from degrees first, heavy
-               pivot values in a grid of parts or from their closing edges
+               pivot class with the fewest wedges, computed from degrees first; where these
+               are many, heavy pivot values in a grid of parts or from their closing edges
 S6             body atoms unconnected: head-path / cross-product form from degrees
 S7 / S8        0 (head not connected / nothing shared)
 =============  =====================================================================
@@ -48,6 +48,8 @@ PAIR_PATTERNS = ("S1", "S2", "S3", "S5b")
 STAR_PATTERNS = ("S4_star", "S5a")
 SPREAD = 8  # parts of the rules that ask for one value
 WEDGE_PART = 4096  # facts of an edge at one pivot value that meet the other edge in one cell
+LIGHT = 2.0  # wedges for each fact of both edges up to which they are joined without reducing the edges first
+CLOSING = 1 << 19  # closing facts that all tasks may know
 TURN = 1.0  # wedges of a pivot value for each closing fact, from which it is joined along the closing edge
 
 
@@ -199,15 +201,48 @@ class JoinContext:
         ``e0`` holds classes {X, Y}, ``e1`` {X, Z}, ``e2`` {Y, Z}; a request is canonical
         (``e0 < e1 < e2``), so each triangle is joined once for all rules over it. The wedge
         count of each pivot class is a degree dot product; the join runs from
-        the pivot with the fewest wedges (``edges``), each pivot value in the cheaper of two ways:
+        the pivot with the fewest wedges. Up to ``LIGHT`` wedges for each fact of both edges they are joined as they are (``few_wedges``), else
+        the edges are reduced first (``many_wedges``).
+        """
+        keys = ["e0", "e1", "e2", "X", "Y", "Z"]
+        req = materialize_small(req.select(*keys).distinct().withColumn("tid", F.monotonically_increasing_id()))
+        plan = self.pivots(req).withColumn("few", F.col("wedges").cast("double") <= LIGHT * (F.col("na") + F.col("nb")))
+        ways = [r["few"] for r in plan.select("few").distinct().collect()] or [True]
+        closed = [(self.few_wedges if few else self.many_wedges)(plan.where(F.col("few") == few)) for few in ways]
+        every = closed[0] if len(closed) == 1 else closed[0].unionByName(closed[1])
+        counted = every.groupBy("tid").agg(F.count(F.lit(1)).cast(DEC).alias("value"))
+        return req.join(counted, "tid").select(*keys, "value")
+
+    def few_wedges(self, plan: DataFrame) -> DataFrame:
+        """``(tid)`` of each closed wedge, for triangles whose wedges are about as many as the facts of their edges.
+
+        The edge with more facts is exchanged once for all triangles that hold it at the pivot class, by the pivot value; its facts at
+        a heavy value are dealt into parts, the other edge's copied. The closing facts are known to all tasks when they are at most ``CLOSING``.
+        """
+        ends = [("pa", "cu", "pb"), ("pb", "cw", "pa")]
+        first, second = (F.struct(F.col(p).alias("bp"), F.col(c).alias("bc"), F.col(o).alias("sp")) for p, c, o in ends)
+        plan = plan.select("tid", "P", "pc", "nc", F.when(F.col("na") >= F.col("nb"), first).otherwise(second).alias("way")).select("*", "way.*")
+        groups = materialize_small(plan.select("bp", "P").distinct().withColumn("g", F.monotonically_increasing_id()))
+        closing = materialize_small(plan.select("pc", "bc", "nc").distinct().withColumn("k", F.monotonically_increasing_id()))
+        plan = plan.join(groups, ["bp", "P"]).join(closing.drop("nc"), ["pc", "bc"]).select("tid", "g", "k", "P", "sp")
+        big = spread_join(self.side, groups, [("property", "bp"), ("cls", "P")], ["key", "other"], self.small).select(
+            "g", "P", F.col("key").alias("pk"), F.col("other").alias("x"))
+        small = spread_join(self.side, plan, [("property", "sp"), ("cls", "P")], ["key", "other"], self.small).select(
+            "tid", "g", "k", "P", F.col("key").alias("pk"), F.col("other").alias("y"))
+        big = self.heavy().deal(big, ["P", "pk"], ["x"]).drop("P")
+        wedges = big.join(self.heavy().deal(small, ["P", "pk"], None).drop("P"), ["g", "pk", "_part"]).select("tid", "k", "x", "y")
+        met = spread_join(self.side, closing.drop("nc"), [("property", "pc"), ("cls", "bc")], ["key", "other"], self.small).select(
+            "k", F.col("key").alias("x"), F.col("other").alias("y"))
+        known = (closing.agg(F.sum("nc")).first()[0] or 0) <= CLOSING
+        return wedges.join(F.broadcast(met) if known else met, ["k", "x", "y"]).select("tid")
+
+    def many_wedges(self, plan: DataFrame) -> DataFrame:
+        """``(tid)`` of each closed wedge; both edges are reduced to facts that can meet (``edges``), and each pivot value is joined in the cheaper of two ways:
 
         * its wedges are closed by an exact match on the third property's facts (``grid``);
         * a value with more wedges than there are closing facts is joined along these instead: each first edge meets the
           closing facts at its far value, and the second edge closes. At most all closing facts are met for one such value.
         """
-        keys = ["e0", "e1", "e2", "X", "Y", "Z"]
-        req = materialize_small(req.select(*keys).distinct().withColumn("tid", F.monotonically_increasing_id()))
-        plan = self.pivots(req)
         a_rows, b_rows = self.edges(plan)
         c_rows = spread_join(self.side, plan, [("property", "pc"), ("cls", "cu")], ["key", "other"], self.small).select(
             "tid", "cu", F.col("key").alias("u"), F.col("other").alias("w"))
@@ -218,12 +253,11 @@ class JoinContext:
         hub = self.heavy().deal(a_rows.where(turned).select("tid", "cu", "pk", "u"), ["cu", "u"], None)
         along = hub.join(self.heavy().deal(c_rows, ["cu", "u"], ["w"]), ["tid", "cu", "u", "_part"]).select("tid", "pk", "w")
         along = along.join(b_rows.where(turned).select("tid", "pk", "w"), ["tid", "pk", "w"]).select("tid")
-        counted = closed.unionByName(along).groupBy("tid").agg(F.count(F.lit(1)).cast(DEC).alias("value"))
-        return req.join(counted, "tid").select(*keys, "value")
+        return closed.unionByName(along)
 
     def pivots(self, req: DataFrame) -> DataFrame:
         """The plan of each request: pivot class ``P``, edges ``pa`` and ``pb`` with far classes ``cu`` and ``cw``, closing property
-        ``pc`` and its number of facts ``nc``."""
+        ``pc``, its number of facts ``nc``, those of the edges ``na`` and ``nb``, and the ``wedges``."""
         opts = [("X", "e0", "e1", "Y", "Z", "e2"),
                 ("Y", "e0", "e2", "X", "Z", "e1"),
                 ("Z", "e1", "e2", "X", "Y", "e0")]
@@ -237,9 +271,11 @@ class JoinContext:
                                         F.col("K").alias("P"), F.col("value").alias("wedges")),
                             ["pa", "pb", "P"], "left")
         best = (costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC))).groupBy("tid")
-                .agg(F.min_by(F.struct("P", "pa", "pb", "cu", "cw", "pc"), "wedges").alias("best")).select("tid", "best.*"))
-        sizes = self.distinct_sizes().select(F.col("property").alias("pc"), F.col("n").alias("nc"))
-        return materialize_small(best.join(sizes, "pc", "left").withColumn("nc", F.coalesce("nc", F.lit(0).cast("bigint"))))
+                .agg(F.min_by(F.struct("P", "pa", "pb", "cu", "cw", "pc", "wedges"), "wedges").alias("best")).select("tid", "best.*"))
+        sizes = materialize_small(self.distinct_sizes())
+        for p, n in (("pa", "na"), ("pb", "nb"), ("pc", "nc")):
+            best = best.join(sizes.select(F.col("property").alias(p), F.col("n").alias(n)), p, "left").withColumn(n, F.coalesce(n, F.lit(0).cast("bigint")))
+        return materialize_small(best)
 
     def edges(self, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Facts of both edges ``(tid, cu, nc, pk, u or w, na, nb)`` that the other edge meets at the pivot value ``pk`` and the closing

@@ -261,6 +261,35 @@ def test_sets_and_sizes_come_from_one_exchange(spark):
     c.kept.unpersist()
 
 
+@pytest.mark.parametrize("closing, light", [(1 << 19, 2.0), (0, 2.0), (0, 0.0)])
+def test_triangles_share_their_larger_edge(spark, monkeypatch, closing, light):
+    """Three triangles over one large edge with few wedges: its facts are dealt once, whatever the number of triangles."""
+    monkeypatch.setattr(measure_join, "CLOSING", closing)
+    monkeypatch.setattr(measure_join, "LIGHT", light)
+    monkeypatch.setattr(dealing, "HEAVY_FACTS", 20)  # some pivot values are dealt into parts
+    rnd = random.Random(7)
+    lives = [IRI.format(f"lives{i}") for i in range(3)]
+    buys, based = IRI.format("buys"), IRI.format("based")
+    schema = {x: ["C", "N"] if i < 2 else ["N", "C"] for i, x in enumerate(lives)} | {buys: ["C", "S"], based: ["S", "N"]}
+    at = [(f"c{i}", f"n{rnd.randrange(2)}") for i in range(60)]
+    facts = [(lives[0], *x) for x in at] + [(lives[1], *x) for x in at[:40]] + [(lives[2], n, c) for c, n in at[20:]] + [(lives[0], *at[0])] * 2
+    facts += [(buys, f"c{min(rnd.randrange(70), rnd.randrange(70))}", f"s{rnd.randrange(40)}") for _ in range(900)] + [(buys, "c0", f"s{i}") for i in range(40)]
+    facts += [(based, f"s{i}", f"n{rnd.randrange(2)}") for i in range(40)] + [(based, "s1", "n7"), (based, "s8", "n7")]
+    f, sch = frames(spark, schema, facts)
+    tables, _ = python_tables(schema, facts)
+    rules = [r for x in lives for r in itertools.permutations([x, buys, based])]
+    dealt, own = [], dealing.Heavy.deal
+
+    def deal(self, rows, at, by):
+        dealt.append(rows.count() if by else 0)
+        return own(self, rows, at, by)
+    monkeypatch.setattr(dealing.Heavy, "deal", deal)
+    got = {(r.head, r.body1, r.body2): (r.pattern, r.support) for r in score(f, sch, spark.createDataFrame(rules, "head string, body1 string, body2 string")).collect()}
+    assert got == {r: ("S4_triangle", join_measure(tables, _, schema, r)[0]) for r in rules} and all(n for _, n in got.values())
+    if light:
+        assert sum(dealt) == len(tables[buys])
+
+
 @pytest.mark.parametrize("measure", ["join", "binding"])
 def test_mining_leaves_nothing_cached(spark, kg, measure):
     facts, schema = kg
