@@ -48,10 +48,13 @@ def _axiom_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ax.render_axioms(facts, declarations_from_tables(spark), mixed=True)
 
 
+FILE_LINES = 100_000  # lines of one compressed text file
+
+
 def _axiom_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same text written below the shared folder and read as a file."""
+    """The same text written below the shared folder and read as files: compressed, so each is read by one task and holds at most ``FILE_LINES``."""
     path = store.store_path(spark, "axioms", unique=True)
-    _axiom_text(spark, sf_dir).write.text(path)
+    _axiom_text(spark, sf_dir).write.option("maxRecordsPerFile", FILE_LINES).text(path, compression="gzip")
     return ax.read_axioms(spark, path, "functional")
 
 
@@ -291,7 +294,8 @@ def q_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mine_from_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axiom text to rules, the way a user starts: read a file, derive the schema, mine."""
     axioms = _axiom_file(spark, sf_dir)
-    schema = _of_heads(axioms, lambda a: property_schema(ax.domains(a), ax.ranges(a)))
+    declared = materialize_small(ax.declarations(axioms)).withColumnRenamed("cls", "arg1")  # no facts are kept for it
+    schema = materialize_small(property_schema(ax.domains(declared), ax.ranges(declared)))
     return mine(ax.assertions(axioms), schema, 3, "join")
 
 

@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from hornbeam.operators import facts as fx
 from hornbeam.operators.schema import property_schema, schema_report
 from hornbeam.plans import queries
-from hornbeam.plans.mine import score
+from hornbeam.plans.mine import mine, score
 from hornbeam.sources import axioms as ax
 from hornbeam.sources import store
 from hornbeam.sources.kg_tables import knowledge_graph
@@ -254,6 +255,24 @@ def test_text_in_several_files(spark, monkeypatch, tmp_path):
     assert all(len(list((tmp_path / "25" / x).glob("part-*"))) > 1 for x in "ab")
 
 
+def test_axiom_text_is_compressed_in_small_files(spark, monkeypatch, tmp_path):
+    """Text to rules: the written text takes a part of its bytes on disk, no file is long, and no fact is kept for the schema."""
+    nation = [(f"<http://ex.org/kg#{p}>", f"c{i}", f"n{i % 3}") for p in ("customerIn", "richCustomerIn") for i in range(60)]
+    rows = nation + [("<http://ex.org/kg#homeOf>", f"n{i % 3}", f"c{i}") for i in range(40)] + nation[:7]
+    facts = spark.createDataFrame(rows, "property string, subject string, object string").coalesce(1)
+    monkeypatch.setattr(queries, "knowledge_graph", lambda *_: (facts, None))
+    monkeypatch.setattr(queries, "FILE_LINES", 50)
+    monkeypatch.setattr(queries.store, "store_path", lambda *_, **__: str(tmp_path / "text"))
+    monkeypatch.setattr(ax, "heads", None)
+    got = sorted(map(str, queries.q_mine_from_axioms(spark, "").collect()))
+    files = [gzip.decompress(p.read_bytes()).decode().splitlines() for p in (tmp_path / "text").glob("part-*.txt.gz")]
+    assert len(list((tmp_path / "text").glob("part-*"))) == len(files) and max(map(len, files)) <= 50
+    assert sum(x.startswith(ax.ASSERTION) for f in files for x in f) == len(rows)
+    _, schema = knowledge_graph(spark, "/root/testdata/sf0.001")
+    full = facts.select("property", *[F.concat(F.lit("<http://ex.org/kg#"), c, F.lit(">")).alias(c) for c in ("subject", "object")])
+    assert got and got == sorted(map(str, mine(full, schema, 3, "join").collect()))
+
+
 @pytest.mark.parametrize("measure", ["join", "binding"])
 def test_score_computes_facts_twice(spark, measure):
     """Once to name them, once for the measure and the sizes."""
