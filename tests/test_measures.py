@@ -217,6 +217,20 @@ def test_heavy_value_of_a_path_is_dealt(spark, monkeypatch):
     ctx.release()
 
 
+@pytest.mark.parametrize("n_props", [63, 64])
+def test_many_properties_are_counted_with_and_without_bits(spark, n_props):
+    schema = {IRI.format(f"p{i:02}"): [IRI.format("A"), IRI.format("B")][::-1 if i % 2 else 1] for i in range(n_props)}
+    facts = [(p, *(("a1", "b1") if i % 2 == 0 else ("b1", "a1"))) for i, p in enumerate(schema)] + [(IRI.format("p00"), "a2", "b1")] * 2
+    f, sch = frames(spark, schema, facts)
+    c = count_once(f, sch)
+    assert ("mask" in c.counts.columns) == (n_props <= 63)
+    assert {r.property: r.n for r in c.named.collect()} == {p: 3 if i == 0 else 1 for i, p in enumerate(schema)}
+    c.kept.unpersist()
+    first, last = IRI.format("p00"), IRI.format(f"p{n_props - 1}")
+    got = score(f, sch, spark.createDataFrame([(last, first, None)], "head string, body1 string, body2 string")).collect()
+    assert [(r.support, r.body_size, r.head_size) for r in got] == [(1, 3, 1)]
+
+
 def test_a_path_reads_its_head_once_for_all_requests(spark, monkeypatch):
     """Five rules over one head, from either side: its facts meet the degrees of the class with more keys once, and travel on as sums."""
     h, p1, p2, q1, q2 = (IRI.format(x) for x in ("h", "p1", "p2", "q1", "q2"))
