@@ -270,11 +270,13 @@ class JoinContext:
         costed = cands.join(dots.select(F.col("a").alias("pa"), F.col("b").alias("pb"),
                                         F.col("K").alias("P"), F.col("value").alias("wedges")),
                             ["pa", "pb", "P"], "left")
-        best = (costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC))).groupBy("tid")
-                .agg(F.min_by(F.struct("P", "pa", "pb", "cu", "cw", "pc", "wedges"), "wedges").alias("best")).select("tid", "best.*"))
         sizes = materialize_small(self.distinct_sizes())
         for p, n in (("pa", "na"), ("pb", "nb"), ("pc", "nc")):
-            best = best.join(sizes.select(F.col("property").alias(p), F.col("n").alias(n)), p, "left").withColumn(n, F.coalesce(n, F.lit(0).cast("bigint")))
+            costed = costed.join(sizes.select(F.col("property").alias(p), F.col("n").alias(n)), p, "left").withColumn(n, F.coalesce(n, F.lit(0).cast("bigint")))
+        # of pivots with as many wedges, the one with the fewest closing facts
+        best = (costed.withColumn("wedges", F.coalesce("wedges", F.lit(0).cast(DEC))).groupBy("tid")
+                .agg(F.min_by(F.struct("P", "pa", "pb", "cu", "cw", "pc", "wedges", "na", "nb", "nc"), F.struct("wedges", "nc")).alias("best"))
+                .select("tid", "best.*"))
         return materialize_small(best)
 
     def edges(self, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
